@@ -23,6 +23,8 @@ from . import common
 END = b" end"
 #: Tokens that a task counts before it hands on packed counts.
 FLUSH = 3_000_000
+#: Words in a part of the arrays by number, at least.
+PART = 32_768
 ROW = "kind string, shard int, blob binary"
 CONTEXT = np.dtype([("id", "<u4"), ("n", "<i8"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4")])
 PAIR = np.dtype([("key", "<u8"), ("n", "<i8")])
@@ -245,7 +247,8 @@ def fit(docs: DataFrame) -> Model:
     # First words with more bigrams than a share of a shard are dealt out by both words.
     heavy = model.tokens / (4 << bits)
     model.hot = np.array([*(model.starts[r["shard"]] + p for r in found for n, p in zip(r["top"], r["places"], strict=True) if n > heavy), model.words], np.uint64)
-    model.span = max(1, -(-(model.words + 1) >> bits))
+    # Parts by number are large, so that a shard's counts go to few of them.
+    model.span = max(PART, -(-(model.words + 1) >> bits))
     _count_pairs(texts, model)
     return model
 
