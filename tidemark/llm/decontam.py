@@ -67,10 +67,13 @@ def exact_matches(tokenised: DataFrame, windows: DataFrame) -> DataFrame:
     second = index.select(F.col("term").alias("t2"), "doc_id", F.col("pos").alias("at"))
     both = first.withColumn("at", F.col("start") + F.col("o2")).join(second, ["doc_id", "t2", "at"], "left_semi")
     places = common.stored(both.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n", "phrase", "items")).alias("places")), "places")
-    rows = tokenised.join(places, "doc_id", "left")
+    # Words of documents with candidates only are moved; the others' rows have no words by then.
+    rows = common.of_ids(tokenised, places).join(places, "doc_id")
     same = lambda p: F.array_join(F.slice("words", p["start"] + 1, p["n"]), " ") == p["phrase"]
-    hits = F.transform(F.filter(F.coalesce("places", F.array().cast(places.schema["places"].dataType)), same), lambda p: F.struct(p["start"].alias("start"), p["n"].alias("n"), p["items"].alias("items")))
-    return rows.withColumn("hits", hits).drop("places", "words")
+    hits = F.transform(F.filter("places", same), lambda p: F.struct(p["start"].alias("start"), p["n"].alias("n"), p["items"].alias("items")))
+    found = common.stored(rows.withColumn("hits", hits).groupBy("doc_id").agg(F.max("hits").alias("hits")), "hits")
+    out = tokenised.select("doc_id", "n_words").join(found, "doc_id", "left")
+    return out.withColumn("hits", F.coalesce("hits", F.array().cast(found.schema["hits"].dataType)))
 
 
 def proximity_matches(tokenised: DataFrame, benchmark: DataFrame, within: int = 20) -> DataFrame:
@@ -96,7 +99,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> Da
     In: documents (doc_id, text), benchmark (item_id, text). Out, a row for each document: doc_id, n_words, n_hit (words
     inside an occurrence of a window), n_items, items_sha256 (of the sorted ids as text, joined by commas),
     contaminated (n_hit > 0). A window is ``length`` words of an item, or all of a shorter one; null has no words. A document
-    without a doc_id can't be looked up in the index and has no hits; rows with the same doc_id are compared one by one.
+    without a doc_id can't be looked up in the index and has no hits; of rows with the same doc_id each gets the same hits.
     Items without an id count with an empty id.
     """
     tokenised = tokens(docs)
