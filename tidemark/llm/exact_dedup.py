@@ -106,6 +106,11 @@ def verified(parts: DataFrame, same_digest: DataFrame) -> DataFrame:
     )
 
 
+def grouped(made: DataFrame) -> DataFrame:
+    """Recipes that several texts share: recipe, keep_id, group_size."""
+    return made.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
+
+
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """Groups of equal texts.
 
@@ -118,13 +123,13 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     common.ship_code(spark)
     common.quiet_arrow(spark)
     made = common.stored(recipes(docs), "recipes")
-    several = made.groupBy("recipe").agg(F.count("*").alias("n")).filter("n > 1").select("recipe")
-    suspects = common.stored(made.join(several, "recipe", "left_semi").select("doc_id"), "suspects")
-    parts = chunks(docs.selectExpr("cast(doc_id as bigint) doc_id", "text").join(suspects.distinct(), "doc_id", "left_semi"))
+    groups = common.stored(grouped(made), "groups")
+    suspects = common.stored(made.join(groups.select("recipe"), "recipe", "left_semi").select("doc_id"), "suspects")
+    parts = chunks(common.of_ids(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), suspects))
     same_digest = common.stored(collided(parts), "collided")
     if not same_digest.isEmpty():
         made = made.join(verified(parts, same_digest), "doc_id", "left").withColumn("recipe", F.coalesce("checked", "recipe")).drop("checked")
-    groups = common.stored(made.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1"), "groups")
+        groups = common.stored(grouped(made), "groups")
     out = made.join(groups, "recipe", "left")
     alone = F.col("group_size").isNull()
     out = out.withColumn("keep_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))).withColumn("group_size", F.coalesce("group_size", F.lit(1)).cast("bigint"))
