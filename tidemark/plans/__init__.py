@@ -1,0 +1,4 @@
+"""All queries of the market-data operators."""
+
+from . import indicators, market  # noqa: F401
+from .base import ORACLE_SQL, QUERIES  # noqa: F401
