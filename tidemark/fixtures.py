@@ -28,8 +28,8 @@ VIEWS = {
         FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY p.p_brand, CAST(l.l_shipdate AS DATE), l.l_linestatus""",
     "fin_base": """
         WITH q AS (
-          SELECT l_suppkey AS sk, year(l_shipdate) AS y, quarter(l_shipdate) AS qn, round(sum(l_extendedprice * (1 - l_discount)), 2) AS rev,
-            round(sum(l_extendedprice * (0.3E0 - l_discount)), 2) AS np, round(sum(l_extendedprice * (0.25E0 - l_tax)), 2) AS ocf, round(sum(l_extendedprice), 2) AS gross
+          SELECT l_suppkey AS sk, year(l_shipdate) AS y, quarter(l_shipdate) AS qn, floor(sum(l_extendedprice * (1 - l_discount)) * 100 + 0.5003E0) / 100 AS rev,
+            floor(sum(l_extendedprice * (0.3E0 - l_discount)) * 100 + 0.5003E0) / 100 AS np, floor(sum(l_extendedprice * (0.25E0 - l_tax)) * 100 + 0.5003E0) / 100 AS ocf, floor(sum(l_extendedprice) * 100 + 0.5003E0) / 100 AS gross
           FROM lineitem GROUP BY l_suppkey, year(l_shipdate), quarter(l_shipdate)
         )
         SELECT CAST(sk AS VARCHAR(20)) AS symbol, sk, y, qn, last_day(make_date(CAST(y AS INT), CAST(qn * 3 AS INT), 1)) AS end_date,

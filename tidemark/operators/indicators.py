@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-W = Window.partitionBy("symbol").orderBy("trade_date")
+def W() -> WindowSpec:  # noqa: N802
+    """A symbol's rows in order of date."""
+    return Window.partitionBy("symbol").orderBy("trade_date")
 
 
-def rows(n: int):  # noqa: ANN201
-    return W.rowsBetween(-(n - 1), 0)
+def rows(n: int) -> WindowSpec:
+    return W().rowsBetween(-(n - 1), 0)
 
 
 def full(column: str, n: int, value: Column) -> Column:
@@ -30,7 +32,7 @@ def ewm(frame: DataFrame, column: str, out: str, alpha: float, block: int = 500)
     by their distance as long as they count.
     """
     base, back = 1 - alpha, max(1, math.ceil(math.log(1e-18) / math.log(1 - alpha) / block))
-    f = frame.withColumn("_i", F.row_number().over(W) - 1).withColumn("_b", F.floor(F.col("_i") / block))
+    f = frame.withColumn("_i", F.row_number().over(W()) - 1).withColumn("_b", F.floor(F.col("_i") / block))
     weight = F.pow(F.lit(1 / base), F.col("_i") - F.col("_b") * block)
     f = f.withColumns({"_n": F.when(F.col(column).isNotNull(), weight * F.col(column)).otherwise(0.0), "_d": F.when(F.col(column).isNotNull(), weight).otherwise(0.0)})
     inside = Window.partitionBy("symbol", "_b").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
@@ -62,7 +64,7 @@ def bollinger(bars: DataFrame, period: int = 20, width: float = 2.0) -> DataFram
 
 def rsi(bars: DataFrame, period: int = 14) -> DataFrame:
     """Plain rolling means; no loss with a gain is 100, neither is null; the first change counts as none."""
-    move = F.coalesce(F.col("close") - F.lag("close").over(W), F.lit(0.0))
+    move = F.coalesce(F.col("close") - F.lag("close").over(W()), F.lit(0.0))
     f = bars.withColumn("_m", move).withColumns({"_up": F.greatest("_m", F.lit(0.0)), "_dn": F.greatest(-F.col("_m"), F.lit(0.0))})
     f = f.withColumns({"_g": full("_up", period, F.avg("_up").over(rows(period))), "_l": full("_dn", period, F.avg("_dn").over(rows(period)))})
     value = F.when((F.col("_l") == 0) & (F.col("_g") > 0), 100.0).when(F.col("_l") > 0, 100 - 100 / (1 + F.col("_g") / F.col("_l")))
@@ -95,9 +97,9 @@ def williams_r(bars: DataFrame, period: int = 14) -> DataFrame:
 
 
 def obv(bars: DataFrame, period: int = 20) -> DataFrame:
-    move = F.signum(F.col("close") - F.lag("close").over(W)) * F.col("volume")
+    move = F.signum(F.col("close") - F.lag("close").over(W())) * F.col("volume")
     f = bars.withColumn("_s", F.coalesce(move, F.col("volume")))
-    f = f.withColumn("obv", F.sum("_s").over(W.rowsBetween(Window.unboundedPreceding, 0))).drop("_s")
+    f = f.withColumn("obv", F.sum("_s").over(W().rowsBetween(Window.unboundedPreceding, 0))).drop("_s")
     return f.withColumn("obv_ma", full("obv", period, F.avg("obv").over(rows(period))))
 
 
@@ -135,7 +137,7 @@ def summary(indicators: DataFrame) -> DataFrame:
 
 
 def rebased(bars: DataFrame) -> DataFrame:
-    return bars.withColumn("rebased", F.try_divide(F.col("close"), F.first("close").over(W)) * 100)
+    return bars.withColumn("rebased", F.try_divide(F.col("close"), F.first("close").over(W())) * 100)
 
 
 def colors(macd_bars: DataFrame) -> DataFrame:

@@ -133,11 +133,10 @@ def neighbours(cal: DataFrame, n: int = 1) -> DataFrame:
     days = cal.withColumn("_k", F.sum("is_open").over(order))
     opens = days.filter("is_open = 1").select("exchange", F.col("_k").alias("_o"), F.col("cal_date").alias("d"))
     near = lambda d: F.when(F.abs(F.datediff(d, "cal_date")) <= 30 + 7 * n, F.col(d))
-    nxt, prev = opens.withColumnRenamed("d", "nxt"), opens.withColumnRenamed("d", "prev")
     out = days.withColumns({"_next": F.col("_k") + n, "_prev": F.col("_k") - n + (1 - F.col("is_open"))})
-    out = out.join(nxt, (out.exchange == nxt.exchange) & (out["_next"] == nxt["_o"]), "left").drop(nxt.exchange, nxt["_o"])
-    out = out.join(prev, (out.exchange == prev.exchange) & (out["_prev"] == prev["_o"]), "left").drop(prev.exchange, prev["_o"])
-    return out.select("exchange", "cal_date", "is_open", near("nxt").alias("next_open"), near("prev").alias("prev_open"))
+    for name in ("next", "prev"):
+        out = out.join(opens.select("exchange", F.col("_o").alias(f"_{name}"), F.col("d").alias(name)), ["exchange", f"_{name}"], "left")
+    return out.select("exchange", "cal_date", "is_open", near("next").alias("next_open"), near("prev").alias("prev_open"))
 
 
 def event_bars(events: DataFrame, bars: DataFrame) -> DataFrame:

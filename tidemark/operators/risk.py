@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip
 from .indicators import W, bollinger, latest, moving_average, rows
 
-BACK = Window.partitionBy("symbol").orderBy(F.desc("trade_date"))
+def BACK() -> WindowSpec:  # noqa: N802
+    """A symbol's rows from the last one."""
+    return Window.partitionBy("symbol").orderBy(F.desc("trade_date"))
 
 
 def bands(x: Column, cuts: list[tuple[float, str]], rest: str) -> Column:
@@ -21,7 +23,7 @@ def bands(x: Column, cuts: list[tuple[float, str]], rest: str) -> Column:
 
 def returns(bars: DataFrame) -> DataFrame:
     """``ret``, the simple return from the bar before, and ``back``, 1 for the last bar."""
-    return bars.withColumns({"ret": F.try_divide(F.col("close"), F.lag("close").over(W)) - 1, "back": F.row_number().over(BACK)})
+    return bars.withColumns({"ret": F.try_divide(F.col("close"), F.lag("close").over(W())) - 1, "back": F.row_number().over(BACK())})
 
 
 def volatility(bars: DataFrame) -> DataFrame:
@@ -34,7 +36,7 @@ def volatility(bars: DataFrame) -> DataFrame:
 
 def drawdown(bars: DataFrame) -> DataFrame:
     """Largest and current fall from the running high, in percent."""
-    f = bars.withColumn("dd", F.try_divide(F.col("close"), F.max("close").over(W.rowsBetween(Window.unboundedPreceding, 0))) - 1)
+    f = bars.withColumn("dd", F.try_divide(F.col("close"), F.max("close").over(W().rowsBetween(Window.unboundedPreceding, 0))) - 1)
     f = f.groupBy("symbol").agg(F.count("close").alias("n"), F.min("dd").alias("m"), F.max_by("dd", "trade_date").alias("c")).filter("n >= 5")
     f = f.select("symbol", F.round(F.col("m") * 100, 1).alias("max_drawdown"), F.round(F.col("c") * 100, 1).alias("current_drawdown"))
     return f.withColumn("level", bands(-F.col("max_drawdown"), [(40, "very_high"), (25, "high"), (15, "medium")], "low"))
@@ -42,7 +44,7 @@ def drawdown(bars: DataFrame) -> DataFrame:
 
 def liquidity(bars: DataFrame, unit: float = 1e5) -> DataFrame:
     """Mean volume and amount of the last 20 bars; the level is by amount in ``unit``."""
-    f = bars.withColumn("back", F.row_number().over(BACK)).filter("back <= 20").groupBy("symbol").agg(F.avg("volume").alias("avg_volume"), F.avg("amount").alias("avg_amount"))
+    f = bars.withColumn("back", F.row_number().over(BACK())).filter("back <= 20").groupBy("symbol").agg(F.avg("volume").alias("avg_volume"), F.avg("amount").alias("avg_amount"))
     return f.withColumn("level", bands(F.col("avg_amount") / unit, [(10, "high"), (3, "medium"), (1, "low")], "very_low"))
 
 
@@ -59,7 +61,7 @@ def risk(bars: DataFrame) -> DataFrame:
 
 def price_percentiles(bars: DataFrame, spans: tuple[int, ...] = (250, 750, 1250)) -> DataFrame:
     """Share of the last closes that are not above the current one, with at least 20 of them."""
-    f = bars.withColumns({"back": F.row_number().over(BACK), "now": F.first("close").over(BACK)})
+    f = bars.withColumns({"back": F.row_number().over(BACK()), "now": F.first("close").over(BACK())})
     share = lambda n: F.when(F.count(F.when(F.col("back") <= n, F.col("close"))) >= 20, F.avg(F.when(F.col("back") <= n, (F.col("close") <= F.col("now")).cast("double"))) * 100)
     f = f.groupBy("symbol").agg(*[share(n).alias(f"pct_{n}") for n in spans])
     return f.withColumn("level", bands(F.col(f"pct_{spans[0]}"), [(80, "very_high"), (60, "high"), (40, "medium"), (20, "low")], "very_low"))
@@ -106,7 +108,7 @@ def targets(bars: DataFrame) -> DataFrame:
 
 def trend_strength(bars: DataFrame) -> DataFrame:
     """50, moved by the averages' order, the distance from the 60-day mean, and the changes from 4 and 19 bars back."""
-    f = moving_average(bars).withColumns({"c5": F.try_divide(F.col("close"), F.lag("close", 4).over(W)) - 1, "c20": F.try_divide(F.col("close"), F.lag("close", 19).over(W)) - 1})
+    f = moving_average(bars).withColumns({"c5": F.try_divide(F.col("close"), F.lag("close", 4).over(W())) - 1, "c20": F.try_divide(F.col("close"), F.lag("close", 19).over(W())) - 1})
     f, yes = latest(f), lambda x: F.coalesce(x, F.lit(False))
     up, down = yes((F.col("ma_5") > F.col("ma_20")) & (F.col("ma_20") > F.col("ma_60"))), yes((F.col("ma_5") < F.col("ma_20")) & (F.col("ma_20") < F.col("ma_60")))
     far = F.try_divide(F.col("close"), F.col("ma_60")) - 1

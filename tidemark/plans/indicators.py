@@ -29,7 +29,7 @@ KDJ = f"WITH {NUM}, {RSV}, {ewm_cte('r0', 'rsv', 'kdj_k', '(1.0/3)', 'k1')}, {ew
 RSI = f"""(SELECT *, CASE WHEN l = 0 AND g > 0 THEN 100 WHEN l > 0 THEN 100 - 100 / (1 + g / l) END AS rsi_14 FROM (SELECT *, {roll('avg(greatest(m, 0))', 14, 'm')} AS g, {roll('avg(greatest(-m, 0))', 14, 'm')} AS l
     FROM (SELECT *, coalesce(close - lag(close) OVER ({W}), 0) AS m FROM bars)))"""
 
-query("w01_ma", "bars", K, "ma_5 ma_10 ma_20 ma_60", f"SELECT symbol, trade_date, {', '.join(f'{roll("avg(close)", p, "close")} AS ma_{p}' for p in (5, 10, 20, 60))} FROM bars", digits=6)(I.moving_average)
+query("w01_ma", "bars", K, "ma_5 ma_10 ma_20 ma_60", f"SELECT symbol, trade_date, {', '.join(f'{roll("avg(close)", p, "close")} AS ma_{p}' for p in (5, 10, 20, 60))} FROM bars")(I.moving_average)
 query("w02_ema", "bars", K, "ema_12 ema_26", f"WITH {NUM}, {ewm_cte('n0', 'close', 'ema_12', '(2.0/13)', 'n1')}, {ewm_cte('n1', 'close', 'ema_26', '(2.0/27)', 'n2')} SELECT * FROM n2")(I.ema)
 query("w03_bollinger", "bars", K, "boll_mid boll_upper boll_lower boll_width boll_pct", f"""
     SELECT *, (boll_upper - boll_lower) / nullif(boll_mid, 0) AS boll_width, (close - boll_lower) / nullif(boll_upper - boll_lower, 0) AS boll_pct FROM (

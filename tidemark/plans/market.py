@@ -53,16 +53,16 @@ ER = f"""WITH nb AS ({NB}), e AS (SELECT e.*, (SELECT max(i) FROM nb WHERE nb.sy
 query("e15_event_returns", "official_events bars", "symbol item_id horizon", "ret", ER)(pit.event_returns)
 
 
-@query("a11_reaction_stats", "official_events bars", "by name horizon n", "mean median positive", f"""
-    WITH r AS (SELECT * FROM ({ER}) WHERE ret IS NOT NULL), k AS (SELECT 'all' AS by, 'all' AS name, horizon, ret FROM r UNION ALL SELECT 'polarity', polarity, horizon, ret FROM r UNION ALL SELECT 'type', event_type, horizon, ret FROM r)
-    SELECT by, name, horizon, count(*) AS n, avg(ret) AS mean, median(ret) AS median, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0 END) AS positive FROM k GROUP BY ALL""", digits=3)
+@query("a11_reaction_stats", "official_events bars", "grouped name horizon n", "mean median positive", f"""
+    WITH r AS (SELECT * FROM ({ER}) WHERE ret IS NOT NULL), k AS (SELECT 'all' AS grouped, 'all' AS name, horizon, ret FROM r UNION ALL SELECT 'polarity', polarity, horizon, ret FROM r UNION ALL SELECT 'type', event_type, horizon, ret FROM r)
+    SELECT grouped, name, horizon, count(*) AS n, avg(ret) AS mean, median(ret) AS median, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0 END) AS positive FROM k GROUP BY ALL""", digits=3)
 def reaction_stats(events, bars):  # noqa: ANN001, ANN201
     """Event returns by horizon, for all, each polarity and each type, in one grouping."""
     r = pit.event_returns(events, bars).filter("ret is not null").join(events.select("item_id", "polarity", "event_type"), "item_id")
     stats = [F.count("*").alias("n"), F.avg("ret").alias("mean"), F.median("ret").alias("median"), F.avg((F.col("ret") > 0).cast("double")).alias("positive")]
     sets = r.groupingSets([["horizon"], ["horizon", "polarity"], ["horizon", "event_type"]], "horizon", "polarity", "event_type").agg(*stats)
     by = F.when(F.col("polarity").isNotNull(), "polarity").when(F.col("event_type").isNotNull(), "type").otherwise("all")
-    return sets.withColumn("by", by).withColumn("name", F.coalesce("polarity", "event_type", F.lit("all")))
+    return sets.withColumn("grouped", by).withColumn("name", F.coalesce("polarity", "event_type", F.lit("all")))
 
 
 RET = f"(SELECT *, close / lag(close) OVER ({W}) - 1 AS ret, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS back FROM bars)"
