@@ -84,7 +84,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, m
 
 def shards(spark: SparkSession, rows: int, per_shard: int = 4000) -> int:
     """Number of hash shards, growing with the input."""
-    return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / per_shard))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / per_shard))
 
 
 # --- hashing of words, in tasks -------------------------------------------------------------

@@ -105,8 +105,12 @@ def level_one(docs: DataFrame, first: int, length: int, n_shards: int) -> DataFr
     return docs.select("doc_id", "text").mapInArrow(run, BLOB)
 
 
-def repeated(rows: DataFrame, later_only: bool) -> DataFrame:
-    """Windows that occur in several documents: doc_id and the places in it, packed (several rows for a document).
+#: A repeated window's place, between tasks.
+HIT = np.dtype([("doc", "<i8"), ("at", "<i4")])
+
+
+def repeated(rows: DataFrame, later_only: bool, buckets: int) -> DataFrame:
+    """Windows that occur in several documents: their documents and places, packed by a bucket of documents.
 
     With ``later_only`` without those of the smallest document that has the window.
     """
@@ -118,29 +122,39 @@ def repeated(rows: DataFrame, later_only: bool) -> DataFrame:
         new[1:] = (w["a"][1:] != w["a"][:-1]) | (w["b"][1:] != w["b"][:-1])
         starts = np.flatnonzero(new)
         sizes = np.diff(np.append(starts, len(w)))
-        low = np.repeat(w["doc"][starts], sizes)
         if later_only:
-            w = w[w["doc"] > low]
+            w = w[w["doc"] > np.repeat(w["doc"][starts], sizes)]
         else:
             w = w[np.repeat(w["doc"][starts + sizes - 1] > w["doc"][starts], sizes)]
-        w = w[np.lexsort((w["at"], w["doc"]))]
-        docs, starts = np.unique(w["doc"], return_index=True)
-        at = [x.astype("<i4").tobytes() for x in np.split(w["at"], starts[1:])] if len(docs) else []
-        return pa.table({"doc_id": pa.array(docs, pa.int64()), "places": pa.array(at, pa.binary())})
+        hit = np.empty(len(w), HIT)
+        hit["doc"], hit["at"] = w["doc"], w["at"]
+        bucket = (common.mix(hit["doc"].astype(np.uint64), hit["doc"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        bucket, hit = bucket[order], hit[order]
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.empty(0, np.int64)
+        return pa.table({"bucket": pa.array(bucket[first], pa.int32()), "blob": pa.array([x.tobytes() for x in np.split(hit, first[1:])] if len(first) else [], pa.binary())})
 
-    return rows.filter("kind = 'window'").select("shard", "blob").groupBy("shard").applyInArrow(run, "doc_id bigint, places binary")
+    return rows.filter("kind = 'window'").select("shard", "blob").groupBy("shard").applyInArrow(run, "bucket int, blob binary")
 
 
 def by_document(found: DataFrame) -> DataFrame:
-    """All places of a document in one row. They are at most as many as its words."""
-    return found.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
+    """A row for each document with all its places, at most as many as its words."""
+
+    def run(group: pa.Table) -> pa.Table:
+        hit = np.concatenate([np.frombuffer(x, HIT) for x in group.column("blob").to_pylist()])
+        hit = hit[np.lexsort((hit["at"], hit["doc"]))]
+        docs, first = np.unique(hit["doc"], return_index=True)
+        return pa.table({"doc_id": pa.array(docs, pa.int64()), "places": pa.array([x.tobytes() for x in np.split(np.ascontiguousarray(hit["at"]), first[1:])], pa.binary())})
+
+    return common.stored(found.groupBy("bucket").applyInArrow(run, "doc_id bigint, places binary"), "places")
 
 
-def places(blobs: list[bytes]) -> np.ndarray:
-    return np.unique(np.concatenate([np.frombuffer(x, "<i4") for x in blobs]))
+def joined(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """Texts with their places; other documents' texts aren't moved where the list of ids is short."""
+    return common.of_ids(docs, placed).join(placed, "doc_id").select("doc_id", "text", "places")
 
 
-def extended(docs: DataFrame, found: DataFrame, have: int, longer: int, length: int, n_shards: int) -> DataFrame:
+def extended(docs: DataFrame, placed: DataFrame, have: int, longer: int, length: int, n_shards: int) -> DataFrame:
     """Windows of ``longer`` words around the places where windows of ``have`` words were repeated.
 
     From the chosen places of level 1 all windows that lie in a window of ``length`` words around the place; later
@@ -151,8 +165,8 @@ def extended(docs: DataFrame, found: DataFrame, have: int, longer: int, length:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, parts, held = common.HashCache(), [], 0
         for batch in batches:
-            for doc, raw, blobs in zip(batch.column(0).to_pylist(), common.as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                h, at = common.hashes((raw or b"").split(), cache), places(blobs)
+            for doc, raw, blob in zip(batch.column(0).to_pylist(), common.as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                h, at = common.hashes((raw or b"").split(), cache), np.frombuffer(blob, "<i4")
                 n = len(h) - longer + 1
                 ok = np.zeros(n + 1, np.int64)
                 if anchored:
@@ -172,8 +186,7 @@ def extended(docs: DataFrame, found: DataFrame, have: int, longer: int, length:
         if parts:
             yield _table(packed(parts, n_shards))
 
-    rows = docs.select("doc_id", "text").join(by_document(found), "doc_id")
-    return rows.select("doc_id", "text", "places").mapInArrow(run, BLOB)
+    return joined(docs, placed).mapInArrow(run, BLOB)
 
 
 def repeated_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
@@ -193,15 +206,14 @@ def repeated_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
     level = common.stored(level_one(docs, first, length, n), "level1")
     base = level.filter("kind = 'doc'").select("doc_id", "n_words", "kept_sha256")
     for have, longer in ((first, half), (half, length)):
-        found = common.stored(repeated(level, False), "repeated")
-        level = common.stored(extended(docs, found, have, longer, length, n), "windows")
-    last = common.stored(repeated(level, True), "later")
+        level = common.stored(extended(docs, by_document(repeated(level, False, n)), have, longer, length, n), "windows")
+    last = by_document(repeated(level, True, n))
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, sha, texts = [], [], []
-            for raw, blobs in zip(common.as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                words, at = (raw or b"").split(), places(blobs)
+            for raw, blob in zip(common.as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                words, at = (raw or b"").split(), np.frombuffer(blob, "<i4")
                 hit = np.zeros(len(words) + 1, np.int64)
                 np.add.at(hit, at, 1)
                 np.add.at(hit, at + length, -1)
@@ -212,7 +224,7 @@ def repeated_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
                 texts.append(left.decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.string())], ["doc_id", "removed", "sha", "kept_text"])
 
-    cleaned = docs.join(by_document(last), "doc_id").select("doc_id", "text", "places").mapInArrow(cover, "doc_id bigint, removed bigint, sha string, kept_text string")
+    cleaned = joined(docs, last).mapInArrow(cover, "doc_id bigint, removed bigint, sha string, kept_text string")
     return base.join(cleaned, "doc_id", "left").select(
         "doc_id", "n_words", F.coalesce("removed", F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce("sha", "kept_sha256").alias("kept_sha256"), "kept_text"
     )
