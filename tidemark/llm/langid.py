@@ -48,20 +48,20 @@ def _counts(docs: DataFrame, most_words: int, most_grams: int, longest: int) ->
         every = every.union(g)
     rank = F.row_number().over(Window.partitionBy("lang", "k").orderBy(F.desc("n"), "gram"))
     best = every.filter("n > 2").withColumn("r", rank).filter(F.col("r") <= most_grams).select("lang", "k", "gram", "n")
-    return top.toPandas(), best.toPandas()
+    return top.toArrow().to_pandas(), best.toArrow().to_pandas()  # bounded by languages x most_*
 
 
 def _posteriors(found: pd.DataFrame, key: str, langs: list[str], smooth: float) -> tuple[list[str], np.ndarray]:
     """Log P(language | key) for evenly likely languages."""
-    names, at = np.unique(found[key].to_numpy(dtype=object).astype(str), return_inverse=True)
+    at, names = pd.factorize(found[key], sort=True)
     table = np.zeros((len(names), len(langs)))
-    np.add.at(table, (at, [langs.index(x) for x in found["lang"]]), found["n"].to_numpy(float))
+    np.add.at(table, (at, found["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int)), found["n"].to_numpy(float))
     logs = np.log((table + smooth) / (table.sum(0) + smooth * len(names)))
     logs -= np.logaddexp.reduce(logs, axis=1, keepdims=True)
-    return names.tolist(), logs
+    return list(names), logs
 
 
-def fit(docs: DataFrame, *, most_docs: int = 20_000, most_words: int = 40_000, most_grams: int = 30_000, longest: int = 5) -> Model:
+def fit(docs: DataFrame, *, most_docs: int = 20_000, most_words: int = 20_000, most_grams: int = 10_000, longest: int = 5) -> Model:
     """Learn from about ``most_docs`` rows of (doc_id, text, lang) with a language, or all if there are fewer.
 
     The tables hold at most ``most_words`` words, and n-grams of each length, of a language, so the model that is
