@@ -151,7 +151,7 @@ query("b07_metrics", "bars", "symbol run_id slice trades", "log_return max_drawd
 query("b09_objective", "bars", "symbol run_id slice", "x")(lambda b: st.metrics(HELD(b)).withColumn("x", st.objective("robust")))
 query("w21_candidate_rank", "bars", "symbol run_id rank", "objective", f"SELECT symbol, run_id, sharpe AS objective, row_number() OVER (PARTITION BY symbol ORDER BY sharpe DESC, run_id) AS rank FROM {MET} WHERE slice = 'train'", digits=3)(lambda b: st.ranked(st.metrics(HELD(b))))
 query("b12_optimize", "bars", "symbol run_id slice fast slow trades", "sharpe", f"SELECT m.*, fast, slow FROM {MET} m JOIN (SELECT symbol, run_id FROM {MET} WHERE slice = 'train' QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY sharpe DESC, run_id) = 1) USING (symbol, run_id) JOIN (VALUES (0, 5, 20), (1, 5, 60), (2, 20, 60)) g(run_id, fast, slow) USING (run_id)", digits=3)(lambda b: st.optimized(st.slices(b), GRID(b)))
-query("b13_windows", "bars", "symbol win slice n", "", "SELECT symbol, CAST(win AS INT) AS win, CASE WHEN at < 252 THEN 'train' WHEN at < 315 THEN 'validation' ELSE 'test' END AS slice, count(*) AS n FROM (SELECT symbol, win, i - win * 126 AS at FROM (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY trade_date) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars) JOIN (SELECT unnest(range(0, 40)) AS win) ON win * 126 + 378 <= n) WHERE at BETWEEN 0 AND 377 GROUP BY ALL")(lambda b: st.windows(b, 252, 63, 63, 126).groupBy("symbol", "win", "slice").agg(F.count("*").alias("n")))
+query("b13_windows", "bars", "symbol win slice n", "", "SELECT symbol, CAST(win AS INT) AS win, CASE WHEN place < 252 THEN 'train' WHEN place < 315 THEN 'validation' ELSE 'test' END AS slice, count(*) AS n FROM (SELECT symbol, win, i - win * 126 AS place FROM (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY trade_date) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars) JOIN (SELECT unnest(range(0, 40)) AS win) ON win * 126 + 378 <= n) WHERE place BETWEEN 0 AND 377 GROUP BY ALL")(lambda b: st.windows(b, 252, 63, 63, 126).groupBy("symbol", "win", "slice").agg(F.count("*").alias("n")))
 ROLL = lambda b: st.optimized(st.windows(b, 252, 63, 63, 126), GRID(b))
 query("b14_rolling", "bars", "symbol win slice run_id trades", "sharpe")(ROLL)
 query("b15_stability", "bars", "symbol fast slow times windows stable", "")(lambda b: st.stability(ROLL(b)))
