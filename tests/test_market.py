@@ -56,6 +56,22 @@ def test_ledger_waits_for_an_affordable_lot(spark):
     assert strategy.ledger(f, cash=500.0).count() == 0
 
 
+def test_equity_follows_cash_and_shares(spark):
+    f = bars(spark, [50, 10, 12, 11, 20]).withColumns({"run_id": F.lit(0), "slice": F.lit("all"), "signal": F.lit(1)})
+    held = strategy.positions(f)
+    # One lot costs too much on the second bar for the smaller account, so the next bars are tried.
+    for cash, free in ((2_000.0, dict(commission=0.0, minimum=0.0, transfer=0.0, stamp=0.0, slippage=0.0)), (900.0, dict(commission=0.0, minimum=0.0, transfer=0.0, stamp=0.0, slippage=0.0))):
+        money, shares, want = cash, 0, []
+        for i, r in enumerate(held.orderBy("trade_date").collect()):
+            if i and not shares:
+                shares = money // (r["open"] * 100) * 100
+                money -= shares * r["open"]
+            want.append((money, shares, money + shares * r["close"]))
+        got = [(r["cash"], r["shares"], r["equity"]) for r in strategy.equity(held, cash, **free).orderBy("trade_date").collect()]
+        assert got == want
+    assert strategy.equity(held.limit(0)).count() == 0
+
+
 def test_tolerant_equality(spark):
     f = spark.createDataFrame([(1.0, 1.00005), (1.0, 1.1), (None, None), (None, 1.0)], "a double, b double")
     assert [r[0] for r in f.select(fn.close_to(F.col("a"), F.col("b"))).collect()] == [True, False, True, False]

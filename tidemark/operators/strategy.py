@@ -67,10 +67,14 @@ def positions(signals: DataFrame) -> DataFrame:
 STATE = "struct<cash:double,shares:double,day:date,paid:double,trades:array<struct<entry:date,exit:date,shares:double,cost:double,proceeds:double>>>"
 
 
-def ledger(held: DataFrame, cash: float = 100_000.0, lot: int = 100, commission: float = 0.0003, minimum: float = 5.0, transfer: float = 0.00001, stamp: float = 0.0005, slippage: float = 0.0005) -> DataFrame:
-    """Round trips of each key: the bars with an action are folded in order, cash is carried; what can't be paid is retried at the next buy."""
+def _accounts(held: DataFrame, cash: float = 100_000.0, lot: int = 100, commission: float = 0.0003, minimum: float = 5.0, transfer: float = 0.00001, stamp: float = 0.0005, slippage: float = 0.0005) -> DataFrame:
+    """The account of each key after its last bar: actionable bars are folded in order, cash is carried. A buy that can't be paid is retried at each bar that still asks for it."""
     by = [c for c in ("symbol", "run_id", "win", "slice") if c in held.columns]
-    bars = held.filter("action is not null").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("trade_date", "open", "action"))).alias("bars"))
+    free = ~F.col("blocked") if "blocked" in held.columns else F.lit(True)
+    asked = free & (F.col("target") == 1) if "target" in held.columns else F.col("action") == "buy"
+    side = F.when(F.col("action") == "sell", "sell").when(asked, "buy")
+    bars = held.select(*by, "trade_date", "open", side.alias("action")).filter("action is not null")
+    bars = bars.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("trade_date", "open", "action"))).alias("bars"))
     fold = f"""aggregate(bars, cast(named_struct('cash', {cash}D, 'shares', 0D, 'day', cast(null as date), 'paid', 0D, 'trades', array()) as {STATE}), (s, b) ->
       cast(case when b.action = 'buy' and s.shares = 0 then
         transform(array(greatest(floor(least(s.cash / {1 + transfer + commission}D, (s.cash - {minimum}D) / {1 + transfer}D) / (b.open * {1 + slippage}D * {lot})), 0) * {lot}), q ->
@@ -80,8 +84,31 @@ def ledger(held: DataFrame, cash: float = 100_000.0, lot: int = 100, commission:
         transform(array(s.shares * b.open * {1 - slippage}D), v -> named_struct('cash', s.cash + v - greatest({minimum}D, v * {commission}D) - v * {transfer + stamp}D, 'shares', 0D, 'day', cast(null as date), 'paid', 0D, 'trades',
           concat(s.trades, array(named_struct('entry', s.day, 'exit', b.trade_date, 'shares', s.shares, 'cost', s.paid, 'proceeds', v - greatest({minimum}D, v * {commission}D) - v * {transfer + stamp}D)))))[0]
       else s end as {STATE}))"""
-    out = bars.withColumn("state", F.expr(fold))
-    return out.select(*by, F.posexplode("state.trades").alias("n", "t")).select(*by, (F.col("n") + 1).alias("n"), "t.*").withColumn("ret", F.try_divide(F.col("proceeds"), F.col("cost")) - 1)
+    return bars.select(*by, F.expr(fold).alias("state"))
+
+
+def ledger(held: DataFrame, cash: float = 100_000.0, **fees: float) -> DataFrame:
+    """Round trips of each key with shares, cost, proceeds and net return; ``fees`` as in ``_accounts``."""
+    by = [c for c in ("symbol", "run_id", "win", "slice") if c in held.columns]
+    out = _accounts(held, cash, **fees).select(*by, F.posexplode("state.trades").alias("n", "t"))
+    return out.select(*by, (F.col("n") + 1).alias("n"), "t.*").withColumn("ret", F.try_divide(F.col("proceeds"), F.col("cost")) - 1)
+
+
+def equity(held: DataFrame, cash: float = 100_000.0, **fees: float) -> DataFrame:
+    """Per bar of each key: cash, shares, and equity at the close. What was bought and not sold yet stays in it.
+
+    The account's flows and the bars go through one window by key, so bars without a trade carry the last state.
+    """
+    by = [c for c in ("symbol", "run_id", "win", "slice") if c in held.columns]
+    none, zero = F.lit(None).cast("double"), F.lit(0.0)
+    flow = lambda day, money, shares: F.struct(day.alias("trade_date"), money.alias("money"), shares.alias("moved"))
+    ended = F.transform("state.trades", lambda t: F.array(flow(t["entry"], -t["cost"], t["shares"]), flow(t["exit"], t["proceeds"], -t["shares"])))
+    still = F.when(F.col("state.shares") > 0, F.array(flow(F.col("state.day"), -F.col("state.paid"), F.col("state.shares")))).otherwise(F.array().cast("array<struct<trade_date:date,money:double,moved:double>>"))
+    flows = _accounts(held, cash, **fees).select(*by, F.explode(F.concat(F.flatten(ended), still)).alias("f")).select(*by, "f.*", none.alias("close"))
+    rows = held.select(*by, "trade_date", zero.alias("money"), zero.alias("moved"), F.col("close").cast("double"), F.lit(True).alias("bar")).unionByName(flows.withColumn("bar", F.lit(False)))
+    w = Window.partitionBy(*by).orderBy("trade_date").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({"cash": cash + F.sum("money").over(w), "shares": F.sum("moved").over(w)}).filter("bar")
+    return rows.select(*by, "trade_date", "close", "cash", "shares", (F.col("cash") + F.col("shares") * F.col("close")).alias("equity"))
 
 
 def metrics(held: DataFrame) -> DataFrame:
