@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import indicators, ledger, risk, rules
+from tidemark.operators import indicators, ledger, risk, rules, textfields
 from tidemark.sources import files
 
 D = dt.date
@@ -122,3 +122,17 @@ def test_files(spark, tmp_path):
 def test_empty_bars(spark):
     none = bars(spark, [1.0]).filter("false")
     assert rules.confidence(none).count() == 0 and rules.apply_rule(none, "ma_cross").count() == 0 and risk.supports(none).count() == 0
+
+
+def test_labelled_amounts(spark):
+    texts = [
+        "单位：万元\n营业收入 (1) 1,234.5 900\n" + "-" * 90 + "\n净利润（百万元） （12）",  # a footnote, units before and within 80 characters of a label, brackets
+        "营业收入比率 5\n归属于股东的净利润 7",  # a ratio and a rejected prefix
+        "营业收入 3\n营业收入 8\n净利润 -2 每股 5 元",
+        "", None, "净利润" * 50,
+    ]
+    fields = {"revenue": textfields.Labels(("营业收入",)), "profit": textfields.Labels(("净利润",), reject=("归属于",))}
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["doc_id"]: (r["revenue"], r["profit"], r["status"]) for r in textfields.labelled_amounts(rows, fields).collect()}
+    assert got == {0: (12_345_000.0, -12_000_000.0, "parsed"), 1: (None, None, "partial"), 2: (8.0, -2.0, "parsed"), **{i: (None, None, "partial") for i in (3, 4, 5)}}
+    assert textfields.labelled_amounts(rows.limit(0), fields).count() == 0

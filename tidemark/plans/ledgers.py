@@ -1,4 +1,4 @@
-"""Queries of audit ledgers, rules, bundles and files."""
+"""Queries of audit ledgers, rules, bundles and files."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as fn
 from ..operators import evidence as ev
 from ..operators import fundamentals as fu
-from ..operators import ledger, pit, recon, risk, rules
+from ..operators import ledger, pit, recon, risk, rules, textfields
 from ..operators import strategy as st
 from ..sources import files
 from . import market  # noqa: F401  (its SQL is reused)
@@ -153,3 +153,22 @@ def _tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["s06_tolerant_read"], ORACLE_SQL["s06_tolerant_read"] = _tolerant, "SELECT count(*) AS n FROM customer"
 QUERIES["s15_file_index"] = lambda spark, sf_dir: files.index_files(spark, sf_dir, "*.parquet")
+
+
+#: Amounts after two labels, the first preferred; then the largest, then the first place.
+_AFTER = " UNION ALL ".join(
+    f"""SELECT doc_id, {i} AS o, p, regexp_extract_all(regexp_replace(substr(text, CAST(p AS BIGINT) + {len(w) + 1}, 500), '\\s*,\\s*', ',', 'g'), '[-−]?[（(]?\\d[\\d,]*(?:\\.\\d+)?\\s*[）)]?%?') AS found
+    FROM (SELECT doc_id, text, list_sum(list_transform(parts[1:k], lambda x: length(x))) + (k - 1) * {len(w)} AS p FROM (SELECT doc_id, text, parts, unnest(range(1, len(parts))) AS k FROM (SELECT doc_id, text, string_split(text, '{w}') AS parts FROM documents)))"""
+    for i, w in enumerate(("ersion", "with"))
+)
+_FIRST = "CASE WHEN len(found) > 1 AND regexp_full_match(found[1], '[（(]\\s*\\d{1,2}\\s*[）)]') THEN found[2] ELSE found[1] END"
+_PLAIN = "trim(translate(replace(replace(first, ',', ''), '%', ''), '−（）', '-()'))"
+_VALUE = f"TRY_CAST(regexp_replace({_PLAIN}, '[()\\s]', '', 'g') AS DOUBLE) * CASE WHEN regexp_full_match({_PLAIN}, '\\(.*\\)\\s*') THEN -1 ELSE 1 END"
+
+
+@query("e16_labelled_amounts", "documents", "doc_id status", "log_amount", f"""SELECT doc_id, CASE WHEN v IS NULL THEN 'partial' ELSE 'parsed' END AS status, sign(v) * ln(1 + abs(v)) AS log_amount FROM documents LEFT JOIN (
+    SELECT doc_id, v FROM (SELECT doc_id, o, p, {_VALUE} AS v FROM (SELECT *, {_FIRST} AS first FROM ({_AFTER}))) WHERE v IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY o, abs(v) DESC, p) = 1) USING (doc_id)""", digits=6)
+def labelled_amounts(documents: DataFrame) -> DataFrame:
+    """The amount after a label in each text; its log, as amounts have up to 16 digits."""
+    got = textfields.labelled_amounts(documents.select("doc_id", "text"), {"amount": textfields.Labels(("ersion", "with"), scaled=False)})
+    return got.withColumn("log_amount", F.signum("amount") * F.log1p(F.abs("amount")))
