@@ -256,6 +256,14 @@ def test_classifiers_learn_and_take_odd_input(spark, empty):
     assert langid.identify(empty, held).count() == 0
 
 
+def test_every_counted_word_and_n_gram_is_in_the_language_model(spark):
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(21_000)]  # beyond any rank of 20,000 words or 10,000 n-grams
+    text = " ".join(words)
+    model = langid.fit(spark.createDataFrame([(1, text, "en"), (2, text, "en"), (3, text, "en")], "doc_id bigint, text string, lang string"))
+    assert set(model.words) == set(words)
+    assert set(model.grams[0]) == {f" {w}"[:5] for w in words} | {f"{w} "[-5:] for w in words}
+
+
 def test_grammar_scores_clauses():
     m = toxicity.Matcher(toxicity.Model({"zonk": 4.0}, {}))
     score = lambda t: sum(m.clauses(t)[0])

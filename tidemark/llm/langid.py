@@ -7,13 +7,13 @@ n-grams that are known, then to shorter ones. A text's score adds up its words'
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -31,24 +31,27 @@ class Model:
     scores: np.ndarray
 
 
-def _counts(docs: DataFrame, most_words: int, most_grams: int, longest: int) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """The most frequent words and n-grams of each language, counted in Spark."""
+def _gram(k: int) -> Callable[[Column], Column]:
+    """The ``k`` letters from a place on; of one argument, as Spark gives a second one the index of the place."""
+    return lambda i: F.substring("w", i, F.lit(k))
+
+
+def _counts(docs: DataFrame, longest: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """All words seen twice and n-grams seen three times in a language, counted in Spark."""
     words = docs.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).filter("word != ''")
     words = common.stored(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    top = words.filter("n > 1").withColumn("r", rank).filter(F.col("r") <= most_words).select("lang", "word", "n")
+    seen = words.filter("n > 1").select("lang", "word", "n")
     marked = words.select("lang", "n", F.concat(F.lit(" "), "word", F.lit(" ")).alias("w"))
     grams = []
     for k in range(1, longest + 1):
         places = F.sequence(F.lit(1), F.char_length("w") - k + 1)
-        part = marked.filter(F.char_length("w") >= k).select("lang", "n", F.explode(F.transform(places, lambda i, k=k: F.substring("w", i, F.lit(k)))).alias("gram"))
+        part = marked.filter(F.char_length("w") >= k).select("lang", "n", F.explode(F.transform(places, _gram(k))).alias("gram"))
         grams.append(part.groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("k", F.lit(k)))
     every = grams[0]
     for g in grams[1:]:
         every = every.union(g)
-    rank = F.row_number().over(Window.partitionBy("lang", "k").orderBy(F.desc("n"), "gram"))
-    best = every.filter("n > 2").withColumn("r", rank).filter(F.col("r") <= most_grams).select("lang", "k", "gram", "n")
-    return top.toArrow().to_pandas(), best.toArrow().to_pandas()  # bounded by languages x most_*
+    every = every.filter("n > 2").select("lang", "k", "gram", "n")
+    return seen.toArrow().to_pandas(), every.toArrow().to_pandas()  # bounded by the sample
 
 
 def _posteriors(found: pd.DataFrame, key: str, langs: list[str], smooth: float) -> tuple[list[str], np.ndarray]:
@@ -61,15 +64,16 @@ def _posteriors(found: pd.DataFrame, key: str, langs: list[str], smooth: float)
     return list(names), logs
 
 
-def fit(docs: DataFrame, *, most_docs: int = 20_000, most_words: int = 20_000, most_grams: int = 10_000, longest: int = 5) -> Model:
+def fit(docs: DataFrame, *, most_docs: int = 20_000, longest: int = 5) -> Model:
     """Learn from about ``most_docs`` rows of (doc_id, text, lang) with a language, or all if there are fewer.
 
-    The tables hold at most ``most_words`` words, and n-grams of each length, of a language, so the model that is
-    sent to workers is bounded. Without training rows the model knows no language and every text is ``und``.
+    The tables hold every word and n-gram of the sample that is seen often enough in a language, so what bounds the
+    model that is sent to workers is ``most_docs``. Without training rows the model knows no language and every text is
+    ``und``.
     """
     common.ship_code(docs.sparkSession)
     known = common.bounded(docs.filter("lang is not null and text is not null"), "doc_id", most_docs)
-    words, grams = _counts(known.select("lang", "text"), most_words, most_grams, longest)
+    words, grams = _counts(known.select("lang", "text"), longest)
     langs = sorted(set(words["lang"]) | set(grams["lang"]))
     names, scores = _posteriors(words, "word", langs, 0.5)
     tables, blocks, at = [], [np.zeros((1, len(langs))), scores], 1 + len(names)
