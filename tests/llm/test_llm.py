@@ -212,6 +212,31 @@ def test_decontamination(spark, docs, empty):
     assert {(r["item_id"], r["doc_id"]) for r in near.collect()} == {(7, i) for i, x in rows if x and re.search(r"\ba b c\b", x)}
 
 
+def brute_near(rows, items, within):
+    words = {i: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower()) for i, t in rows}
+    df, out = Counter(w for ws in words.values() for w in ws), {}
+    for item, t in items:
+        terms = list(dict.fromkeys((t or "").lower().split()))
+        rare = sorted((df[w], o, w) for o, w in enumerate(terms) if df[w])[:2]
+        for i, ws in words.items():
+            gaps = [abs(a - b) for a, x in enumerate(ws) for b, y in enumerate(ws) if len(rare) == 2 and (x, y) == (rare[0][2], rare[1][2])]
+            if gaps and min(gaps) <= within:
+                out.setdefault(i, {})[item] = min(gaps)
+    return {i: (len(out.get(i, {})), min(out.get(i, {}).values(), default=None)) for i in words}
+
+
+def test_proximity_of_altered_passages(spark):
+    rows = [(i, t) for i, t in texts() if len(t or "") < 2000] + [(900, "red blue x x x green"), (901, "blue " + "x " * 30 + "red")]
+    items = [(1, "Red blue reworded"), (2, "reworded w3 w7 w9"), (3, "reworded only"), (4, "green red"), (5, None), (6, "w11 w12"), (7, "w12 w11"), (8, "red blue reworded")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontam.matches(d, bench).collect()
+    expected = brute_near(rows, items, 20)
+    assert {r["doc_id"]: (r["n_near"], r["nearest"]) for r in got} == expected and expected[900] == (3, 1)
+    exact = [c for c in got[0].asDict() if c not in ("n_near", "nearest")]
+    assert {tuple(r[c] for c in exact) for r in got} == {tuple(r) for r in decontam.decontaminate(d, bench).collect()}
+
+
 def test_chat_round_trip(spark):
     odd = "</s>[INST] \\l \\b\\o < [ \\ ok [/INST]"
     rows = [(1, 1, "assistant", odd), (1, 0, "user", "hi"), (2, 0, None, None), (2, 0, "user", "tie"), (3, 0, "assistant", ""), (None, 5, "a[b", "é🎉")]

@@ -77,20 +77,27 @@ def exact_matches(tokenised: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def proximity_matches(tokenised: DataFrame, benchmark: DataFrame, within: int = 20) -> DataFrame:
-    """Documents in which the two rarest terms of an item stand at most ``within`` words apart: item_id, doc_id, nearest."""
-    items = benchmark.select("item_id", F.array_distinct(words_of(F.col("text"))).alias("words")).filter("size(words) > 1")
-    items = items.withColumn("phrase", F.col("item_id").cast("string"))
-    terms = items.select(F.explode("words").alias("term")).distinct()
+    """Documents in which the two rarest terms of an item stand at most ``within`` words apart: item_id, doc_id, nearest.
+
+    Terms that are in no document are left aside; an item of which fewer than two others are left has no matches.
+    """
+    items = benchmark.select("item_id", F.array_distinct(words_of(F.col("text"))).alias("words")).filter("size(words) > 1").withColumn("phrase", F.array_join("words", " "))
+    windows = items.select("phrase", "words").distinct()
+    terms = windows.select(F.explode("words").alias("term")).distinct()
     frequency = common.stored(postings(tokenised, terms).groupBy("term").agg(F.count("*").alias("df")), "frequency")
-    pair = anchored(items, frequency).filter("t1 != t2").join(items.select("phrase", "item_id"), "phrase").select("item_id", "t1", "t2")
+    each = windows.select("phrase", F.posexplode("words").alias("o", "term")).join(common.small(frequency), "term")
+    ranked = each.groupBy("phrase").agg(F.array_sort(F.collect_list(F.struct("df", "o", "term"))).alias("r")).filter("size(r) > 1")
+    pair = common.stored(ranked.select("phrase", F.col("r")[0]["term"].alias("t1"), F.col("r")[1]["term"].alias("t2")), "pairs")
     rare = pair.select(F.explode(F.array("t1", "t2")).alias("term")).distinct()
     index = common.stored(postings(tokenised, rare), "postings")
     # Positions are dealt to blocks of ``within`` words: near ones are in the same or a neighbouring block.
-    one = index.select(F.col("term").alias("t1"), "doc_id", "pos").join(common.small(pair), "t1")
+    one = index.select(F.col("term").alias("t1"), "doc_id", "pos").join(common.small(pair.select("t1", "t2").distinct()), "t1")
     one = one.withColumn("block", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.floor(F.col("pos") / within) + d)))
     two = index.select(F.col("term").alias("t2"), "doc_id", F.col("pos").alias("other")).withColumn("block", F.floor(F.col("other") / within))
     gap = F.abs(F.col("pos") - F.col("other"))
-    return one.join(two, ["doc_id", "t2", "block"]).filter(gap <= within).groupBy("item_id", "doc_id").agg(F.min(gap).cast("int").alias("nearest"))
+    near = one.join(two, ["doc_id", "t2", "block"]).filter(gap <= within).groupBy("t1", "t2", "doc_id").agg(F.min(gap).cast("int").alias("nearest"))
+    of = items.select("item_id", "phrase").join(pair, "phrase").select("item_id", "t1", "t2").distinct()
+    return near.join(common.small(of), ["t1", "t2"]).groupBy("item_id", "doc_id").agg(F.min("nearest").alias("nearest"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> DataFrame:
@@ -103,9 +110,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> Da
     Items without an id count with an empty id.
     """
     tokenised = tokens(docs)
-    found = exact_matches(tokenised, common.stored(phrases(benchmark, length), "phrases"))
+    return _counted(exact_matches(tokenised, common.stored(phrases(benchmark, length), "phrases")))
+
+
+def _counted(found: DataFrame) -> DataFrame:
+    """What ``decontaminate`` tells of the hits of each document."""
     covered = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["n"] - 1)))))
     ids = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))))
     return found.select(
         "doc_id", "n_words", covered.cast("bigint").alias("n_hit"), F.size(ids).cast("bigint").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated")
     )
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, length: int = 10, within: int = 20) -> DataFrame:
+    """Exact and proximity matches: the columns of ``decontaminate``, then n_near and nearest.
+
+    n_near is the number of items of which the two rarest terms stand at most ``within`` words apart in the document,
+    nearest the smallest such distance (null without one). Items without an id count as one. Nearness doesn't make a
+    document contaminated.
+    """
+    tokenised = tokens(docs)
+    exact = _counted(exact_matches(tokenised, common.stored(phrases(benchmark, length), "phrases")))
+    near = proximity_matches(tokenised, benchmark, within).groupBy("doc_id").agg(F.count("*").alias("n_near"), F.min("nearest").alias("nearest"))
+    return exact.join(common.stored(near, "near"), "doc_id", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)))

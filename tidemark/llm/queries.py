@@ -59,7 +59,11 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_toxicity, op3_bpe, op4_exact_dedup, op5_substring_dedup, op6_quality, op7_ngram_join, op8_chat, op9_lm, op10_decontam)}
+def op10_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+QUERIES = {f.__name__: f for f in (op1_langid, op2_toxicity, op3_bpe, op4_exact_dedup, op5_substring_dedup, op6_quality, op7_ngram_join, op8_chat, op9_lm, op10_decontam, op10_matches)}
 
 _WORDS5 = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
