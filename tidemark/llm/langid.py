@@ -6,19 +6,20 @@ n-grams that are known, then to shorter ones. A text's score adds up its words'
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 @dataclass
@@ -87,17 +88,22 @@ def fit(docs: DataFrame, *, most_docs: int = 20_000, longest: int = 5) -> Model:
 
 
 class Scorer:
-    """Scores texts in a worker; the scores of raw words are remembered up to a bound."""
+    """Scores batches of texts in a worker: each distinct raw word of a batch once, then sums over texts by array.
+
+    The scores of raw words are remembered until there are ``most`` of them.
+    """
 
     def __init__(self, model: Model, most: int = 200_000):
-        self.model, self.most, self.used = model, most, 0
+        self.model, self.most = model, most
         self.rows: dict[str, int] = {}
-        self.table = np.zeros((most + 1, len(model.langs)), np.float32)
+        self.table = np.zeros((1024, len(model.langs)), np.float32)
+        self.lettered = np.zeros(1024, bool)
 
-    def vector(self, word: str) -> np.ndarray:
-        """Score of a raw word: of its runs of letters, known ones or by n-grams."""
+    def vector(self, word: str) -> tuple[np.ndarray, bool]:
+        """Score of a raw word, of its runs of letters, known ones or by n-grams; and whether it has letters."""
         m, total = self.model, np.zeros(len(self.model.langs), np.float32)
-        for part in _LETTERS.findall(word.lower()):
+        parts = _LETTERS.findall(word.lower())
+        for part in parts:
             if (row := m.words.get(part)) is not None:
                 total += m.scores[row]
                 continue
@@ -107,35 +113,46 @@ class Scorer:
                 if found:
                     total += m.scores[found].mean(0)
                     break
-        return total
-
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        words = (text or "").split()
-        if not words or not any(map(_LETTERS.search, words)):
-            return "und", 0.0
+        return total, bool(parts)
+
+    def rows_of(self, words: list[str]) -> np.ndarray:
+        """Rows of ``table`` for distinct raw words."""
+        if len(self.rows) > self.most:
+            self.rows.clear()
+        need = len(self.rows) + len(words)
+        if need > len(self.table):
+            more = 2 * need - len(self.table)
+            self.table = np.vstack([self.table, np.zeros((more, self.table.shape[1]), np.float32)])
+            self.lettered = np.concatenate([self.lettered, np.zeros(more, bool)])
+        out = np.empty(len(words), np.int64)
+        for i, w in enumerate(words):
+            r = self.rows.get(w)
+            if r is None:
+                r = self.rows[w] = len(self.rows)
+                self.table[r], self.lettered[r] = self.vector(w)
+            out[i] = r
+        return out
+
+    def __call__(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        """Language and its probability for each text."""
+        split = pc.utf8_split_whitespace(texts)
+        sizes = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        code = split.flatten().dictionary_encode()
+        rows, at = self.rows_of(code.dictionary.to_pylist()), code.indices.to_numpy(zero_copy_only=False)
+        has = sizes > 0
+        start = (np.cumsum(sizes) - sizes)[has]
+        letters = np.zeros(len(sizes), bool)
+        total = np.zeros((len(sizes), len(self.model.langs)))
+        if len(at):
+            letters[has] = np.logical_or.reduceat(self.lettered[rows][at], start)
+            for k in range(total.shape[1]):
+                total[has, k] = np.add.reduceat(self.table[rows, k].astype(np.float64)[at], start)
         if not self.model.langs:
-            return "und", 0.0
-        rows = self.rows
-        if self.used + len(words) > self.most:
-            rows.clear()
-            self.used = 0
-        total = np.zeros(len(self.model.langs), np.float64)
-        for a in range(0, len(words), self.most):  # the table holds a part of any text
-            part, at = words[a : a + self.most], []
-            if a:
-                rows.clear()
-                self.used = 0
-            for w in part:
-                r = rows.get(w)
-                if r is None:
-                    r = rows[w] = self.used
-                    self.table[r] = self.vector(w)
-                    self.used += 1
-                at.append(r)
-            total += self.table[at].sum(0, dtype=np.float64)
-        p = np.exp(total - total.max())
-        best = int(np.argmax(p))
-        return self.model.langs[best], float(p[best] / p.sum())
+            return ["und"] * len(sizes), np.zeros(len(sizes))
+        p = np.exp(total - total.max(1, keepdims=True))
+        best = p.argmax(1)
+        names = [self.model.langs[b] if ok else "und" for b, ok in zip(best.tolist(), letters.tolist(), strict=True)]
+        return names, np.where(letters, 1 / p.sum(1), 0.0)  # the best one's p is 1
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -153,14 +170,19 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(shared.value)
         for batch in batches:
-            got = [score(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], ["doc_id", "lang_pred", "score"])
+            names, p = score(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(p)], ["doc_id", "lang_pred", "score"])
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, held_out: Column, **bounds: int) -> DataFrame:
-    """Learn from the rows that are not held out, then predict all: doc_id, held_out, lang_pred, score."""
+    """Learn from the rows that are not held out, then predict all: doc_id, held_out, lang_pred, score.
+
+    In: doc_id, text, lang; other columns are ignored, and lang and doc_id are no inputs of a prediction. A null or
+    letterless text is ``und`` with score 0 and teaches nothing, as does a row without a language. Each row is a row of
+    the result, also of several with one doc_id or text; equal texts have equal results. An empty table gives no rows.
+    """
     model = fit(docs.filter(~held_out).select("doc_id", "text", "lang"), **bounds)
     out = predict(docs, model)
     return out.withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score")
