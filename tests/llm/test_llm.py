@@ -3,7 +3,6 @@
 import functools
 import hashlib
 import json
-import math
 import random
 import re
 from collections import Counter
@@ -12,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, common, components, decontam, exact_dedup, langid, lm, ngram_join, quality, substring_dedup, toxicity
+from tidemark.llm import bpe, chat, common, components, decontam, exact_dedup, langid, ngram_join, quality, substring_dedup, toxicity
 from tidemark.llm.queries import vocabulary
 
 R = random.Random(5)
@@ -148,38 +147,6 @@ def test_bpe_equals_the_library_and_round_trips(spark):
     assert [r["n_tokens"] for r in got] == [0, 0]
 
 
-def test_language_model_equals_brute_force(spark, empty):
-    rows = [(i, " ".join(R.choice("a b c d E f g".split()) for _ in range(R.randint(0, 9)))) for i in range(60)] + [(99, None)]
-    test = [*rows, (200, "a zz b b"), (201, "")]
-    model = lm.fit(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
-    sents = [[*(t or "").lower().split(), None] for _, t in rows]
-    uni, pair = Counter(w for s in sents for w in s), Counter(p for s in sents for p in zip(["<s>", *s[:-1]], s, strict=True))
-    n, v = sum(uni.values()), len(uni)
-    times = lambda c: [sum(x == k for x in c) for k in (1, 2, 3, 4)]
-    before = Counter(b for _, b in pair)
-    d, e = lm.discounts(times(pair.values())), lm.discounts(times(before.values()))
-    low_mass = sum(e[min(x, 3)] for x in before.values()) / len(pair)
-
-    def low(w):
-        return max(before[w] - e[min(before[w], 3)], 0) / len(pair) + low_mass / (v + 1) if w in before else low_mass / (v + 1)
-
-    def p(a, b):
-        follow = {y: c for (x, y), c in pair.items() if x == a}
-        if not follow:
-            return low(b)
-        total = sum(follow.values())
-        return max(follow.get(b, 0) - d[min(follow.get(b, 0), 3)], 0) / total + sum(d[min(c, 3)] for c in follow.values()) / total * low(b)
-
-    assert abs(sum(p("a", w) for w in [*uni, "unknown"]) - 1) < 1e-9
-    got = {r["doc_id"]: r for r in lm.score(spark.createDataFrame(test, "doc_id bigint, text string"), model).collect()}
-    for i, t in test:
-        s = [*(t or "").lower().split(), None]
-        assert got[i]["n_tokens"] == len(s) and got[i]["n_known"] == sum(w in uni for w in s) and got[i]["train_tokens"] == n
-        assert math.isclose(got[i]["base_score"], sum(math.log10((uni[w] + 0.5) / (n + 0.5 * (v + 1))) for w in s), rel_tol=1e-9)
-        assert math.isclose(got[i]["score"], sum(math.log10(p(a, b)) for a, b in zip(["<s>", *s[:-1]], s, strict=True)), rel_tol=1e-9)
-    assert lm.score(empty, lm.fit(empty)).count() == 0
-
-
 def brute_windows(rows, items, n=10):
     low = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     wins = {}

@@ -32,10 +32,12 @@ def ship_code(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a new local one only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a new local one only where that is unset and Spark runs locally."""
     sc = spark.sparkContext
     given = sc.getConf().get("spark.checkpoint.dir", None) or getattr(sc, "_tidemark_dir", None)
     if not given:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         given = "file://" + tempfile.mkdtemp(prefix="spark-")
         sc._tidemark_dir = given
         sc.setCheckpointDir(given)
@@ -54,7 +56,17 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*stored_before: DataFrame) -> None:
+    """Delete what ``stored`` wrote, once nothing reads it any more."""
+    for df in stored_before:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def remainder(col: str | Column, n: int) -> Column:

@@ -1,8 +1,13 @@
-"""Language-model scoring by interpolated modified Kneser-Ney bigrams.
+"""Language-model scoring by interpolated modified Kneser-Ney trigrams.
 
-Counts are made in Spark. Words are numbered by their place in the sorted array of word hashes; a bigram is the
-64-bit number of its two words, stored as sorted arrays of a one-to-one hash of it. Arrays lie in the shared folder, a part for
-each shard, and workers map them into memory: no worker holds the model, and what is read is what is looked up.
+Counts are made in Spark. A word's number is its rank among the words of its shard, times the number of shards, plus the
+shard, so frequent words have small numbers. An n-gram is a 64-bit hash of its words' numbers. The arrays of sorted hashes
+lie in the shared folder, a part for each shard, and workers map them into memory: no worker holds the model, and what is
+read is what is looked up.
+
+A trigram is counted in the shard of its middle word: all trigrams of a context (two words) and all those of an end (two
+words) share it, so that both are added up where the trigrams are. Frequent middle words are dealt out by the first word too,
+very frequent ones by all three words; what was dealt out is added up once more.
 """
 
 from __future__ import annotations
@@ -22,166 +27,282 @@ from . import common
 #: No word has a space in it.
 END = b" end"
 #: Tokens that a task counts before it hands on packed counts.
-FLUSH = 3_000_000
+FLUSH = 2_000_000
+#: Bytes of text for a shard.
+SHARD = 12_000_000
 #: Words in a part of the arrays by number, at least.
 PART = 32_768
 ROW = "kind string, shard int, blob binary"
-CONTEXT = np.dtype([("id", "<u4"), ("n", "<i8"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4")])
-PAIR = np.dtype([("key", "<u8"), ("n", "<i8")])
-_A, _A_INV = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+STATS = ["total", "n1", "n2", "n3"]
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _32 = np.uint64(32)
 
 
 def scramble(key: np.ndarray) -> np.ndarray:
     """A one-to-one hash of 64-bit keys."""
     x = (key ^ (key >> _32)) * _A
-    return (x ^ (x >> _32)) * _A
+    x = (x ^ (x >> _32)) * _B
+    return x ^ (x >> _32)
 
 
-def unscramble(x: np.ndarray) -> np.ndarray:
-    x = x * _A_INV
-    x = (x ^ (x >> _32)) * _A_INV
-    return x ^ (x >> _32)
+def pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Hash of two word numbers."""
+    return scramble((x.astype(np.uint64) << _32) | y)
+
 
+def triple(xy: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Hash of a pair's hash and a word number."""
+    return scramble(xy + (z.astype(np.uint64) + np.uint64(1)) * _A)
 
-def summed(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts ``keys``, and where in it each distinct key begins."""
+    order = np.argsort(keys)
+    k = keys[order]
+    return order, np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, np.int64)
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order and the sums of their counts."""
-    if n is None:
-        return np.unique(keys, return_counts=True)
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    return keys[first], np.add.reduceat(n, first) if len(first) else n
+    order, first = grouped(keys)
+    return keys[order[first]], np.add.reduceat(n[order], first) if len(first) else n
+
+
+def by_small(ids: np.ndarray) -> np.ndarray:
+    """A stable order of small integers."""
+    return np.argsort(ids.astype(np.uint16) if len(ids) and ids.max() < 1 << 16 else ids, kind="stable")
 
 
 def _write(path: str, array: np.ndarray) -> None:
     """Whole or not at all, so that a task that runs twice does no harm."""
+    os.makedirs(os.path.dirname(path), exist_ok=True)
     part = f"{path}.{uuid.uuid4().hex}"
     with open(part, "wb") as f:
         f.write(np.ascontiguousarray(array).tobytes())
     os.replace(part, path)
 
 
-def _map(path: str, kind: str) -> np.ndarray:
-    return np.memmap(path, kind, "r") if os.path.getsize(path) else np.empty(0, kind)
+# --- sorted hash arrays -----------------------------------------------------------------------
+
+
+def _bits(n: int) -> int:
+    """Bits of the hash that choose a bucket of about sixteen keys."""
+    return max(0, (n // 16).bit_length() - 1) if n >= 32 else 0
+
+
+def write_table(path: str, keys: np.ndarray, **columns: np.ndarray) -> None:
+    """Sorted distinct hashes and their columns.
+
+    The first bits choose a bucket, whose first place is stored; of each key the next 32 bits are stored. So a look-up of an
+    absent key finds one with a probability of about 16 / 2^32.
+    """
+    if not len(keys):
+        return
+    bits = _bits(len(keys))
+    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    _write(f"{path}.at", np.searchsorted(bucket, np.arange((1 << bits) + 1)).astype("<u4"))
+    for name, column in columns.items():
+        _write(f"{path}.{name}", column.astype("<u4" if column.max() < 1 << 32 else "<i8"))
+    _write(f"{path}.key", ((keys >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4"))
+
+
+def places(at: np.ndarray, keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Places of hashes in a table, -1 where absent: binary searches in buckets, all side by side."""
+    bits = (len(at) - 1).bit_length() - 1
+    bucket = (asked >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(asked), np.int64)
+    want = ((asked >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")
+    lo, hi = at[bucket].astype(np.int64), at[bucket + 1].astype(np.int64)
+    end, last = hi, len(keys) - 1
+    for _ in range(int((hi - lo).max(initial=0)).bit_length()):
+        mid = (lo + hi) >> 1
+        less = (keys[np.minimum(mid, last)] < want) & (lo < hi)
+        lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+    return np.where((lo < end) & (keys[np.minimum(lo, last)] == want), lo, -1)
+
+
+# --- packed counts between tasks ----------------------------------------------------------------
+
+
+def _planes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(np.ascontiguousarray(x).view("u1").reshape(len(x), -1).T).tobytes()
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of equal lengths, byte by byte, compressed."""
+    raw = b"".join(map(_planes, columns))
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(blobs: list[bytes], *kinds: str) -> list[np.ndarray]:
+    """The columns of several packed rows one after the other."""
+    widths, out = [np.dtype(k).itemsize for k in kinds], [[] for _ in kinds]
+    for blob in blobs:
+        size = int.from_bytes(blob[:8], "little")
+        raw, at = np.frombuffer(pa.decompress(blob[8:], size, codec="zstd"), "u1"), 0
+        n = size // sum(widths)
+        for o, k, w in zip(out, kinds, widths, strict=True):
+            o.append(np.ascontiguousarray(raw[at : at + n * w].reshape(w, n).T).view(k).ravel())
+            at += n * w
+    return [np.concatenate(o) if o else np.empty(0, k) for o, k in zip(out, kinds, strict=True)]
 
 
 def _rows(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["kind", "shard", "blob"])
 
 
-def _packed(kind: str, shard: np.ndarray, *columns: np.ndarray) -> list[tuple[str, int, bytes]]:
-    """A row for each shard; the columns of equal lengths follow one another in it."""
-    order = np.argsort(shard, kind="stable")
+def dealt(kind: str, shard: np.ndarray, *columns: np.ndarray) -> list[tuple[str, int, bytes]]:
+    """A packed row for each shard. Within a shard the order stays."""
+    if not len(shard):
+        return []
+    order = by_small(shard)
     shard, cols = shard[order], [c[order] for c in columns]
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]]) if len(shard) else np.array([0])
-    return [(kind, int(shard[a]), b"".join(c[a:b].tobytes() for c in cols)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])
+    return [(kind, int(shard[a]), pack(*(c[a:b] for c in cols))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def _unpacked(blobs: list[bytes], *kinds: str) -> list[np.ndarray]:
-    width = sum(np.dtype(k).itemsize for k in kinds)
-    out: list[list[np.ndarray]] = [[] for _ in kinds]
-    for blob in blobs:
-        n, at = len(blob) // width, 0
-        for o, k in zip(out, kinds, strict=True):
-            o.append(np.frombuffer(blob, k, n, at))
-            at += n * np.dtype(k).itemsize
-    return [np.concatenate(o) if o else np.empty(0, k) for o, k in zip(out, kinds, strict=True)]
+# --- the model ------------------------------------------------------------------------------------
 
 
 @dataclass
 class Model:
-    """Where the arrays are, and the totals; the arrays are mapped when a worker first reads them."""
+    """Where the arrays are, and the totals; the arrays are mapped when a worker first reads them.
+
+    Shard and table of an n-gram depend on how frequent a word of it is (``level`` 0, 1, 2). What grows with the input here
+    are the words that are frequent for the size of a shard, a few for each shard.
+    """
 
     folder: str
     bits: int
-    starts: np.ndarray  # number of the first word of each shard
-    tokens: int = 0
     words: int = 0
-    span: int = 1  # words in a part of the arrays by number
-    hot: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
-    discount: np.ndarray = field(default_factory=lambda: np.zeros(4))
-    low_discount: np.ndarray = field(default_factory=lambda: np.zeros(4))
+    tokens: int = 0
+    limit: int = 0  # above all word numbers; itself stands for the start of a text
+    span_bits: int = 0  # there are 2^span_bits parts of the arrays by number
+    often: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))  # numbers of levels 1 and 2, in order
+    often_level: np.ndarray = field(default_factory=lambda: np.empty(0, np.int8))
+    often_stats: np.ndarray = field(default_factory=lambda: np.empty((0, 4)))
+    discount: np.ndarray = field(default_factory=lambda: np.zeros((4, 4)))  # by order
     pairs: int = 0
     left_over: float = 1.0
 
     def __post_init__(self) -> None:
-        self._maps: dict[tuple[str, int], np.ndarray] = {}
+        self._maps: dict[str, np.ndarray] = {}
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_maps": {}}
 
-    def part(self, name: str, k: int, kind: str) -> np.ndarray:
-        if (name, k) not in self._maps:
-            self._maps[name, k] = _map(f"{self.folder}/{name}-{k}", kind)
-        return self._maps[name, k]
+    def part(self, name: str, kind: str) -> np.ndarray:
+        if (got := self._maps.get(name)) is None:
+            path = f"{self.folder}/{name}"
+            got = self._maps[name] = np.memmap(path, kind, "r") if os.path.exists(path) else np.empty(0, kind)
+        return got
+
+    def counts(self, name: str, n: int) -> np.ndarray:
+        """An array of ``n`` counts, of four bytes each where they fit."""
+        raw = self.part(name, "u1")
+        return raw.view("<u4" if len(raw) == 4 * n else "<i8")
 
     def numbers(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and training counts of sorted distinct word hashes; number ``words`` + 1 and count 0 if unknown."""
-        number, count = np.full(len(h), self.words + 1, np.uint64), np.zeros(len(h), np.int64)
+        """Numbers and training counts of sorted distinct word hashes; number ``limit`` + 1 and count 0 if unknown."""
+        number, count = np.full(len(h), self.limit + 1, np.uint64), np.zeros(len(h), np.int64)
         shard = (h >> np.uint64(64 - self.bits)).astype(np.int64)
-        for k in np.unique(shard):
+        for k in np.unique(shard).tolist():
             a, b = np.searchsorted(shard, (k, k + 1))
-            keys = self.part("word", k, "<u8")
+            keys = self.part(f"word/{k}.key", "<u8")
             if len(keys):
                 at = np.minimum(np.searchsorted(keys, h[a:b]), len(keys) - 1)
                 ok = keys[at] == h[a:b]
-                number[a:b][ok] = (at[ok] + self.starts[k]).astype(np.uint64)
-                count[a:b][ok] = self.part("word_n", k, "<i8")[at[ok]]
+                rank = self.part(f"word/{k}.rank", "<u4")[at[ok]].astype(np.uint64)
+                number[a:b][ok] = (rank << np.uint64(self.bits)) + np.uint64(k)
+                count[a:b][ok] = self.part(f"word/{k}.n", "<i8")[at[ok]]
         return number, count
 
-    def shard_of(self, key: np.ndarray) -> np.ndarray:
-        """Shard of bigrams: by the first word; those of very frequent first words by both words."""
-        first = key >> _32
-        x = scramble(np.where(np.isin(first, self.hot), key, first))
-        return (x >> np.uint64(64 - self.bits)).astype(np.int32)
-
-    def counts(self, key: np.ndarray) -> np.ndarray:
-        """Training counts of distinct bigrams."""
-        shard, x, out = self.shard_of(key), scramble(key), np.zeros(len(key), np.int64)
-        order = np.lexsort((x, shard))
-        shard, x = shard[order], x[order]
-        for k in np.unique(shard):
-            a, b = np.searchsorted(shard, (k, k + 1))
-            keys = self.part("pair", int(k), "<u8")
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, x[a:b]), len(keys) - 1)
-                out[order[a:b]] = np.where(keys[at] == x[a:b], self.part("pair_n", int(k), "<u4")[at], 0)
+    def level(self, x: np.ndarray) -> np.ndarray:
+        """0, 1 for frequent and 2 for very frequent words and the start of a text."""
+        if not len(self.often):
+            return np.zeros(len(x), np.int8)
+        at = np.minimum(np.searchsorted(self.often, x), len(self.often) - 1)
+        return np.where(self.often[at] == x, self.often_level[at], 0).astype(np.int8)
+
+    def top(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def own(self, x: np.ndarray) -> np.ndarray:
+        """The shard of a word number."""
+        return (x & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+
+    def find(self, family: str, file: np.ndarray, h: np.ndarray, columns: list[str]) -> np.ndarray:
+        """Values of distinct hashes, sorted: those seen once are ones in the first two columns, those unseen zeros."""
+        out = np.zeros((len(h), len(columns)), np.int64)
+        order = by_small(file)
+        sorted_file = file[order]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(sorted_file)) + 1, [len(file)]]) if len(file) else [0]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            k, ask = int(sorted_file[a]), order[a:b]
+            name = f"{family}/{k}" if k < 1 << self.bits else f"{family}/dealt-{k - (1 << self.bits)}"
+            for table in ("more", "once"):
+                keys = self.part(f"{name}.{table}.key", "<u4")
+                if not len(keys) or not len(ask):
+                    continue
+                at = places(self.part(f"{name}.{table}.at", "<u4"), keys, h[ask])
+                ok = at >= 0
+                if table == "once":
+                    out[ask[ok], :2] = 1
+                else:
+                    for i, c in enumerate(columns):
+                        out[ask[ok], i] = self.counts(f"{name}.{table}.{c}", len(keys))[at[ok]]
+                    ask = ask[~ok]
         return out
 
-    def by_number(self, name: str, ids: np.ndarray, kind: str) -> np.ndarray:
-        """Values of sorted word numbers."""
-        out = np.empty(len(ids), kind)
-        part = (ids // np.uint64(self.span)).astype(np.int64)
-        for k in np.unique(part):
-            a, b = np.searchsorted(part, (k, k + 1))
-            out[a:b] = self.part(name, int(k), kind)[(ids[a:b] - np.uint64(k * self.span)).astype(np.int64)]
-        return out
+    def contexts(self, y: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """total, n1, n2, n3 of pairs as the context of a third word."""
+        level, top = self.level(y), self.top(h)
+        return self.find("context", np.where(level == 0, self.own(y), np.where(level == 1, top, top + (1 << self.bits))), h, STATS)
+
+    def ends(self, x: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """After how many different words a pair stands (after the start of a text: how often)."""
+        return self.find("end", np.where(self.level(x) == 0, self.own(x), self.top(h) + (1 << self.bits)), h, ["n"])[:, 0]
+
+    def trigrams(self, y: np.ndarray, xy: np.ndarray, xyz: np.ndarray) -> np.ndarray:
+        """Training counts of trigrams, by the middle word, the hash of the first two and that of all."""
+        level = self.level(y)
+        return self.find("trigram", np.where(level == 0, self.own(y), np.where(level == 1, self.top(xy), self.top(xyz))), xyz, ["n"])[:, 0]
+
+    def by_part(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Part of the arrays by number, and place in it."""
+        return (ids & np.uint64((1 << self.span_bits) - 1)).astype(np.int64), (ids >> np.uint64(self.span_bits)).astype(np.int64)
 
     def low(self, ids: np.ndarray) -> np.ndarray:
         """Probability of words by how many different words they follow, and evenly for what is left over."""
         out = np.full(len(ids), self.left_over / (self.words + 1))
-        known = ids < self.words
-        if self.pairs and known.any():
-            u, at = np.unique(ids[known], return_inverse=True)
-            n = self.by_number("before", u, "<u4").astype(np.int64)
-            out[known] += (np.maximum(n - self.low_discount[np.minimum(n, 3)], 0) / self.pairs)[at]
+        known = np.flatnonzero(ids < self.limit)
+        if self.pairs and len(known):
+            part, at = self.by_part(ids[known])
+            d = self.discount[1]
+            for k in np.unique(part).tolist():
+                here = part == k
+                n = self.part(f"before/{k}", "<u4")[at[here]].astype(np.int64)
+                out[known[here]] += np.maximum(n - d[np.minimum(n, 3)], 0) / self.pairs
         return out
 
-    def probability(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """P(second | first) of word numbers; ``words`` is the start of a text, as a first word only."""
-        p = self.low(second)
-        known = first <= self.words
-        if known.any():
-            u, at = np.unique(first[known], return_inverse=True)
-            total, back = self.by_number("total", u, "<i8")[at], self.by_number("back", u, "<f8")[at]
-            seen = total > 0
-            inner = np.flatnonzero(known)[seen]
-            total, back = total[seen], back[seen]
-            key, at = np.unique((first[inner] << _32) | np.where(second[inner] < self.words, second[inner], 0), return_inverse=True)
-            n = np.where(second[inner] < self.words, self.counts(key)[at], 0)
-            p[inner] = np.maximum(n - self.discount[np.minimum(n, 3)], 0) / total + back * p[inner]
-        return p
+    def single_contexts(self, ids: np.ndarray) -> np.ndarray:
+        """total, n1, n2, n3 of words as the context of a second word."""
+        out = np.zeros((len(ids), 4))
+        level = self.level(ids)
+        if len(self.often):
+            out[level > 0] = self.often_stats[np.searchsorted(self.often, ids[level > 0])]
+        rest = np.flatnonzero((level == 0) & (ids < self.limit))
+        shard = self.own(ids[rest])
+        for k in np.unique(shard).tolist():
+            here = rest[shard == k]
+            got = self.part(f"single/{k}", "<u4").reshape(-1, 4)
+            if len(got):
+                out[here] = got[(ids[here] >> np.uint64(self.bits)).astype(np.int64)]
+        return out
+
+    def back(self, stats: np.ndarray, order: int) -> np.ndarray:
+        """What the discounts of a context's n-grams leave to the next lower order."""
+        total = stats[:, 0].astype(float)
+        return np.divide(stats[:, 1:4] @ self.discount[order][1:], total, out=np.ones(len(stats)), where=total > 0)
 
 
 def tokenised(raw: bytes | None) -> list[bytes]:
@@ -197,153 +318,255 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return np.array([0.0, *(min(max(d, 0.05 * k), 0.95 * k) for k, d in zip((1, 2, 3), raw, strict=True))])
 
 
+def times(n: np.ndarray) -> np.ndarray:
+    """How many counts are 1, 2, 3 and 4."""
+    return np.bincount(np.minimum(n, 5), minlength=6)[1:5].astype(np.int64)
+
+
+def spread(n: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of runs of counts: total, and how many are 1, 2 and 3 or more."""
+    if not len(first):
+        return np.zeros((0, 4), np.int64)
+    return np.column_stack([np.add.reduceat(x.astype(np.int64), first) for x in (n, n == 1, n == 2, n > 2)])
+
+
 def fit(docs: DataFrame) -> Model:
     """Count (doc_id, text) and lay the arrays down. A null text counts as an empty one; no rows give an even model."""
     spark = docs.sparkSession
     common.ship_code(spark)
     common.quiet_arrow(spark)
     folder = common.posix(common.new_path(spark, "lm"))
-    bits = max(1, (common.shards(spark, docs.count(), 6000) - 1).bit_length())
-    model = Model(folder, bits, np.zeros(1 << bits, np.int64))
     texts = docs.select("text")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(1, (max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD)) - 1).bit_length())
+    model = Model(folder, bits)
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, parts, held = common.HashCache(), [], 0
+
+        def out() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(parts), return_counts=True)
+            return _rows(dealt("word", (keys >> np.uint64(64 - bits)).astype(np.int64), keys, n.astype("<u4")))
+
         for batch in batches:
             for raw in common.as_bytes(batch.column(0)):
                 parts.append(common.hashes(tokenised(raw), cache))
                 held += len(parts[-1])
             if held > FLUSH:
-                keys, n = summed(np.concatenate(parts))
-                yield _rows(_packed("word", (keys >> np.uint64(64 - bits)).astype(np.int32), keys, n))
+                yield out()
                 parts, held = [], 0
         if parts:
-            keys, n = summed(np.concatenate(parts))
-            yield _rows(_packed("word", (keys >> np.uint64(64 - bits)).astype(np.int32), keys, n))
+            yield out()
 
     def merge_words(group: pa.Table) -> pa.Table:
-        keys, n = summed(*_unpacked(group.column("blob").to_pylist(), "<u8", "<i8"))
-        k = group.column("shard")[0].as_py()
-        os.makedirs(folder, exist_ok=True)
-        _write(f"{folder}/word-{k}", keys)
-        _write(f"{folder}/word_n-{k}", n)
-        top = np.sort(n)[-64:]  # for the bound on very frequent words only
-        return pa.table({"shard": pa.array([k], pa.int32()), "words": [len(keys)], "tokens": [int(n.sum())], "top": [top.tolist()], "places": [np.argsort(n, kind="stable")[-64:].tolist()]})
-
-    found = texts.mapInArrow(count_words, ROW).groupBy("shard").applyInArrow(merge_words, "shard int, words bigint, tokens bigint, top array<bigint>, places array<bigint>")
-    found = common.stored(found, "words").orderBy("shard").collect()  # a row for each shard
-    sizes = np.zeros((1 << bits) + 1, np.int64)
-    for r in found:
-        sizes[r["shard"] + 1] = r["words"]
-    model.starts = np.cumsum(sizes)[:-1]
-    model.words, model.tokens = int(sizes.sum()), sum(r["tokens"] for r in found)
-    if model.words >= 1 << 32:
-        raise ValueError("more than 2^32 distinct words")
-    os.makedirs(folder, exist_ok=True)
-    have = {r["shard"] for r in found}
-    for k in set(range(1 << bits)) - have:
-        _write(f"{folder}/word-{k}", np.empty(0, "<u8"))
-        _write(f"{folder}/word_n-{k}", np.empty(0, "<i8"))
-    # First words with more bigrams than a share of a shard are dealt out by both words.
-    heavy = model.tokens / (4 << bits)
-    model.hot = np.array([*(model.starts[r["shard"]] + p for r in found for n, p in zip(r["top"], r["places"], strict=True) if n > heavy), model.words], np.uint64)
-    # Parts by number are large, so that a shard's counts go to few of them.
-    model.span = max(PART, -(-(model.words + 1) >> bits))
-    _count_pairs(texts, model)
+        keys, n = unpack(group.column("blob").to_pylist(), "<u8", "<u4")
+        keys, n = summed(keys, n.astype(np.int64))
+        k, order = group.column("shard")[0].as_py(), np.argsort(-n, kind="stable")
+        rank = np.empty(len(n), "<u4")
+        rank[order] = np.arange(len(n))
+        for name, column in (("rank", rank), ("n", n), ("key", keys)):
+            _write(f"{folder}/word/{k}.{name}", column)
+        top = n[order[:64]].tolist()  # in order of rank, to find the words that are frequent for a shard
+        return pa.table({"shard": pa.array([k], pa.int32()), "words": [len(keys)], "tokens": [int(n.sum())], "top": [top]})
+
+    found = texts.mapInArrow(count_words, ROW).groupBy("shard").applyInArrow(merge_words, "shard int, words bigint, tokens bigint, top array<bigint>")
+    found = found.collect()  # a row for each shard
+    model.words, model.tokens = sum(r["words"] for r in found), sum(r["tokens"] for r in found)
+    model.limit = max((r["words"] for r in found), default=0) << bits
+    if model.limit >= 1 << 32:
+        raise ValueError("more than 2^32 word numbers")
+    share = model.tokens / (1 << bits)
+    often = {model.limit: 2} | {(i << bits) + r["shard"]: 1 + (n > 4 * share) for r in found for i, n in enumerate(r["top"]) if n > share / 4}
+    model.often = np.array(sorted(often), np.uint64)
+    model.often_level = np.array([often[x] for x in sorted(often)], np.int8)
+    model.often_stats = np.zeros((len(often), 4))
+    model.span_bits = max(0, min(bits, (model.limit // PART).bit_length() - 1))
+    _count(texts, model)
     return model
 
 
 def numbered(raws: list[bytes | None], model: Model, cache: common.HashCache) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts one after the other: word before, word, its training count, and where each text begins."""
+    """Of texts one after the other: the distinct words' numbers and training counts, which each token is, and where texts begin."""
     lists = [common.hashes(tokenised(r), cache) for r in raws]
     begin = np.concatenate([[0], np.cumsum([len(x) for x in lists])[:-1]]).astype(np.int64)
     u, at = np.unique(np.concatenate(lists), return_inverse=True)
-    number, count = model.numbers(u)
-    word = number[at]
-    before = np.empty_like(word)
-    before[1:] = word[:-1]
-    before[begin] = model.words
-    return before, word, count[at], begin
+    return *model.numbers(u), at, begin
 
 
-def _count_pairs(texts: DataFrame, model: Model) -> None:
-    """Second pass: bigram arrays, then by first word what the discounts leave, and by second word how many it follows."""
+def _count(texts: DataFrame, model: Model) -> None:
+    """Second pass: trigrams, then what was dealt out of contexts and ends, then by word how many different words it follows."""
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    bits, span, folder = model.bits, model.span, model.folder
+    bits, folder, start = model.bits, model.folder, np.uint64(model.limit)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, cache, parts, held = shared.value, common.HashCache(), [], 0
 
         def out() -> pa.RecordBatch:
-            keys, n = summed(np.concatenate(parts))
-            return _rows(_packed("pair", m.shard_of(keys), keys, n.astype("<u4")))
+            a, b, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+            xy = pair(a, b)
+            xyz = triple(xy, c)
+            order, first = grouped(xyz)
+            n, pick = np.diff(np.append(first, len(order))).astype("<u4"), order[first]
+            a, b, c, xy, xyz = a[pick], b[pick], c[pick], xy[pick], xyz[pick]
+            level = m.level(b)
+            shard = np.where(level == 0, m.own(b), np.where(level == 1, m.top(xy), m.top(xyz)))
+            order = np.argsort((b.astype(np.uint64) << _32) | a)
+            return _rows(dealt("trigram", shard[order], b[order], a[order], c[order], n[order]))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            before, word, _, _ = numbered(common.as_bytes(batch.column(0)), m, cache)
-            parts.append((before << _32) | word)
-            held += len(word)
+            number, _, at, begin = numbered(common.as_bytes(batch.column(0)), m, cache)
+            c = number[at]
+            b, a = np.empty_like(c), np.empty_like(c)
+            b[1:] = c[:-1]
+            b[begin] = start
+            a[1:] = b[:-1]
+            a[begin] = start
+            parts.append([x.astype("<u4") for x in (a, b, c)])
+            held += len(c)
             if held > FLUSH:
                 yield out()
                 parts, held = [], 0
         if parts:
             yield out()
 
+    def write(family: str, k: int | str, keys: np.ndarray, **columns: np.ndarray) -> None:
+        """Sorted hashes that were seen once, and the others with their columns."""
+        values = list(columns.values())
+        once = values[0] == 1
+        write_table(f"{folder}/{family}/{k}.once", keys[once])
+        write_table(f"{folder}/{family}/{k}.more", keys[~once], **{name: v[~once] for name, v in columns.items()})
+
+    def write_contexts(k: int | str, keys: np.ndarray, stats: np.ndarray) -> None:
+        write("context", k, keys, total=stats[:, 0], **{s: stats[:, i + 1] for i, s in enumerate(STATS[1:])})
+
+    def ends_out(m: Model, b: np.ndarray, c: np.ndarray, n: np.ndarray) -> list[tuple[str, int, bytes]]:
+        """Rows of complete ends: how many there are of each count, and the words that they have as second ones."""
+        second, follows = np.unique(c, return_counts=True)
+        return [("times", 2, pack(times(n))), *dealt("before", m.by_part(second)[0], second.astype("<u4"), follows.astype("<u4"))]
+
     def merge(group: pa.Table) -> pa.Table:
-        keys, n = summed(*_unpacked(group.column("blob").to_pylist(), "<u8", "<u4"))
-        k = group.column("shard")[0].as_py()
-        n = n.astype(np.int64)
-        x = scramble(keys)
-        order = np.argsort(x)
-        _write(f"{folder}/pair-{k}", x[order])
-        _write(f"{folder}/pair_n-{k}", n[order].astype("<u4"))
-        first, start = np.unique(keys >> _32, return_index=True)
-        c = np.empty(len(first), CONTEXT)
-        c["id"], c["n"] = first, np.add.reduceat(n, start)
-        for name, is_it in (("n1", n == 1), ("n2", n == 2), ("n3", n > 2)):
-            c[name] = np.add.reduceat(is_it.astype(np.int64), start)
-        second, follows = np.unique((keys & np.uint64(0xFFFFFFFF)).astype("<u4"), return_counts=True)
-        times = np.array([(n == t).sum() for t in (1, 2, 3, 4)], np.int64)
-        rows = [("times", -1, times.tobytes())]
-        rows += _packed("context", (c["id"] // span).astype(np.int32), c)
-        rows += _packed("before", (second // span).astype(np.int32), second, follows.astype("<u4"))
+        m, k = shared.value, group.column("shard")[0].as_py()
+        b, a, c, n = unpack(group.column("blob").to_pylist(), *["<u4"] * 4)
+        b, a, c, n = b.astype(np.uint64), a.astype(np.uint64), c.astype(np.uint64), n.astype(np.int64)
+        xy = pair(a, b)
+        xyz = triple(xy, c)
+        order, first = grouped(xyz)
+        n, pick = np.add.reduceat(n[order], first), order[first]
+        a, b, c, xy, xyz = a[pick], b[pick], c[pick], xy[pick], xyz[pick]
+        level, begins = m.level(b), b == start
+        whole = ~begins  # a first word of a text has a context of one word only
+        write("trigram", k, xyz[whole], n=n[whole])
+        rows = [("times", 3, pack(times(n[whole])))]
+        # Contexts: complete here unless the middle word is very frequent.
+        order, first = grouped(xy[whole])
+        stats, keys, very = spread(n[whole][order], first), xy[whole][order[first]], level[whole][order[first]] == 2
+        write_contexts(k, keys[~very], stats[~very])
+        rows += dealt("context", m.top(keys[very]), keys[very], *stats[very].T.astype("<i8"))
+        # Ends: complete here unless the middle word is frequent.
+        yz = pair(b, c)
+        order, first = grouped(yz)
+        if len(first):
+            n_end = np.add.reduceat(np.where(begins, n, 1)[order], first)
+            yz, b, c = (x[order[first]] for x in (yz, b, c))
+            here = m.level(b) == 0
+            write("end", k, yz[here], n=n_end[here])
+            rows += ends_out(m, b[here], c[here], n_end[here])
+            o, f = grouped(b[here])
+            single = np.zeros((m.limit >> bits, 4), "<u4")
+            single[(b[here][o[f]] >> np.uint64(bits)).astype(np.int64)] = spread(n_end[here][o], f)
+            _write(f"{folder}/single/{k}", single)
+            rows += dealt("end", m.top(yz[~here]), yz[~here], b[~here].astype("<u4"), c[~here].astype("<u4"), n_end[~here].astype("<i8"))
         return pa.Table.from_batches([_rows(rows)])
 
-    made = common.stored(texts.mapInArrow(count, ROW).groupBy("shard").applyInArrow(merge, ROW), "pairs")
-    times = [np.frombuffer(r["blob"], "<i8") for r in made.filter("kind = 'times'").select("blob").collect()]  # a row for each shard
-    model.discount = d = discounts(np.sum(times, axis=0) if times else np.zeros(4))
+    def merge_dealt(group: pa.Table) -> pa.Table:
+        m, k, blobs = shared.value, group.column("shard")[0].as_py(), group.column("blob").to_pylist()
+        if group.column("kind")[0].as_py() == "context":
+            keys, *stats = unpack(blobs, "<u8", *["<i8"] * 4)
+            order, first = grouped(keys)
+            # Shards have few very frequent words, so these tables lie beside those of complete contexts.
+            write_contexts(f"dealt-{k}", keys[order[first]], np.column_stack([np.add.reduceat(s[order], first) for s in stats]))
+            return pa.Table.from_batches([_rows([])])
+        yz, b, c, n = unpack(blobs, "<u8", "<u4", "<u4", "<i8")
+        order, first = grouped(yz)
+        n, yz, b, c = np.add.reduceat(n[order], first), yz[order[first]], b[order[first]].astype(np.uint64), c[order[first]].astype(np.uint64)
+        write("end", f"dealt-{k}", yz, n=n)
+        o, f = grouped(b)
+        rows = [("single", 0, pack(b[o[f]], *spread(n[o], f).T.astype("<i8"))), *ends_out(m, b, c, n)]
+        return pa.Table.from_batches([_rows(rows)])
 
     def by_number(group: pa.Table) -> pa.Table:
-        kinds, blobs = group.column("kind").to_pylist(), group.column("blob").to_pylist()
-        k, n = group.column("shard")[0].as_py(), span
-        total, back, before = np.zeros(n, "<i8"), np.zeros(n), np.zeros(n, "<u4")
-        for kind, blob in zip(kinds, blobs, strict=True):
-            if kind == "context":
-                c = np.frombuffer(blob, CONTEXT)
-                at = c["id"].astype(np.int64) - k * span
-                total[at] += c["n"]
-                back[at] += d[1] * c["n1"] + d[2] * c["n2"] + d[3] * c["n3"]
-            else:
-                ids, follows = _unpacked([blob], "<u4", "<u4")
-                before[ids.astype(np.int64) - k * span] += follows
-        _write(f"{folder}/total-{k}", total)
-        _write(f"{folder}/back-{k}", np.divide(back, total, out=np.ones(n), where=total > 0))
-        _write(f"{folder}/before-{k}", before)
-        return pa.table({"pairs": [int(before.sum())], "times": [[int((before == t).sum()) for t in (1, 2, 3, 4)]], "more": [int((before > 2).sum())], "shard": pa.array([k], pa.int32())})
-
-    parts = made.filter("kind != 'times'").groupBy("shard").applyInArrow(by_number, "pairs bigint, times array<bigint>, more bigint, shard int")
-    parts = common.stored(parts, "numbers").collect()  # a row for each shard
-    for k in set(range(-(-(model.words + 1) // span))) - {r["shard"] for r in parts}:
-        _write(f"{folder}/total-{k}", np.zeros(span, "<i8"))
-        _write(f"{folder}/back-{k}", np.ones(span))
-        _write(f"{folder}/before-{k}", np.zeros(span, "<u4"))
+        m, k = shared.value, group.column("shard")[0].as_py()
+        ids, follows = unpack(group.column("blob").to_pylist(), "<u4", "<u4")
+        before = np.zeros((m.limit >> m.span_bits) + 1, np.int64)
+        np.add.at(before, m.by_part(ids)[1], follows.astype(np.int64))
+        _write(f"{folder}/before/{k}", before.astype("<u4"))
+        n = before[before > 0]
+        return pa.table({"pairs": [int(n.sum())], "times": [times(n).tolist()], "more": [int((n > 2).sum())]})
+
+    made = common.stored(texts.mapInArrow(count, ROW).groupBy("shard").applyInArrow(merge, ROW), "trigrams")
+    again = common.stored(made.filter("kind in ('context', 'end')").groupBy("kind", "shard").applyInArrow(merge_dealt, ROW), "dealt")
+    both = made.select("kind", "shard", "blob").union(again)
+    # A row or two for each shard.
+    for r in both.filter("kind in ('times', 'single')").groupBy("kind", "shard").agg(F.collect_list("blob").alias("blobs")).collect():
+        if r["kind"] == "times":
+            (got,) = unpack(list(map(bytes, r["blobs"])), "<i8")
+            model.discount[r["shard"]] = discounts(got.reshape(-1, 4).sum(0))
+        else:
+            b, *stats = unpack(list(map(bytes, r["blobs"])), "<u8", *["<i8"] * 4)
+            np.add.at(model.often_stats, np.searchsorted(model.often, b), np.column_stack(stats))
+    parts = both.filter("kind = 'before'").groupBy("shard").applyInArrow(by_number, "pairs bigint, times array<bigint>, more bigint").collect()  # a row for each part
     model.pairs = sum(r["pairs"] for r in parts)
-    times = np.sum([r["times"] for r in parts], axis=0) if parts else np.zeros(4)
-    model.low_discount = e = discounts(times)
+    n = np.sum([r["times"] for r in parts], axis=0) if parts else np.zeros(4)
+    model.discount[1] = e = discounts(n)
     if model.pairs:
-        model.left_over = float((e[1] * times[0] + e[2] * times[1] + e[3] * sum(r["more"] for r in parts)) / model.pairs)
+        model.left_over = float((e[1] * n[0] + e[2] * n[1] + e[3] * sum(r["more"] for r in parts)) / model.pairs)
+    common.discard(made, again)
+
+
+def log10s(model: Model, raws: list[bytes | None], cache: common.HashCache) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the tokens of texts one after the other: log10 of P(token | two before), of its smoothed frequency, training count; and
+    where texts begin."""
+    number, count, at, begin = numbered(raws, model, cache)
+    start = len(number)  # the place of the start of a text among the distinct words
+    number = np.append(number, np.uint64(model.limit))
+    low, single = model.low(number), model.single_contexts(number)
+    back = model.back(single, 2)
+    before = np.empty_like(at)
+    before[1:] = at[:-1]
+    before[begin] = start
+    # Distinct pairs, each as the end of a trigram and as the context of the next.
+    h = pair(number[before], number[at])
+    order, first = grouped(h)
+    which = np.empty(len(h), np.int64)
+    which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+    pick = order[first]
+    w, b, key = at[pick], before[pick], h[pick]
+    n, context = model.ends(number[b], key), model.contexts(number[w], key)
+    total, d = single[b, 0], model.discount[2]
+    p2 = np.divide(np.maximum(n - d[np.minimum(n, 3)], 0), total, out=np.zeros(len(n)), where=total > 0) + back[b] * low[w]
+    p = p2[which]
+    # Trigrams, where the context is known; where the end isn't, the trigram isn't either.
+    inner = np.ones(len(at), bool)
+    inner[begin] = False
+    inner = np.flatnonzero(inner)
+    c, e = which[inner - 1], which[inner]
+    known = context[c, 0] > 0
+    inner, c, e = inner[known], c[known], e[known]
+    n3, look = np.zeros(len(inner), np.int64), np.flatnonzero(n[e] > 0)
+    if len(look):
+        xy = key[c[look]]
+        xyz = triple(xy, number[at[inner[look]]])
+        order, first = grouped(xyz)
+        pick = order[first]
+        got = model.trigrams(number[before[inner[look[pick]]]], xy[pick], xyz[pick])
+        n3[look[order]] = np.repeat(got, np.diff(np.append(first, len(order))))
+    d = model.discount[3]
+    p[inner] = np.maximum(n3 - d[np.minimum(n3, 3)], 0) / context[c, 0] + model.back(context, 3)[c] * p2[e]
+    base = np.log10((count + 0.5) / (model.tokens + 0.5 * (model.words + 1)))
+    return np.log10(p), base[at], count[at], begin
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -362,10 +585,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            before, word, count, begin = numbered(common.as_bytes(batch.column(1)), m, cache)
-            base = np.log10((count + 0.5) / (m.tokens + 0.5 * (m.words + 1)))
-            full = np.log10(m.probability(before, word))
-            sizes = np.diff(np.append(begin, len(word)))
+            full, base, count, begin = log10s(m, common.as_bytes(batch.column(1)), cache)
+            sizes = np.diff(np.append(begin, len(full)))
             known = np.add.reduceat((count > 0).astype(np.int64), begin)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes), pa.array(known), pa.array(np.add.reduceat(base, begin)), pa.array(np.add.reduceat(full, begin))], ["doc_id", "n_tokens", "n_known", "base_score", "score"]
@@ -376,6 +597,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def language_model(docs: DataFrame, held_out: Column) -> DataFrame:
-    """Learn from the rows that are not held out, score all, and say which were held out."""
+    """Learn from the rows that are not held out, score all, and say which were held out.
+
+    In: doc_id, text; other columns are ignored. A null text is an empty one. Each row is counted and is a row of the
+    result, also of several with one doc_id or text; equal texts have equal scores. An empty table gives no rows.
+    """
     model = fit(docs.filter(~held_out).select("doc_id", "text"))
     return score(docs, model).withColumn("held_out", held_out)
