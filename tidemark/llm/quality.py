@@ -21,6 +21,8 @@ from . import common
 from .toxicity import _logistic
 
 _LINES = re.compile(r"[\n\r\x0b\x0c]+")
+#: Characters that stand three times in a row or more.
+_RUNS = re.compile(r"(.)\1{2,}")
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 _DIGITS, _MARKS, _COMMON = b"0123456789", bytes(x for x in range(33, 127) if not chr(x).isalnum() and chr(x) not in ".,'\"-"), b".,'\"-"
 OWN = 12
@@ -50,7 +52,7 @@ def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
             min((n - k) / k, 20) / 10,
             min(k, 40) / 40,
             times[line] > 1,
-            min(sum(map(len, re.findall(r"(.)\1{2,}", line))) / n * 2, 1),
+            min(sum(len(m.group().encode()) for m in _RUNS.finditer(line)) / n * 2, 1),
             1.0,
         )
         sizes[i] = n
@@ -98,20 +100,22 @@ def marginals(unary: np.ndarray, move: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
-def _fit_chain(xs: list[np.ndarray], ys: list[np.ndarray], rounds: int = 120, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Maximum conditional likelihood by Adam; documents of a batch advance line by line together."""
-    xs, ys = zip(*sorted(zip(xs, ys, strict=True), key=lambda p: -len(p[0])), strict=True)
-    sizes = np.array([len(x) for x in xs])
-    start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    flat, y = np.concatenate(xs), np.concatenate(ys)
-    alive = [int((sizes > t).sum()) for t in range(sizes[0])]
-    w, move, n = np.zeros(flat.shape[1]), np.zeros((2, 2)), len(flat)
-    observed = flat.T @ y
-    pairs = np.zeros((2, 2))
-    for yy in ys:
-        np.add.at(pairs, (yy[:-1].astype(int), yy[1:].astype(int)), 1)
-    m = v = np.zeros(len(w) + 4)
-    for step in range(1, rounds + 1):
+class Chains:
+    """Labelled chains of lines, and the gradient of their negative log likelihood; all chains advance line by line together."""
+
+    def __init__(self, xs: list[np.ndarray], ys: list[np.ndarray]):
+        xs, ys = zip(*sorted(zip(xs, ys, strict=True), key=lambda p: -len(p[0])), strict=True)
+        sizes = np.array([len(x) for x in xs])
+        self.start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        self.flat, y = np.concatenate(xs), np.concatenate(ys)
+        self.alive = [int((sizes > t).sum()) for t in range(sizes[0])]
+        self.observed, self.pairs = self.flat.T @ y, np.zeros((2, 2))
+        for yy in ys:
+            np.add.at(self.pairs, (yy[:-1].astype(int), yy[1:].astype(int)), 1)
+
+    def gradient(self, w: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By the weights and by the transition scores, for a line."""
+        flat, start, alive, n = self.flat, self.start, self.alive, len(self.flat)
         e = np.exp(np.clip(flat @ w, -30, 30))
         t_move, fwd, bwd = np.exp(move), np.empty((n, 2)), np.empty((n, 2))
         for t, k in enumerate(alive):
@@ -133,7 +137,17 @@ def _fit_chain(xs: list[np.ndarray], ys: list[np.ndarray], rounds: int = 120, ri
             bwd[at] = b / b.sum(1, keepdims=True)
         post = fwd * bwd
         p = post[:, 1] / post.sum(1)
-        g = np.concatenate([(flat.T @ p - observed) / n + ridge * w, ((expected - pairs) / n + ridge * move).ravel()])
+        return (flat.T @ p - self.observed) / n, (expected - self.pairs) / n
+
+
+def _fit_chain(xs: list[np.ndarray], ys: list[np.ndarray], rounds: int = 120, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Maximum conditional likelihood by Adam."""
+    chains = Chains(xs, ys)
+    w, move = np.zeros(chains.flat.shape[1]), np.zeros((2, 2))
+    m = v = np.zeros(len(w) + 4)
+    for step in range(1, rounds + 1):
+        by_w, by_move = chains.gradient(w, move)
+        g = np.concatenate([by_w + ridge * w, (by_move + ridge * move).ravel()])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         d = 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, move = w - d[:-4], move - d[-4:].reshape(2, 2)
@@ -147,19 +161,25 @@ def _document(bad: np.ndarray, sizes: np.ndarray) -> tuple[float, float, float]:
     return float(bad @ sizes / sizes.sum()), float(bad.max()), float(np.log1p(sizes.sum()) / 10)
 
 
-def fit(texts: DataFrame, most_lines: int = 400) -> Model:
-    """Learn from (text, label); documents of more than ``most_lines`` lines take no part in learning.
+def fit(texts: DataFrame, most_lines: int = 400_000, chain: int = 400) -> Model:
+    """Learn from (doc_id, text, label), on the driver, from whole documents of about ``most_lines`` lines together.
 
-    Without both labels a document's score is its share of good lines under zero weights.
+    Where the rows have more lines, a sample of rows by a hash of their text is taken, of long documents as of short
+    ones. A document of more than ``chain`` lines is learned as several chains; all of its lines count. Without both
+    labels a document's score is its share of good lines under zero weights.
     """
     common.ship_code(texts.sparkSession)
+    lines = F.size(F.split(F.coalesce("text", F.lit("")), r"[\n\r\x0b\x0c]+"))
+    n = texts.agg(F.sum(lines)).first()[0] or 0
+    if n > most_lines:
+        texts = texts.filter(F.pmod(F.xxhash64(F.lit(23), "text"), F.lit(1_000_000)) < int(1e6 * most_lines / n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ys, xs, ns = [], [], []
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 x, n = line_features(text)
-                if 0 < len(x) <= most_lines:
+                if len(x):
                     ys.append(y)
                     xs.append(x.astype("<f4").tobytes())
                     ns.append(n.astype("<f4").tobytes())
@@ -172,12 +192,13 @@ def fit(texts: DataFrame, most_lines: int = 400) -> Model:
     ns = [np.frombuffer(x, "<f4").astype(float) for x in rows["n"]]
     label = rows["label"].to_numpy()
     ys = [np.full(len(x), 1.0 - y) for x, y in zip(xs, label, strict=True)]
+    cut = lambda parts: [x[i : i + chain] for x in parts for i in range(0, len(x), chain)]
     for again in (False, True):
         if again:
             for i in np.flatnonzero(label == 0):
                 p = marginals(xs[i] @ w, move)  # noqa: F821
                 ys[i] = ((p >= min(0.4, p.max())) | (p == p.max())).astype(float)
-        w, move = _fit_chain(xs, ys)
+        w, move = _fit_chain(cut(xs), cut(ys))
     docs = np.array([_document(marginals(x @ w, move), n) for x, n in zip(xs, ns, strict=True)])
     return Model(w, move, _logistic(docs, label.astype(float)))
 
@@ -208,8 +229,14 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     return out.select("doc_id", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), "bad_share")
 
 
-def quality(docs: DataFrame, labels: DataFrame, held_out: Column, *, most_labelled: int = 6_000) -> DataFrame:
-    """Learn from about ``most_labelled`` labelled rows that are not held out, then score all documents."""
-    model = fit(common.labelled(docs, labels, "quality", held_out, most_labelled))
+def quality(docs: DataFrame, labels: DataFrame, held_out: Column, *, most_labelled: int = 6_000, most_lines: int = 400_000) -> DataFrame:
+    """Learn from labelled rows that are not held out, then score all: doc_id, held_out, score, predicted, bad_share.
+
+    In: docs (doc_id, text), labels (doc_id, quality); other columns are ignored. What is learned from is bounded by
+    ``most_labelled`` rows and by ``most_lines`` lines, about; labels without a doc_id or quality are left out, of several
+    for one doc_id the highest counts. A null text, and one without words, counts as all bad. Each row of docs is a row
+    of the result, also of several with one doc_id; equal texts have equal scores. An empty table gives no rows.
+    """
+    model = fit(common.labelled(docs, labels, "quality", held_out, most_labelled), most_lines)
     out = score(docs, model)
     return out.withColumn("held_out", held_out).select("doc_id", "held_out", "score", "predicted", "bad_share")
