@@ -1,9 +1,11 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become classes: insult and threat words, targets, negations, reported speech. Five small transducers each follow one
-of these through a clause; their product is one machine that puts a weight on each matched insult or threat, lower
-when negated or reported, higher when aimed at someone. Clauses, not single words, are scored. The insult words (and word
-beginnings) with their weights are learned from labelled texts; the grammar is fixed.
+Words become classes: insult and threat words, targets, negations, reported speech; a word can be an insult and a cue at
+once. Five small transducers each follow one pattern through a clause; their product is one machine that puts a weight on
+each matched insult or threat, lower when negated or reported, higher when aimed at someone. Clauses, not single words,
+are scored; a comma or colon doesn't end a clause, as negation and direct speech go on after it. Insult words (and word
+beginnings) and threat words with their weights are learned from labelled texts, from a short list on; the grammar is
+fixed.
 """
 
 from __future__ import annotations
@@ -28,66 +30,70 @@ CUES = {
     "threat": "kill hurt destroy beat shoot stab töten umbringen schlagen tuer frapper matar golpear",
     "will": "will gonna shall i'll we'll going werde werden vais allons voy vamos",
 }
-CLASSES = ["other", "insult", *CUES]
+#: Insults that are known before anything is learned, in four languages, and their weight.
+INSULTS = """idiot moron stupid dumb fool loser scum trash jerk pathetic worthless disgusting imbecile clown idioten dumm dummkopf
+trottel abschaum versager widerlich erbärmlich crétin stupide imbécile ordure minable dégoûtant abruti estúpido tonto basura
+imbécil asqueroso patético inútil"""
+PRIOR = 3.0
+#: What a word can be: nothing, an insult, a cue, or a cue and an insult.
+COMBOS = [frozenset(c) for c in ((), ("insult",), *((c,) for c in CUES), *((c, "insult") for c in CUES))]
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-_CLAUSE = re.compile(r"[.!?;:\n,]+")
+_CLAUSE = re.compile(r"[.!?;\n]+")
 
 
-@dataclass
+@dataclass(frozen=True)
 class Transducer:
-    """States are integers from 0; ``arcs[state, class]`` is (next state, factor on a matched word's weight)."""
+    """A word of class ``on`` at most ``reach`` words after a ``cue`` has its weight multiplied by ``factor``.
+
+    The state is the number of words that the cue still reaches.
+    """
 
-    states: int
-    arcs: dict[tuple[int, str], tuple[int, float]]
+    cue: str
+    reach: int
+    on: str
+    factor: float
 
-    def step(self, state: int, kind: str) -> tuple[int, float]:
-        return self.arcs.get((state, kind), (max(state - 1, 0), 1.0))
+    def step(self, state: int, kinds: frozenset[str]) -> tuple[int, float]:
+        """The next state, and the factor on a matched word. A word that is matched may be the next cue itself."""
+        factor = self.factor if state and self.on in kinds else 1.0
+        return (self.reach if self.cue in kinds else max(state - 1, 0)), factor
 
 
-def within(cue: str, reach: int, on: str, factor: float) -> Transducer:
-    """A match of class ``on`` at most ``reach`` words after a ``cue`` has its weight multiplied."""
-    arcs = {(s, cue): (reach, 1.0) for s in range(reach + 1)}
-    arcs |= {(s, on): (s - 1, factor) for s in range(1, reach + 1)}
-    return Transducer(reach + 1, arcs)
+#: The grammar: aimed insults weigh more, negated and reported ones less; a threat counts after "will".
+GRAMMAR = [
+    Transducer("target", 3, "insult", 1.3),
+    Transducer("negation", 3, "insult", 0.6),
+    Transducer("reported", 4, "insult", 0.7),
+    Transducer("negation", 3, "threat", 0.3),
+    Transducer("will", 3, "threat", 20.0),
+]
+ACCEPT = {"insult": 1.0, "threat": 0.05}
 
 
-def compose(parts: list[Transducer], accept: dict[str, float]) -> list[list[tuple[int, float]]]:
-    """The product machine: by state and class the next state and the output weight (0 for words that don't match)."""
+def compose(parts: list[Transducer], accept: dict[str, float]) -> list[list[tuple[int, float, float]]]:
+    """The product machine: by state and combination of classes the next state and the output weights as insult and threat."""
     start = (0,) * len(parts)
     number, todo, table = {start: 0}, [start], []
-    while todo:
-        state = todo.pop(0)
+    for state in todo:  # grows as states are found
         row = []
-        for kind in CLASSES:
-            steps = [p.step(s, kind) for p, s in zip(parts, state, strict=True)]
+        for kinds in COMBOS:
+            steps = [p.step(s, kinds) for p, s in zip(parts, state, strict=True)]
             nxt = tuple(s for s, _ in steps)
             if nxt not in number:
                 number[nxt] = len(number)
                 todo.append(nxt)
-            row.append((number[nxt], accept.get(kind, 0.0) * math.prod(f for _, f in steps)))
+            out = [accept[k] * math.prod(f for (_, f), p in zip(steps, parts, strict=True) if p.on == k) if k in kinds else 0.0 for k in ("insult", "threat")]
+            row.append((number[nxt], *out))
         table.append(row)
     return table
 
 
-def grammar() -> list[list[tuple[int, float]]]:
-    """Insults and threats; aimed ones weigh more, negated and reported ones less. A threat counts after "will"."""
-    return compose(
-        [
-            within("target", 3, "insult", 1.3),
-            within("negation", 3, "insult", 0.6),
-            within("reported", 4, "insult", 0.7),
-            within("negation", 3, "threat", 0.3),
-            within("will", 3, "threat", 20.0),
-        ],
-        {"insult": 1.0, "threat": 0.05},
-    )
-
-
 @dataclass
 class Model:
-    """Weights of insult words and word beginnings (of ``sizes`` letters), and the calibration of document scores."""
+    """Weights of insult words, word beginnings (of ``sizes`` letters) and threat words, and the calibration of scores."""
 
     words: dict[str, float] = field(default_factory=dict)
+    threats: dict[str, float] = field(default_factory=dict)
     starts: dict[str, float] = field(default_factory=dict)
     sizes: tuple[int, ...] = (3, 4, 5, 6)
     scale: tuple[float, ...] = (-2.0, 1.0, 0.0, 0.0)
@@ -97,25 +103,30 @@ class Matcher:
     """Follows the machine through the clauses of a text."""
 
     def __init__(self, model: Model, most: int = 300_000):
-        self.model, self.table, self.most = model, grammar(), most
-        self.cues = {w: CLASSES.index(k) for k, ws in CUES.items() for w in ws.split()}
-        self.known: dict[str, tuple[int, float] | None] = {}
+        self.model, self.table, self.most = model, compose(GRAMMAR, ACCEPT), most
+        self.cues = {w: k for k, ws in CUES.items() for w in ws.split()}
+        self.known: dict[str, tuple[int, float, float] | None] = {}
 
-    def classify(self, word: str) -> tuple[int, float] | None:
-        """Class and weight of a word, None for words outside the grammar."""
-        m = self.model
+    def classify(self, word: str) -> tuple[int, float, float] | None:
+        """The combination of classes, weight as an insult and weight as a threat; None for words outside the grammar."""
+        m, insult = self.model, 0.0
         if (w := m.words.get(word)) is not None:
-            return 1, w
-        for k in reversed(m.sizes):
-            if len(word) > k and (w := m.starts.get(word[:k])) is not None:
-                return 1, w
-        return (c, 1.0) if (c := self.cues.get(word)) else None
+            insult = w
+        else:
+            for k in reversed(m.sizes):
+                if len(word) > k and (w := m.starts.get(word[:k])) is not None:
+                    insult = w
+                    break
+        cue = "threat" if word in m.threats else self.cues.get(word)
+        kinds = frozenset(([cue] if cue else []) + ["insult"] * (insult > 0))
+        return (COMBOS.index(kinds), insult, m.threats.get(word, 1.0)) if kinds else None
 
     def clauses(self, text: str) -> tuple[list[float], int]:
         """Weights of the clauses that match, and the number of words."""
         known, table, out, n = self.known, self.table, [], 0
         if len(known) > self.most:
             known.clear()
+        hot_from = frozenset(i for i, kinds in enumerate(COMBOS) if kinds & {"insult", "threat"})
         for clause in _CLAUSE.split(text.lower()):
             words, kinds, hot = _WORD.findall(clause), [], False
             n += len(words)
@@ -125,14 +136,16 @@ class Matcher:
                 else:
                     k = known[w] = self.classify(w)
                 kinds.append(k)
-                if k is not None and k[0] in (1, 5):
+                if k is not None and k[0] in hot_from:
                     hot = True
             if hot:
                 state, total = 0, 0.0
                 for k in kinds:
-                    kind, weight = k or (0, 0.0)
-                    state, factor = table[state][kind]
-                    total += factor * weight
+                    if k is None:
+                        state = table[state][0][0]
+                    else:
+                        state, insult, threat = table[state][k[0]]
+                        total += insult * k[1] + threat * k[2]
                 if total:
                     out.append(total)
         return out, n
@@ -145,25 +158,37 @@ class Matcher:
         return math.log1p(max(found)), math.log1p(sum(found)), math.log1p(100 * sum(found) / n)
 
 
-def _weights(texts: DataFrame, sizes: tuple[int, ...]) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and word beginnings that mark label 1 beyond chance, counted by document in Spark."""
-    words = texts.select("doc_id", "label", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("w")).filter("w != ''")
+def _weights(texts: DataFrame, sizes: tuple[int, ...]) -> dict[str, dict[str, float]]:
+    """Words, word beginnings and words after "will" that mark label 1 beyond chance, counted by document in Spark.
+
+    Listed insults get a weight between their prior and what the documents that have them say.
+    """
+    texts = texts.select("doc_id", "label", F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}']+").alias("ws"))
+    words = texts.select("doc_id", "label", F.explode(F.array_distinct("ws")).alias("w")).filter("w != ''")
     starts = words.select("doc_id", "label", F.explode(F.array(*[F.when(F.char_length("w") > k, F.substring("w", 1, k)) for k in sizes])).alias("w")).filter("w is not null").distinct()
-    seen = words.select("label", "w", F.lit(False).alias("start")).union(starts.select("label", "w", F.lit(True).alias("start")))
-    counts = seen.groupBy("w", "start").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
-    counts = common.stored(counts, "counts")
+    will, reach = F.array(*map(F.lit, CUES["will"].split())), next(p.reach for p in GRAMMAR if p.cue == "will")
+    after = F.flatten(F.transform(F.filter(F.sequence(F.lit(1), F.size("ws")), lambda i: F.array_contains(will, F.get("ws", i - 1))), lambda i: F.slice("ws", i + 1, reach)))
+    threats = texts.select("doc_id", "label", F.explode(F.array_distinct(after)).alias("w")).filter("w != ''")
+    seen = words.select("label", "w", F.lit("words").alias("kind")).union(starts.select("label", "w", F.lit("starts"))).union(threats.select("label", "w", F.lit("threats")))
+    counts = common.stored(seen.groupBy("kind", "w").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")), "counts")
     total = texts.agg(F.sum("label").alias("pos"), F.count("*").alias("n")).first()
     n, pos = total["n"] or 0, total["pos"] or 0
+    out: dict[str, dict[str, float]] = {"words": dict.fromkeys(INSULTS.split(), PRIOR), "starts": {}, "threats": {}}
     if not pos or pos == n:
-        return {}, {}
+        return out
     base, features = pos / n, max(counts.count(), 2)
     a, b = F.col("pos"), F.col("neg")
     weight = F.log((a + 0.5) / (pos + 1)) - F.log((b + 0.5) / (n - pos + 1))
     x_log_x = lambda x, p: F.when(x > 0, x * F.log(x / ((a + b) * p))).otherwise(0.0)
     gain = x_log_x(a, base) + x_log_x(b, 1 - base)
+    listed = (F.col("kind") == "words") & F.col("w").isin(INSULTS.split())
     # The more features are tried, the more evidence each needs: at most a few hundredths of one is expected by chance.
-    rows = counts.withColumn("weight", weight).filter((gain > math.log(features) + 3) & (F.col("weight") > 2)).select("w", "start", "weight").collect()
-    return {r["w"]: r["weight"] for r in rows if not r["start"]}, {r["w"]: r["weight"] for r in rows if r["start"]}
+    sure = (gain > math.log(features) + 3) & (F.col("weight") > 2)
+    for r in counts.withColumn("weight", weight).filter(listed | sure).select("kind", "w", "weight", (a + b).alias("n")).collect():
+        prior = out["words"].get(r["w"]) if r["kind"] == "words" else None
+        known = r["weight"] if prior is None else (r["n"] * r["weight"] + 3 * prior) / (r["n"] + 3)
+        out[r["kind"]][r["w"]] = max(known, 0.0)
+    return out
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
@@ -203,7 +228,8 @@ def fit(texts: DataFrame) -> Model:
     common.ship_code(texts.sparkSession)
     texts = common.stored(texts, "labelled")
     model = Model()
-    model.words, model.starts = _weights(texts, model.sizes)
+    found = _weights(texts, model.sizes)
+    model.words, model.starts, model.threats = found["words"], found["starts"], found["threats"]
     rows = _measure(texts, model, ["label"]).toPandas()
     if rows["label"].nunique() < 2:
         model.scale = (-2.2, 1.0, 0.0, 0.0)
@@ -228,7 +254,13 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, *, most_labelled: int = 20_000, threshold: float = 0.3) -> DataFrame:
-    """Learn from labelled rows that are not held out, then score all: doc_id, held_out, score, predicted."""
+    """Learn from labelled rows that are not held out, then score all: doc_id, held_out, score, predicted.
+
+    In: docs (doc_id, text), labels (doc_id, toxic); other columns are ignored. What is learned from is bounded by
+    ``most_labelled`` rows; labels without a doc_id or value are left out, of several for one doc_id the highest counts.
+    Null and empty texts have the score of a text in which nothing matches. Each row of docs is a row of the result, also
+    of several with one doc_id; equal texts have equal scores. An empty table gives no rows.
+    """
     model = fit(common.labelled(docs, labels, "toxic", held_out, most_labelled))
     out = score(docs, model, threshold)
     return out.withColumn("held_out", held_out).select("doc_id", "held_out", "score", "predicted")
