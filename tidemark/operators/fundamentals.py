@@ -40,23 +40,25 @@ def snapshot_ratios(statements: DataFrame) -> DataFrame:
 
 
 def above(x: Column, cuts: list[tuple[float, str]], rest: str) -> Column:
-    """The first cut's name that x reaches."""
+    """The name of the first cut that x is above."""
     out = F.lit(rest)
     for c, name in reversed(cuts):
-        out = F.when(x >= c, name).otherwise(out)
+        out = F.when(x > c, name).otherwise(out)
     return F.when(x.isNotNull(), out).otherwise("insufficient")
 
 
 def revenue_trend(statements: DataFrame) -> DataFrame:
-    """Latest revenue, its growth and the mean growth over all periods that have one."""
-    f = pit.year_ago(statements, "revenue")
-    f = f.groupBy("symbol").agg(F.max_by("revenue", "end_date").alias("latest"), F.max_by("growth", "end_date").alias("growth"), F.avg("growth").alias("mean_growth"), F.count("*").alias("periods"))
+    """Latest revenue, the last growth over a year and the mean growth over all periods that have one."""
+    f = pit.year_ago(statements.filter("revenue is not null"), "revenue")
+    dated = F.when(F.col("growth").isNotNull(), F.col("end_date"))
+    f = f.groupBy("symbol").agg(F.max_by("revenue", "end_date").alias("latest"), F.max_by("growth", dated).alias("growth"), F.avg("growth").alias("mean_growth"), F.count("*").alias("periods"))
     return f.withColumn("status", above(F.col("growth"), [(20, "fast"), (10, "steady"), (0, "slow"), (-10, "slipping")], "falling"))
 
 
-def profitability(statements: DataFrame, provider: DataFrame | None = None) -> DataFrame:
-    """Latest ROE: the derived one, else the provider's, and which it was."""
+def profitability(statements: DataFrame, provider: DataFrame | None = None, derived: bool = True) -> DataFrame:
+    """Latest ROE: the derived one, else the provider's, and which it was; without ``derived`` the provider's only."""
     f = _last(ratios(statements))
+    f = f if derived else f.withColumn("roe", F.lit(None).cast("double"))
     f = f.join(_last(provider).select("symbol", F.col("roe").alias("provider_roe")), "symbol", "left") if provider is not None else f.withColumn("provider_roe", F.lit(None).cast("double"))
     f = f.withColumn("source", F.when(F.col("roe").isNotNull(), "derived").when(F.col("provider_roe").isNotNull(), "provider").otherwise("none"))
     f = f.withColumn("roe", F.coalesce("roe", "provider_roe"))
@@ -67,37 +69,51 @@ def profit_quality(income: DataFrame, cash: DataFrame) -> DataFrame:
     """Operating cash flow by net profit at the latest common period; a loss has none."""
     f = _last(income.select("symbol", "end_date", "net_profit").join(cash.select("symbol", "end_date", "operating_cf"), ["symbol", "end_date"]))
     f = f.withColumn("quality", F.when(F.col("net_profit") > 0, F.col("operating_cf") / F.col("net_profit")))
-    return f.withColumn("status", F.when(F.col("net_profit") <= 0, "not_applicable").otherwise(above(F.col("quality"), [(1, "good"), (0.5, "fair"), (0, "weak")], "poor")))
+    return f.withColumn("status", F.when(F.col("net_profit") <= 0, "not_applicable").otherwise(above(F.col("quality"), [(1, "excellent"), (0.5, "good"), (0, "fair")], "poor")))
 
 
 def solvency(balance: DataFrame) -> DataFrame:
-    """Latest debt ratio in percent, the provider's where there is one."""
+    """Latest debt ratio in percent, the provider's where there is one: low below 30, medium below 60."""
     given = F.col("debt_to_assets") if "debt_to_assets" in balance.columns else F.lit(None).cast("double")
     f = _last(balance).withColumn("debt_ratio", F.coalesce(given, F.try_divide(F.col("total_liabilities"), F.col("total_assets")) * 100))
-    return f.withColumn("status", F.when(F.col("debt_ratio").isNull(), "insufficient").when(F.col("debt_ratio") < 30, "low").when(F.col("debt_ratio") <= 60, "medium").otherwise("high"))
+    c = F.col("debt_ratio")
+    return f.withColumn("status", F.when(c.isNull(), "insufficient").when(c < 30, "low").when(c < 60, "medium").otherwise("high"))
 
 
 def profit_growth(statements: DataFrame) -> DataFrame:
-    f = _last(pit.year_ago(statements, "net_profit"))
+    """The last growth of net profit over a year."""
+    f = pit.year_ago(statements.filter("net_profit is not null"), "net_profit")
+    f = statements.select("symbol").distinct().join(_last(f.filter("growth is not null")), "symbol", "left")
     return f.withColumn("status", above(F.col("growth"), [(30, "fast"), (10, "steady"), (0, "slow")], "falling"))
 
 
-def score(statements: DataFrame) -> DataFrame:
-    """50, moved by each section that has evidence, within 0 to 100, with the number of sections that count."""
-    parts = {
-        "revenue": (revenue_trend(statements), {"fast": 15, "steady": 8, "slipping": -5, "falling": -10}),
-        "roe": (profitability(statements), {"excellent": 20, "good": 12, "fair": 5, "loss": -15}),
-        "cash": (profit_quality(statements, statements), {"good": 10, "weak": -5, "poor": -10}),
-        "debt": (solvency(statements), {"low": 5, "high": -10}),
-        "profit": (profit_growth(statements), {"fast": 10, "steady": 5, "falling": -10}),
-    }
+#: Points by status. A section counts as evidence where its status is known; revenue only where it moves the score.
+SCORE_POINTS = {
+    "revenue": {"fast": 15, "steady": 10, "falling": -15},
+    "roe": {"excellent": 15, "good": 10, "fair": 5, "loss": -15},
+    "cash": {"excellent": 10, "good": 5, "poor": -10},
+    "debt": {"high": -10},
+}
+
+
+def score(statements: DataFrame, provider: DataFrame | None = None, derived: bool = True) -> DataFrame:
+    """50, moved by revenue growth, ROE, cash and debt, within 0 to 100, with the number of sections that are evidence."""
+    parts = {"revenue": revenue_trend(statements), "roe": profitability(statements, provider, derived), "cash": profit_quality(statements, statements), "debt": solvency(statements)}
     out = statements.select("symbol").distinct()
-    for name, (f, _) in parts.items():
+    for name, f in parts.items():
         out = out.join(f.select("symbol", F.col("status").alias(name)), "symbol", "left")
-    points = [F.coalesce(F.create_map(*[F.lit(v) for kv in m.items() for v in kv])[F.col(n)], F.lit(0)) for n, (_, m) in parts.items()]
-    seen = [F.when(F.col(n).isNotNull() & ~F.col(n).isin("insufficient", "not_applicable"), 1).otherwise(0) for n in parts]
-    out = out.withColumns({"fundamental_score": clip((reduce(lambda a, b: a + b, points) + 50).cast("double"), 0.0, 100.0), "evidence": reduce(lambda a, b: a + b, seen)})
-    return out.withColumn("label", F.when(F.col("evidence") == 0, "insufficient").when(F.col("fundamental_score") >= 70, "strong").when(F.col("fundamental_score") >= 55, "good").when(F.col("fundamental_score") >= 40, "fair").otherwise("weak"))
+    points = [F.coalesce(F.create_map(*[F.lit(v) for kv in m.items() for v in kv])[F.col(n)], F.lit(0)) for n, m in SCORE_POINTS.items()]
+    unknown = {n: F.col(n).isNull() | F.col(n).isin("insufficient", "not_applicable") for n in parts} | {"revenue": ~F.coalesce(F.col("revenue").isin(*SCORE_POINTS["revenue"]), F.lit(False))}
+    out = out.withColumns({"fundamental_score": clip((reduce(lambda a, b: a + b, points) + 50).cast("double"), 0.0, 100.0), "evidence": reduce(lambda a, b: a + b, [(~x).cast("int") for x in unknown.values()])})
+    c = F.col("fundamental_score")
+    return out.withColumn("label", F.when(F.col("evidence") == 0, "insufficient").when(c >= 70, "excellent").when(c >= 55, "good").when(c >= 40, "fair").otherwise("poor"))
+
+
+def score_impact(statements: DataFrame, provider: DataFrame) -> DataFrame:
+    """Scores with the provider's ROE only, and with the derived one first, and what that changes."""
+    before, after = score(statements, provider, derived=False), score(statements, provider)
+    f = before.select("symbol", F.col("fundamental_score").alias("provider_score"), F.col("label").alias("provider_label")).join(after.select("symbol", "fundamental_score", "label"), "symbol")
+    return f.withColumns({"change": F.col("fundamental_score") - F.col("provider_score"), "label_changed": F.col("label") != F.col("provider_label")})
 
 
 def _issues(df: DataFrame, rules: dict[str, Column]) -> DataFrame:

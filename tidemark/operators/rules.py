@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -93,27 +94,47 @@ def apply_python(bars: DataFrame, compute: Callable[[pd.DataFrame, Params], pd.S
     return bars.groupBy(*by).applyInPandas(run, f"{schema}, signal int")
 
 
-def confidence(bars: DataFrame) -> DataFrame:
-    """Buy and sell confidence, 0 to 100, of five signals each: trend, MACD, RSI, nearest level, and volume or weakness."""
-    last = latest(indicators.all_indicators(bars)).select("symbol", "macd", "macd_signal", "rsi_14", "volume_ratio")
-    near = lambda f, c: f.filter("rank = 1").select("symbol", F.col("distance").alias(c))
-    f = last.join(risk.trend_strength(bars).select("symbol", "alignment", "trend_score"), "symbol")
-    f = f.join(near(risk.supports(bars), "below"), "symbol", "left").join(near(risk.resistances(bars), "above"), "symbol", "left")
+def levels_frame(bars: DataFrame) -> DataFrame:
+    """One row a symbol, from one pass over the bars: last indicators, levels, targets, trend, and buy and sell confidence."""
+    f = risk.with_trend(risk.frame(indicators.all_indicators(bars), with_means=True))
+    f = f.withColumns({k: risk.level_list(k) for k in risk.SIDES} | {"buy_targets": risk.target_list("supports"), "sell_targets": risk.target_list("resistances")})
     c, pts = F.col, lambda *cases: F.coalesce(F.coalesce(*[F.when(k, F.lit(v)) for k, v in cases]), F.lit(0.0))
+    below, above = F.get("supports", F.lit(0))["distance"], F.get("resistances", F.lit(0))["distance"]
     buy = pts(((c("alignment") == "bullish") & (c("trend_score") >= 45), 1.0), ((c("alignment") == "mixed") & (c("trend_score") >= 50), 0.5)) + pts((c("macd") > c("macd_signal"), 1.0))
-    buy = buy + pts((c("rsi_14") < 30, 1.5), (c("rsi_14") <= 60, 1.0)) + pts((c("below") < 10, 1.0)) + pts((c("volume_ratio") < 0.7, 0.5))
-    sell = pts((c("alignment") == "bearish", 1.0)) + pts((c("macd") < c("macd_signal"), 1.0)) + pts((c("rsi_14") > 70, 1.5), (c("rsi_14") > 60, 0.5)) + pts((c("above") < 5, 1.5)) + pts((c("trend_score") < 40, 1.0))
+    buy = buy + pts((c("rsi_14") < 30, 1.5), (c("rsi_14") <= 60, 1.0)) + pts((below < 10, 1.0)) + pts((c("volume_ratio") < 0.7, 0.5))
+    sell = pts((c("alignment") == "bearish", 1.0)) + pts((c("macd") < c("macd_signal"), 1.0)) + pts((c("rsi_14") > 70, 1.5), (c("rsi_14") > 60, 0.5)) + pts((above < 5, 1.5)) + pts((c("trend_score") < 40, 1.0))
     f = f.withColumns({k: F.least(F.round(v * 20), F.lit(100.0)) for k, v in (("buy_confidence", buy), ("sell_confidence", sell))})
     label = lambda k: F.when(c(k) >= 70, "high").when(c(k) >= 50, "medium").when(c(k) >= 30, "low").otherwise("very_low")
     return f.withColumns({"buy_label": label("buy_confidence"), "sell_label": label("sell_confidence")})
 
 
+def confidence(bars: DataFrame) -> DataFrame:
+    """Buy and sell confidence, 0 to 100, of five signals each: trend, MACD, RSI, nearest level, and volume or weakness."""
+    return levels_frame(bars).select("symbol", "buy_confidence", "buy_label", "sell_confidence", "sell_label")
+
+
 def level_bundle(bars: DataFrame) -> DataFrame:
     """One row a symbol: lists of supports, resistances and targets with the trend and the confidence."""
-    listed = lambda f, name: f.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("rank", "kind", "price", "distance"))).alias(name))
-    goals = risk.targets(bars).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("side", "rank", "price"))).alias("targets"))
-    f = confidence(bars).select("symbol", "alignment", "trend_score", "buy_confidence", "sell_confidence", "buy_label", "sell_label")
-    return f.join(listed(risk.supports(bars), "supports"), "symbol", "left").join(listed(risk.resistances(bars), "resistances"), "symbol", "left").join(goals, "symbol", "left")
+    return levels_frame(bars).select("symbol", "close", "alignment", "trend_score", "label", "supports", "resistances", "buy_targets", "sell_targets", "buy_confidence", "sell_confidence", "buy_label", "sell_label")
+
+
+def comparison(bars: DataFrame, valuation: DataFrame) -> DataFrame:
+    """Symbols side by side: last indicators, valuation (symbol, pe_ttm, pb), confidence, and the two nearest levels of each side."""
+    f = levels_frame(bars).join(valuation.select("symbol", "pe_ttm", "pb"), "symbol", "left")
+    cross = F.when(F.coalesce(F.col("macd") > F.col("macd_signal"), F.lit(False)), "golden").otherwise("death")
+    near = lambda k: F.transform(F.slice(k, 1, 2), lambda x: x["price"])
+    return f.select("symbol", F.round("close", 2).alias("close"), F.col("direction").alias("trend"), F.round("rsi_14", 1).alias("rsi"), cross.alias("macd_status"), "pe_ttm", "pb", "buy_confidence", "sell_confidence", near("supports").alias("supports"), near("resistances").alias("resistances"))
+
+
+def rankings(compared: DataFrame, most: int = 3) -> DataFrame:
+    """Lowest PE, strongest RSI and highest buy confidence: ranking, rank, symbol, value; ties go by symbol.
+
+    Each ranking is a bounded top list, which Spark takes from each partition first.
+    """
+    each = [("pe_lowest", "pe_ttm", True), ("rsi_strongest", "rsi", False), ("buy_confidence_highest", "buy_confidence", False)]
+    tops = [risk.top_of(compared, column, most, ascending).select(F.lit(name).alias("ranking"), "symbol", F.col(column).cast("double").alias("value"), F.lit(1 if ascending else -1).alias("_s")) for name, column, ascending in each]
+    w = Window.partitionBy("ranking").orderBy(F.col("value") * F.col("_s"), "symbol")
+    return reduce(DataFrame.union, tops).withColumn("rank", F.row_number().over(w)).drop("_s")
 
 
 def invalidations(levels: DataFrame, exclude: str = "") -> DataFrame:

@@ -2,18 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-KEY = ["symbol", "run_id", "slice"]
+
+def _keys(frame: DataFrame) -> list[str]:
+    """The columns that tell accounts apart, of those that there are."""
+    return [c for c in ("symbol", "run_id", "win", "slice") if c in frame.columns]
 
 
-def keyed() -> Window:
-    return Window.partitionBy(*KEY).orderBy("trade_date")
+def grid_from(requests: DataFrame, most: int = 1000) -> DataFrame:
+    """Sorted distinct combinations of the requested values, from rows of (name, value) with the names fast and slow.
+
+    Positive ones with fast below slow: run_id, fast, slow. More than ``most`` are an error. A grid has few values, however
+    many rows ask for them, so the product is of two short lists.
+    """
+    values = requests.filter("value > 0").groupBy("name").agg(F.collect_set(F.col("value").cast("int")).alias("vs"))
+    lists = values.agg(*[F.max(F.when(F.col("name") == n, F.col("vs"))).alias(n) for n in ("fast", "slow")])
+    pairs = lists.select(F.explode("fast").alias("fast"), "slow").select("fast", F.explode("slow").alias("slow")).filter("fast < slow")
+    n = F.count("*").over(Window.partitionBy())
+    capped = F.when(n > most, F.raise_error(F.concat(n.cast("string"), F.lit(f" combinations, more than {most}"))).cast("int")).otherwise(F.row_number().over(Window.orderBy("fast", "slow")) - 1)
+    return pairs.select(capped.alias("run_id"), "fast", "slow")
 
 
-def grid(spark, fast: list[int], slow: list[int], most: int = 1000) -> DataFrame:  # noqa: ANN001
-    """Sorted distinct combinations with fast below slow: run_id, fast, slow."""
+def grid(spark: SparkSession, fast: list[int], slow: list[int], most: int = 1000) -> DataFrame:
+    """The grid of two lists of values."""
     pairs = sorted({(f, s) for f in fast for s in slow if 0 < f < s})
     if len(pairs) > most:
         raise ValueError(f"{len(pairs)} combinations, more than {most}")
@@ -21,16 +36,17 @@ def grid(spark, fast: list[int], slow: list[int], most: int = 1000) -> DataFrame
 
 
 def slices(bars: DataFrame, train: float = 0.6, validation: float = 0.2) -> DataFrame:
-    """Chronological parts of each symbol's bars; each needs two rows."""
+    """Chronological parts of each symbol's bars, and each bar's place in its part from 1; each part needs two rows."""
     w = Window.partitionBy("symbol")
     f = bars.withColumns({"_i": F.row_number().over(w.orderBy("trade_date")) - 1, "_n": F.count("*").over(w)})
     a, b = F.floor(F.col("_n") * F.lit(train)), F.floor(F.col("_n") * F.lit(train + validation))
     f = f.withColumn("slice", F.when(F.col("_i") < a, "train").when(F.col("_i") < b, "validation").otherwise("test"))
+    f = f.withColumn("place", (F.col("_i") + 1 - F.when(F.col("slice") == "train", 0).when(F.col("slice") == "validation", a).otherwise(b)).cast("int"))
     return f.filter((a >= 2) & (b - a >= 2) & (F.col("_n") - b >= 2)).drop("_i", "_n")
 
 
 def windows(bars: DataFrame, train: int, validation: int, test: int, step: int) -> DataFrame:
-    """Walk-forward windows: ``win`` and ``slice`` of each bar in each window that fits."""
+    """Walk-forward windows: ``win``, ``slice`` and place in it of each bar in each window that fits."""
     w = Window.partitionBy("symbol")
     f = bars.withColumns({"_i": F.row_number().over(w.orderBy("trade_date")) - 1, "_n": F.count("*").over(w)})
     total = train + validation + test
@@ -39,24 +55,36 @@ def windows(bars: DataFrame, train: int, validation: int, test: int, step: int)
     f = f.filter(F.col("_n") >= total).withColumn("_to", F.least(last, F.floor(F.col("_i") / step))).withColumn("_from", first)
     f = f.filter("_from <= _to").withColumn("win", F.explode(F.sequence("_from", "_to"))).withColumn("win", F.col("win").cast("int"))
     at = F.col("_i") - F.col("win") * step
-    return f.withColumn("slice", F.when(at < train, "train").when(at < train + validation, "validation").otherwise("test")).drop("_i", "_n", "_from", "_to")
+    f = f.withColumn("slice", F.when(at < train, "train").when(at < train + validation, "validation").otherwise("test"))
+    start = F.when(at < train, 0).when(at < train + validation, train).otherwise(train + validation)
+    return f.withColumn("place", (at + 1 - start).cast("int")).drop("_i", "_n", "_from", "_to")
+
+
+def with_means(bars: DataFrame, params: DataFrame) -> DataFrame:
+    """``_means``, the means of the close by length, of all lengths in the grid; taken once, before bars are dealt to slices."""
+    w = Window.partitionBy("symbol").orderBy("trade_date")
+    periods = sorted({p for r in params.select("fast", "slow").collect() for p in r})  # a grid is small
+    return bars.withColumn("_means", F.create_map(*[x for p in periods for x in (F.lit(p), F.avg("close").over(w.rowsBetween(-(p - 1), 0)))]))
 
 
 def cross_signal(sliced: DataFrame, params: DataFrame) -> DataFrame:
-    """1 where the fast mean is above the slow one, both over full windows that begin anew in each slice."""
-    by = [c for c in ("symbol", "win", "slice") if c in sliced.columns]
-    w = Window.partitionBy(*by).orderBy("trade_date")
-    sums = sliced.withColumn("_k", F.row_number().over(w))
-    periods = sorted({p for r in params.select("fast", "slow").collect() for p in r})
-    means = sums.withColumns({f"_m{p}": F.when(F.col("_k") >= p, F.avg("close").over(w.rowsBetween(-(p - 1), 0))) for p in periods})
-    table = F.create_map(*[x for p in periods for x in (F.lit(p), F.col(f"_m{p}"))])
-    out = means.withColumn("_t", table).drop(*[f"_m{p}" for p in periods]).crossJoin(F.broadcast(params))
-    return out.withColumn("signal", F.coalesce(F.col("_t")[F.col("fast")] > F.col("_t")[F.col("slow")], F.lit(False)).cast("int")).drop("_t", "_k")
+    """1 where the fast mean is above the slow one. Slices begin anew: a mean counts from the bar on at which the slice has all its rows."""
+    f = sliced.crossJoin(F.broadcast(params))
+    mean = lambda n: F.when(F.col("place") >= F.col(n), F.col("_means")[F.col(n)])
+    return f.withColumn("signal", F.coalesce(mean("fast") > mean("slow"), F.lit(False)).cast("int")).drop("_means", "place")
+
+
+Cut = Callable[[DataFrame], DataFrame]
+
+
+def held(bars: DataFrame, params: DataFrame, cut: Cut = slices) -> DataFrame:
+    """Signals and positions of every parameter row on every slice of ``cut`` (``slices``, or windows of some sizes)."""
+    return positions(cross_signal(cut(with_means(bars, params)), params))
 
 
 def positions(signals: DataFrame) -> DataFrame:
     """Yesterday's signal, taken at today's open where the bar can be traded, else the position before."""
-    by = [c for c in ("symbol", "run_id", "win", "slice") if c in signals.columns]
+    by = _keys(signals)
     w = Window.partitionBy(*by).orderBy("trade_date")
     f = signals.withColumn("target", F.lag("signal").over(w))
     free = ~F.col("blocked") if "blocked" in signals.columns else F.lit(True)
@@ -64,76 +92,95 @@ def positions(signals: DataFrame) -> DataFrame:
     return f.withColumn("_p", F.coalesce(F.lag("position").over(w), F.lit(0))).withColumn("action", F.when(F.col("position") > F.col("_p"), "buy").when(F.col("position") < F.col("_p"), "sell")).drop("_p")
 
 
-STATE = "struct<cash:double,shares:double,day:date,paid:double,trades:array<struct<entry:date,exit:date,shares:double,cost:double,proceeds:double>>>"
+COSTS = {"lot": 100, "commission": 0.0003, "minimum": 5.0, "transfer": 0.00001, "stamp": 0.0005, "slippage": 0.0005}
+STATE = "struct<cash:double,shares:double,flows:array<struct<trade_date:date,money:double,moved:double,turned:double>>>"
+
 
+def _flows(taken: DataFrame, cash: float, **costs: float) -> DataFrame:
+    """What each key's account pays and gets: trade_date, money, moved (shares), turned (price times shares without fees).
 
-def _accounts(held: DataFrame, cash: float = 100_000.0, lot: int = 100, commission: float = 0.0003, minimum: float = 5.0, transfer: float = 0.00001, stamp: float = 0.0005, slippage: float = 0.0005) -> DataFrame:
-    """The account of each key after its last bar: actionable bars are folded in order, cash is carried. A buy that can't be paid is retried at each bar that still asks for it."""
-    by = [c for c in ("symbol", "run_id", "win", "slice") if c in held.columns]
-    free = ~F.col("blocked") if "blocked" in held.columns else F.lit(True)
-    asked = free & (F.col("target") == 1) if "target" in held.columns else F.col("action") == "buy"
+    Bars that ask for a buy or a sale are folded in order, as cash is carried. A buy takes the most lots that cash pays with
+    fees; one that can't be paid is retried at each bar that still asks for it.
+    """
+    by, k = _keys(taken), COSTS | costs
+    free = ~F.col("blocked") if "blocked" in taken.columns else F.lit(True)
+    asked = free & (F.col("target") == 1) if "target" in taken.columns else F.col("action") == "buy"
     side = F.when(F.col("action") == "sell", "sell").when(asked, "buy")
-    bars = held.select(*by, "trade_date", "open", side.alias("action")).filter("action is not null")
-    bars = bars.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("trade_date", "open", "action"))).alias("bars"))
-    fold = f"""aggregate(bars, cast(named_struct('cash', {cash}D, 'shares', 0D, 'day', cast(null as date), 'paid', 0D, 'trades', array()) as {STATE}), (s, b) ->
-      cast(case when b.action = 'buy' and s.shares = 0 then
-        transform(array(greatest(floor(least(s.cash / {1 + transfer + commission}D, (s.cash - {minimum}D) / {1 + transfer}D) / (b.open * {1 + slippage}D * {lot})), 0) * {lot}), q ->
-          named_struct('cash', s.cash - if(q > 0, q * b.open * {1 + slippage}D + greatest({minimum}D, q * b.open * {(1 + slippage) * commission}D) + q * b.open * {(1 + slippage) * transfer}D, 0D), 'shares', cast(q as double), 'day', b.trade_date,
-            'paid', if(q > 0, q * b.open * {1 + slippage}D + greatest({minimum}D, q * b.open * {(1 + slippage) * commission}D) + q * b.open * {(1 + slippage) * transfer}D, 0D), 'trades', s.trades))[0]
-      when b.action = 'sell' and s.shares > 0 then
-        transform(array(s.shares * b.open * {1 - slippage}D), v -> named_struct('cash', s.cash + v - greatest({minimum}D, v * {commission}D) - v * {transfer + stamp}D, 'shares', 0D, 'day', cast(null as date), 'paid', 0D, 'trades',
-          concat(s.trades, array(named_struct('entry', s.day, 'exit', b.trade_date, 'shares', s.shares, 'cost', s.paid, 'proceeds', v - greatest({minimum}D, v * {commission}D) - v * {transfer + stamp}D)))))[0]
-      else s end as {STATE}))"""
-    return bars.select(*by, F.expr(fold).alias("state"))
-
-
-def ledger(held: DataFrame, cash: float = 100_000.0, **fees: float) -> DataFrame:
-    """Round trips of each key with shares, cost, proceeds and net return; ``fees`` as in ``_accounts``."""
-    by = [c for c in ("symbol", "run_id", "win", "slice") if c in held.columns]
-    out = _accounts(held, cash, **fees).select(*by, F.posexplode("state.trades").alias("n", "t"))
-    return out.select(*by, (F.col("n") + 1).alias("n"), "t.*").withColumn("ret", F.try_divide(F.col("proceeds"), F.col("cost")) - 1)
-
-
-def equity(held: DataFrame, cash: float = 100_000.0, **fees: float) -> DataFrame:
-    """Per bar of each key: cash, shares, and equity at the close. What was bought and not sold yet stays in it.
+    bars = taken.select(*by, "trade_date", "open", side.alias("side")).filter("side is not null")
+    bars = bars.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("trade_date", F.col("open").cast("double").alias("open"), "side"))).alias("bars"))
+    buy, sell = f"(b.open * {1 + k['slippage']}D)", f"(b.open * {1 - k['slippage']}D)"
+    lots = f"greatest(floor(least(s.cash / {1 + k['transfer'] + k['commission']}D, (s.cash - {k['minimum']}D) / {1 + k['transfer']}D) / ({buy} * {k['lot']})), 0) * {k['lot']}"
+    fees = lambda v, tax: f"(greatest({k['minimum']}D, {v} * {k['commission']}D) + {v} * {k['transfer'] + tax}D)"
+    step = f"""
+        case when b.side = 'buy' and s.shares = 0 then transform(array({lots} * {buy}), v ->
+               if(v > 0, named_struct('cash', s.cash - v - {fees('v', 0)}, 'shares', round(v / {buy}), 'flows', concat(s.flows, array(named_struct('trade_date', b.trade_date, 'money', -v - {fees('v', 0)}, 'moved', round(v / {buy}), 'turned', v)))), s))[0]
+             when b.side = 'sell' and s.shares > 0 then transform(array(s.shares * {sell}), v ->
+               named_struct('cash', s.cash + v - {fees('v', k['stamp'])}, 'shares', 0D, 'flows', concat(s.flows, array(named_struct('trade_date', b.trade_date, 'money', v - {fees('v', k['stamp'])}, 'moved', -s.shares, 'turned', v)))))[0]
+             else s end"""
+    fold = f"aggregate(bars, cast(named_struct('cash', {cash}D, 'shares', 0D, 'flows', array()) as {STATE}), (s, b) -> cast({step} as {STATE}))"
+    return bars.select(*by, F.explode(F.expr(fold)["flows"]).alias("f")).select(*by, "f.*")
+
+
+def ledger(taken: DataFrame, cash: float = 100_000.0, **costs: float) -> DataFrame:
+    """Round trips of each key with shares, cost, proceeds and net return; ``costs`` as in ``COSTS``."""
+    by = _keys(taken)
+    w = Window.partitionBy(*by).orderBy("trade_date")
+    before = {"entry": F.lag("trade_date").over(w), "cost": -F.lag("money").over(w)}
+    out = _flows(taken, cash, **costs).withColumns(before).filter("moved < 0").withColumn("n", F.row_number().over(w))
+    return out.select(*by, "n", "entry", F.col("trade_date").alias("exit"), (-F.col("moved")).alias("shares"), "cost", F.col("money").alias("proceeds")).withColumn("ret", F.try_divide(F.col("proceeds"), F.col("cost")) - 1)
+
+
+def equity(taken: DataFrame, cash: float = 100_000.0, **costs: float) -> DataFrame:
+    """Per bar of each key: cash, shares, equity at the close, and to date what was turned over, completed trades and wins.
 
     The account's flows and the bars go through one window by key, so bars without a trade carry the last state.
     """
-    by = [c for c in ("symbol", "run_id", "win", "slice") if c in held.columns]
-    none, zero = F.lit(None).cast("double"), F.lit(0.0)
-    flow = lambda day, money, shares: F.struct(day.alias("trade_date"), money.alias("money"), shares.alias("moved"))
-    ended = F.transform("state.trades", lambda t: F.array(flow(t["entry"], -t["cost"], t["shares"]), flow(t["exit"], t["proceeds"], -t["shares"])))
-    still = F.when(F.col("state.shares") > 0, F.array(flow(F.col("state.day"), -F.col("state.paid"), F.col("state.shares")))).otherwise(F.array().cast("array<struct<trade_date:date,money:double,moved:double>>"))
-    flows = _accounts(held, cash, **fees).select(*by, F.explode(F.concat(F.flatten(ended), still)).alias("f")).select(*by, "f.*", none.alias("close"))
-    rows = held.select(*by, "trade_date", zero.alias("money"), zero.alias("moved"), F.col("close").cast("double"), F.lit(True).alias("bar")).unionByName(flows.withColumn("bar", F.lit(False)))
-    w = Window.partitionBy(*by).orderBy("trade_date").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumns({"cash": cash + F.sum("money").over(w), "shares": F.sum("moved").over(w)}).filter("bar")
-    return rows.select(*by, "trade_date", "close", "cash", "shares", (F.col("cash") + F.col("shares") * F.col("close")).alias("equity"))
-
-
-def metrics(held: DataFrame) -> DataFrame:
-    """Per key: total, annual (365 days) and buy-and-hold return, largest drawdown, Sharpe (252 bars), trades, exposure.
-
-    Equity follows closes while the position is held, from the bar after it is taken.
+    by, zero = _keys(taken), F.lit(0.0)
+    w = Window.partitionBy(*by).orderBy("trade_date")
+    flows = _flows(taken, cash, **costs)
+    sold = F.col("moved") < 0
+    flows = flows.withColumns({"ended": sold.cast("int"), "won": F.coalesce(sold & (F.col("money") + F.lag("money").over(w) > 0), F.lit(False)).cast("int")}).withColumns({"close": F.lit(None).cast("double"), "bar": F.lit(False)})
+    rows = taken.select(*by, "trade_date", *[zero.alias(c) for c in ("money", "moved", "turned")], F.lit(0).alias("ended"), F.lit(0).alias("won"), F.col("close").cast("double"), F.lit(True).alias("bar"))
+    rows, to_date = rows.unionByName(flows), w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = {"cash": cash + F.sum("money").over(to_date), "shares": F.sum("moved").over(to_date), "turnover": F.sum("turned").over(to_date), "trades": F.sum("ended").over(to_date), "wins": F.sum("won").over(to_date)}
+    rows = rows.withColumns(sums).filter("bar")
+    return rows.select(*by, "trade_date", "close", *sums, (F.col("cash") + F.col("shares") * F.col("close")).alias("equity"))
+
+
+def metrics(taken: DataFrame, cash: float = 100_000.0, **costs: float) -> DataFrame:
+    """Per key, of the account's equity: total, annual (365 days) and buy-and-hold return, largest drawdown, Sharpe and Sortino
+    (252 bars, 0 where undefined), completed trades, share of wins, turnover by initial cash, exposure, and shares still held.
     """
-    by = [c for c in ("symbol", "run_id", "win", "slice") if c in held.columns]
+    by = _keys(taken)
     w = Window.partitionBy(*by).orderBy("trade_date")
-    f = held.withColumn("_r", F.coalesce(F.lag("position").over(w) * (F.try_divide(F.col("close"), F.lag("close").over(w)) - 1), F.lit(0.0)))
-    f = f.withColumn("equity", F.exp(F.sum(F.log1p("_r")).over(w.rowsBetween(Window.unboundedPreceding, 0))))
-    f = f.withColumn("_dd", F.col("equity") / F.greatest(F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0)) - 1)
+    f = equity(taken, cash, **costs).withColumn("_r", F.try_divide(F.col("equity"), F.lag("equity").over(w)) - 1)
+    f = f.withColumn("_dd", F.try_divide(F.col("equity"), F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0))) - 1)
+    end, down = lambda c: F.max_by(c, "trade_date"), F.when(F.col("_r") < 0, F.col("_r"))
+    year = lambda sd: F.coalesce(F.try_divide(F.avg("_r"), F.when(sd > 0, sd)) * F.sqrt(F.lit(252.0)), F.lit(0.0))
     m = f.groupBy(*by).agg(
-        (F.max_by("equity", "trade_date") - 1).alias("total_return"), F.min("_dd").alias("max_drawdown"), F.avg("_r").alias("_mean"), F.stddev_pop("_r").alias("_sd"), F.avg("position").alias("exposure"),
-        F.greatest(F.datediff(F.max("trade_date"), F.min("trade_date")), F.lit(1)).alias("_days"), (F.max_by("close", "trade_date") / F.min_by("close", "trade_date") - 1).alias("hold_return"), F.count_if(F.col("action") == "buy").alias("trades"),
+        (end("equity") / cash - 1).alias("total_return"), F.greatest(F.datediff(F.max("trade_date"), F.min("trade_date")), F.lit(1)).alias("_days"), F.min("_dd").alias("max_drawdown"), year(F.stddev_pop("_r")).alias("sharpe"),
+        year(F.stddev_pop(down)).alias("sortino"), (end("close") / F.min_by("close", "trade_date") - 1).alias("hold_return"), end("trades").alias("trades"), F.coalesce(F.try_divide(end("wins"), end("trades")), F.lit(0.0)).alias("win_rate"),
+        (end("turnover") / cash).alias("turnover"), F.avg((F.col("shares") > 0).cast("double")).alias("exposure"), end("shares").alias("open_shares"),
     )
-    m = m.withColumn("annual_return", F.pow(1 + F.col("total_return"), F.lit(365.0) / F.col("_days")) - 1)
-    return m.withColumn("sharpe", F.coalesce(F.try_divide(F.col("_mean"), F.col("_sd")) * F.sqrt(F.lit(252.0)), F.lit(0.0))).drop("_mean", "_sd", "_days")
+    annual = F.when(F.col("total_return") <= -1, -1.0).otherwise(F.pow(1 + F.col("total_return"), F.lit(365.0) / F.col("_days")) - 1)
+    return m.withColumn("annual_return", annual).drop("_days")
+
+
+def warnings(measured: DataFrame, columns: list[str]) -> DataFrame:
+    """Adds ``warnings``: flag columns that the bars lack and are taken as tradable, and results without a completed trade."""
+    gone = [F.lit(f"no_{c}") for c in ("is_suspended", "up_limit", "down_limit") if c not in columns]
+    return measured.withColumn("warnings", F.array_compact(F.array(*gone, F.when(F.col("trades") == 0, "no_completed_trade"))))
 
 
 def objective(kind: str) -> Column:
-    """sharpe, total_return, calmar, or robust: a weighted sum of clipped parts."""
+    """sharpe, total_return, calmar (0 without a drawdown), or robust: a weighted sum of bounded parts."""
     clip = lambda c, lo, hi: F.greatest(F.least(c, F.lit(hi)), F.lit(lo))
-    calmar = F.coalesce(F.try_divide(F.col("annual_return"), F.abs("max_drawdown")), F.lit(0.0))
-    robust = 0.35 * clip(F.col("sharpe"), -3.0, 3.0) + 0.25 * clip(F.col("annual_return"), -1.0, 1.0) - 0.25 * clip(F.abs("max_drawdown"), 0.0, 1.0) - 0.10 * (1 - F.least(F.col("trades") / 5, F.lit(1.0))) + 0.05 * clip(F.col("exposure"), 0.0, 1.0)
+    fall = F.abs("max_drawdown")
+    robust = (
+        0.35 * clip(F.col("total_return") - F.col("hold_return"), -1.0, 1.0) + 0.25 * clip(F.col("annual_return"), -1.0, 1.0) - 0.25 * clip(fall, 0.0, 1.0)
+        - 0.10 * clip(F.col("turnover") / 5, 0.0, 1.0) + 0.05 * F.least(F.col("trades"), F.lit(10)) / 10
+    )
+    calmar = F.when(F.col("max_drawdown") < 0, F.col("annual_return") / fall).otherwise(0.0)
     return {"sharpe": F.col("sharpe"), "total_return": F.col("total_return"), "calmar": calmar, "robust": robust}[kind]
 
 
@@ -144,30 +191,75 @@ def ranked(measured: DataFrame, kind: str = "sharpe", min_trades: int = 0) -> Da
     return f.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("objective"), "run_id")))
 
 
-def optimized(sliced: DataFrame, params: DataFrame, kind: str = "sharpe", min_trades: int = 0) -> DataFrame:
-    """The winner on train with its results on every slice."""
-    measured = metrics(positions(cross_signal(sliced, params)))
+def optimized(bars: DataFrame, params: DataFrame, kind: str = "sharpe", min_trades: int = 0, cash: float = 100_000.0, cut: Cut = slices) -> DataFrame:
+    """The winner on train with its results and objective on every slice."""
+    measured = metrics(held(bars, params, cut), cash).withColumn("objective", objective(kind))
     by = [c for c in ("symbol", "win") if c in measured.columns]
-    best = ranked(measured, kind, min_trades).filter("rank = 1").select(*by, "run_id", "objective")
-    return measured.join(best, [*by, "run_id"]).join(F.broadcast(params), "run_id")
+    w = Window.partitionBy(*by)
+    order = F.struct((-F.col("objective")).alias("o"), F.col("run_id"))
+    best = F.min(F.when((F.col("slice") == "train") & (F.col("trades") >= min_trades), order)).over(w)["run_id"]
+    return measured.withColumn("_best", best).filter("run_id = _best").drop("_best").join(F.broadcast(params), "run_id")
 
 
-def stability(winners: DataFrame, share: float = 0.6, least: int = 2) -> DataFrame:
-    """The most frequent choice over a symbol's windows (ties to the smaller parameters), and whether it is stable."""
-    f = winners.filter("slice = 'train'").groupBy("symbol", "fast", "slow").agg(F.count("*").alias("times"))
+def rolling(bars: DataFrame, params: DataFrame, cut: Cut, kind: str = "sharpe", min_trades: int = 1, cash: float = 100_000.0) -> DataFrame:
+    """One row for each symbol and window: status, the choice, and objective, return and trades of each slice.
+
+    A window without an eligible candidate is failed; one whose validation or test has too few trades is degraded.
+    """
+    won = optimized(bars, params, kind, min_trades, cash, cut)
+    of = lambda c, part, name: F.max(F.when(F.col("slice") == part, F.col(c))).alias(f"{part}_{name}")
+    each = [of(c, part, name) for part in ("train", "validation", "test") for c, name in (("objective", "objective"), ("total_return", "return"), ("trades", "trades"))]
+    won = won.groupBy("symbol", "win").agg(F.first("fast").alias("fast"), F.first("slow").alias("slow"), *each)
+    every = cut(bars).groupBy("symbol", "win").agg(F.min("trade_date").alias("first_day"), F.max("trade_date").alias("last_day"))
+    few = (F.col("validation_trades") < min_trades) | (F.col("test_trades") < min_trades)
+    return every.join(won, ["symbol", "win"], "left").withColumn("status", F.when(F.col("fast").isNull(), "failed").when(few, "degraded").otherwise("ok"))
+
+
+def rolling_summary(windows_: DataFrame) -> DataFrame:
+    """Per symbol: windows, successful and failed ones, and medians over the successful."""
+    done = F.col("status") != "failed"
+    middle = [F.median(F.when(done, F.col(c))).alias(f"{c}_median") for c in ("validation_objective", "test_objective", "validation_return", "test_return", "validation_trades", "test_trades")]
+    return windows_.groupBy("symbol").agg(F.count("*").alias("windows"), F.count_if(done).alias("successful"), F.count_if(~done).alias("failed"), *middle)
+
+
+def stability(windows_: DataFrame, share: float = 0.6, least: int = 2) -> DataFrame:
+    """Per symbol: the most frequent choice over its successful windows (ties to the smaller parameters), its frequency, whether
+    it is stable, and the selected parameters, null where it isn't."""
+    f = windows_.filter("status != 'failed'").groupBy("symbol", "fast", "slow").agg(F.count("*").alias("times"))
     f = f.withColumn("windows", F.sum("times").over(Window.partitionBy("symbol")))
     f = f.withColumn("_r", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("times"), "fast", "slow"))).filter("_r = 1").drop("_r")
-    return f.withColumn("stable", (F.col("windows") >= least) & (F.col("times") / F.col("windows") >= share))
+    f = windows_.select("symbol").distinct().join(f.withColumn("frequency", F.col("times") / F.col("windows")), "symbol", "left")
+    f = f.withColumn("stable", F.coalesce((F.col("windows") >= least) & (F.col("frequency") >= share), F.lit(False)))
+    return f.withColumns({f"selected_{c}": F.when(F.col("stable"), F.col(c)) for c in ("fast", "slow")})
+
 
+def multi(windows_: DataFrame, states: DataFrame, share: float = 0.6, least: int = 2) -> DataFrame:
+    """The choice over symbols of equal weight, by market state and over all (state ``all``).
 
-def vote(stable: DataFrame, states: DataFrame) -> DataFrame:
-    """Equal weight of symbols: the choice of most of them, by market state and over all."""
-    f = stable.join(states, "symbol").withColumn("one", F.col("times") / F.col("windows"))
-    sets = f.groupingSets([["state", "fast", "slow"], ["fast", "slow"]], "state", "fast", "slow").agg(F.sum("one").alias("weight"), F.count("*").alias("symbols"))
-    return sets.withColumn("state", F.coalesce("state", F.lit("all"))).withColumn("rank", F.row_number().over(Window.partitionBy("state").orderBy(F.desc("weight"), "fast", "slow"))).filter("rank = 1")
+    Each successful symbol shares one vote among its windows' choices. With the symbols that take part, whether the choice is
+    stable, and the median of the symbols' median test objectives.
+    """
+    done = windows_.filter("status != 'failed'")
+    f = done.groupBy("symbol", "fast", "slow").agg(F.count("*").alias("times")).withColumn("one", F.col("times") / F.sum("times").over(Window.partitionBy("symbol")))
+    f = f.join(states.select("symbol", "state"), "symbol", "left").withColumn("state", F.coalesce("state", F.lit("unknown")))
+    votes = f.groupingSets([["state", "fast", "slow"], ["fast", "slow"]], "state", "fast", "slow").agg(F.sum("one").alias("weight"), F.sum("times").alias("times"))
+    votes = votes.withColumn("state", F.coalesce("state", F.lit("all"))).withColumn("weight", F.col("weight") / F.round(F.sum("weight").over(Window.partitionBy("state"))))
+    # Shares of windows are sums of fractions: equal ones may differ in the last digits, which must not decide.
+    first = Window.partitionBy("state").orderBy(F.desc(F.round("weight", 9)), "fast", "slow")
+    votes = votes.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
+    tests = rolling_summary(windows_).join(states.select("symbol", "state"), "symbol", "left").withColumn("state", F.coalesce("state", F.lit("unknown")))
+    tests = tests.rollup("state").agg(F.count_if(F.col("successful") > 0).alias("symbols"), F.median("test_objective_median").alias("test_objective_median")).withColumn("state", F.coalesce("state", F.lit("all")))
+    f = tests.join(votes, "state", "left")
+    return f.withColumn("stable", F.coalesce((F.col("symbols") >= least) & (F.round("weight", 9) >= share), F.lit(False)))
 
 
 def market_state(bars: DataFrame, n: int = 252) -> DataFrame:
+    """The sign of the return over the first ``n`` bars after the first, for grouping only."""
     w = Window.partitionBy("symbol").orderBy("trade_date")
     f = bars.withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= n + 1).groupBy("symbol").agg((F.max_by("close", "_i") / F.min_by("close", "_i") - 1).alias("ret"))
-    return f.withColumn("state", F.when(F.col("ret") > 0.1, "bull").when(F.col("ret") < -0.1, "bear").otherwise("range"))
+    return f.withColumn("state", F.when(F.col("ret") >= 0, "train_trend_positive").otherwise("train_trend_negative"))
+
+
+def promotion(stable: DataFrame, pending: str) -> DataFrame:
+    """Unstable parameters aren't promoted; stable ones are candidates that wait for ``pending`` validation."""
+    return stable.withColumn("decision", F.when(F.col("stable"), f"candidate_only_pending_{pending}_validation").otherwise("do_not_promote_parameters"))

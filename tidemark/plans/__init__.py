@@ -1,4 +1,4 @@
 """All queries of the market-data operators."""
 
-from . import analysis, indicators, ledgers, market, more  # noqa: F401
+from . import analysis, indicators, ledgers, market, more, strategy  # noqa: F401
 from .base import ORACLE_SQL, QUERIES  # noqa: F401

@@ -8,7 +8,6 @@ from ..functions import scalars as fn
 from ..operators import evidence as ev
 from ..operators import fundamentals as fu
 from ..operators import indicators, pit, recon, risk
-from ..operators import strategy as st
 from .base import query
 
 W = "PARTITION BY symbol ORDER BY trade_date"
@@ -20,24 +19,44 @@ query("f02_ratio_compare", "fin_base", "symbol end_date status", "roe", f"""SELE
     lambda f: fu.ratio_compare(fu.ratios(f), fu.ratios(f).filter("symbol % 3 > 0").withColumn("roe", F.expr("roe * if(symbol % 3 = 1, 1.01D, 1.5D) + if(symbol % 3 = 1, 0D, 1D) * signum(roe)"))))
 query("f03_snapshot_ratios", "fin_base", "symbol end_date missing status", "", f"SELECT symbol, end_date, CASE WHEN roa IS NULL THEN 'roa,roe' ELSE '' END AS missing, CASE WHEN roa IS NULL THEN 'partial' ELSE 'calculated' END AS status FROM ({RAT})")(fu.snapshot_ratios)
 YA = lambda c: f"(SELECT a.symbol, a.end_date, a.{c}, (a.{c} - b.{c}) / abs(nullif(b.{c}, 0)) * 100 AS growth FROM fin_base a LEFT JOIN fin_base b ON a.symbol = b.symbol AND b.y = a.y - 1 AND b.qn = a.qn)"
-BAND = lambda x, cuts, rest: "CASE WHEN " + x + " IS NULL THEN 'insufficient' " + " ".join(f"WHEN {x} >= {c} THEN '{n}'" for c, n in cuts) + f" ELSE '{rest}' END"
+BAND = lambda x, cuts, rest: "CASE WHEN " + x + " IS NULL THEN 'insufficient' " + " ".join(f"WHEN {x} > {c} THEN '{n}'" for c, n in cuts) + f" ELSE '{rest}' END"
 REVENUE = f"SELECT symbol, last_revenue AS latest, growth, mean_growth, periods, {BAND('growth', [(20, 'fast'), (10, 'steady'), (0, 'slow'), (-10, 'slipping')], 'falling')} AS status FROM (SELECT symbol, arg_max(revenue, end_date) AS last_revenue, arg_max(growth, end_date) AS growth, avg(growth) AS mean_growth, count(*) AS periods FROM {YA('revenue')} GROUP BY symbol)"
 query("f04_revenue_trend", "fin_base", "symbol periods status", "latest growth mean_growth", REVENUE, digits=2)(fu.revenue_trend)
 LASTQ = "QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY end_date DESC) = 1"
-PROFIT = f"SELECT symbol, end_date, roe, 'derived' AS source, {BAND('roe', [(20, 'excellent'), (15, 'good'), (10, 'fair'), (0, 'weak')], 'loss')} AS status FROM ({RAT}) {LASTQ}"
-query("f05_profitability", "fin_base", "symbol end_date source status", "roe", PROFIT, digits=3)(fu.profitability)
-CASH = f"SELECT symbol, end_date, CASE WHEN net_profit > 0 THEN operating_cf / net_profit END AS quality, CASE WHEN net_profit <= 0 THEN 'not_applicable' ELSE {BAND('operating_cf / net_profit', [(1, 'good'), (0.5, 'fair'), (0, 'weak')], 'poor')} END AS status FROM fin_base {LASTQ}"
+#: Symbols without an opening balance have no derived ROE, and of those some have a provider's.
+THIN = "(mod(sk, 7) = 0 AND y > 1992)"
+RAT_THIN = RAT.replace("FROM fin_base) a", f"FROM fin_base WHERE NOT {THIN}) a")
+GIVEN = "(SELECT symbol, end_date, CAST(mod(sk, 30) - 4 AS DOUBLE) AS roe FROM fin_base WHERE mod(sk, 2) = 0)"
+PROFIT = f"""SELECT symbol, end_date, coalesce(d.roe, p.roe) AS roe, CASE WHEN d.roe IS NOT NULL THEN 'derived' WHEN p.roe IS NOT NULL THEN 'provider' ELSE 'none' END AS source, {BAND('coalesce(d.roe, p.roe)', [(20, 'excellent'), (15, 'good'), (10, 'fair'), (0, 'weak')], 'loss')} AS status
+    FROM (SELECT * FROM ({RAT_THIN}) {LASTQ}) d LEFT JOIN (SELECT symbol, roe FROM {GIVEN} {LASTQ}) p USING (symbol)"""
+thin = lambda f: f.filter("not (mod(sk, 7) = 0 and y > 1992)")
+given = lambda f: f.filter("mod(sk, 2) = 0").selectExpr("symbol", "end_date", "cast(mod(sk, 30) - 4 as double) as roe")
+query("f05_profitability", "fin_base", "symbol end_date source status", "roe", PROFIT, digits=3)(lambda f: fu.profitability(thin(f), given(f)))
+CASH = f"SELECT symbol, end_date, CASE WHEN net_profit > 0 THEN operating_cf / net_profit END AS quality, CASE WHEN net_profit <= 0 THEN 'not_applicable' ELSE {BAND('operating_cf / net_profit', [(1, 'excellent'), (0.5, 'good'), (0, 'fair')], 'poor')} END AS status FROM fin_base {LASTQ}"
 query("f06_profit_quality", "fin_base", "symbol end_date status", "quality", CASH)(lambda f: fu.profit_quality(f, f))
-DEBT = f"SELECT symbol, end_date, total_liabilities / total_assets * 100 AS debt_ratio, CASE WHEN total_liabilities / total_assets < 0.3 THEN 'low' WHEN total_liabilities / total_assets <= 0.6 THEN 'medium' ELSE 'high' END AS status FROM fin_base {LASTQ}"
+DEBT = f"SELECT symbol, end_date, total_liabilities / total_assets * 100 AS debt_ratio, CASE WHEN total_liabilities / total_assets * 100 < 30 THEN 'low' WHEN total_liabilities / total_assets * 100 < 60 THEN 'medium' ELSE 'high' END AS status FROM fin_base {LASTQ}"
 query("f07_solvency", "fin_base", "symbol end_date status", "debt_ratio", DEBT)(fu.solvency)
-GROW = f"SELECT symbol, end_date, growth, {BAND('growth', [(30, 'fast'), (10, 'steady'), (0, 'slow')], 'falling')} AS status FROM {YA('net_profit')} {LASTQ}"
+GROW = f"SELECT symbol, end_date, growth, {BAND('growth', [(30, 'fast'), (10, 'steady'), (0, 'slow')], 'falling')} AS status FROM (SELECT DISTINCT symbol FROM fin_base) LEFT JOIN (SELECT * FROM {YA('net_profit')} WHERE growth IS NOT NULL {LASTQ}) USING (symbol)"
 query("f08_profit_growth", "fin_base", "symbol end_date status", "growth", GROW, digits=3)(fu.profit_growth)
 PTS = lambda c, m: "CASE " + c + " " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in m.items()) + " ELSE 0 END"
-query("f09_score", "fin_base", "symbol evidence label", "fundamental_score", f"""
-    WITH j AS (SELECT r.symbol, r.status AS a, p.status AS b, c.status AS c, d.status AS d, g.status AS e FROM ({REVENUE}) r JOIN ({PROFIT}) p USING (symbol) JOIN ({CASH}) c USING (symbol) JOIN ({DEBT}) d USING (symbol) JOIN ({GROW}) g USING (symbol)),
-    s AS (SELECT symbol, greatest(0, least(100, 50 + {PTS('a', {'fast': 15, 'steady': 8, 'slipping': -5, 'falling': -10})} + {PTS('b', {'excellent': 20, 'good': 12, 'fair': 5, 'loss': -15})} + {PTS('c', {'good': 10, 'weak': -5, 'poor': -10})} + {PTS('d', {'low': 5, 'high': -10})} + {PTS('e', {'fast': 10, 'steady': 5, 'falling': -10})})) AS fundamental_score,
-      {' + '.join(f"CASE WHEN {x} NOT IN ('insufficient', 'not_applicable') THEN 1 ELSE 0 END" for x in 'abcde')} AS evidence FROM j)
-    SELECT *, CASE WHEN evidence = 0 THEN 'insufficient' WHEN fundamental_score >= 70 THEN 'strong' WHEN fundamental_score >= 55 THEN 'good' WHEN fundamental_score >= 40 THEN 'fair' ELSE 'weak' END AS label FROM s""")(fu.score)
+
+
+def score_sql(profit: str, source: str) -> str:
+    """50, moved by revenue growth (15, 10, -15), ROE (15, 10, 5, -15), cash (10, 5, -10) and high debt (-10)."""
+    of = lambda sql: sql.replace("fin_base", source)
+    return f"""(WITH j AS (SELECT r.symbol, r.status AS a, p.status AS b, c.status AS c, d.status AS d FROM ({of(REVENUE)}) r JOIN ({profit}) p USING (symbol) JOIN ({of(CASH)}) c USING (symbol) JOIN ({of(DEBT)}) d USING (symbol)),
+    s AS (SELECT symbol, greatest(0, least(100, 50 + {PTS('a', {'fast': 15, 'steady': 10, 'falling': -15})} + {PTS('b', {'excellent': 15, 'good': 10, 'fair': 5, 'loss': -15})} + {PTS('c', {'excellent': 10, 'good': 5, 'poor': -10})} + {PTS('d', {'high': -10})})) AS fundamental_score,
+      (a IN ('fast', 'steady', 'falling'))::INT + (b <> 'insufficient')::INT + (c NOT IN ('insufficient', 'not_applicable'))::INT + (d <> 'insufficient')::INT AS evidence FROM j)
+    SELECT *, CASE WHEN evidence = 0 THEN 'insufficient' WHEN fundamental_score >= 70 THEN 'excellent' WHEN fundamental_score >= 55 THEN 'good' WHEN fundamental_score >= 40 THEN 'fair' ELSE 'poor' END AS label FROM s)"""
+
+
+THIN_BASE = f"(SELECT * FROM fin_base WHERE NOT {THIN})"
+PROVIDER_ONLY = f"SELECT symbol, {BAND('p.roe', [(20, 'excellent'), (15, 'good'), (10, 'fair'), (0, 'weak')], 'loss')} AS status FROM (SELECT DISTINCT symbol FROM fin_base) LEFT JOIN (SELECT symbol, roe FROM {GIVEN} {LASTQ}) p USING (symbol)"
+SCORE = score_sql(PROFIT, THIN_BASE)
+query("f09_score", "fin_base", "symbol evidence label", "fundamental_score", f"SELECT * FROM {SCORE}")(lambda f: fu.score(thin(f), given(f)))
+query("f10_score_impact", "fin_base", "symbol label provider_label label_changed", "fundamental_score provider_score change", f"""
+    SELECT symbol, a.label, b.label AS provider_label, a.label <> b.label AS label_changed, a.fundamental_score, b.fundamental_score AS provider_score, a.fundamental_score - b.fundamental_score AS change
+    FROM {SCORE} a JOIN {score_sql(PROVIDER_ONLY, THIN_BASE)} b USING (symbol)""")(lambda f: fu.score_impact(thin(f), given(f)))
 RULES = f"""(SELECT symbol, unnest([struct_pack(rule := 'jump', n := count(*) FILTER (jump)), struct_pack(rule := 'high_below_body', n := count(*) FILTER (high < greatest(open, close))), struct_pack(rule := 'low_above_body', n := count(*) FILTER (low > least(open, close))), struct_pack(rule := 'zero_volume', n := count(*) FILTER (volume = 0))]) AS x
     FROM (SELECT *, abs(close / lag(close) OVER ({W}) - 1) > 0.11 AS jump FROM bars) GROUP BY symbol)"""
 query("d01_check_bars", "bars", "symbol rule n", "", f"SELECT symbol, x.rule AS rule, x.n AS n FROM {RULES} WHERE x.n > 0")(fu.check_bars)
@@ -130,45 +149,3 @@ query("a17_call_stats", "run_log", "calls errors", "total", "SELECT count(*) AS
 query("a18_descriptor", "bars", "symbol row_count as_of quality", "", "SELECT symbol, count(*) AS row_count, max(trade_date) AS as_of, 'ok' AS quality FROM bars GROUP BY symbol")(lambda b: b.groupBy("symbol").agg(F.count("*").alias("row_count"), F.max("trade_date").alias("as_of"), F.lit("ok").alias("quality")))
 query("a19_data_hash", "bars", "symbol x", "", "SELECT symbol, sha256(string_agg(CAST(trade_date AS VARCHAR) || ' ' || CAST(CAST(volume AS BIGINT) AS VARCHAR), ',' ORDER BY trade_date)) AS x FROM bars GROUP BY symbol")(
     lambda b: b.groupBy("symbol").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("trade_date", F.col("volume").cast("bigint").alias("v")))), lambda s: F.concat_ws(" ", s["trade_date"].cast("string"), s["v"].cast("string"))), ","), 256).alias("x")))
-# Strategy: one plan over symbols x parameters x slices.
-PARTS = f"(SELECT *, CASE WHEN i < floor(n * CAST(0.6 AS DOUBLE)) THEN 'train' WHEN i < floor(n * CAST(0.8 AS DOUBLE)) THEN 'validation' ELSE 'test' END AS slice FROM (SELECT *, row_number() OVER ({W}) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars))"
-PW = "PARTITION BY symbol, slice ORDER BY trade_date"
-SIG = f"""(SELECT symbol, slice, trade_date, open, close, run_id, coalesce(CASE WHEN k >= fast THEN CASE fast WHEN 5 THEN m5 ELSE m20 END END > CASE WHEN k >= slow THEN CASE slow WHEN 20 THEN m20 ELSE m60 END END, false)::INT AS signal FROM (
-    SELECT *, row_number() OVER ({PW}) AS k, {', '.join(f'avg(close) OVER ({PW} ROWS BETWEEN {p - 1} PRECEDING AND CURRENT ROW) AS m{p}' for p in (5, 20, 60))} FROM {PARTS}) CROSS JOIN (VALUES (0, 5, 20), (1, 5, 60), (2, 20, 60)) g(run_id, fast, slow))"""
-PK = "PARTITION BY symbol, run_id, slice ORDER BY trade_date"
-POS = f"(SELECT *, CASE WHEN position > p THEN 'buy' WHEN position < p THEN 'sell' END AS action FROM (SELECT *, coalesce(lag(position) OVER ({PK}), 0) AS p FROM (SELECT *, coalesce(lag(signal) OVER ({PK}), 0) AS position FROM {SIG})))"
-GRID = lambda b: st.grid(b.sparkSession, [5, 20], [20, 60])
-query("b11_slices", "bars", "symbol trade_date slice", "", f"SELECT * FROM {PARTS}")(st.slices)
-query("b10_grid", "bars", "run_id fast slow rows", "", "SELECT g.*, (SELECT count(*) FROM bars) AS rows FROM (VALUES (0, 5, 20), (1, 5, 60), (2, 20, 60)) g(run_id, fast, slow)")(lambda b: GRID(b).crossJoin(b.agg(F.count("*").alias("rows"))))
-query("b01_signal", "bars", "symbol run_id slice trade_date signal", "", f"SELECT * FROM {SIG}")(lambda b: st.cross_signal(st.slices(b), GRID(b)))
-HELD = lambda b: st.positions(st.cross_signal(st.slices(b), GRID(b)))
-query("b03_position", "bars", "symbol run_id slice trade_date position action", "", f"SELECT * FROM {POS}")(HELD)
-query("b04_lot_size", "bars", "symbol trade_date shares", "", "SELECT symbol, trade_date, CAST(greatest(floor(least(1e6 / CAST(1.00031 AS DOUBLE), (1e6 - 5) / CAST(1.00001 AS DOUBLE)) / (open * 100)), 0) * 100 AS BIGINT) AS shares FROM bars")(lambda b: b.select("symbol", "trade_date", fn.lot_size(F.lit(1e6), F.col("open")).cast("bigint").alias("shares")))
-#: The account bar by bar: what an affordable buy or a sale on each bar makes of cash and shares.
-_PAY = "q * open * 1.0005::DOUBLE"
-FOLD = f"""(WITH RECURSIVE b AS (SELECT symbol, run_id, slice, trade_date, CAST(open AS DOUBLE) AS open, close, action, lag(signal) OVER ({PK}) AS target, row_number() OVER ({PK}) AS i FROM {POS}),
-  f AS (SELECT symbol, run_id, slice, trade_date, i, CAST(close AS DOUBLE) AS close, 1e7::DOUBLE AS cash, 0::DOUBLE AS shares, 0::DOUBLE AS paid, 0::DOUBLE AS got FROM b WHERE i = 1 UNION ALL
-  SELECT symbol, run_id, slice, trade_date, i, CAST(close AS DOUBLE), cash - paid + got, CASE WHEN paid > 0 THEN q WHEN got > 0 THEN 0 ELSE shares END, paid, got FROM (
-  SELECT *, CASE WHEN q > 0 THEN {_PAY} + greatest(5, q * open * (1.0005::DOUBLE * 0.0003::DOUBLE)) + q * open * (1.0005::DOUBLE * 0.00001::DOUBLE) ELSE 0 END AS paid,
-    CASE WHEN shares > 0 AND action = 'sell' THEN shares * open * 0.9995::DOUBLE - greatest(5, shares * open * 0.9995::DOUBLE * 0.0003::DOUBLE) - shares * open * 0.9995::DOUBLE * 0.00051::DOUBLE ELSE 0 END AS got FROM (
-  SELECT b.*, f.cash, f.shares, CASE WHEN b.target = 1 AND f.shares = 0 THEN greatest(floor(least(f.cash / 1.00031::DOUBLE, (f.cash - 5) / 1.00001::DOUBLE) / (b.open * 1.0005::DOUBLE * 100)), 0) * 100 ELSE 0 END AS q
-  FROM f JOIN b ON b.symbol = f.symbol AND b.run_id = f.run_id AND b.slice = f.slice AND b.i = f.i + 1))) SELECT *, cash + shares * close AS equity FROM f)"""
-#: Logs, as the fixture's prices jump so much that sums leave the range in which doubles hold whole shares.
-query("b05_ledger", "bars", "symbol run_id slice n entry exit", "log_shares log_cost log_proceeds ret", f"""SELECT *, ln(shares) AS log_shares, ln(cost) AS log_cost, ln(proceeds) AS log_proceeds, proceeds / cost - 1 AS ret FROM (SELECT symbol, run_id, slice, entry, trade_date AS exit, bought AS shares, paid AS cost, got AS proceeds, CAST(row_number() OVER ({PK}) AS INT) AS n, side FROM (
-    SELECT symbol, run_id, slice, trade_date, lag(trade_date) OVER ({PK}) AS entry, lag(paid) OVER ({PK}) AS paid, lag(shares) OVER ({PK}) AS bought, got, CASE WHEN got > 0 THEN 'sell' END AS side FROM {FOLD} WHERE paid > 0 OR got > 0) WHERE side = 'sell')""", digits=3)(lambda b: st.ledger(HELD(b), cash=1e7).withColumns({f"log_{c}": F.log(c) for c in ("shares", "cost", "proceeds")}))
-query("b06_equity", "bars", "symbol run_id slice trade_date invested", "log_equity", f"SELECT *, shares > 0 AS invested, ln(equity) AS log_equity FROM {FOLD}", digits=3)(
-    lambda b: st.equity(HELD(b), cash=1e7).select("*", (F.col("shares") > 0).alias("invested"), F.log("equity").alias("log_equity")))
-MET = f"""(SELECT symbol, run_id, slice, arg_max(eq, trade_date) - 1 AS total_return, min(dd) AS max_drawdown, avg(position) AS exposure, arg_max(close, trade_date) / arg_min(close, trade_date) - 1 AS hold_return, count(*) FILTER (action = 'buy') AS trades, coalesce(avg(r) / nullif(stddev_pop(r), 0) * sqrt(252), 0) AS sharpe FROM (
-    SELECT *, eq / greatest(max(eq) OVER ({PK} ROWS UNBOUNDED PRECEDING), 1) - 1 AS dd FROM (SELECT *, exp(sum(ln(1 + r)) OVER ({PK} ROWS UNBOUNDED PRECEDING)) AS eq FROM (SELECT *, coalesce(lag(position) OVER ({PK}) * (close / lag(close) OVER ({PK}) - 1), 0) AS r FROM {POS}))) GROUP BY symbol, run_id, slice)"""
-query("b07_metrics", "bars", "symbol run_id slice trades", "log_return max_drawdown exposure hold_return sharpe", f"SELECT *, ln(1 + total_return) AS log_return FROM {MET}", digits=3)(lambda b: st.metrics(HELD(b)).withColumn("log_return", F.log1p("total_return")))
-query("b09_objective", "bars", "symbol run_id slice", "x")(lambda b: st.metrics(HELD(b)).withColumn("x", st.objective("robust")))
-query("w21_candidate_rank", "bars", "symbol run_id rank", "objective", f"SELECT symbol, run_id, sharpe AS objective, row_number() OVER (PARTITION BY symbol ORDER BY sharpe DESC, run_id) AS rank FROM {MET} WHERE slice = 'train'", digits=3)(lambda b: st.ranked(st.metrics(HELD(b))))
-query("b12_optimize", "bars", "symbol run_id slice fast slow trades", "sharpe", f"SELECT m.*, fast, slow FROM {MET} m JOIN (SELECT symbol, run_id FROM {MET} WHERE slice = 'train' QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY sharpe DESC, run_id) = 1) USING (symbol, run_id) JOIN (VALUES (0, 5, 20), (1, 5, 60), (2, 20, 60)) g(run_id, fast, slow) USING (run_id)", digits=3)(lambda b: st.optimized(st.slices(b), GRID(b)))
-query("b13_windows", "bars", "symbol win slice n", "", "SELECT symbol, CAST(win AS INT) AS win, CASE WHEN place < 252 THEN 'train' WHEN place < 315 THEN 'validation' ELSE 'test' END AS slice, count(*) AS n FROM (SELECT symbol, win, i - win * 126 AS place FROM (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY trade_date) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars) JOIN (SELECT unnest(range(0, 40)) AS win) ON win * 126 + 378 <= n) WHERE place BETWEEN 0 AND 377 GROUP BY ALL")(lambda b: st.windows(b, 252, 63, 63, 126).groupBy("symbol", "win", "slice").agg(F.count("*").alias("n")))
-ROLL = lambda b: st.optimized(st.windows(b, 252, 63, 63, 126), GRID(b))
-query("b14_rolling", "bars", "symbol win slice run_id trades", "sharpe")(ROLL)
-query("b15_stability", "bars", "symbol fast slow times windows stable", "")(lambda b: st.stability(ROLL(b)))
-query("b16_multi", "bars", "state fast slow symbols", "weight")(lambda b: st.vote(st.stability(ROLL(b)), st.market_state(b).select("symbol", "state")))
-query("b17_market_state", "bars", "symbol state", "ret", f"SELECT symbol, ret, CASE WHEN ret > 0.1 THEN 'bull' WHEN ret < -0.1 THEN 'bear' ELSE 'range' END AS state FROM (SELECT symbol, arg_max(close, i) / arg_min(close, i) - 1 AS ret FROM (SELECT *, row_number() OVER ({W}) AS i FROM bars) WHERE i <= 253 GROUP BY symbol)")(st.market_state)
-query("b18_promotion", "bars", "symbol promote", "")(lambda b: st.stability(ROLL(b)).withColumn("promote", F.when(F.col("stable"), "promote").otherwise("hold")))
-query("t07_comparison", "bars", "symbol trend label alignment", "close trend_score")(lambda b: indicators.summary(indicators.all_indicators(b)).join(risk.trend_strength(b).select("symbol", "label", "alignment", "trend_score"), "symbol"))

@@ -37,25 +37,40 @@ query("w03_bollinger", "bars", K, "boll_mid boll_upper boll_lower boll_width bol
 query("w04_rsi", "bars", K, "rsi_14", f"SELECT * FROM {RSI}")(I.rsi)
 query("w05_macd", "bars", K, "macd macd_signal macd_hist", f"{MACD} SELECT *, macd - macd_signal AS macd_hist FROM n4")(I.macd)
 query("w06_kdj", "bars", K, "kdj_k kdj_d kdj_j", f"{KDJ} SELECT *, 3 * kdj_k - 2 * kdj_d AS kdj_j FROM k2")(I.kdj)
-query("w07_cci", "bars", K, "cci", f"""
+CCI = f"""
     SELECT symbol, trade_date, (tp - sma) / nullif(0.015 * list_sum(list_transform(x, lambda v: abs(v - sma))) / 20, 0) AS cci FROM (
-      SELECT *, {roll('avg(tp)', 20, 'tp')} AS sma, list(tp) OVER ({W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS x FROM (SELECT *, (high + low + close) / 3 AS tp FROM bars))""", digits=3)(I.cci)
-query("w08_williams", "bars", K, "williams_r", f"SELECT symbol, trade_date, CASE WHEN hh IS NOT NULL THEN (hh - close) / nullif(hh - ll, 0) * -100 END AS williams_r FROM (SELECT *, {roll('max(high)', 14, 'close')} AS hh, {roll('min(low)', 14, 'close')} AS ll FROM bars)")(I.williams_r)
-query("w09_obv", "bars", K, "obv obv_ma", f"""
+      SELECT *, {roll('avg(tp)', 20, 'tp')} AS sma, list(tp) OVER ({W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS x FROM (SELECT *, (high + low + close) / 3 AS tp FROM bars))"""
+query("w07_cci", "bars", K, "cci", CCI, digits=3)(I.cci)
+WILLIAMS = f"SELECT symbol, trade_date, CASE WHEN hh IS NOT NULL THEN (hh - close) / nullif(hh - ll, 0) * -100 END AS williams_r FROM (SELECT *, {roll('max(high)', 14, 'close')} AS hh, {roll('min(low)', 14, 'close')} AS ll FROM bars)"
+query("w08_williams", "bars", K, "williams_r", WILLIAMS)(I.williams_r)
+OBV = f"""
     SELECT *, {roll('avg(obv)', 20, 'obv')} AS obv_ma FROM (SELECT symbol, trade_date, sum(s) OVER ({W} ROWS UNBOUNDED PRECEDING) AS obv FROM (
-      SELECT *, coalesce(sign(close - lag(close) OVER ({W})) * volume, volume) AS s FROM bars))""", digits=3)(I.obv)
-query("w10_volume_ratio", "bars", K, "volume_ratio", f"SELECT symbol, trade_date, volume / {roll('avg(volume)', 20, 'volume')} AS volume_ratio FROM bars")(I.volume_ratio)
+      SELECT *, coalesce(sign(close - lag(close) OVER ({W})) * volume, volume) AS s FROM bars))"""
+query("w09_obv", "bars", K, "obv obv_ma", OBV, digits=3)(I.obv)
+VOLUME = f"SELECT symbol, trade_date, volume / {roll('avg(volume)', 20, 'volume')} AS volume_ratio FROM bars"
+query("w10_volume_ratio", "bars", K, "volume_ratio", VOLUME)(I.volume_ratio)
 ALL = "ma_5 ma_10 ma_20 ma_60 ema_12 ema_26 macd macd_signal macd_hist boll_mid boll_upper boll_lower rsi_14 kdj_k kdj_d kdj_j cci williams_r obv obv_ma volume_ratio"
-query("w11_all_indicators", "bars", K, ALL)(I.all_indicators)
-query("w12_summary", "bars", "symbol trade_date trend macd_cross rsi_state kdj_state boll_state", "close rsi_14 macd macd_signal kdj_k", f"""
-    {MACD}, {RSV}, {ewm_cte('r0', 'rsv', 'kdj_k', '(1.0/3)', 'k1')}, rs AS (SELECT symbol, trade_date, rsi_14 FROM {RSI}),
-    m AS (SELECT n4.*, rs.rsi_14, k1.kdj_k, {roll('avg(n4.close)', 5, 'n4.close').replace('symbol', 'n4.symbol').replace('trade_date', 'n4.trade_date')} AS ma_5, {roll('avg(n4.close)', 20, 'n4.close').replace('symbol', 'n4.symbol').replace('trade_date', 'n4.trade_date')} AS ma_20,
+#: The single indicators' SQL, side by side.
+PARTS = {
+    "w01": f"SELECT symbol, trade_date, {', '.join(f'{roll("avg(close)", p, "close")} AS ma_{p}' for p in (5, 10, 20, 60))} FROM bars",
+    "w05": f"{MACD} SELECT *, e12 AS ema_12, e26 AS ema_26, macd - macd_signal AS macd_hist FROM n4",
+    "w03": f"SELECT symbol, trade_date, m AS boll_mid, m + 2 * d AS boll_upper, m - 2 * d AS boll_lower FROM (SELECT *, {roll('avg(close)', 20, 'close')} AS m, {roll('stddev_samp(close)', 20, 'close')} AS d FROM bars)",
+    "w04": f"SELECT symbol, trade_date, rsi_14 FROM {RSI}",
+    "w06": f"{KDJ} SELECT *, 3 * kdj_k - 2 * kdj_d AS kdj_j FROM k2",
+    "w07": CCI, "w08": WILLIAMS, "w09": OBV, "w10": VOLUME,
+}
+COLUMNS = {"w01": "ma_5 ma_10 ma_20 ma_60", "w05": "ema_12 ema_26 macd macd_signal macd_hist", "w03": "boll_mid boll_upper boll_lower", "w04": "rsi_14", "w06": "kdj_k kdj_d kdj_j", "w07": "cci", "w08": "williams_r", "w09": "obv obv_ma", "w10": "volume_ratio"}
+ALL_SQL = "SELECT * FROM " + " JOIN ".join(f"(SELECT symbol, trade_date, {', '.join(COLUMNS[k].split())} FROM ({sql}))" + (" USING (symbol, trade_date)" if i else "") for i, (k, sql) in enumerate(PARTS.items()))
+query("w11_all_indicators", "bars", K, ALL, ALL_SQL, digits=3)(I.all_indicators)
+query("w12_summary", "bars", "symbol trade_date trend macd_cross rsi_state kdj_state boll_state", "close rsi_14 macd macd_signal kdj_k kdj_d", f"""
+    {MACD}, {RSV}, {ewm_cte('r0', 'rsv', 'kdj_k', '(1.0/3)', 'k0')}, {ewm_cte('k0', 'kdj_k', 'kdj_d', '(1.0/3)', 'k1')}, rs AS (SELECT symbol, trade_date, rsi_14 FROM {RSI}),
+    m AS (SELECT n4.*, rs.rsi_14, k1.kdj_k, k1.kdj_d, {roll('avg(n4.close)', 5, 'n4.close').replace('symbol', 'n4.symbol').replace('trade_date', 'n4.trade_date')} AS ma_5, {roll('avg(n4.close)', 20, 'n4.close').replace('symbol', 'n4.symbol').replace('trade_date', 'n4.trade_date')} AS ma_20,
       {roll('avg(n4.close)', 60, 'n4.close').replace('symbol', 'n4.symbol').replace('trade_date', 'n4.trade_date')} AS ma_60, {roll('stddev_samp(n4.close)', 20, 'n4.close').replace('symbol', 'n4.symbol').replace('trade_date', 'n4.trade_date')} AS sd,
       row_number() OVER (PARTITION BY n4.symbol ORDER BY n4.trade_date DESC) AS last
       FROM n4 JOIN k1 USING (symbol, trade_date) JOIN rs USING (symbol, trade_date))
     SELECT *, CASE WHEN ma_5 > ma_20 AND ma_20 > ma_60 THEN 'up' WHEN ma_5 < ma_20 AND ma_20 < ma_60 THEN 'down' ELSE 'sideways' END AS trend,
       CASE WHEN macd > macd_signal THEN 'golden' ELSE 'death' END AS macd_cross, CASE WHEN rsi_14 > 70 THEN 'overbought' WHEN rsi_14 < 30 THEN 'oversold' ELSE 'neutral' END AS rsi_state,
-      CASE WHEN kdj_k > 80 THEN 'overbought' WHEN kdj_k < 20 THEN 'oversold' ELSE 'neutral' END AS kdj_state,
+      CASE WHEN kdj_k > 80 AND kdj_d > 80 THEN 'overbought' WHEN kdj_k < 20 AND kdj_d < 20 THEN 'oversold' ELSE 'neutral' END AS kdj_state,
       CASE WHEN close > ma_20 + 2 * sd THEN 'above_upper' WHEN close < ma_20 - 2 * sd THEN 'below_lower' ELSE 'inside' END AS boll_state FROM m WHERE last = 1""")(lambda bars: I.summary(I.all_indicators(bars)))
 query("w19_rebased", "bars", K, "rebased", f"SELECT symbol, trade_date, close / first_value(close) OVER ({W}) * 100 AS rebased FROM bars")(I.rebased)
 query("w22_colors", "bars", K + " bar hist", "", f"{MACD} SELECT *, CASE WHEN close >= open THEN 'up' ELSE 'down' END AS bar, CASE WHEN macd - macd_signal >= 0 THEN 'up' ELSE 'down' END AS hist FROM n4")(lambda b: I.colors(I.macd(b)))

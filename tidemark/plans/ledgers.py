@@ -13,7 +13,7 @@ from ..operators import ledger, pit, recon, risk, rules, textfields
 from ..operators import strategy as st
 from ..sources import files
 from . import market  # noqa: F401  (its SQL is reused)
-from .analysis import BC, EV, FIELDS, HELD, PR, QUEUE, RAT, T3, W
+from .analysis import BC, EV, FIELDS, PR, QUEUE, RAT, T3, W
 from .base import ORACLE_SQL, QUERIES, query
 
 # Audit rows made from the statements: the provider's value is off by 0, 0.15 or 0.3, the reported one by 0 or 2.5.
@@ -114,8 +114,6 @@ def _ends(b: DataFrame) -> DataFrame:
 query("e10_invalidations", "bars", "symbol id severity", "price", f"""WITH l AS (SELECT k.symbol, k.risk_level, s.price AS a, r.price AS b FROM ({RISK}) k LEFT JOIN (SELECT * FROM ({SUPS}) WHERE rank = 1) s USING (symbol) LEFT JOIN (SELECT * FROM ({RESS}) WHERE rank = 1) r USING (symbol))
     SELECT symbol, 'price.break_support' AS id, 'high' AS severity, a AS price FROM l WHERE a IS NOT NULL UNION ALL SELECT symbol, 'price.break_resistance_context', 'medium', b FROM l WHERE b IS NOT NULL UNION ALL SELECT symbol, 'price.levels_missing', 'medium', NULL FROM l WHERE a IS NULL AND b IS NULL
     UNION ALL SELECT symbol, 'risk.reassessment', 'high', NULL FROM l WHERE risk_level = 'high' UNION ALL SELECT symbol, 'data.quality_change', 'high', NULL FROM l""")(lambda b: rules.invalidations(_ends(b)))
-query("t05_confidence", "bars", "symbol buy_label sell_label", "buy_confidence sell_confidence")(rules.confidence)
-query("t06_level_bundle", "bars", "symbol alignment buy_label sell_label supports resistances targets", "trend_score")(rules.level_bundle)
 query("e13_package", "bars official_events", "symbol gaps size digest", "")(lambda b, e: rules.package({"risk": risk.risk(b), "trend": risk.trend_strength(b).select("symbol", "label", "trend_score"), "coverage": ev.coverage(EV(e), "1999-01-20")}, "1999-01-20"))
 query("a20_descriptor_hash", "bars", "symbol x", "", """SELECT symbol, sha256('{"dataset":"daily","rows":' || count(*) || ',"as_of":"' || max(trade_date) || '"}') AS x FROM bars GROUP BY symbol""")(
     lambda b: b.groupBy("symbol").agg(F.count("*").alias("rows"), F.max("trade_date").cast("string").alias("as_of")).select("symbol", F.sha2(F.to_json(F.struct(F.lit("daily").alias("dataset"), "rows", "as_of")), 256).alias("x")))
@@ -138,15 +136,6 @@ query("y03_parameters", "bars", "symbol on_bars", "", f"SELECT symbol, CAST(sum(
     lambda b: rules.apply_rule(b, "ma_cross", {"ma_fast": 5}).groupBy("symbol").agg(F.sum("signal").alias("on_bars")))
 
 
-@query("b19_audit_record", "bars", "symbol run_id request data result", "")
-def audit_record(bars: DataFrame) -> DataFrame:
-    """Digests of a run's request, its bars and its results."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("trade_date").cast("string").alias("d"), F.round("close", 4).cast("string").alias("c"))))
-    data = bars.groupBy("symbol").agg(F.sha2(F.to_json(ordered), 256).alias("data"))
-    runs = st.metrics(HELD(bars)).groupBy("symbol", "run_id").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("slice", "trades", F.round("sharpe", 6).alias("sharpe"))))), 256).alias("result"))
-    return runs.withColumn("request", F.sha2(F.to_json(F.struct("symbol", "run_id")), 256)).join(data, "symbol")
-
-
 def _tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_tolerant(spark, f"{sf_dir}/customer.parquet", "c_custkey bigint, c_acctbal double").agg(F.count("*").alias("n"))
 

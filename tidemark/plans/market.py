@@ -66,19 +66,21 @@ def reaction_stats(events, bars):  # noqa: ANN001, ANN201
 
 
 RET = f"(SELECT *, close / lag(close) OVER ({W}) - 1 AS ret, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS back FROM bars)"
-VOL = f"SELECT symbol, round(stddev_pop(ret) * sqrt(250) * 100, 1) AS volatility, CASE WHEN count(ret) >= 20 THEN round(stddev_pop(ret) FILTER (back <= 20) * sqrt(250) * 100, 1) END AS recent_volatility FROM {RET} GROUP BY symbol HAVING count(close) >= 5"
+VOL = f"SELECT symbol, round(stddev_pop(ret) * sqrt(250) * 100, 1) AS volatility, CASE WHEN count(ret) >= 20 THEN round(stddev_pop(ret) FILTER (back <= 20) * sqrt(250) * 100, 1) ELSE round(stddev_pop(ret) * sqrt(250) * 100, 1) END AS recent_volatility FROM {RET} GROUP BY symbol HAVING count(close) >= 5"
 LV = "CASE WHEN volatility > 50 THEN 'very_high' WHEN volatility > 35 THEN 'high' WHEN volatility > 20 THEN 'medium' ELSE 'low' END"
 query("a01_volatility", "bars", "symbol level", "volatility recent_volatility", f"SELECT *, {LV} AS level FROM ({VOL})")(risk.volatility)
-DD = f"SELECT symbol, round(min(dd) * 100, 1) AS max_drawdown, round(arg_max(dd, trade_date) * 100, 1) AS current_drawdown FROM (SELECT *, close / max(close) OVER ({W} ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM bars) GROUP BY symbol HAVING count(close) >= 5"
-LD = "CASE WHEN max_drawdown < -40 THEN 'very_high' WHEN max_drawdown < -25 THEN 'high' WHEN max_drawdown < -15 THEN 'medium' ELSE 'low' END"
+DD = f"""SELECT symbol, min(dd) AS deepest, round(abs(min(dd)) * 100, 1) AS max_drawdown, round(abs(arg_max(dd, trade_date)) * 100, 1) AS current_drawdown
+    FROM (SELECT *, close / max(close) OVER ({W} ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM bars) GROUP BY symbol HAVING count(close) >= 5"""
+LD = "CASE WHEN deepest * 100 < -40 THEN 'very_high' WHEN deepest * 100 < -25 THEN 'high' WHEN deepest * 100 < -15 THEN 'medium' ELSE 'low' END"
 query("a02_drawdown", "bars", "symbol level", "max_drawdown current_drawdown", f"SELECT *, {LD} AS level FROM ({DD})")(risk.drawdown)
 LIQ = f"SELECT symbol, avg(volume) AS avg_volume, avg(amount) AS avg_amount FROM {RET} WHERE back <= 20 GROUP BY symbol"
 LL = "CASE WHEN avg_amount > 1e6 THEN 'high' WHEN avg_amount > 3e5 THEN 'medium' WHEN avg_amount > 1e5 THEN 'low' ELSE 'very_low' END"
 query("a03_liquidity", "bars", "symbol level", "avg_volume avg_amount", f"SELECT *, {LL} AS level FROM ({LIQ})")(risk.liquidity)
-query("a04_risk", "bars", "symbol risk_level", "risk_score", f"""
-    SELECT symbol, s AS risk_score, CASE WHEN s >= 70 THEN 'high' WHEN s >= 50 THEN 'medium' WHEN s >= 30 THEN 'low' ELSE 'very_low' END AS risk_level FROM (
-      SELECT symbol, greatest(0, least(100, 50 + CASE {LV} WHEN 'very_high' THEN 20 WHEN 'high' THEN 10 WHEN 'low' THEN -10 ELSE 0 END + CASE {LD} WHEN 'very_high' THEN 20 WHEN 'high' THEN 10 WHEN 'low' THEN -10 ELSE 0 END
-        + CASE {LL} WHEN 'very_low' THEN 10 WHEN 'high' THEN -10 ELSE 0 END)) AS s FROM ({VOL}) v JOIN ({DD}) d USING (symbol) JOIN ({LIQ}) l USING (symbol))""")(risk.risk)
+RISK = f"""SELECT symbol, s AS risk_score, CASE WHEN s >= 70 THEN 'low' WHEN s >= 50 THEN 'medium' WHEN s >= 30 THEN 'medium_high' ELSE 'high' END AS risk_level FROM (
+      SELECT symbol, greatest(0, least(100, 50 + CASE {LV} WHEN 'very_high' THEN -20 WHEN 'high' THEN -10 WHEN 'low' THEN 10 ELSE 0 END
+        + CASE {LD} WHEN 'very_high' THEN -20 WHEN 'high' THEN -10 ELSE 0 END + CASE {LL} WHEN 'very_low' THEN -10 WHEN 'high' THEN 5 ELSE 0 END)) AS s
+      FROM ({VOL}) v JOIN ({DD}) d USING (symbol) JOIN ({LIQ}) l USING (symbol))"""
+query("a04_risk", "bars", "symbol risk_level", "risk_score", RISK)(risk.risk)
 query("a05_price_percentiles", "bars", "symbol level", "pct_250 pct_750 pct_1250", f"""
     SELECT *, CASE WHEN pct_250 > 80 THEN 'very_high' WHEN pct_250 > 60 THEN 'high' WHEN pct_250 > 40 THEN 'medium' WHEN pct_250 > 20 THEN 'low' ELSE 'very_low' END AS level FROM (SELECT symbol, {', '.join(f'CASE WHEN count(*) FILTER (back <= {n}) >= 20 THEN avg(CASE WHEN close <= cur THEN 100.0 ELSE 0 END) FILTER (back <= {n}) END AS pct_{n}' for n in (250, 750, 1250))}
     FROM (SELECT *, first_value(close) OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS cur FROM {RET}) GROUP BY symbol)""")(risk.price_percentiles)
@@ -93,23 +95,27 @@ def level_sql(names: list[str], side: str) -> str:
     """DuckDB rows of the levels on one side."""
     price = {"boll_lower": "ma_20 - 2 * sd", "boll_upper": "ma_20 + 2 * sd"}
     each = " UNION ALL ".join(f"SELECT symbol, {i} AS i, '{n}' AS kind, {price.get(n, n)} AS p, close FROM l WHERE back = 1" for i, n in enumerate(names))
-    return f"""{LAST}, c AS ({each}), d AS (SELECT symbol, kind, i, round(p, 2) AS price, round(abs(p / close - 1) * 100, 1) AS distance FROM c WHERE p {side} close)
+    return f"""{LAST}, c AS ({each}), d AS (SELECT symbol, kind, i, round(p, 2) AS price, round(abs(p / close - 1) * 100, 1) AS distance, CASE WHEN kind LIKE '%60' THEN 'strong' ELSE 'medium' END AS strength FROM c WHERE p {side} close)
     SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY distance, i) AS rank FROM d QUALIFY rank <= 5"""
 
 
 SUP, RES = level_sql(["ma_20", "ma_60", "low_20", "low_60", "boll_lower"], "<"), level_sql(["ma_20", "ma_60", "ma_5", "high_20", "high_60", "boll_upper"], ">")
-query("t01_supports", "bars", "symbol rank kind", "price distance", SUP)(risk.supports)
-query("t02_resistances", "bars", "symbol rank kind", "price distance", RES)(risk.resistances)
-query("t03_targets", "bars", "symbol side rank", "price", f"""
-    WITH s AS ({SUP}), r AS ({RES}), b AS (SELECT symbol, 'buy' AS side, rank, price FROM s WHERE rank <= 3 UNION ALL SELECT symbol, 'sell', rank, price FROM r WHERE rank <= 3),
+query("t01_supports", "bars", "symbol rank kind strength", "price distance", SUP)(risk.supports)
+query("t02_resistances", "bars", "symbol rank kind strength", "price distance", RES)(risk.resistances)
+TARGETS = f"""
+    WITH s AS ({SUP}), r AS ({RES}),
+    b AS (SELECT symbol, 'buy' AS side, rank, price, kind, CASE WHEN strength = 'strong' AND distance < 10 THEN 'high' ELSE 'medium' END AS confidence FROM s WHERE rank <= 3
+      UNION ALL SELECT symbol, 'sell', rank, price, kind, CASE WHEN strength = 'strong' AND distance < 15 THEN 'high' ELSE 'medium' END FROM r WHERE rank <= 3),
     x AS (SELECT symbol, arg_max(close, trade_date) * (1 - 2 * stddev_pop(ret)) AS lo, max(high) AS hi FROM {RET} WHERE back <= 60 GROUP BY symbol),
-    y AS (SELECT symbol, 'buy' AS side, round(lo, 2) AS price FROM x UNION ALL SELECT symbol, 'sell', round(hi, 2) FROM x)
-    SELECT * FROM b UNION ALL SELECT symbol, side, 1, price FROM y ANTI JOIN b USING (symbol, side)""")(risk.targets)
-query("t04_trend", "bars", "symbol alignment label", "trend_score", f"""
-    {LAST}, t AS (SELECT symbol, CASE WHEN ma_5 > ma_20 AND ma_20 > ma_60 THEN 'bullish' WHEN ma_5 < ma_20 AND ma_20 < ma_60 THEN 'bearish' ELSE 'mixed' END AS alignment, sign(close / ma_60 - 1) * 10 + sign(close / c4 - 1) * 5 + sign(close / c19 - 1) * 15 AS s FROM l WHERE back = 1),
-    u AS (SELECT symbol, alignment, greatest(0, least(100, 50 + s + CASE alignment WHEN 'bullish' THEN 20 WHEN 'bearish' THEN -20 ELSE 0 END)) AS trend_score FROM t)
-    SELECT *, CASE WHEN trend_score >= 70 THEN 'strong_up' WHEN trend_score >= 55 THEN 'up' WHEN trend_score >= 45 THEN 'sideways' WHEN trend_score >= 30 THEN 'down' ELSE 'strong_down' END AS label FROM u""")(risk.trend_strength)
-query("t08_rankings", "bars", "symbol", "risk_close", f"SELECT symbol, close AS risk_close FROM {RET} WHERE back = 1 ORDER BY close DESC, symbol LIMIT 3")(lambda b: risk.top_of(risk.latest(b).withColumn("risk_close", F.col("close")), "risk_close"))
+    y AS (SELECT symbol, 'buy' AS side, round(lo, 2) AS price, 'deviation' AS kind, 'low' AS confidence FROM x UNION ALL SELECT symbol, 'sell', round(hi, 2), 'high_60', 'medium' FROM x)
+    SELECT symbol, side, rank, price, kind, confidence FROM b UNION ALL SELECT symbol, side, 1, price, kind, confidence FROM y ANTI JOIN b USING (symbol, side)"""
+query("t03_targets", "bars", "symbol side rank kind confidence", "price", TARGETS)(risk.targets)
+TREND = f"""
+    {LAST}, t AS (SELECT symbol, close, CASE WHEN ma_5 > ma_20 AND ma_20 > ma_60 THEN 'bullish' WHEN ma_5 < ma_20 AND ma_20 < ma_60 THEN 'bearish' ELSE 'mixed' END AS alignment,
+      (close / ma_60 - 1) * 100 AS ma60_distance, coalesce((close / c4 - 1) * 100, 0) AS change_5, coalesce((close / c19 - 1) * 100, 0) AS change_20 FROM l WHERE back = 1),
+    u AS (SELECT *, greatest(0, least(100, 50 + CASE alignment WHEN 'bullish' THEN 20 WHEN 'bearish' THEN -20 ELSE 0 END + CASE WHEN change_20 > 5 THEN 10 WHEN change_20 < -5 THEN -10 ELSE 0 END + CASE WHEN change_5 > 0 THEN 5 ELSE -5 END)) AS trend_score FROM t)
+    SELECT *, CASE WHEN trend_score >= 70 THEN 'strong' WHEN trend_score >= 55 THEN 'rather_strong' WHEN trend_score >= 45 THEN 'neutral' WHEN trend_score >= 30 THEN 'rather_weak' ELSE 'weak' END AS label FROM u"""
+query("t04_trend", "bars", "symbol alignment label", "trend_score ma60_distance change_5 change_20", TREND)(risk.trend_strength)
 query("t11_history", "run_log", "conv_id turn", "", "SELECT conv_id, turn FROM run_log ORDER BY conv_id DESC, turn DESC LIMIT 200")(lambda r: r.orderBy(F.desc("conv_id"), F.desc("turn")).limit(200))
 REV = "SELECT * FROM fin_rev WHERE {f} QUALIFY row_number() OVER (PARTITION BY symbol, end_date ORDER BY ann_date DESC NULLS LAST, update_flag DESC, load_seq DESC) = 1"
 query("p06_as_of", "fin_rev", "symbol end_date load_seq", "", f"SELECT * FROM fin_rev WHERE end_date <= {D} AND ann_date <= {D}")(lambda f: pit.as_of(f, "1997-06-30"))

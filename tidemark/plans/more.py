@@ -1,16 +1,23 @@
-"""Further queries: parameters, checklists, optimizer summaries, packages."""
+"""Further queries: parameters, checklists, optimizer summaries, packages."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..operators import fundamentals as fu
-from ..operators import recon
-from ..operators import strategy as st
-from .analysis import BC, FIELDS, GRID, HELD, MET, PR, QUEUE, T3
+from ..operators import indicators, recon, rules
+from .analysis import BC, FIELDS, PR, QUEUE, T3
 from .base import query
+from .indicators import PARTS
+from .market import RES, SUP, TARGETS, TREND
+
+
+def listed(column: str, *fields: str) -> Column:
+    """A list of levels as text: the named fields of each."""
+    return F.array_join(F.transform(column, lambda x: F.concat_ws(":", *[x[f] for f in fields])), ",")
+
 
 query("p11_rounded", "customer", "c_custkey", "x", "SELECT c_custkey, round(c_acctbal, 1) AS x FROM customer", digits=2)(lambda c: c.select("c_custkey", fn.rounded(F.col("c_acctbal"), 1).alias("x")))
 query("p17_redact_map", "run_log", "conv_id turn api_key mode", "", "SELECT conv_id, turn, '***' AS api_key, mode FROM run_log")(
@@ -36,24 +43,6 @@ query("j13_key_sets", "fin_base fin_right", "symbol end_date side", "", "SELECT
 query("j16_checklist", "supplier fin_base", "s_suppkey end_date", "", "SELECT s_suppkey, end_date FROM supplier CROSS JOIN (SELECT DISTINCT end_date FROM fin_base WHERE y = 1997)")(lambda s, f: s.select("s_suppkey").crossJoin(F.broadcast(f.filter("y = 1997").select("end_date").distinct())))
 
 
-@query("a14_sensitivity", "bars", "symbol name value candidates", "low mid high", f"""SELECT symbol, name, value, count(*) AS candidates, min(sharpe) AS low, median(sharpe) AS mid, max(sharpe) AS high FROM (
-    SELECT symbol, sharpe, unnest([struct_pack(name := 'fast', value := fast), struct_pack(name := 'slow', value := slow)], recursive := true) FROM {MET} JOIN (VALUES (0, 5, 20), (1, 5, 60), (2, 20, 60)) g(run_id, fast, slow) USING (run_id) WHERE slice = 'train') GROUP BY ALL""", digits=3)
-def sensitivity(bars: DataFrame) -> DataFrame:
-    """Objective of the candidates by each parameter's value."""
-    f = st.ranked(st.metrics(HELD(bars))).join(F.broadcast(GRID(bars)), "run_id")
-    each = F.explode(F.array(*[F.struct(F.lit(p).alias("name"), F.col(p).alias("value")) for p in ("fast", "slow")])).alias("p")
-    return f.select("symbol", "objective", each).groupBy("symbol", "p.name", "p.value").agg(F.count("*").alias("candidates"), F.min("objective").alias("low"), F.median("objective").alias("mid"), F.max("objective").alias("high"))
-
-
-@query("a15_optimizer_summary", "bars", "symbol candidates near", "best margin mid", f"""SELECT symbol, count(*) AS candidates, max(sharpe) AS best, max(sharpe) - max(sharpe) FILTER (r = 2) AS margin, median(sharpe) AS mid, count(*) FILTER (sharpe >= top - greatest(0.05 * abs(top), 0.01)) AS near
-    FROM (SELECT *, max(sharpe) OVER (PARTITION BY symbol) AS top, row_number() OVER (PARTITION BY symbol ORDER BY sharpe DESC, run_id) AS r FROM {MET} WHERE slice = 'train') GROUP BY symbol""", digits=3)
-def optimizer_summary(bars: DataFrame) -> DataFrame:
-    """Candidates, the best, its margin, the median, and how many are near the best."""
-    f = st.ranked(st.metrics(HELD(bars))).withColumn("top", F.max("objective").over(Window.partitionBy("symbol")))
-    near = F.col("objective") >= F.col("top") - F.greatest(F.abs("top") * 0.05, F.lit(0.01))
-    return f.groupBy("symbol").agg(F.count("*").alias("candidates"), F.max("objective").alias("best"), (F.max("objective") - F.max(F.when(F.col("rank") == 2, F.col("objective")))).alias("margin"), F.median("objective").alias("mid"), F.count_if(near).alias("near"))
-
-
 @query("t09_mismatches", "fin_base fin_right", "symbol end_date field total", "", f"SELECT symbol, end_date, field, (SELECT count(*) FROM {BC} WHERE NOT matches) AS total FROM {BC} WHERE NOT matches ORDER BY symbol, end_date, field LIMIT 100")
 def mismatches(a: DataFrame, b: DataFrame) -> DataFrame:
     """The first 100 mismatches and the count of all."""
@@ -69,6 +58,29 @@ query("e03_polarity", "events", "event_id polarity", "strength", "SELECT event_i
 query("e12_context_tags", "run_log", "conv_id turn tags", "", "SELECT conv_id, turn, concat_ws(',', CASE WHEN mode = 'user' THEN 'question' END, CASE WHEN tokens > 500 THEN 'long' END, 'chat') AS tags FROM run_log")(
     lambda r: r.select("conv_id", "turn", F.array_join(F.array_distinct(F.array_compact(F.array(F.when(F.col("mode") == "user", "question"), F.when(F.col("tokens") > 500, "long"), F.lit("chat"), F.lit("chat")))), ",").alias("tags")))
 query("e14_package_size", "supplier", "s_suppkey size", "", """SELECT s_suppkey, strlen('{"s_suppkey":' || s_suppkey || ',"s_nationkey":' || s_nationkey || '}') AS size FROM supplier""")(lambda s: s.select("s_suppkey", F.octet_length(F.to_json(F.struct("s_suppkey", "s_nationkey"))).alias("size")))
-query("f10_score_impact", "fin_base", "symbol", "impact")(lambda f: fu.score(f).select("symbol", F.col("fundamental_score").alias("a")).join(fu.score(f.withColumn("net_profit_attributable", F.lit(None).cast("double"))).select("symbol", F.col("fundamental_score").alias("b")), "symbol").withColumn("impact", F.col("a") - F.col("b")))
-query("b08_warnings", "bars", "symbol run_id slice warnings", "", f"SELECT symbol, run_id, slice, concat_ws(',', 'no_limit_columns', CASE WHEN trades = 0 THEN 'no_trade' END) AS warnings FROM {MET}")(
-    lambda b: st.metrics(HELD(b)).withColumn("warnings", F.array_join(F.array_compact(F.array(F.lit("no_limit_columns"), F.when(F.col("trades") == 0, "no_trade"))), ",")))
+
+# Levels, confidence and comparison: last indicators, levels, trend.
+LAST_SQL = " JOIN ".join(f"(SELECT symbol, {', '.join(f'arg_max({c}, trade_date) AS {c}' for c in cols.split())} FROM ({PARTS[k]}) GROUP BY symbol)" + (" USING (symbol)" if k != "w05" else "") for k, cols in (("w05", "macd macd_signal"), ("w04", "rsi_14"), ("w10", "volume_ratio")))
+CONFIDENCE = f"""(WITH j AS (SELECT t.*, i.* EXCLUDE (symbol), s.distance AS below, r.distance AS above FROM ({TREND}) t JOIN (SELECT * FROM {LAST_SQL}) i USING (symbol)
+      LEFT JOIN (SELECT symbol, distance FROM ({SUP}) WHERE rank = 1) s USING (symbol) LEFT JOIN (SELECT symbol, distance FROM ({RES}) WHERE rank = 1) r USING (symbol)),
+    c AS (SELECT *, least(100, round(20 * (CASE WHEN alignment = 'bullish' AND trend_score >= 45 THEN 1 WHEN alignment = 'mixed' AND trend_score >= 50 THEN 0.5 ELSE 0 END + CASE WHEN macd > macd_signal THEN 1 ELSE 0 END
+        + CASE WHEN rsi_14 < 30 THEN 1.5 WHEN rsi_14 <= 60 THEN 1 ELSE 0 END + CASE WHEN below < 10 THEN 1 ELSE 0 END + CASE WHEN volume_ratio < 0.7 THEN 0.5 ELSE 0 END))) AS buy_confidence,
+      least(100, round(20 * (CASE WHEN alignment = 'bearish' THEN 1 ELSE 0 END + CASE WHEN macd < macd_signal THEN 1 ELSE 0 END + CASE WHEN rsi_14 > 70 THEN 1.5 WHEN rsi_14 > 60 THEN 0.5 ELSE 0 END
+        + CASE WHEN above < 5 THEN 1.5 ELSE 0 END + CASE WHEN trend_score < 40 THEN 1 ELSE 0 END))) AS sell_confidence FROM j)
+    SELECT *, {', '.join(f"CASE WHEN {k}_confidence >= 70 THEN 'high' WHEN {k}_confidence >= 50 THEN 'medium' WHEN {k}_confidence >= 30 THEN 'low' ELSE 'very_low' END AS {k}_label" for k in ('buy', 'sell'))} FROM c)"""
+KINDS = lambda sql, by="kind": f"(SELECT symbol, string_agg({by}, ',' ORDER BY rank) AS x, max(price) FILTER (rank = 1) AS p1, max(price) FILTER (rank = 2) AS p2 FROM ({sql}) GROUP BY symbol)"
+AIMS = f"(SELECT symbol, side, string_agg(kind || ':' || confidence, ',' ORDER BY rank) AS x FROM ({TARGETS}) GROUP BY symbol, side)"
+query("t05_confidence", "bars", "symbol buy_label sell_label", "buy_confidence sell_confidence", f"SELECT * FROM {CONFIDENCE}")(rules.confidence)
+query("t06_level_bundle", "bars", "symbol alignment label buy_label sell_label below above buy sell", "trend_score buy_confidence sell_confidence", f"""
+    SELECT c.* EXCLUDE (below, above), coalesce(s.x, '') AS below, coalesce(r.x, '') AS above, b.x AS buy, e.x AS sell FROM {CONFIDENCE} c LEFT JOIN {KINDS(SUP)} s USING (symbol) LEFT JOIN {KINDS(RES)} r USING (symbol)
+    JOIN {AIMS} b ON b.symbol = c.symbol AND b.side = 'buy' JOIN {AIMS} e ON e.symbol = c.symbol AND e.side = 'sell'""")(
+    lambda b: rules.level_bundle(b).withColumns({"below": listed("supports", "kind"), "above": listed("resistances", "kind"), "buy": listed("buy_targets", "kind", "confidence"), "sell": listed("sell_targets", "kind", "confidence")}))
+VALUED = lambda b: indicators.latest(b).select("symbol", (F.col("close") / 50 - 5).alias("pe_ttm"), (F.col("volume") / 20).alias("pb"))
+COMPARED = f"""(SELECT c.symbol, close, CASE alignment WHEN 'bullish' THEN 'up' WHEN 'bearish' THEN 'down' ELSE 'sideways' END AS trend, rsi_14 AS rsi, CASE WHEN macd > macd_signal THEN 'golden' ELSE 'death' END AS macd_status,
+    close / 50 - 5 AS pe_ttm, volume / 20 AS pb, buy_confidence, sell_confidence, s.p1 AS s1, s.p2 AS s2, r.p1 AS r1, r.p2 AS r2
+    FROM {CONFIDENCE} c JOIN (SELECT symbol, arg_max(volume, trade_date) AS volume FROM bars GROUP BY symbol) USING (symbol) LEFT JOIN {KINDS(SUP)} s USING (symbol) LEFT JOIN {KINDS(RES)} r USING (symbol))"""
+PRICES = {f"{side[0]}{i + 1}": (side, i) for side in ("supports", "resistances") for i in (0, 1)}
+query("t07_comparison", "bars", "symbol trend macd_status", "close rsi pe_ttm pb buy_confidence sell_confidence s1 s2 r1 r2", f"SELECT * REPLACE (round(close, 2) AS close, round(rsi, 1) AS rsi) FROM {COMPARED}", digits=1)(
+    lambda b: rules.comparison(b, VALUED(b)).withColumns({k: F.get(side, F.lit(i)) for k, (side, i) in PRICES.items()}))
+RANK = lambda name, column, order: f"SELECT '{name}' AS ranking, symbol, {column} AS value, row_number() OVER (ORDER BY {column} {order}, symbol) AS rank FROM (SELECT * REPLACE (round(rsi, 1) AS rsi) FROM {COMPARED}) WHERE {column} IS NOT NULL QUALIFY rank <= 3"
+query("t08_rankings", "bars", "ranking symbol rank", "value", " UNION ALL ".join([RANK("pe_lowest", "pe_ttm", "ASC"), RANK("rsi_strongest", "rsi", "DESC"), RANK("buy_confidence_highest", "buy_confidence", "DESC")]), digits=1)(lambda b: rules.rankings(rules.comparison(b, VALUED(b))))
