@@ -123,16 +123,19 @@ def _issues(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
 
 
 def check_bars(bars: DataFrame) -> DataFrame:
+    """Missing values by column, jumps of more than 11 %, highs and lows that the body leaves, days without volume."""
     f = bars.withColumn("jump", F.abs(F.try_divide(F.col("close"), F.lag("close").over(W())) - 1) > 0.11)
     c = F.col
-    return _issues(f, {"null_close": c("close").isNull(), "jump": c("jump"), "high_below_body": c("high") < F.greatest("open", "close"), "low_above_body": c("low") > F.least("open", "close"), "zero_volume": c("volume") == 0})
+    nulls = {f"null_{k}": c(k).isNull() for k in ("open", "high", "low", "close", "volume")}
+    return _issues(f, nulls | {"jump": c("jump"), "high_below_body": c("high") < F.greatest("open", "close"), "low_above_body": c("low") > F.least("open", "close"), "zero_volume": c("volume") == 0})
 
 
 def check_statements(df: DataFrame, never_negative: tuple[str, ...] = ("total_assets", "revenue")) -> DataFrame:
-    """Half of a column missing, periods more than 200 days apart, negative values where there are none."""
+    """Columns more than half of which is missing, periods more than 200 days apart, negative values where there are none."""
     gap = F.datediff("end_date", F.lag("end_date").over(Window.partitionBy("symbol").orderBy("end_date"))) > 200
+    fields = [k for k in df.columns if k not in ("symbol", "end_date")]
     out = _issues(df.withColumn("gap", gap), {"period_gap": F.col("gap"), **{f"negative_{k}": F.col(k) < 0 for k in never_negative}})
-    share = null_ratios(df, ["revenue", "net_profit"]).filter("ratio > 0.5").select("symbol", F.concat(F.lit("null_"), "field").alias("rule"), F.lit(1).cast("bigint").alias("n"))
+    share = null_ratios(df, fields).filter("ratio > 0.5").select("symbol", F.concat(F.lit("null_"), "field").alias("rule"), F.lit(1).cast("bigint").alias("n"))
     return out.unionByName(share)
 
 
@@ -148,17 +151,11 @@ def factor_coverage(bars: DataFrame, factors: DataFrame) -> DataFrame:
     return b.join(f, "symbol", "left").select("symbol", F.coalesce((F.col("f0") <= F.col("b0")) & (F.col("f1") >= F.col("b1")), F.lit(False)).alias("covered"))
 
 
-def report(*rules: DataFrame) -> DataFrame:
-    """Issues of all rule tables, per symbol."""
-    every = reduce(DataFrame.unionByName, rules)
-    return every.groupBy("symbol").agg(F.count("*").alias("warnings"), F.array_join(F.array_sort(F.collect_list("rule")), ",").alias("details"))
-
-
-def gate(checks: DataFrame) -> DataFrame:
-    """From (symbol, check, status) to pass, degraded or block, with the cap on confidence."""
-    level = F.when(F.col("status") == "block", 2).when(F.col("status") == "degraded", 1).otherwise(0)
-    f = checks.groupBy("symbol").agg(F.max(level).alias("v"), F.count("*").alias("checks"))
-    return f.select("symbol", "checks", F.element_at(F.array(*map(F.lit, ("pass", "degraded", "block"))), F.col("v") + 1).alias("gate"), F.element_at(F.array(*map(F.lit, (80, 60, 0))), F.col("v") + 1).alias("cap"))
+def report(symbols: DataFrame, *rules: DataFrame) -> DataFrame:
+    """One row a symbol: whether it is valid, the number of issues of all rule tables, and their names."""
+    every = reduce(DataFrame.unionByName, rules).groupBy("symbol").agg(F.count("*").alias("warnings"), F.array_join(F.array_sort(F.collect_list("rule")), ",").alias("details"))
+    f = symbols.select("symbol").distinct().join(every, "symbol", "left")
+    return f.withColumns({"warnings": F.coalesce("warnings", F.lit(0)), "details": F.coalesce("details", F.lit("")), "valid": F.col("warnings").isNull()})
 
 
 def bar_contract(bars: DataFrame) -> DataFrame:

@@ -54,6 +54,19 @@ def attributed(audit: DataFrame, ratios: DataFrame, provider: DataFrame, toleran
     return f.withColumn("resolution", kind).drop("roa", "roe", "roa_yearly", "roe_yearly")
 
 
+def key_counts(left: DataFrame, right: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """Rows of ``left`` with ``versions``, the rows that ``right`` has for their key, and whether there is at most one."""
+    n = right.groupBy(*keys).agg(F.count("*").alias("versions"))
+    return left.join(n, keys, "left").withColumn("versions", F.coalesce("versions", F.lit(0))).withColumn("unique_key", F.col("versions") <= 1)
+
+
+def ledger_join(left: DataFrame, right: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """Left join of a ledger that has one row for each key; a key with more is an error when the rows are read."""
+    n = F.count("*").over(Window.partitionBy(*keys))
+    checked = right.withColumn("_n", F.when(n > 1, F.raise_error(F.concat(F.lit("several rows for "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))).cast("bigint")).otherwise(n))
+    return left.join(checked.filter("_n = 1").drop("_n"), keys, "left")
+
+
 def disposed(audit: DataFrame, resolutions: DataFrame) -> DataFrame:
     """Disposition and actionability of each audit row by ``role``, ``manual_decision`` and the resolution of its key.
 
@@ -70,20 +83,20 @@ def disposed(audit: DataFrame, resolutions: DataFrame) -> DataFrame:
     return f.withColumns({"disposition": what.otherwise("unclassified"), "actionability": act.otherwise("review_required")})
 
 
-def unreadable(queue: DataFrame, at_least: int = 8) -> DataFrame:
-    """Open differences of reports that miss at least so many fields: role source_unreadable, score 0."""
-    report = Window.partitionBy(*KEY)
-    missing = F.count_if(F.col("bucket").startswith("missing") & (F.col("state") != "resolved")).over(report)
-    hit = (missing >= at_least) & F.col("bucket").startswith("missing") & (F.col("state") != "resolved")
-    return queue.withColumns({"role": F.when(hit, "source_unreadable").otherwise(F.col("role")), "priority": F.when(hit, 0).otherwise(F.col("priority"))})
-
+def source_gate(snapshot: DataFrame, reconciled: DataFrame, disposition: DataFrame, derived: DataFrame, expected: int, exact: tuple[str, ...] = ("balance", "cashflow")) -> DataFrame:
+    """One row: whether a source passes with reservations.
 
-def source_gate(reconciled: DataFrame, disposition: DataFrame, expected: int, exact: tuple[str, ...] = ("balance", "cashflow")) -> DataFrame:
-    """One row: whether a source passes with reservations, which needs the expected coverage of every dataset, no mismatch in ``exact`` ones and nothing left to act on."""
+    It needs a sound snapshot (no broken rules), the expected coverage of every dataset, no mismatch in ``exact`` ones, and
+    nothing left to act on or unclassified. What waits for a policy is a reservation. derived has the resolutions of derived
+    indicators, which are reported only.
+    """
+    broken = snapshot.agg(F.count("*").alias("broken_rules"))
     cover = reconciled.agg(F.count("*").alias("datasets"), F.min("matched").alias("least_matched"), F.sum(F.when(F.col("dataset").isin(*exact), F.col("mismatches")).otherwise(0)).alias("hard_mismatches"))
-    left = disposition.agg(F.count_if(F.col("actionability").isin("evidence_required", "review_required")).alias("actionable"), F.count_if(F.col("disposition") == "unclassified").alias("unclassified"))
-    good = (F.col("datasets") > 0) & (F.col("least_matched") == expected) & (F.col("hard_mismatches") == 0) & (F.col("actionable") == 0)
-    return cover.crossJoin(left).withColumn("status", F.when(good, "pass_with_reservations").otherwise("fail"))
+    left = disposition.agg(F.count_if(F.col("actionability").isin("evidence_required", "review_required")).alias("actionable"), F.count_if(F.col("disposition") == "unclassified").alias("unclassified"), F.count_if(F.col("actionability") == "policy_required").alias("reservations"))
+    solved = derived.agg(F.count_if(F.startswith("resolution", F.lit("resolved"))).alias("derived_resolved"), F.count("*").alias("derived_rows"))
+    good = (F.col("broken_rules") == 0) & (F.col("datasets") > 0) & (F.col("least_matched") == expected) & (F.col("hard_mismatches") == 0) & (F.col("actionable") == 0) & (F.col("unclassified") == 0)
+    # All of these are single rows.
+    return broken.crossJoin(cover).crossJoin(left).crossJoin(solved).withColumn("status", F.when(good, "pass_with_reservations").otherwise("fail"))
 
 
 def wide_matches(wide: DataFrame, normalized: DataFrame, fields: list[str], tolerance: float = 1e-9) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import close_to, difference_bucket
+from ..functions.scalars import close_to, difference_bucket, report_type
 from . import pit
 
 KEY = ["symbol", "end_date"]
@@ -28,12 +30,33 @@ def compared(left: DataFrame, right: DataFrame, fields: list[str]) -> DataFrame:
     return f.withColumns({"matches": close_to(F.col("left_value"), F.col("right_value")), "bucket": difference_bucket(F.col("left_value"), F.col("right_value"))})
 
 
-def reconcile(left: DataFrame, right: DataFrame, fields: list[str], dataset: str) -> DataFrame:
-    """One row: keys matched and not, mismatches, and pass, partial or insufficient."""
-    sides = alignment(left, right).agg(*[F.count_if(F.col("side") == s).alias(s) for s in ("matched", "left_only", "right_only")])
-    miss = compared(left, right, fields).agg(F.count("*").alias("cells"), F.count_if(~F.col("matches")).alias("mismatches"))
-    status = F.when(F.col("matched") == 0, "insufficient").when((F.col("mismatches") == 0) & (F.col("left_only") == 0) & (F.col("right_only") == 0), "pass").otherwise("partial")
-    return sides.crossJoin(miss).select(F.lit(dataset).alias("dataset"), "*", status.alias("status"))
+def known(frame: DataFrame, as_of: str | None) -> DataFrame:
+    """A side's rows as known at a date, one revision of each period; all rows where no date is given."""
+    return frame if as_of is None else pit.pit_view(frame, as_of)
+
+
+def _side(frame: DataFrame, as_of: str | None, name: str) -> DataFrame:
+    """One row on a side: rows known at the date, periods, revisions beyond one of each period, and rows from the future."""
+    frame = frame.filter("end_date is not null")
+    if as_of is None:
+        future = F.lit(False)
+    else:
+        day = F.lit(as_of).cast("date")
+        future = (F.col("end_date") > day) | F.coalesce(pit.announced(frame) > day, F.lit(False))
+    f = frame.withColumn("_future", future)
+    keys = F.count_distinct(F.when(~F.col("_future"), F.struct(*KEY)))
+    return f.agg(F.count_if(~F.col("_future")).alias(f"{name}_rows"), keys.alias(f"{name}_periods"), F.count_if("_future").alias(f"{name}_future")).withColumn(f"{name}_revisions", F.col(f"{name}_rows") - F.col(f"{name}_periods"))
+
+
+def reconcile(left: DataFrame, right: DataFrame, fields: list[str], dataset: str, as_of: str | None = None) -> DataFrame:
+    """One row: both sides' rows, revisions and future rows, keys matched and not, mismatches, and pass, partial or insufficient."""
+    a, b = known(left, as_of), known(right, as_of)
+    sides = alignment(a, b).agg(*[F.count_if(F.col("side") == s).alias(s) for s in ("matched", "left_only", "right_only")])
+    miss = compared(a, b, fields).agg(F.count("*").alias("cells"), F.count_if(~F.col("matches")).alias("mismatches"))
+    none = (F.col("left_periods") == 0) | (F.col("right_periods") == 0)
+    status = F.when(none, "insufficient").when((F.col("mismatches") == 0) & (F.col("left_only") == 0) & (F.col("right_only") == 0), "pass").otherwise("partial")
+    # All of these are single rows.
+    return _side(left, as_of, "left").crossJoin(_side(right, as_of, "right")).crossJoin(sides).crossJoin(miss).select(F.lit(dataset).alias("dataset"), "*", status.alias("status"))
 
 
 def overall(results: DataFrame) -> DataFrame:
@@ -60,47 +83,125 @@ def security_profile(cells: DataFrame) -> DataFrame:
     return cells.groupBy("symbol", "field").agg(*[F.count_if(F.col("bucket") == b).alias(f"b_{b}") for b in BUCKETS], F.count_if(~F.col("matches")).alias("mismatches"))
 
 
+MISMATCHES = ["under_1pct", "1_to_10pct", "10_to_50pct", "over_50pct", "missing_left", "missing_right"]
+
+
 def three_way(left: DataFrame, now: DataFrame, before: DataFrame, fields: list[str]) -> DataFrame:
-    """Differences now and before: new, changed, carried_forward or resolved."""
+    """Differences now and before: new, changed, carried_forward or resolved; other cells are left out."""
     f = compared(left, now, fields).join(long(before, fields, "previous"), [*KEY, "field"], "left")
-    was = ~close_to(F.col("left_value"), F.col("previous"))
-    state = F.when(F.col("matches"), F.when(was, "resolved")).when(~was, "new").when(close_to(F.col("right_value"), F.col("previous")), "carried_forward").otherwise("changed")
+    f = f.withColumn("previous_bucket", difference_bucket(F.col("left_value"), F.col("previous")))
+    was, still = F.col("previous_bucket").isin(MISMATCHES), difference_bucket(F.col("right_value"), F.col("previous")) == "exact"
+    state = F.when((F.col("bucket") == "exact") & was, "resolved").when(~F.col("bucket").isin(MISMATCHES), None).when(~was, "new").when(still, "carried_forward").otherwise("changed")
     return f.withColumn("state", state).filter("state is not null")
 
 
+# Points of a difference by its bucket and state; indicators that providers derive, and the one a formula covers.
+BUCKET_POINTS = {"over_50pct": 90, "10_to_50pct": 70, "missing_left": 65, "missing_right": 60, "1_to_10pct": 35, "under_1pct": 15}
+STATE_POINTS = {"new": 25, "changed": 20, "carried_forward": 0}
+INDICATORS, DERIVED, COVERED, DERIVED_POINTS = "fina_indicator", ["roe", "eps"], "roa", -20
+#: Roles that no report has to be read for.
+EXPLAINED = ["formula_coverage", "derived_indicator", "provider_revision", "source_unreadable", "manual_decision"]
+
+
 def prioritized(diffs: DataFrame) -> DataFrame:
-    """Score by the bucket and the state, and what kind of work the difference is."""
-    bucket = F.create_map(*[F.lit(x) for kv in {"over_50pct": 50, "10_to_50pct": 40, "1_to_10pct": 30, "under_1pct": 10, "missing_right": 25, "missing_left": 25}.items() for x in kv])
-    state = F.create_map(*[F.lit(x) for kv in {"new": 20, "changed": 15, "carried_forward": 5}.items() for x in kv])
-    score = F.coalesce(bucket[F.col("bucket")], F.lit(0)) + F.coalesce(state[F.col("state")], F.lit(0))
-    return diffs.withColumns({"priority": F.when(F.col("state") == "resolved", 0).otherwise(score), "role": F.when(F.col("bucket").startswith("missing"), "coverage").otherwise("value")})
+    """Score and role of differences, by ``dataset``, field, bucket and state."""
+    points = lambda c, m: F.coalesce(F.create_map(*[F.lit(x) for kv in m.items() for x in kv])[F.col(c)], F.lit(0))
+    score, indicator = points("bucket", BUCKET_POINTS) + points("state", STATE_POINTS), F.col("dataset") == INDICATORS
+    solved, covered, derived = F.col("state") == "resolved", indicator & (F.col("field") == COVERED) & (F.col("bucket") == "missing_right"), indicator & F.col("field").isin(DERIVED)
+    role = F.when(solved, "resolved_regression").when(covered, "formula_coverage").when(derived, "derived_indicator").otherwise("base_financial")
+    return diffs.withColumns({"priority": F.when(solved | covered, 0).when(derived, score + DERIVED_POINTS).otherwise(score), "role": role})
 
 
 def with_revisions(queue: DataFrame, revisions: DataFrame, fields: list[str]) -> DataFrame:
-    """Differences whose current value equals some revision of the left source have the role provider_revision and score 5."""
-    same = queue.join(long(revisions, fields, "some"), [*KEY, "field"]).filter(close_to(F.col("right_value"), F.col("some"))).select(*KEY, "field").distinct().withColumn("_rev", F.lit(True))
+    """Open differences whose current value is that of some revision of the left source: role provider_revision, score 5."""
+    same = queue.join(long(revisions, fields, "some"), [*KEY, "field"]).filter(F.col("right_value").isNotNull() & F.col("some").isNotNull() & close_to(F.col("right_value"), F.col("some")))
+    same = same.select(*KEY, "field").distinct().withColumn("_rev", F.lit(True))
     out, hit = queue.join(same, [*KEY, "field"], "left"), F.col("_rev") & (F.col("state") != "resolved")
     return out.withColumns({"role": F.when(hit, "provider_revision").otherwise(F.col("role")), "priority": F.when(hit, 5).otherwise(F.col("priority"))}).drop("_rev")
 
 
+def unreadable_reports(snapshot: DataFrame, at_least: int = 8) -> DataFrame:
+    """Reports of a parsed snapshot (symbol, end_date, missing: names joined by commas) that miss at least so many fields."""
+    names = F.filter(F.split(F.coalesce("missing", F.lit("")), ","), lambda x: F.trim(x) != "")
+    return snapshot.filter(F.size(names) >= at_least).select(*KEY).distinct()
+
+
+def with_unreadable(queue: DataFrame, reports: DataFrame) -> DataFrame:
+    """Open differences of unreadable reports: role source_unreadable, score 0."""
+    out = queue.join(reports.select(*KEY).distinct().withColumn("_bad", F.lit(True)), KEY, "left")
+    hit = F.col("_bad") & (F.col("state") != "resolved")
+    return out.withColumns({"role": F.when(hit, "source_unreadable").otherwise(F.col("role")), "priority": F.when(hit, 0).otherwise(F.col("priority"))}).drop("_bad")
+
+
 def with_decisions(queue: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Manual decisions override: role manual, score 0, with the decision as the reason."""
-    out = queue.join(F.broadcast(decisions.groupBy(*KEY, "field").agg(F.max("decision").alias("reason"))), [*KEY, "field"], "left")
-    hit = F.col("reason").isNotNull()
-    return out.withColumns({"role": F.when(hit, "manual").otherwise(F.col("role")), "priority": F.when(hit, 0).otherwise(F.col("priority"))})
+    """Manual decisions override: role manual_decision, score 0. An empty decision is none; of several of a key the last by name counts."""
+    made = decisions.filter(F.trim("decision") != "").groupBy("dataset", *KEY, "field").agg(F.max(F.trim("decision")).alias("manual_decision"))
+    out, hit = queue.join(made, ["dataset", *KEY, "field"], "left"), F.col("manual_decision").isNotNull()
+    return out.withColumns({"role": F.when(hit, "manual_decision").otherwise(F.col("role")), "priority": F.when(hit, 0).otherwise(F.col("priority"))})
 
 
-def selected(queue: DataFrame, per_cluster: int = 3, most: int = 30) -> DataFrame:
-    """Open differences by priority: so many of a cluster (symbol and field), then so many in all."""
-    order = [F.desc("priority"), "end_date"]
-    f = queue.filter((F.col("state") != "resolved") & (F.col("priority") > 0))
-    f = f.withColumn("cluster_rank", F.row_number().over(Window.partitionBy("symbol", "field").orderBy(*order)))
-    return f.filter(F.col("cluster_rank") <= per_cluster).orderBy(F.desc("priority"), "symbol", "field", "end_date").limit(most)
+def audit_rows(datasets: dict[str, tuple[DataFrame, DataFrame, DataFrame, list[str]]], as_of: str | None, reports: DataFrame | None = None, decisions: DataFrame | None = None) -> DataFrame:
+    """All differences of the datasets (left, right now, right before, fields), known at a date, with state, score, role and cluster.
+
+    Overrides come in this order: a revision of the left source, unreadable reports, manual decisions. A cluster is the
+    dataset, field, bucket (of a resolved difference the previous one) and kind of report.
+    """
+    parts = []
+    for name, (left, now, before, fields) in datasets.items():
+        f = three_way(known(left, as_of), known(now, as_of), known(before, as_of), fields).withColumn("dataset", F.lit(name))
+        parts.append(with_revisions(prioritized(f), left if as_of is None else pit.as_of(left, as_of), fields))
+    queue = reduce(DataFrame.unionByName, parts)
+    if reports is not None:
+        queue = with_unreadable(queue, reports)
+    if decisions is not None:
+        queue = with_decisions(queue, decisions)
+    queue = queue.withColumn("report_type", report_type(F.col("end_date")))
+    seen = F.when(F.col("state") == "resolved", F.col("previous_bucket")).otherwise(F.col("bucket"))
+    return queue.withColumns({"cluster": F.concat_ws(".", "dataset", "field", seen, "report_type"), "eligible": ~F.col("role").isin(EXPLAINED), "open": F.col("state") != "resolved"})
+
+
+#: The order of the queue; a cluster has one row for each symbol and period.
+ORDER = ["cluster", "symbol", "end_date"]
+
 
+def cluster_ranked(queue: DataFrame) -> DataFrame:
+    """``cluster_rank``, the place of each row in its cluster by score, symbol and period.
 
-def queue_summary(queue: DataFrame) -> DataFrame:
-    states = ["new", "changed", "carried_forward", "resolved"]
-    return queue.agg(F.count("*").alias("rows"), F.countDistinct("symbol").alias("symbols"), *[F.count_if(F.col("state") == s).alias(s) for s in states], F.count_if(F.col("priority") > 0).alias("actionable"), F.max("priority").alias("top_priority"))
+    A cluster may hold a large part of all rows. So rows are ranked within cluster, score and symbol, and what comes before is
+    added from the counts of these.
+    """
+    step = ["cluster", "priority", "symbol"]
+    counts = queue.groupBy(*step).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("cluster").orderBy(F.desc("priority"), "symbol").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inner = F.row_number().over(Window.partitionBy(*step).orderBy("end_date"))
+    return queue.withColumn("_in", inner).join(counts.withColumn("_before", before).drop("_n"), step).withColumn("cluster_rank", F.col("_before") + F.col("_in")).drop("_in", "_before")
+
+
+def selected(queue: DataFrame, per_cluster: int = 3, most: int = 30) -> DataFrame:
+    """The batch to look at: open and eligible rows among the first of their cluster, then so many in all."""
+    first = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("priority"), *ORDER[1:]))
+    f = queue.withColumn("cluster_rank", first).filter(F.col("cluster_rank") <= per_cluster).filter("eligible and open")
+    return f.orderBy(F.desc("priority"), *ORDER).limit(most)
+
+
+def audit_tables(queue: DataFrame, per_cluster: int = 3, most: int = 30) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Open rows with a flag for the selected ones, the selected batch, and resolved rows."""
+    batch = selected(queue, per_cluster, most)
+    marks = batch.select("dataset", *KEY, "field", F.lit(True).alias("selected"))  # ``most`` rows at most
+    listed = queue.filter("open").join(F.broadcast(marks), ["dataset", *KEY, "field"], "left")
+    return listed.withColumn("selected", F.coalesce("selected", F.lit(False))), batch, queue.filter("not open")
+
+
+def queue_summary(queue: DataFrame, per_cluster: int = 3, most: int = 30) -> DataFrame:
+    """One row of counts over open, selected and resolved rows."""
+    of = lambda c: F.count_if(F.col("open") & c)
+    state, role = F.col("state"), F.col("role")
+    every = queue.agg(
+        F.count_if("open").alias("open_candidates"), F.count_if(~F.col("open")).alias("resolved_since_previous"), of(state == "carried_forward").alias("carried_forward"), of(state.isin("new", "changed")).alias("new_or_changed"),
+        *[of(role == r).alias(f"excluded_{r}") for r in EXPLAINED], of(F.col("eligible")).alias("actionable_open_candidates"),
+    )
+    batch = selected(queue, per_cluster, most).agg(F.count("*").alias("selected_candidates"), F.count_distinct(*KEY).alias("selected_reports"))
+    return every.crossJoin(batch).withColumns({"max_per_cluster": F.lit(per_cluster), "max_candidates": F.lit(most)})
 
 
 def patched(base: DataFrame, patches: list[DataFrame], keys: list[str]) -> DataFrame:
@@ -111,7 +212,13 @@ def patched(base: DataFrame, patches: list[DataFrame], keys: list[str]) -> DataF
     return pit.keep_first(every, keys, [F.desc("_o")]).drop("_o")
 
 
-def shared_numeric(left: DataFrame, right: DataFrame, skip: tuple[str, ...] = (*KEY, "ann_date", "update_flag", "report_type", "load_seq")) -> list[str]:
-    """Columns of both with numeric types that are not metadata."""
-    kinds = dict(right.dtypes)
-    return [c for c, t in left.dtypes if c in kinds and c not in skip and t in ("double", "float", "int", "bigint") and kinds[c] in ("double", "float", "int", "bigint")]
+def shared_numeric(left: DataFrame, right: DataFrame, skip: tuple[str, ...] = (*KEY, "ann_date", "update_flag", "report_type", "load_seq")) -> DataFrame:
+    """Columns of both sides that aren't metadata and have a number on some side: field, left_numbers, right_numbers.
+
+    Names come from the schemas; each side is one aggregate of counts. Text that reads as numbers counts.
+    """
+    names = sorted((set(left.columns) & set(right.columns)) - set(skip))
+    if not names:
+        return left.limit(0).select(F.lit("").alias("field"), *[F.lit(0).cast("bigint").alias(f"{k}_numbers") for k in ("left", "right")])
+    count = lambda f, k: f.agg(*[F.count(F.col(n).try_cast("double")).alias(n) for n in names]).select(F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias(f"{k}_numbers")) for n in names])).alias("x")).select("x.*")
+    return count(left, "left").join(count(right, "right"), "field").filter("left_numbers > 0 or right_numbers > 0")

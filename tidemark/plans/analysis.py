@@ -57,13 +57,7 @@ query("f09_score", "fin_base", "symbol evidence label", "fundamental_score", f"S
 query("f10_score_impact", "fin_base", "symbol label provider_label label_changed", "fundamental_score provider_score change", f"""
     SELECT symbol, a.label, b.label AS provider_label, a.label <> b.label AS label_changed, a.fundamental_score, b.fundamental_score AS provider_score, a.fundamental_score - b.fundamental_score AS change
     FROM {SCORE} a JOIN {score_sql(PROVIDER_ONLY, THIN_BASE)} b USING (symbol)""")(lambda f: fu.score_impact(thin(f), given(f)))
-RULES = f"""(SELECT symbol, unnest([struct_pack(rule := 'jump', n := count(*) FILTER (jump)), struct_pack(rule := 'high_below_body', n := count(*) FILTER (high < greatest(open, close))), struct_pack(rule := 'low_above_body', n := count(*) FILTER (low > least(open, close))), struct_pack(rule := 'zero_volume', n := count(*) FILTER (volume = 0))]) AS x
-    FROM (SELECT *, abs(close / lag(close) OVER ({W}) - 1) > 0.11 AS jump FROM bars) GROUP BY symbol)"""
-query("d01_check_bars", "bars", "symbol rule n", "", f"SELECT symbol, x.rule AS rule, x.n AS n FROM {RULES} WHERE x.n > 0")(fu.check_bars)
-query("d02_check_statements", "fin_right", "symbol rule n", "", "SELECT symbol, 'negative_revenue' AS rule, count(*) FILTER (revenue < 0) AS n FROM fin_right GROUP BY symbol HAVING n > 0 UNION ALL SELECT symbol, 'null_revenue', 1 FROM fin_right GROUP BY symbol HAVING avg(CASE WHEN revenue IS NULL THEN 1.0 ELSE 0 END) > 0.5")(lambda f: fu.check_statements(f, ("revenue",)))
 query("d03_factor_coverage", "bars adj_factor", "symbol covered", "", "SELECT symbol, f0 <= b0 AND f1 >= b1 AS covered FROM (SELECT symbol, min(trade_date) AS b0, max(trade_date) AS b1 FROM bars GROUP BY symbol) JOIN (SELECT symbol, min(trade_date) AS f0, max(trade_date) AS f1 FROM adj_factor GROUP BY symbol) USING (symbol)")(fu.factor_coverage)
-query("d04_report", "bars", "symbol warnings details", "", f"SELECT symbol, count(*) AS warnings, string_agg(x.rule, ',' ORDER BY x.rule) AS details FROM {RULES} WHERE x.n > 0 GROUP BY symbol")(lambda b: fu.report(fu.check_bars(b)))
-query("d05_gate", "bars", "symbol checks gate cap", "", f"SELECT symbol, count(*) AS checks, CASE WHEN max(x.n) > 1000 THEN 'block' ELSE 'degraded' END AS gate, CASE WHEN max(x.n) > 1000 THEN 0 ELSE 60 END AS cap FROM {RULES} WHERE x.n > 0 GROUP BY symbol")(lambda b: fu.gate(fu.check_bars(b).withColumn("status", F.when(F.col("n") > 1000, "block").otherwise("degraded"))))
 query("d06_bar_contract", "bars", "symbol bad_dates bad_prices", "", "SELECT symbol, 0 AS bad_dates, count(*) FILTER (open <= 0 OR close <= 0) AS bad_prices FROM bars GROUP BY symbol")(fu.bar_contract)
 query("a07_null_ratio", "fin_right", "symbol field", "ratio", "SELECT symbol, 'revenue' AS field, avg(CASE WHEN revenue IS NULL THEN 1.0 ELSE 0 END) AS ratio FROM fin_right GROUP BY symbol")(lambda f: fu.null_ratios(f, ["revenue"]))
 query("a08_revisions", "fin_rev", "n keys revisions", "", "SELECT count(*) AS n, count(DISTINCT symbol || '/' || end_date) AS keys, count(*) - count(DISTINCT symbol || '/' || end_date) AS revisions FROM fin_rev")(lambda f: f.agg(F.count("*").alias("n"), F.countDistinct("symbol", "end_date").alias("keys")).withColumn("revisions", F.col("n") - F.col("keys")))
@@ -79,32 +73,11 @@ query("j05_common_period", "fin_base fin_right", "symbol end_date", "", "SELECT
 query("j06_alignment", "fin_base fin_right", "symbol end_date side", "", "SELECT l.symbol, l.end_date, CASE WHEN r.symbol IS NULL THEN 'left_only' ELSE 'matched' END AS side FROM fin_base l LEFT JOIN fin_right r ON l.symbol = r.symbol AND l.end_date = r.end_date")(recon.alignment)
 query("r01_tolerant_equal", "fin_base fin_right", "symbol end_date field matches", "", f"SELECT * FROM {BC}")(lambda a, b: recon.compared(a, b, FIELDS))
 query("r02_bucket", "fin_base fin_right", "symbol end_date field bucket", "", f"SELECT * FROM {BC}")(lambda a, b: recon.compared(a, b, FIELDS))
-R3 = f"SELECT 'income' AS dataset, (SELECT count(*) FROM fin_right) AS matched, (SELECT count(*) FROM fin_base) - (SELECT count(*) FROM fin_right) AS left_only, count(*) AS cells, count(*) FILTER (NOT matches) AS mismatches, 'partial' AS status FROM {BC}"
-query("r03_reconcile", "fin_base fin_right", "dataset matched left_only cells mismatches status", "", R3)(lambda a, b: recon.reconcile(a, b, FIELDS, "income"))
-query("r04_reconcile_sets", "fin_base fin_right", "datasets mismatches status", "", f"SELECT 2 AS datasets, CAST(sum(mismatches) AS BIGINT) AS mismatches, 'partial' AS status FROM ({R3} UNION ALL {R3.replace('FROM ' + BC, 'FROM ' + BC + " WHERE field = 'revenue'")})")(
-    lambda a, b: recon.overall(recon.reconcile(a, b, FIELDS, "income").unionByName(recon.reconcile(a, b, ["revenue"], "second"))))
 query("a12_field_profile", "fin_base fin_right", "field cells comparable mismatches sign_flips", "median_rel max_rel", f"SELECT field, count(*) AS cells, count(lv - rv) AS comparable, count(*) FILTER (NOT matches) AS mismatches, count(*) FILTER (lv * rv < 0) AS sign_flips, median(d) AS median_rel, max(d) AS max_rel FROM {BC} GROUP BY field")(lambda a, b: recon.field_profile(recon.compared(a, b, FIELDS)))
 query("a13_security_profile", "fin_base fin_right", "symbol field b_exact b_under_1pct b_over_50pct b_missing_right mismatches", "", f"SELECT symbol, field, {', '.join(f"count(*) FILTER (bucket = '{b}') AS b_{b}" for b in ('exact', 'under_1pct', 'over_50pct', 'missing_right'))}, count(*) FILTER (NOT matches) AS mismatches FROM {BC} GROUP BY ALL")(lambda a, b: recon.security_profile(recon.compared(a, b, FIELDS)))
-TW = f"""(SELECT *, CASE WHEN matches THEN CASE WHEN NOT {SAME('lv', 'pv')} THEN 'resolved' END WHEN {SAME('lv', 'pv')} THEN 'new' WHEN {SAME('rv', 'pv')} THEN 'carried_forward' ELSE 'changed' END AS state
-    FROM (SELECT b.*, CASE b.field WHEN 'revenue' THEN p.revenue ELSE p.net_profit END AS pv FROM {BC} b LEFT JOIN fin_right_prev p USING (symbol, end_date)))"""
-T3 = "fin_base fin_right fin_right_prev"
-query("j07_three_way", T3, "symbol end_date field state", "", f"SELECT * FROM {TW} WHERE state IS NOT NULL")(lambda a, b, c: recon.three_way(a, b, c, FIELDS))
-query("r06_states", T3, "state bucket n", "", f"SELECT state, bucket, count(*) AS n FROM {TW} WHERE state IS NOT NULL GROUP BY ALL")(lambda a, b, c: recon.three_way(a, b, c, FIELDS).groupBy("state", "bucket").agg(F.count("*").alias("n")))
-PR = f"""(SELECT *, CASE WHEN state = 'resolved' THEN 0 ELSE {PTS('bucket', {'over_50pct': 50, '10_to_50pct': 40, '1_to_10pct': 30, 'under_1pct': 10, 'missing_right': 25, 'missing_left': 25})} + {PTS('state', {'new': 20, 'changed': 15, 'carried_forward': 5})} END AS priority,
-    CASE WHEN bucket LIKE 'missing%' THEN 'coverage' ELSE 'value' END AS role FROM {TW} WHERE state IS NOT NULL)"""
-QUEUE = lambda a, b, c: recon.prioritized(recon.three_way(a, b, c, FIELDS))
-query("r07_priority", T3, "symbol end_date field priority role", "", f"SELECT * FROM {PR}")(QUEUE)
-REVS = f"(SELECT DISTINCT p.symbol, p.end_date, p.field FROM {PR} p JOIN fin_rev v ON v.symbol = p.symbol AND v.end_date = p.end_date WHERE p.state <> 'resolved' AND {SAME('p.rv', '(CASE p.field WHEN $$revenue$$ THEN v.revenue ELSE v.net_profit END)')})"
-query("j08_any_revision", T3 + " fin_rev", "symbol end_date field", "", f"SELECT * FROM {REVS}")(lambda a, b, c, v: recon.with_revisions(QUEUE(a, b, c), v, FIELDS).filter("role = 'provider_revision'"))
-query("j09_decisions", T3, "symbol end_date field priority role", "", f"SELECT symbol, end_date, field, CASE WHEN mod(CAST(symbol AS INT), 17) = 0 THEN 0 ELSE priority END AS priority, CASE WHEN mod(CAST(symbol AS INT), 17) = 0 THEN 'manual' ELSE role END AS role FROM {PR}")(
-    lambda a, b, c: recon.with_decisions(QUEUE(a, b, c), recon.long(a.filter("mod(sk, 17) = 0"), FIELDS).select("symbol", "end_date", "field", F.lit("reviewed").alias("decision"))))
-query("r09_audit_queue", T3, "symbol end_date field priority cluster_rank", "", f"""SELECT * FROM (SELECT symbol, end_date, field, priority, row_number() OVER (PARTITION BY symbol, field ORDER BY priority DESC, end_date) AS cluster_rank FROM {PR} WHERE state <> 'resolved' AND priority > 0) WHERE cluster_rank <= 3 ORDER BY priority DESC, symbol, field, end_date LIMIT 30""")(lambda a, b, c: recon.selected(QUEUE(a, b, c)))
-query("w20_cluster_rank", T3, "symbol end_date field cluster_rank", "", f"SELECT symbol, end_date, field, row_number() OVER (PARTITION BY symbol, field ORDER BY priority DESC, end_date) AS cluster_rank FROM {PR} WHERE state <> 'resolved' AND priority > 0 QUALIFY cluster_rank <= 100000")(lambda a, b, c: recon.selected(QUEUE(a, b, c), 100_000, 2_000_000_000))
-query("r10_queue_summary", T3, "rows symbols new changed carried_forward resolved actionable top_priority", "", f"SELECT count(*) AS rows, count(DISTINCT symbol) AS symbols, {', '.join(f"count(*) FILTER (state = '{s}') AS {s}" for s in ('new', 'changed', 'carried_forward', 'resolved'))}, count(*) FILTER (priority > 0) AS actionable, max(priority) AS top_priority FROM {PR}")(lambda a, b, c: recon.queue_summary(QUEUE(a, b, c)))
 query("u01_patch_merge", "fin_base fin_right", "symbol end_date", "revenue", "SELECT l.symbol, l.end_date, CASE WHEN r.symbol IS NULL THEN l.revenue ELSE r.revenue END AS revenue FROM fin_base l LEFT JOIN fin_right r ON l.symbol = r.symbol AND l.end_date = r.end_date", digits=2)(lambda a, b: recon.patched(a.select(*recon.KEY, "revenue"), [b.select(*recon.KEY, "revenue")], recon.KEY))
 query("u02_keep_first", "official_events", "symbol item_id", "", "SELECT symbol, min(item_id) AS item_id FROM official_events GROUP BY symbol, published")(lambda e: pit.keep_first(e, ["symbol", "published"], ["item_id"]))
 query("u03_key_difference", "fin_base fin_right", "symbol end_date", "", "SELECT symbol, end_date FROM fin_base EXCEPT SELECT symbol, end_date FROM fin_right")(lambda a, b: a.select(*recon.KEY).exceptAll(b.select(*recon.KEY)))
-query("u04_shared_numeric", "fin_base fin_right", "field", "")(lambda a, b: recon.long(a, recon.shared_numeric(a, b)).select("field").distinct())
 EVD = "(SELECT *, CASE WHEN strength IS NULL OR strength < 0 OR strength > 1 THEN 'range' WHEN published > DATE '1999-01-20' THEN 'future' END AS reject FROM official_events)"
 EV = lambda e: ev.accepted(e, "1999-01-20")
 query("e04_accepted", "official_events", "symbol item_id reject", "", f"SELECT * FROM {EVD}")(EV)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as fn
 from ..operators import fundamentals as fu
 from ..operators import indicators, recon, rules
-from .analysis import BC, FIELDS, PR, QUEUE, T3
+from .analysis import BC, FIELDS
 from .base import query
 from .indicators import PARTS
 from .market import RES, SUP, TARGETS, TREND
@@ -31,13 +31,6 @@ def parameters(orders: DataFrame) -> DataFrame:
     return p.withColumn("reason", F.when((F.col("fast") <= 0) | (F.col("slow") <= 0), "period").when(F.col("fast") >= F.col("slow"), "order").when(F.col("cash") <= 1000, "cash"))
 
 
-@query("j10_ledger_join", "fin_base fin_rev", "symbol end_date versions unique_key", "", "SELECT b.symbol, b.end_date, count(*) AS versions, count(*) = 1 AS unique_key FROM fin_base b JOIN fin_rev r ON b.symbol = r.symbol AND b.end_date = r.end_date GROUP BY ALL")
-def ledger_join(left: DataFrame, right: DataFrame) -> DataFrame:
-    """One row of the right side for each key of the left, with the keys that have more marked as violations."""
-    n = right.groupBy(*recon.KEY).agg(F.count("*").alias("versions"))
-    return left.join(n, recon.KEY, "left").withColumn("unique_key", F.col("versions") == 1)
-
-
 query("j13_key_sets", "fin_base fin_right", "symbol end_date side", "", "SELECT symbol, end_date, 'missing' AS side FROM (SELECT symbol, end_date FROM fin_base EXCEPT SELECT symbol, end_date FROM fin_right) UNION ALL SELECT symbol, end_date, 'extra' FROM (SELECT symbol, end_date FROM fin_right EXCEPT SELECT symbol, end_date FROM fin_base)")(
     lambda a, b: a.join(b, recon.KEY, "left_anti").select(*recon.KEY, F.lit("missing").alias("side")).union(b.join(a, recon.KEY, "left_anti").select(*recon.KEY, F.lit("extra").alias("side"))))
 query("j16_checklist", "supplier fin_base", "s_suppkey end_date", "", "SELECT s_suppkey, end_date FROM supplier CROSS JOIN (SELECT DISTINCT end_date FROM fin_base WHERE y = 1997)")(lambda s, f: s.select("s_suppkey").crossJoin(F.broadcast(f.filter("y = 1997").select("end_date").distinct())))
@@ -50,8 +43,6 @@ def mismatches(a: DataFrame, b: DataFrame) -> DataFrame:
     return bad.orderBy("symbol", "end_date", "field").limit(100).crossJoin(bad.agg(F.count("*").alias("total")))
 
 
-query("t10_audit_batch", T3, "symbol field n", "", f"SELECT symbol, field, count(*) AS n FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, field ORDER BY priority DESC, end_date) AS k FROM {PR} WHERE state <> 'resolved' AND priority > 0) WHERE k <= 2 ORDER BY priority DESC, symbol, field, end_date LIMIT 50) GROUP BY ALL")(
-    lambda a, b, c: recon.selected(QUEUE(a, b, c), 2, 50).groupBy("symbol", "field").agg(F.count("*").alias("n")))
 POLARITY = {"signup": "positive", "purchase": "positive", "error": "negative"}
 query("e03_polarity", "events", "event_id polarity", "strength", "SELECT event_id, CASE WHEN event_type IN ('signup', 'purchase') THEN 'positive' WHEN event_type = 'error' THEN 'negative' ELSE 'neutral' END AS polarity, coalesce(least(value / 500, 1), 0.5) AS strength FROM events")(
     lambda e: e.select("event_id", F.coalesce(F.create_map(*[F.lit(x) for kv in POLARITY.items() for x in kv])[F.col("event_type")], F.lit("neutral")).alias("polarity"), F.coalesce(F.least(F.col("value") / 500, F.lit(1.0)), F.lit(0.5)).alias("strength")))
