@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tidemark.llm import lm
+from tidemark.llm import lm, packed
 
 R = random.Random(7)
 START = "<s>"
@@ -97,11 +97,11 @@ def test_tables_find_what_they_hold(tmp_path):
     rng = np.random.default_rng(3)
     for n in (1, 5, 40, 5000, 70_000):
         keys = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
-        lm.write_table(f"{tmp_path}/{n}/t", keys, n=np.arange(len(keys)) + (1 << 33 if n == 40 else 0))
+        packed.write_table(f"{tmp_path}/{n}/t", keys, n=np.arange(len(keys)) + (1 << 33 if n == 40 else 0))
         read = lambda name, kind, n=n: np.fromfile(f"{tmp_path}/{n}/t.{name}", kind)
         absent = np.setdiff1d(rng.integers(0, 1 << 64, 2000, dtype=np.uint64), keys)
         at, key = read("at", "<u4"), read("key", "<u4")
-        assert (lm.places(at, key, keys) == np.arange(len(keys))).all() and (lm.places(at, key, absent) == -1).all()
+        assert (packed.places(at, key, keys) == np.arange(len(keys))).all() and (packed.places(at, key, absent) == -1).all()
         assert len(read("n", "u1")) == len(keys) * (8 if n == 40 else 4)
 
 
@@ -109,10 +109,10 @@ def test_packed_columns_come_back():
     rng = np.random.default_rng(4)
     shard = rng.integers(0, 5, 300)
     a, b = rng.integers(0, 1 << 60, 300).astype("<u8"), rng.integers(0, 9, 300).astype("<u4")
-    for _, k, blob in lm.dealt("x", shard, a, b):
-        x, y = lm.unpack([blob, blob], "<u8", "<u4")
+    for _, k, blob in packed.dealt("x", shard, a, b):
+        x, y = packed.unpack([blob, blob], "<u8", "<u4")
         assert (x == np.tile(a[shard == k], 2)).all() and (y == np.tile(b[shard == k], 2)).all()
-    assert [len(x) for x in lm.unpack([], "<u8", "<u4")] == [0, 0]
+    assert [len(x) for x in packed.unpack([], "<u8", "<u4")] == [0, 0]
 
 
 def test_a_model_of_the_corpus_knows_repeated_texts(spark):

@@ -12,8 +12,6 @@ very frequent ones by all three words; what was dealt out is added up once more.
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .packed import ROW, by_small, dealt, grouped, mapped, pack, places, rows_of, unpack, write_array, write_table
 
 #: No word has a space in it.
 END = b" end"
@@ -32,7 +31,6 @@ FLUSH = 2_000_000
 SHARD = 12_000_000
 #: Words in a part of the arrays by number, at least.
 PART = 32_768
-ROW = "kind string, shard int, blob binary"
 STATS = ["total", "n1", "n2", "n3"]
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _32 = np.uint64(32)
@@ -55,111 +53,12 @@ def triple(xy: np.ndarray, z: np.ndarray) -> np.ndarray:
     return scramble(xy + (z.astype(np.uint64) + np.uint64(1)) * _A)
 
 
-def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order that sorts ``keys``, and where in it each distinct key begins."""
-    order = np.argsort(keys)
-    k = keys[order]
-    return order, np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, np.int64)
-
-
 def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order and the sums of their counts."""
     order, first = grouped(keys)
     return keys[order[first]], np.add.reduceat(n[order], first) if len(first) else n
 
 
-def by_small(ids: np.ndarray) -> np.ndarray:
-    """A stable order of small integers."""
-    return np.argsort(ids.astype(np.uint16) if len(ids) and ids.max() < 1 << 16 else ids, kind="stable")
-
-
-def _write(path: str, array: np.ndarray) -> None:
-    """Whole or not at all, so that a task that runs twice does no harm."""
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    part = f"{path}.{uuid.uuid4().hex}"
-    with open(part, "wb") as f:
-        f.write(np.ascontiguousarray(array).tobytes())
-    os.replace(part, path)
-
-
-# --- sorted hash arrays -----------------------------------------------------------------------
-
-
-def _bits(n: int) -> int:
-    """Bits of the hash that choose a bucket of about sixteen keys."""
-    return max(0, (n // 16).bit_length() - 1) if n >= 32 else 0
-
-
-def write_table(path: str, keys: np.ndarray, **columns: np.ndarray) -> None:
-    """Sorted distinct hashes and their columns.
-
-    The first bits choose a bucket, whose first place is stored; of each key the next 32 bits are stored. So a look-up of an
-    absent key finds one with a probability of about 16 / 2^32.
-    """
-    if not len(keys):
-        return
-    bits = _bits(len(keys))
-    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-    _write(f"{path}.at", np.searchsorted(bucket, np.arange((1 << bits) + 1)).astype("<u4"))
-    for name, column in columns.items():
-        _write(f"{path}.{name}", column.astype("<u4" if column.max() < 1 << 32 else "<i8"))
-    _write(f"{path}.key", ((keys >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4"))
-
-
-def places(at: np.ndarray, keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    """Places of hashes in a table, -1 where absent: binary searches in buckets, all side by side."""
-    bits = (len(at) - 1).bit_length() - 1
-    bucket = (asked >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(asked), np.int64)
-    want = ((asked >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")
-    lo, hi = at[bucket].astype(np.int64), at[bucket + 1].astype(np.int64)
-    end, last = hi, len(keys) - 1
-    for _ in range(int((hi - lo).max(initial=0)).bit_length()):
-        mid = (lo + hi) >> 1
-        less = (keys[np.minimum(mid, last)] < want) & (lo < hi)
-        lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
-    return np.where((lo < end) & (keys[np.minimum(lo, last)] == want), lo, -1)
-
-
-# --- packed counts between tasks ----------------------------------------------------------------
-
-
-def _planes(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(np.ascontiguousarray(x).view("u1").reshape(len(x), -1).T).tobytes()
-
-
-def pack(*columns: np.ndarray) -> bytes:
-    """Columns of equal lengths, byte by byte, compressed."""
-    raw = b"".join(map(_planes, columns))
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def unpack(blobs: list[bytes], *kinds: str) -> list[np.ndarray]:
-    """The columns of several packed rows one after the other."""
-    widths, out = [np.dtype(k).itemsize for k in kinds], [[] for _ in kinds]
-    for blob in blobs:
-        size = int.from_bytes(blob[:8], "little")
-        raw, at = np.frombuffer(pa.decompress(blob[8:], size, codec="zstd"), "u1"), 0
-        n = size // sum(widths)
-        for o, k, w in zip(out, kinds, widths, strict=True):
-            o.append(np.ascontiguousarray(raw[at : at + n * w].reshape(w, n).T).view(k).ravel())
-            at += n * w
-    return [np.concatenate(o) if o else np.empty(0, k) for o, k in zip(out, kinds, strict=True)]
-
-
-def _rows(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["kind", "shard", "blob"])
-
-
-def dealt(kind: str, shard: np.ndarray, *columns: np.ndarray) -> list[tuple[str, int, bytes]]:
-    """A packed row for each shard. Within a shard the order stays."""
-    if not len(shard):
-        return []
-    order = by_small(shard)
-    shard, cols = shard[order], [c[order] for c in columns]
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])
-    return [(kind, int(shard[a]), pack(*(c[a:b] for c in cols))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-
-
 # --- the model ------------------------------------------------------------------------------------
 
 
@@ -192,8 +91,7 @@ class Model:
 
     def part(self, name: str, kind: str) -> np.ndarray:
         if (got := self._maps.get(name)) is None:
-            path = f"{self.folder}/{name}"
-            got = self._maps[name] = np.memmap(path, kind, "r") if os.path.exists(path) else np.empty(0, kind)
+            got = self._maps[name] = mapped(f"{self.folder}/{name}", kind)
         return got
 
     def counts(self, name: str, n: int) -> np.ndarray:
@@ -223,8 +121,9 @@ class Model:
         at = np.minimum(np.searchsorted(self.often, x), len(self.often) - 1)
         return np.where(self.often[at] == x, self.often_level[at], 0).astype(np.int8)
 
-    def top(self, h: np.ndarray) -> np.ndarray:
-        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+    def dealt(self, h: np.ndarray) -> np.ndarray:
+        """The shard of a hash: its last bits, as the tables tell keys apart by the first."""
+        return (h & np.uint64((1 << self.bits) - 1)).astype(np.int64)
 
     def own(self, x: np.ndarray) -> np.ndarray:
         """The shard of a word number."""
@@ -255,17 +154,17 @@ class Model:
 
     def contexts(self, y: np.ndarray, h: np.ndarray) -> np.ndarray:
         """total, n1, n2, n3 of pairs as the context of a third word."""
-        level, top = self.level(y), self.top(h)
-        return self.find("context", np.where(level == 0, self.own(y), np.where(level == 1, top, top + (1 << self.bits))), h, STATS)
+        level, shard = self.level(y), self.dealt(h)
+        return self.find("context", np.where(level == 0, self.own(y), np.where(level == 1, shard, shard + (1 << self.bits))), h, STATS)
 
     def ends(self, x: np.ndarray, h: np.ndarray) -> np.ndarray:
         """After how many different words a pair stands (after the start of a text: how often)."""
-        return self.find("end", np.where(self.level(x) == 0, self.own(x), self.top(h) + (1 << self.bits)), h, ["n"])[:, 0]
+        return self.find("end", np.where(self.level(x) == 0, self.own(x), self.dealt(h) + (1 << self.bits)), h, ["n"])[:, 0]
 
     def trigrams(self, y: np.ndarray, xy: np.ndarray, xyz: np.ndarray) -> np.ndarray:
         """Training counts of trigrams, by the middle word, the hash of the first two and that of all."""
         level = self.level(y)
-        return self.find("trigram", np.where(level == 0, self.own(y), np.where(level == 1, self.top(xy), self.top(xyz))), xyz, ["n"])[:, 0]
+        return self.find("trigram", np.where(level == 0, self.own(y), np.where(level == 1, self.dealt(xy), self.dealt(xyz))), xyz, ["n"])[:, 0]
 
     def by_part(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Part of the arrays by number, and place in it."""
@@ -346,7 +245,7 @@ def fit(docs: DataFrame) -> Model:
 
         def out() -> pa.RecordBatch:
             keys, n = np.unique(np.concatenate(parts), return_counts=True)
-            return _rows(dealt("word", (keys >> np.uint64(64 - bits)).astype(np.int64), keys, n.astype("<u4")))
+            return rows_of(dealt("word", (keys >> np.uint64(64 - bits)).astype(np.int64), keys, n.astype("<u4")))
 
         for batch in batches:
             for raw in common.as_bytes(batch.column(0)):
@@ -365,7 +264,7 @@ def fit(docs: DataFrame) -> Model:
         rank = np.empty(len(n), "<u4")
         rank[order] = np.arange(len(n))
         for name, column in (("rank", rank), ("n", n), ("key", keys)):
-            _write(f"{folder}/word/{k}.{name}", column)
+            write_array(f"{folder}/word/{k}.{name}", column)
         top = n[order[:64]].tolist()  # in order of rank, to find the words that are frequent for a shard
         return pa.table({"shard": pa.array([k], pa.int32()), "words": [len(keys)], "tokens": [int(n.sum())], "top": [top]})
 
@@ -410,9 +309,9 @@ def _count(texts: DataFrame, model: Model) -> None:
             n, pick = np.diff(np.append(first, len(order))).astype("<u4"), order[first]
             a, b, c, xy, xyz = a[pick], b[pick], c[pick], xy[pick], xyz[pick]
             level = m.level(b)
-            shard = np.where(level == 0, m.own(b), np.where(level == 1, m.top(xy), m.top(xyz)))
+            shard = np.where(level == 0, m.own(b), np.where(level == 1, m.dealt(xy), m.dealt(xyz)))
             order = np.argsort((b.astype(np.uint64) << _32) | a)
-            return _rows(dealt("trigram", shard[order], b[order], a[order], c[order], n[order]))
+            return rows_of(dealt("trigram", shard[order], b[order], a[order], c[order], n[order]))
 
         for batch in batches:
             if not batch.num_rows:
@@ -464,7 +363,7 @@ def _count(texts: DataFrame, model: Model) -> None:
         order, first = grouped(xy[whole])
         stats, keys, very = spread(n[whole][order], first), xy[whole][order[first]], level[whole][order[first]] == 2
         write_contexts(k, keys[~very], stats[~very])
-        rows += dealt("context", m.top(keys[very]), keys[very], *stats[very].T.astype("<i8"))
+        rows += dealt("context", m.dealt(keys[very]), keys[very], *stats[very].T.astype("<i8"))
         # Ends: complete here unless the middle word is frequent.
         yz = pair(b, c)
         order, first = grouped(yz)
@@ -477,9 +376,9 @@ def _count(texts: DataFrame, model: Model) -> None:
             o, f = grouped(b[here])
             single = np.zeros((m.limit >> bits, 4), "<u4")
             single[(b[here][o[f]] >> np.uint64(bits)).astype(np.int64)] = spread(n_end[here][o], f)
-            _write(f"{folder}/single/{k}", single)
-            rows += dealt("end", m.top(yz[~here]), yz[~here], b[~here].astype("<u4"), c[~here].astype("<u4"), n_end[~here].astype("<i8"))
-        return pa.Table.from_batches([_rows(rows)])
+            write_array(f"{folder}/single/{k}", single)
+            rows += dealt("end", m.dealt(yz[~here]), yz[~here], b[~here].astype("<u4"), c[~here].astype("<u4"), n_end[~here].astype("<i8"))
+        return pa.Table.from_batches([rows_of(rows)])
 
     def merge_dealt(group: pa.Table) -> pa.Table:
         m, k, blobs = shared.value, group.column("shard")[0].as_py(), group.column("blob").to_pylist()
@@ -488,21 +387,21 @@ def _count(texts: DataFrame, model: Model) -> None:
             order, first = grouped(keys)
             # Shards have few very frequent words, so these tables lie beside those of complete contexts.
             write_contexts(f"dealt-{k}", keys[order[first]], np.column_stack([np.add.reduceat(s[order], first) for s in stats]))
-            return pa.Table.from_batches([_rows([])])
+            return pa.Table.from_batches([rows_of([])])
         yz, b, c, n = unpack(blobs, "<u8", "<u4", "<u4", "<i8")
         order, first = grouped(yz)
         n, yz, b, c = np.add.reduceat(n[order], first), yz[order[first]], b[order[first]].astype(np.uint64), c[order[first]].astype(np.uint64)
         write("end", f"dealt-{k}", yz, n=n)
         o, f = grouped(b)
         rows = [("single", 0, pack(b[o[f]], *spread(n[o], f).T.astype("<i8"))), *ends_out(m, b, c, n)]
-        return pa.Table.from_batches([_rows(rows)])
+        return pa.Table.from_batches([rows_of(rows)])
 
     def by_number(group: pa.Table) -> pa.Table:
         m, k = shared.value, group.column("shard")[0].as_py()
         ids, follows = unpack(group.column("blob").to_pylist(), "<u4", "<u4")
         before = np.zeros((m.limit >> m.span_bits) + 1, np.int64)
         np.add.at(before, m.by_part(ids)[1], follows.astype(np.int64))
-        _write(f"{folder}/before/{k}", before.astype("<u4"))
+        write_array(f"{folder}/before/{k}", before.astype("<u4"))
         n = before[before > 0]
         return pa.table({"pairs": [int(n.sum())], "times": [times(n).tolist()], "more": [int((n > 2).sum())]})
 

@@ -1,15 +1,20 @@
 """Substring deduplication by level-wise doubling.
 
-Level 1 looks at windows of 13 words, at places chosen by their hash so that any 50 consecutive words hold at least
-one chosen place (the smallest hash among 38 consecutive windows). Windows that are repeated in another document are
-extended to 25 words, those that are repeated again to 50, and nothing else is looked at again. Hash tables are
-packed: a row between tasks holds the sorted hashes of one task and shard, not one window.
+Level 1 looks at windows of 13 words, at places chosen by their hash so that any 50 consecutive words hold at least one
+chosen place (the smallest hash among 38 consecutive windows). Windows that are repeated in another document are extended
+to 25 words, those that are repeated again to 50, and nothing else is looked at again.
+
+Each level is a pass over the texts. A task hands on its distinct windows with the smallest and the largest document that
+has them, so a window that is in very many documents is one row of each task. Those in several documents are written as
+sorted arrays to the shared folder, and the next pass looks its windows up there: places and texts don't move between
+tasks. Windows of the full length are told apart by 128 bits of a cryptographic digest of their words.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .packed import ROW, by_small, dealt, mapped, places, rows_of, unpack, write_array, write_table
 
-BLOB = "kind string, doc_id bigint, n_words bigint, kept_sha256 string, shard int, blob binary"
-#: Packed windows in a row between tasks.
-PACK = 400_000
+#: Windows that a task holds before it hands on packed ones.
+PACK = 1_000_000
+#: Bytes of text for a shard of windows.
+SHARD = 12_000_000
 
 
 def chosen(h: np.ndarray, span: int) -> np.ndarray:
@@ -30,201 +37,234 @@ def chosen(h: np.ndarray, span: int) -> np.ndarray:
         return np.empty(0, np.int64)
     if n <= span:
         return np.array([n - 1 - int(np.argmin(h[::-1]))], np.int64)
-    # Ranks make hashes distinct; of equal ones the rightmost is the smallest.
-    order = np.argsort(h, kind="stable")
-    rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)
-    same = h[order]
-    if n > 1 and (same[1:] == same[:-1]).any():
-        order = np.lexsort((-np.arange(n), h))
-        rank[order] = np.arange(n)
-    low, width = rank, 1
+
+    def smaller(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        right = b[0] <= a[0]
+        return np.where(right, b[0], a[0]), np.where(right, b[1], a[1])
+
+    low, width = (h, np.arange(n)), 1
     while width * 2 <= span:
-        low = np.minimum(low[:-width], low[width:])
+        low = smaller((low[0][:-width], low[1][:-width]), (low[0][width:], low[1][width:]))
         width *= 2
     if width < span:
-        low = np.minimum(low[: n - span + 1], low[span - width : n - width + 1])
-    return np.sort(order[np.unique(low)])
-
-
-def _table(rows: list[tuple]) -> pa.RecordBatch:
-    kind, ids, n, sha, shard, blob = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(kind, pa.string()), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(shard, pa.int32()), pa.array(blob, pa.binary())],
-        ["kind", "doc_id", "n_words", "kept_sha256", "shard", "blob"],
-    )
-
-
-#: A window between tasks: two hashes, the document and the place in it.
-WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("at", "<i4")])
-
-
-def packed(parts: list[np.ndarray], n_shards: int) -> list[tuple]:
-    """One row for each shard that has windows; the shard is a part of the first hash."""
-    if not parts:
-        return []
-    w = np.concatenate(parts)
-    shard = (w["a"] % np.uint64(n_shards)).astype(np.int32)
-    order = np.argsort(shard, kind="stable")
-    w, shard = w[order], shard[order]
-    cuts = np.flatnonzero(np.diff(shard)) + 1
-    return [("window", None, None, None, int(s[0]), x.tobytes()) for x, s in zip(np.split(w, cuts), np.split(shard, cuts), strict=True) if len(x)]
-
-
-def _windows(h: np.ndarray, doc: int, at: np.ndarray, n: int) -> np.ndarray:
-    """Windows of ``n`` words at places ``at``."""
-    out = np.empty(len(at), WINDOW)
-    out["a"], out["b"], out["doc"], out["at"] = common.windows(h, n, 1)[at], common.windows(h, n, 977)[at], doc, at
-    return out
-
-
-def level_one(docs: DataFrame, first: int, length: int, n_shards: int) -> DataFrame:
-    """Rows of kind doc (doc_id, n_words, digest of the whole text's words) and window (shard, packed windows)."""
-    span = length - first + 1
+        low = smaller((low[0][: n - span + 1], low[1][: n - span + 1]), (low[0][span - width :], low[1][span - width :]))
+    at = low[1]  # in order, as both ends of the spans move on
+    return at[np.concatenate([[True], at[1:] != at[:-1]])]
+
+
+def distinct(a: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct windows (a, b) in order, each with its smallest and largest document."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.empty(0, np.int64)
+    if not len(first):
+        return a, b, low, high
+    return a[first], b[first], np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
+
+
+@dataclass
+class Levels:
+    """The lengths of windows, and where the arrays of those that are repeated lie."""
+
+    folder: str
+    bits: int
+    length: int
+    maps: dict[str, np.ndarray] = field(default_factory=dict)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"maps": {}}
+
+    @property
+    def sizes(self) -> tuple[int, int, int]:
+        half = (self.length + 1) // 2
+        return (half + 1) // 2, half, self.length
+
+    def part(self, name: str, kind: str) -> np.ndarray:
+        if name not in self.maps:
+            self.maps[name] = mapped(f"{self.folder}/{name}", kind)
+        return self.maps[name]
+
+    def by_shard(self, a: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Shards, and which of the hashes are theirs."""
+        shard = (a & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+        order = by_small(shard)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard[order])) + 1, [len(shard)]]) if len(shard) else [0]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            yield int(shard[order[i]]), order[i:j]
+
+    def repeated(self, level: int, a: np.ndarray) -> np.ndarray:
+        """Whether windows of level 1 or 2 are in several documents."""
+        out = np.zeros(len(a), bool)
+        for k, mine in self.by_shard(a):
+            keys = self.part(f"{level}/{k}.key", "<u4")
+            if len(keys):
+                out[mine] = places(self.part(f"{level}/{k}.at", "<u4"), keys, a[mine]) >= 0
+        return out
+
+    def lowest(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The smallest document of windows of the full length, the largest number where they aren't repeated."""
+        out = np.full(len(a), np.iinfo(np.int64).max)
+        for k, mine in self.by_shard(a):
+            keys, other, low = (self.part(f"3/{k}.{name}", kind) for name, kind in (("a", "<u8"), ("b", "<u8"), ("low", "<i8")))
+            if not len(keys):
+                continue
+            at = np.searchsorted(keys, a[mine])
+            while len(mine):
+                have = at < len(keys)
+                have[have] = keys[at[have]] == a[mine[have]]
+                mine, at = mine[have], at[have]
+                same = other[at] == b[mine]
+                out[mine[same]] = low[at[same]]
+                mine, at = mine[~same], at[~same] + 1  # another window with the same first half
+        return out
+
+
+class Texts:
+    """The windows of a batch of texts, level by level; each level looks at what the one before left."""
+
+    def __init__(self, levels: Levels, ids: list[int | None], raws: list[bytes | None], cache: common.HashCache):
+        self.levels, self.ids = levels, ids
+        self.words = [(r or b"").split() for r in raws]
+        self.which = [i for i, (doc, w) in enumerate(zip(ids, self.words, strict=True)) if doc is not None and len(w) >= levels.length]
+        self.hashes = {i: common.hashes(self.words[i], cache) for i in self.which}
+        first, _, length = levels.sizes
+        self.starts: dict[int, np.ndarray] = {}
+        self.keys: dict[int, np.ndarray] = {}
+        for i in self.which:
+            h = common.windows(self.hashes[i], first, 1)
+            self.starts[i] = chosen(h, length - first + 1)
+            self.keys[i] = h[self.starts[i]]
+
+    def joined(self, of: dict[int, np.ndarray]) -> np.ndarray:
+        return np.concatenate([of[i] for i in self.which]) if self.which else np.empty(0, np.uint64)
+
+    def docs(self) -> np.ndarray:
+        """The document of each window."""
+        return np.repeat(np.array([self.ids[i] for i in self.which], np.int64), [len(self.starts[i]) for i in self.which])
+
+    def kept(self, level: int) -> None:
+        """Leave out the windows of a level that aren't repeated, and the texts that have none left."""
+        ok, at = self.levels.repeated(level, self.joined(self.keys)), 0
+        for i in list(self.which):
+            n = len(self.starts[i])
+            self.starts[i] = self.starts[i][ok[at : at + n]]
+            at += n
+        self.which = [i for i in self.which if len(self.starts[i])]
+
+    def second(self) -> None:
+        """From chosen places that are repeated: all windows of half the length in any window of the full length around them."""
+        self.kept(1)
+        first, half, length = self.levels.sizes
+        for i in self.which:
+            at, n = self.starts[i], len(self.words[i]) - half + 1
+            edge = np.zeros(n + 1, np.int64)
+            lo, hi = np.maximum(at - (length - first), 0), np.minimum(at + length - half, n - 1)
+            good = lo <= hi
+            np.add.at(edge, lo[good], 1)
+            np.add.at(edge, hi[good] + 1, -1)
+            self.starts[i] = np.flatnonzero(np.cumsum(edge)[:n] > 0)
+            self.keys[i] = common.windows(self.hashes[i], half, 1)[self.starts[i]]
+        self.which = [i for i in self.which if len(self.starts[i])]
+
+    def third(self) -> tuple[np.ndarray, np.ndarray]:
+        """Windows of the full length that begin and end with a repeated one: both halves of their digests."""
+        self.kept(2)
+        _, half, length = self.levels.sizes
+        parts = []
+        for i in self.which:
+            at, words = self.starts[i], self.words[i]
+            self.starts[i] = at = at[np.isin(at + length - half, at, assume_unique=True)]
+            parts += [hashlib.blake2b(b" ".join(words[s : s + length]), digest_size=16).digest() for s in at.tolist()]
+        self.which = [i for i in self.which if len(self.starts[i])]
+        got = np.frombuffer(b"".join(parts), "<u8").reshape(-1, 2)
+        return got[:, 0].copy(), got[:, 1].copy()
+
+
+def counted(docs: DataFrame, levels: Levels, level: int) -> None:
+    """One pass: the windows of a level that are in several documents go to the shared folder."""
+    spark, bits, folder = docs.sparkSession, levels.bits, levels.folder
+    shared = spark.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, parts, held = common.HashCache(), [], 0
-        for batch in batches:
-            rows = []
-            for doc, raw in zip(batch.column(0).to_pylist(), common.as_bytes(batch.column(1)), strict=True):
-                words = (raw or b"").split()
-                rows.append(("doc", doc, len(words), hashlib.sha256(b" ".join(words)).hexdigest(), None, None))
-                if len(words) >= length and doc is not None:
-                    h = common.hashes(words, cache)
-                    at = chosen(common.windows(h, first, 1), span)
-                    parts.append(_windows(h, doc, at, first))
-                    held += len(at)
-            if held > PACK:
-                rows += packed(parts, n_shards)
-                parts, held = [], 0
-            if rows:
-                yield _table(rows)
-        if parts:
-            yield _table(packed(parts, n_shards))
-
-    return docs.select("doc_id", "text").mapInArrow(run, BLOB)
-
-
-#: A repeated window's place, between tasks.
-HIT = np.dtype([("doc", "<i8"), ("at", "<i4")])
-
 
-def repeated(rows: DataFrame, later_only: bool, buckets: int) -> DataFrame:
-    """Windows that occur in several documents: their documents and places, packed by a bucket of documents.
+        def out() -> pa.RecordBatch:
+            a, b, low, high = distinct(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            order = np.lexsort((a, low))  # documents side by side pack better
+            a, b, low, high = a[order], b[order], low[order], high[order]
+            return rows_of(dealt("window", (a & np.uint64((1 << bits) - 1)).astype(np.int64), a, *([b] if level == 3 else []), low, (high - low)))
 
-    With ``later_only`` without those of the smallest document that has the window.
-    """
-
-    def run(group: pa.Table) -> pa.Table:
-        w = np.concatenate([np.frombuffer(x, WINDOW) for x in group.column("blob").to_pylist()])
-        w = w[np.lexsort((w["doc"], w["b"], w["a"]))]
-        new = np.ones(len(w), bool)
-        new[1:] = (w["a"][1:] != w["a"][:-1]) | (w["b"][1:] != w["b"][:-1])
-        starts = np.flatnonzero(new)
-        sizes = np.diff(np.append(starts, len(w)))
-        if later_only:
-            w = w[w["doc"] > np.repeat(w["doc"][starts], sizes)]
-        else:
-            w = w[np.repeat(w["doc"][starts + sizes - 1] > w["doc"][starts], sizes)]
-        hit = np.empty(len(w), HIT)
-        hit["doc"], hit["at"] = w["doc"], w["at"]
-        bucket = (common.mix(hit["doc"].astype(np.uint64), hit["doc"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        bucket, hit = bucket[order], hit[order]
-        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.empty(0, np.int64)
-        return pa.table({"bucket": pa.array(bucket[first], pa.int32()), "blob": pa.array([x.tobytes() for x in np.split(hit, first[1:])] if len(first) else [], pa.binary())})
-
-    return rows.filter("kind = 'window'").select("shard", "blob").groupBy("shard").applyInArrow(run, "bucket int, blob binary")
-
-
-def by_document(found: DataFrame) -> DataFrame:
-    """A row for each document with all its places, at most as many as its words."""
-
-    def run(group: pa.Table) -> pa.Table:
-        hit = np.concatenate([np.frombuffer(x, HIT) for x in group.column("blob").to_pylist()])
-        hit = hit[np.lexsort((hit["at"], hit["doc"]))]
-        docs, first = np.unique(hit["doc"], return_index=True)
-        return pa.table({"doc_id": pa.array(docs, pa.int64()), "places": pa.array([x.tobytes() for x in np.split(np.ascontiguousarray(hit["at"]), first[1:])], pa.binary())})
-
-    return common.stored(found.groupBy("bucket").applyInArrow(run, "doc_id bigint, places binary"), "places")
-
-
-def joined(docs: DataFrame, placed: DataFrame) -> DataFrame:
-    """Texts with their places; other documents' texts aren't moved where the list of ids is short."""
-    return common.of_ids(docs, placed).join(placed, "doc_id").select("doc_id", "text", "places")
-
-
-def extended(docs: DataFrame, placed: DataFrame, have: int, longer: int, length: int, n_shards: int) -> DataFrame:
-    """Windows of ``longer`` words around the places where windows of ``have`` words were repeated.
-
-    From the chosen places of level 1 all windows that lie in a window of ``length`` words around the place; later
-    only those that begin and end with a repeated window.
-    """
-    anchored = have * 2 > longer
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, parts, held = common.HashCache(), [], 0
         for batch in batches:
-            for doc, raw, blob in zip(batch.column(0).to_pylist(), common.as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                h, at = common.hashes((raw or b"").split(), cache), np.frombuffer(blob, "<i4")
-                n = len(h) - longer + 1
-                ok = np.zeros(n + 1, np.int64)
-                if anchored:
-                    lo, hi = np.maximum(at - (length - have), 0), np.minimum(at + length - longer, n - 1)
-                    good = lo <= hi
-                    np.add.at(ok, lo[good], 1)
-                    np.add.at(ok, hi[good] + 1, -1)
-                    start = np.flatnonzero(np.cumsum(ok)[:n] > 0)
-                else:
-                    start = at[np.isin(at + longer - have, at, assume_unique=True)]
-                if len(start):
-                    parts.append(_windows(h, doc, start, longer))
-                    held += len(start)
+            texts = Texts(shared.value, batch.column(0).to_pylist(), common.as_bytes(batch.column(1)), cache)
+            if level > 1:
+                texts.second()
+            a, b = texts.third() if level == 3 else (texts.joined(texts.keys), None)
+            if len(a):
+                doc = texts.docs()
+                parts.append((a, np.zeros(len(a), np.uint64) if b is None else b, doc, doc))
+                held += len(a)
             if held > PACK:
-                yield _table(packed(parts, n_shards))
+                yield out()
                 parts, held = [], 0
         if parts:
-            yield _table(packed(parts, n_shards))
+            yield out()
+
+    def merge(group: pa.Table) -> pa.Table:
+        k, blobs = group.column("shard")[0].as_py(), group.column("blob").to_pylist()
+        a, *b, low, more = unpack(blobs, "<u8", *(["<u8"] if level == 3 else []), "<i8", "<i8")
+        a, b, low, high = distinct(a, b[0] if b else np.zeros(len(a), np.uint64), low, low + more)
+        several = low != high
+        if level < 3:
+            write_table(f"{folder}/{level}/{k}", a[several])
+        else:
+            for name, column in (("b", b), ("low", low), ("a", a)):
+                write_array(f"{folder}/3/{k}.{name}", column[several])
+        return pa.table({"n": [int(several.sum())]})
 
-    return joined(docs, placed).mapInArrow(run, BLOB)
+    docs.mapInArrow(run, ROW).groupBy("shard").applyInArrow(merge, "n bigint").agg(F.sum("n")).collect()
 
 
 def repeated_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
     """Remove passages of ``length`` words or more that also start in a document with a smaller doc_id.
 
-    In: doc_id (unique), text. Out, a row for each input row: doc_id, n_words, n_removed, kept_sha256 (kept words joined
-    by one space) and kept_text, null where nothing was removed. Words are runs of other than ASCII white space; null
-    text has none. A document without a doc_id keeps all its words and is no source for others. Windows are judged on
-    the input. Repeats inside one document stay.
+    In: doc_id, text; other columns are ignored. Out, a row for each input row: doc_id, n_words, n_removed, kept_sha256
+    (kept words joined by one space) and kept_text, null where nothing was removed. Words are runs of other than ASCII white
+    space; null text has none. A document without a doc_id keeps all its words and is no source for others; rows with one
+    doc_id are no sources for each other. Windows are judged on the input. Repeats inside one document stay. The shared
+    folder has to be mounted, as workers map arrays that lie there.
     """
     spark = docs.sparkSession
     common.ship_code(spark)
     common.quiet_arrow(spark)
     docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
-    half, n = (length + 1) // 2, common.shards(spark, docs.count())
-    first = (half + 1) // 2
-    level = common.stored(level_one(docs, first, length, n), "level1")
-    base = level.filter("kind = 'doc'").select("doc_id", "n_words", "kept_sha256")
-    for have, longer in ((first, half), (half, length)):
-        level = common.stored(extended(docs, by_document(repeated(level, False, n)), have, longer, length, n), "windows")
-    last = by_document(repeated(level, True, n))
-
-    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(1, (max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD)) - 1).bit_length())
+    levels = Levels(common.posix(common.new_path(spark, "windows")), bits, length)
+    for level in (1, 2, 3):
+        counted(docs, levels, level)
+    shared = spark.sparkContext.broadcast(levels)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = common.HashCache()
         for batch in batches:
-            removed, sha, texts = [], [], []
-            for raw, blob in zip(common.as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                words, at = (raw or b"").split(), np.frombuffer(blob, "<i4")
-                hit = np.zeros(len(words) + 1, np.int64)
-                np.add.at(hit, at, 1)
-                np.add.at(hit, at + length, -1)
-                keep = np.cumsum(hit)[:-1] == 0
-                left = b" ".join(w for w, k in zip(words, keep.tolist(), strict=True) if k)
-                removed.append(len(words) - int(keep.sum()))
-                sha.append(hashlib.sha256(left).hexdigest())
-                texts.append(left.decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.string())], ["doc_id", "removed", "sha", "kept_text"])
-
-    cleaned = joined(docs, last).mapInArrow(cover, "doc_id bigint, removed bigint, sha string, kept_text string")
-    return base.join(cleaned, "doc_id", "left").select(
-        "doc_id", "n_words", F.coalesce("removed", F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce("sha", "kept_sha256").alias("kept_sha256"), "kept_text"
-    )
+            ids = batch.column(0).to_pylist()
+            texts = Texts(shared.value, ids, common.as_bytes(batch.column(1)), cache)
+            texts.second()
+            lower = shared.value.lowest(*texts.third()) < texts.docs()
+            removed, kept, at = [0] * len(ids), [None] * len(ids), 0
+            for i in texts.which:
+                start = texts.starts[i][lower[at : at + len(texts.starts[i])]]
+                at += len(texts.starts[i])
+                if len(start):
+                    words = texts.words[i]
+                    edge = np.zeros(len(words) + 1, np.int64)
+                    np.add.at(edge, start, 1)
+                    np.add.at(edge, start + length, -1)
+                    keep = np.cumsum(edge)[:-1] == 0
+                    removed[i] = len(words) - int(keep.sum())
+                    kept[i] = b" ".join([w for w, k in zip(words, keep.tolist(), strict=True) if k])
+            sha = [hashlib.sha256(b" ".join(w) if k is None else k).hexdigest() for w, k in zip(texts.words, kept, strict=True)]
+            columns = [pa.array([len(w) for w in texts.words], pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array([k if k is None else k.decode() for k in kept], pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+
+    return docs.mapInArrow(clean, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
