@@ -1,4 +1,9 @@
-"""Amounts after labels in page text: one narrow pass, each page by itself, no join and no shuffle."""
+"""Amounts after labels in the text of statement pages: one narrow pass, each page by itself, no join and no shuffle.
+
+Text is folded to half-width first, so that one set of marks is left. An amount belongs to a label if it comes after it, on its
+line or within the next lines. Amounts are tokens: digits with group commas and decimals, a sign or brackets around them, maybe a
+per cent sign.
+"""
 
 from __future__ import annotations
 
@@ -8,73 +13,79 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Number and unit formats of statement pages, and words that mark a ratio instead of an amount.
-NUMBER = r"[-−]?[（(]?\d[\d,]*(?:\.\d+)?\s*[）)]?%?"
-FOOTNOTE = r"^[（(]\s*\d{1,2}\s*[）)]$"
-UNIT = r"(?:单位[^\n]{0,30}?|[（(][^）\n]{0,30}?|人民币\s*)(亿元|百万元|百万|万元|千元|元)"
-PER_SHARE = r"元\s*[/／]\s*股|每股[^\n]{0,8}?元"
+#: Full-width characters and other spellings of a sign, and what they are folded to.
+WIDE, NARROW = "（）［］，．％－−–：／　０１２３４５６７８９", "()[],.%---:/ 0123456789"
+# What the names of units stand for.
 UNITS = {"元": 1.0, "千元": 1e3, "万元": 1e4, "百万元": 1e6, "百万": 1e6, "亿元": 1e8}
-RATIO = "比率|收益率|回报率|占比"
+#: A token of an amount, and a note's number in brackets, which is none.
+AMOUNT, NOTE = r"(?<![\w.])[(\[]?-?\d+(?:,\d{3})*(?:\.\d+)?\s?[)\]]?%?", r"\(\d\d?\)"
+#: A unit is named after the word for it, in brackets, or after the currency; an amount for each share isn't one.
+_NAMES = "|".join(sorted(UNITS, key=len, reverse=True))
+UNIT, SHARE = rf"(?:单位:?|币种:?|人民币|\()\s*(?:人民币)?\s*({_NAMES})(?!\s*/\s*股)", r"每股[^\n]*"
 
 
 @dataclass(frozen=True)
 class Labels:
-    """Labels of a field, the preferred first; ``scaled`` amounts follow the page's unit."""
+    """Labels of a field, the preferred first; ``scaled`` amounts follow the page's unit; a hit after a ``reject`` word on its line is none."""
 
     names: tuple[str, ...]
     scaled: bool = True
     reject: tuple[str, ...] = ()
 
 
-def number(raw: Column) -> Column:
-    """A double from digits with commas and %; in brackets it is negative. Null where it isn't a number."""
-    plain = F.trim(F.translate(raw, "−（）,%", "-()"))  # what has no counterpart goes
-    size = F.regexp_replace(plain, r"[()\s]", "").try_cast("double")
-    return F.when(plain.rlike(r"^\(.*\)\s*$"), -size).otherwise(size)
+def folded(text: Column) -> Column:
+    return F.translate(F.coalesce(text, F.lit("")), WIDE, NARROW)
+
+
+def number(token: Column) -> Column:
+    """The value of an amount token; brackets make it negative, per cent signs and commas don't count. Null for other text."""
+    token = folded(token)
+    size = F.regexp_replace(token, r"[^\d.]", "").try_cast("double")
+    whole = token.rlike(rf"^\s*(?:{AMOUNT})\s*$")
+    return F.when(whole, F.when(token.rlike(r"^\s*[(\[]?-|^\s*[(\[].*[)\]]"), -size).otherwise(size))
 
 
-def _unit(text: Column, position: Column, label: str) -> Column:
-    """Scale by the first unit from the label on, else by the last one before it, else 1; units for a share don't count."""
-    clean = lambda c: F.regexp_replace(c, PER_SHARE, "")
-    near = F.regexp_extract(clean(F.substr(text, position + 1, F.lit(len(label) + 80))), UNIT, 1)
-    before = F.regexp_extract_all(clean(F.substr(text, F.greatest(position - 4999, F.lit(1)), F.least(position, F.lit(5000)))), F.lit(UNIT), F.lit(1))
-    name = F.when(near != "", near).otherwise(F.try_element_at(before, F.lit(-1)))
-    return F.coalesce(F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv])[name], F.lit(1.0))
+def _scale(after: Column, before: Column) -> Column:
+    """By the unit on the label's line after it, else by the last one before, else 1."""
+    own = F.regexp_extract(F.regexp_replace(F.substring_index(after, "\n", 1), SHARE, ""), UNIT, 1)
+    above = F.try_element_at(F.regexp_extract_all(F.regexp_replace(before, SHARE, ""), F.lit(UNIT), F.lit(1)), F.lit(-1))
+    value = F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv])
+    return F.coalesce(value[F.nullif(own, F.lit(""))], value[above], F.lit(1.0))
 
 
-def _hits(text: Column, label: str, order: int, spec: Labels) -> Column:
-    """Array of (order, size, position, value) for each place of a label that an amount follows."""
-    parts = F.split(text, re.escape(label), -1)
+def _hits(text: Column, label: str, order: int, spec: Labels, lines: int) -> Column:
+    """Candidates of one label: (order, size, place, value) for each of its places that an amount follows."""
+    pieces = F.split(text, re.escape(label), -1)
 
-    def hit(k: Column) -> Column:
-        at = F.aggregate(F.slice(parts, 1, k), F.lit(0), lambda n, x: n + F.length(x)) + (k - 1) * len(label)
-        head = F.regexp_extract(F.substr(text, F.greatest(at - 23, F.lit(1)), F.least(at, F.lit(24))), r"[^\n]*$", 0)
-        tail = F.substr(text, at + len(label) + 1, F.lit(500))
-        line = F.regexp_extract(F.substr(tail, F.lit(1), F.lit(24)), r"^[^\n]*", 0)
-        found = F.regexp_extract_all(F.regexp_replace(tail, r"\s*,\s*", ","), F.lit(NUMBER), F.lit(0))
-        first = F.when((F.size(found) > 1) & found[0].rlike(FOOTNOTE), F.get(found, F.lit(1))).otherwise(F.get(found, F.lit(0)))
-        value = number(first) * (_unit(text, at, label) if spec.scaled else F.lit(1.0))
-        bad = F.concat(head, F.lit(" "), line).rlike(RATIO) & F.lit(not re.search(RATIO, label))
-        for prefix in spec.reject:
-            bad = bad | head.contains(prefix)
-        return F.struct(F.lit(order).alias("order"), (-F.abs(value)).alias("size"), at.alias("position"), F.when(~bad, value).alias("value"))
+    def candidate(i: Column) -> Column:
+        before, after = F.array_join(F.slice(pieces, 1, i), label), F.array_join(F.slice(pieces, i + 1, F.size(pieces) - i), label)
+        head, near = F.substring_index(before, "\n", -1), F.substring_index(after, "\n", lines)
+        tokens = F.filter(F.regexp_extract_all(near, F.lit(AMOUNT), F.lit(0)), lambda t: ~F.replace(t, F.lit(" "), F.lit("")).rlike(f"^{NOTE}$") | (F.size(F.regexp_extract_all(near, F.lit(AMOUNT), F.lit(0))) == 1))
+        value = number(F.get(tokens, F.lit(0)))
+        until = F.regexp_extract(near, rf"^(.*?)(?:{AMOUNT})", 1)
+        # What is named between the line's start and the amount tells rates and rejected kinds from the amount that is asked for.
+        rate = F.concat(head, F.substring_index(until, "\n", 1)).rlike("率|占比") if "率" not in label and "占比" not in label else F.lit(False)
+        for word in spec.reject:
+            rate = rate | F.contains(head, F.lit(word))
+        scaled = value * _scale(after, before) if spec.scaled else value
+        return F.struct(F.lit(order).alias("order"), (-F.abs(scaled)).alias("size"), F.length(before).alias("place"), F.when(~rate, scaled).alias("value"))
 
-    places = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.filter(F.transform(places, hit), lambda h: h["value"].isNotNull())
+    places = F.when(F.size(pieces) > 1, F.sequence(F.lit(1), F.size(pieces) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.filter(F.transform(places, candidate), lambda c: c["value"].isNotNull())
 
 
-def labelled_amounts(pages: DataFrame, fields: dict[str, Labels], text: str = "text") -> DataFrame:
+def labelled_amounts(pages: DataFrame, fields: dict[str, Labels], text: str = "text", lines: int = 3) -> DataFrame:
     """``pages`` with a double for each field and ``status``: parsed where all were found, else partial.
 
-    Of a field's hits the preferred label's win, then the largest amount, then the first place. A null or empty text has
-    no amounts. Columns of ``pages`` named like a field or ``status`` are replaced.
+    Of a field's candidates the preferred label's win, then the largest amount, then the first place. A null or empty text has
+    no amounts. An amount may stand on the label's line or the ``lines`` - 1 after it. Columns of ``pages`` named like a field
+    or ``status`` are replaced.
     """
-    source, out = F.coalesce(F.col(text), F.lit("")), {}
+    source, out = folded(F.col(text)), {}
     for name, spec in fields.items():
-        hits = F.flatten(F.array(*[_hits(source, label, i, spec) for i, label in enumerate(spec.names)]))
+        hits = F.flatten(F.array(*[_hits(source, label.translate(str.maketrans(WIDE, NARROW)), i, spec, lines) for i, label in enumerate(spec.names)]))
         out[name] = F.get(F.array_sort(hits), F.lit(0))["value"]
-    found = pages.withColumns(out)
-    missing = F.lit(False)
+    found, missing = pages.withColumns(out), F.lit(False)
     for name in fields:
         missing = missing | F.col(name).isNull()
     return found.withColumn("status", F.when(missing, "partial").otherwise("parsed"))

@@ -78,25 +78,6 @@ query("a13_security_profile", "fin_base fin_right", "symbol field b_exact b_unde
 query("u01_patch_merge", "fin_base fin_right", "symbol end_date", "revenue", "SELECT l.symbol, l.end_date, CASE WHEN r.symbol IS NULL THEN l.revenue ELSE r.revenue END AS revenue FROM fin_base l LEFT JOIN fin_right r ON l.symbol = r.symbol AND l.end_date = r.end_date", digits=2)(lambda a, b: recon.patched(a.select(*recon.KEY, "revenue"), [b.select(*recon.KEY, "revenue")], recon.KEY))
 query("u02_keep_first", "official_events", "symbol item_id", "", "SELECT symbol, min(item_id) AS item_id FROM official_events GROUP BY symbol, published")(lambda e: pit.keep_first(e, ["symbol", "published"], ["item_id"]))
 query("u03_key_difference", "fin_base fin_right", "symbol end_date", "", "SELECT symbol, end_date FROM fin_base EXCEPT SELECT symbol, end_date FROM fin_right")(lambda a, b: a.select(*recon.KEY).exceptAll(b.select(*recon.KEY)))
-EVD = "(SELECT *, CASE WHEN strength IS NULL OR strength < 0 OR strength > 1 THEN 'range' WHEN published > DATE '1999-01-20' THEN 'future' END AS reject FROM official_events)"
-EV = lambda e: ev.accepted(e, "1999-01-20")
-query("e04_accepted", "official_events", "symbol item_id reject", "", f"SELECT * FROM {EVD}")(EV)
-query("a21_coverage", "official_events", "symbol accepted rejected first_day freshness_days", "mean_strength", f"SELECT symbol, count(*) FILTER (reject IS NULL) AS accepted, count(reject) AS rejected, min(published) FILTER (reject IS NULL) AS first_day, DATE '1999-01-20' - max(published) FILTER (reject IS NULL) AS freshness_days, avg(strength) FILTER (reject IS NULL) AS mean_strength FROM {EVD} GROUP BY symbol")(lambda e: ev.coverage(EV(e), "1999-01-20"))
-query("e08_adjudicate", "official_events", "symbol state", "pos neg net conflict confidence", f"""
-    SELECT *, CASE WHEN total = 0 THEN 'insufficient' WHEN conflict >= 0.3 AND abs(net) < 0.25 THEN 'conflicted' WHEN net >= 0.25 THEN 'positive' WHEN net <= -0.25 THEN 'negative' ELSE 'neutral' END AS state, coalesce(round(least(80, abs(net) * 100 * least(1, total / 1.5))), 0) AS confidence FROM (
-      SELECT *, pos + neg AS total, (pos - neg) / nullif(pos + neg, 0) AS net, least(pos, neg) / nullif(pos + neg, 0) AS conflict FROM (SELECT symbol, coalesce(sum(strength * 0.9) FILTER (polarity = 'positive'), 0) AS pos, coalesce(sum(strength * 0.9) FILTER (polarity = 'negative'), 0) AS neg FROM {EVD} WHERE reject IS NULL GROUP BY symbol))""")(lambda e: ev.adjudicate(EV(e)))
-query("e05_sentiment", "bars", "symbol status", "ret_19 vol_ratio volatility sentiment_score", f"""
-    SELECT symbol, 'ok' AS status, ret_19, vol_ratio, volatility, 50 + CASE WHEN ret_19 > 5 THEN 20 WHEN ret_19 < -5 THEN -20 ELSE 0 END + CASE WHEN vol_ratio > 1.5 THEN sign(ret_19) * 10 ELSE 0 END AS sentiment_score FROM (
-      SELECT *, stddev_pop(r) OVER ({W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) * sqrt(252) * 100 AS volatility FROM (SELECT *, (close / lag(close, 19) OVER ({W}) - 1) * 100 AS ret_19, close / lag(close) OVER ({W}) - 1 AS r, volume / avg(volume) OVER ({W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS vol_ratio,
-        row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS back FROM bars)) WHERE back = 1""")(ev.sentiment)
-query("a22_money_flow", "moneyflow_raw", "symbol polarity", "net_5d", """SELECT symbol, sum(net_mf_amount) AS net_5d, CASE WHEN sum(net_mf_amount) > 0 THEN 'positive' WHEN sum(net_mf_amount) < 0 THEN 'negative' ELSE 'neutral' END AS polarity FROM (
-    SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS back FROM (SELECT * FROM moneyflow_raw QUALIFY row_number() OVER (PARTITION BY symbol, trade_date ORDER BY version DESC) = 1)) WHERE back <= 5 GROUP BY symbol""")(lambda m: ev.flow(pit.money_flow(m, "2100-01-01")))
-query("e07_analysis_evidence", "bars", "symbol dimension polarity", "strength")(lambda b: ev.analysis_evidence(indicators.summary(indicators.all_indicators(b))))
-query("e09_scenarios", "bars", "symbol scenario", "trigger target", """SELECT symbol, x.s AS scenario, x.a AS trigger, x.b AS target FROM (SELECT symbol, unnest([{'s': 'optimistic', 'a': r, 'b': r * 1.05}, {'s': 'base', 'a': c, 'b': (s + r) / 2}, {'s': 'pessimistic', 'a': s, 'b': s * 0.95}]) AS x FROM (
-    SELECT symbol, arg_max(close, trade_date) AS c, min(low) AS s, max(high) AS r FROM bars GROUP BY symbol))""")(lambda b: ev.scenarios(b.groupBy("symbol").agg(F.max_by("close", "trade_date").alias("close"), F.min("low").alias("support"), F.max("high").alias("resistance"))))
-query("e11_snapshot_diff", "fin_right fin_right_prev", "symbol end_date path rank", "", "SELECT symbol, end_date, 'revenue' AS path, 1 AS rank FROM fin_right r JOIN fin_right_prev p USING (symbol, end_date) WHERE r.revenue IS DISTINCT FROM p.revenue")(lambda a, b: ev.snapshot_diff(b, a, recon.KEY, FIELDS))
-ETITLE = [("the_of", ["the", "of"], True), ("der", ["der"], False), ("que", ["que"], False)]
-query("e01_classify", "benchmark", "item_id kind", "", "SELECT item_id, CASE WHEN contains(text, 'the') AND contains(text, 'of') THEN 'the_of' WHEN contains(text, 'der') THEN 'der' WHEN contains(text, 'que') THEN 'que' ELSE 'unknown' END AS kind FROM benchmark")(lambda b: b.select("item_id", ev.classify(F.col("text"), ETITLE).alias("kind")))
 CODE = "lpad(CAST(c_custkey * 7919 % 1000000 AS VARCHAR), 6, '0')"
 query("p01_normalize_symbol", "customer", "c_custkey symbol error", "", f"SELECT c_custkey, CASE WHEN mod(c_custkey, 10) = 0 THEN NULL ELSE d || '.' || x END AS symbol, CASE WHEN mod(c_custkey, 10) = 0 THEN 'format' END AS error FROM (SELECT c_custkey, d, CASE WHEN d LIKE '4%' OR d LIKE '8%' OR d LIKE '920%' THEN 'BJ' WHEN d[1] IN ('5', '6', '9') THEN 'SH' ELSE 'SZ' END AS x FROM (SELECT c_custkey, {CODE} AS d FROM customer))")(
     lambda c: c.select("c_custkey", fn.normalize_symbol(F.expr("concat(if(c_custkey % 10 = 0, 'x', ' '), lpad(cast(c_custkey * 7919 % 1000000 as string), 6, '0'))")).alias("x")).select("c_custkey", "x.symbol", "x.error"))
@@ -117,8 +98,3 @@ query("p18_redact_text", "documents", "doc_id x", "", r"SELECT doc_id, substring
 query("p19_has_secret", "documents", "doc_id x", "", r"""SELECT doc_id, regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') OR regexp_matches(text, '(?i)(api_?key|token|secret|password)\s*[:=]\s*["''][A-Za-z0-9_\-]{16,}["'']') OR regexp_matches(text, '\bsk-[A-Za-z0-9]{16,}') AS x FROM documents""")(lambda d: d.select("doc_id", fn.has_secret(F.col("text")).alias("x")))
 query("p20_units", "bars", "symbol trade_date", "amount_100k volume_10k", "SELECT symbol, trade_date, amount / 1e5 AS amount_100k, volume / 1e4 AS volume_10k FROM bars")(lambda b: b.select("symbol", "trade_date", (F.col("amount") / 1e5).alias("amount_100k"), (F.col("volume") / 1e4).alias("volume_10k")))
 query("p21_fingerprint", "supplier", "s_suppkey x", "", """SELECT s_suppkey, sha256('{"s_nationkey":' || s_nationkey || ',"s_suppkey":' || s_suppkey || '}')[1:16] AS x FROM supplier""")(lambda s: s.select("s_suppkey", fn.fingerprint("s_suppkey", "s_nationkey").alias("x")))
-query("a16_run_stats", "run_log", "mode runs", "tokens", "SELECT mode, count(*) AS runs, sum(tokens) AS tokens FROM run_log GROUP BY mode")(lambda r: r.groupBy("mode").agg(F.count("*").alias("runs"), F.sum("tokens").alias("tokens")))
-query("a17_call_stats", "run_log", "calls errors", "total", "SELECT count(*) AS calls, count(*) FILTER (tokens > 1000) AS errors, sum(tokens) AS total FROM run_log")(lambda r: r.agg(F.count("*").alias("calls"), F.count_if(F.col("tokens") > 1000).alias("errors"), F.sum("tokens").alias("total")))
-query("a18_descriptor", "bars", "symbol row_count as_of quality", "", "SELECT symbol, count(*) AS row_count, max(trade_date) AS as_of, 'ok' AS quality FROM bars GROUP BY symbol")(lambda b: b.groupBy("symbol").agg(F.count("*").alias("row_count"), F.max("trade_date").alias("as_of"), F.lit("ok").alias("quality")))
-query("a19_data_hash", "bars", "symbol x", "", "SELECT symbol, sha256(string_agg(CAST(trade_date AS VARCHAR) || ' ' || CAST(CAST(volume AS BIGINT) AS VARCHAR), ',' ORDER BY trade_date)) AS x FROM bars GROUP BY symbol")(
-    lambda b: b.groupBy("symbol").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("trade_date", F.col("volume").cast("bigint").alias("v")))), lambda s: F.concat_ws(" ", s["trade_date"].cast("string"), s["v"].cast("string"))), ","), 256).alias("x")))

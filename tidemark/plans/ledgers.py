@@ -13,7 +13,7 @@ from ..operators import ledger, pit, recon, risk, rules, textfields
 from ..operators import strategy as st
 from ..sources import files
 from . import market  # noqa: F401  (its SQL is reused)
-from .analysis import BC, EV, FIELDS, RAT, W
+from .analysis import BC, FIELDS, RAT, W
 from .base import ORACLE_SQL, QUERIES, query
 
 # Audit rows made from the statements: the provider's value is off by 0, 0.15 or 0.3, the reported one by 0 or 2.5.
@@ -116,9 +116,6 @@ def normalized_rows(wide: DataFrame) -> DataFrame:
     return out
 
 
-SENT, COV, FLOW = ORACLE_SQL["e05_sentiment"], ORACLE_SQL["a21_coverage"], ORACLE_SQL["a22_money_flow"]
-query("e06_sentiment_bundle", "official_events bars moneyflow_raw", "symbol parts bundle flow", "", f"SELECT symbol, CAST(accepted > 0 AS INT) + 2 AS parts, 'ok' AS bundle, polarity AS flow FROM ({SENT}) s JOIN ({COV}) c USING (symbol) JOIN ({FLOW}) m USING (symbol)")(
-    lambda e, b, m: rules.sentiment_bundle(ev.coverage(EV(e), "1999-01-20"), ev.sentiment(b), ev.flow(pit.money_flow(m, "2100-01-01"))))
 SUPS, RESS, RISK = ORACLE_SQL["t01_supports"], ORACLE_SQL["t02_resistances"], ORACLE_SQL["a04_risk"]
 
 
@@ -130,7 +127,6 @@ def _ends(b: DataFrame) -> DataFrame:
 query("e10_invalidations", "bars", "symbol id severity", "price", f"""WITH l AS (SELECT k.symbol, k.risk_level, s.price AS a, r.price AS b FROM ({RISK}) k LEFT JOIN (SELECT * FROM ({SUPS}) WHERE rank = 1) s USING (symbol) LEFT JOIN (SELECT * FROM ({RESS}) WHERE rank = 1) r USING (symbol))
     SELECT symbol, 'price.break_support' AS id, 'high' AS severity, a AS price FROM l WHERE a IS NOT NULL UNION ALL SELECT symbol, 'price.break_resistance_context', 'medium', b FROM l WHERE b IS NOT NULL UNION ALL SELECT symbol, 'price.levels_missing', 'medium', NULL FROM l WHERE a IS NULL AND b IS NULL
     UNION ALL SELECT symbol, 'risk.reassessment', 'high', NULL FROM l WHERE risk_level = 'high' UNION ALL SELECT symbol, 'data.quality_change', 'high', NULL FROM l""")(lambda b: rules.invalidations(_ends(b)))
-query("e13_package", "bars official_events", "symbol gaps size digest", "")(lambda b, e: rules.package({"risk": risk.risk(b), "trend": risk.trend_strength(b).select("symbol", "label", "trend_score"), "coverage": ev.coverage(EV(e), "1999-01-20")}, "1999-01-20"))
 query("a20_descriptor_hash", "bars", "symbol x", "", """SELECT symbol, sha256('{"dataset":"daily","rows":' || count(*) || ',"as_of":"' || max(trade_date) || '"}') AS x FROM bars GROUP BY symbol""")(
     lambda b: b.groupBy("symbol").agg(F.count("*").alias("rows"), F.max("trade_date").cast("string").alias("as_of")).select("symbol", F.sha2(F.to_json(F.struct(F.lit("daily").alias("dataset"), "rows", "as_of")), 256).alias("x")))
 MEANS = lambda a, b: f"CASE WHEN k >= {b} THEN avg(close) OVER ({W} ROWS BETWEEN {a - 1} PRECEDING AND CURRENT ROW) > avg(close) OVER ({W} ROWS BETWEEN {b - 1} PRECEDING AND CURRENT ROW) ELSE false END"
@@ -158,22 +154,3 @@ def _tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["s06_tolerant_read"], ORACLE_SQL["s06_tolerant_read"] = _tolerant, "SELECT count(*) AS n FROM customer"
 QUERIES["s15_file_index"] = lambda spark, sf_dir: files.index_files(spark, sf_dir, "*.parquet")
-
-
-#: Amounts after two labels, the first preferred; then the largest, then the first place.
-_AFTER = " UNION ALL ".join(
-    f"""SELECT doc_id, {i} AS o, p, regexp_extract_all(regexp_replace(substr(text, CAST(p AS BIGINT) + {len(w) + 1}, 500), '\\s*,\\s*', ',', 'g'), '[-−]?[（(]?\\d[\\d,]*(?:\\.\\d+)?\\s*[）)]?%?') AS found
-    FROM (SELECT doc_id, text, list_sum(list_transform(parts[1:k], lambda x: length(x))) + (k - 1) * {len(w)} AS p FROM (SELECT doc_id, text, parts, unnest(range(1, len(parts))) AS k FROM (SELECT doc_id, text, string_split(text, '{w}') AS parts FROM documents)))"""
-    for i, w in enumerate(("ersion", "with"))
-)
-_FIRST = "CASE WHEN len(found) > 1 AND regexp_full_match(found[1], '[（(]\\s*\\d{1,2}\\s*[）)]') THEN found[2] ELSE found[1] END"
-_PLAIN = "trim(translate(replace(replace(first, ',', ''), '%', ''), '−（）', '-()'))"
-_VALUE = f"TRY_CAST(regexp_replace({_PLAIN}, '[()\\s]', '', 'g') AS DOUBLE) * CASE WHEN regexp_full_match({_PLAIN}, '\\(.*\\)\\s*') THEN -1 ELSE 1 END"
-
-
-@query("e16_labelled_amounts", "documents", "doc_id status", "log_amount", f"""SELECT doc_id, CASE WHEN v IS NULL THEN 'partial' ELSE 'parsed' END AS status, sign(v) * ln(1 + abs(v)) AS log_amount FROM documents LEFT JOIN (
-    SELECT doc_id, v FROM (SELECT doc_id, o, p, {_VALUE} AS v FROM (SELECT *, {_FIRST} AS first FROM ({_AFTER}))) WHERE v IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY o, abs(v) DESC, p) = 1) USING (doc_id)""", digits=6)
-def labelled_amounts(documents: DataFrame) -> DataFrame:
-    """The amount after a label in each text; its log, as amounts have up to 16 digits."""
-    got = textfields.labelled_amounts(documents.select("doc_id", "text"), {"amount": textfields.Labels(("ersion", "with"), scaled=False)})
-    return got.withColumn("log_amount", F.signum("amount") * F.log1p(F.abs("amount")))

@@ -20,17 +20,6 @@ def listed(column: str, *fields: str) -> Column:
 
 
 query("p11_rounded", "customer", "c_custkey", "x", "SELECT c_custkey, round(c_acctbal, 1) AS x FROM customer", digits=2)(lambda c: c.select("c_custkey", fn.rounded(F.col("c_acctbal"), 1).alias("x")))
-query("p17_redact_map", "run_log", "conv_id turn api_key mode", "", "SELECT conv_id, turn, '***' AS api_key, mode FROM run_log")(
-    lambda r: r.select("conv_id", "turn", fn.redact_map(F.create_map(F.lit("api_key"), "ticker", F.lit("mode"), "mode")).alias("m")).select("conv_id", "turn", F.col("m")["api_key"].alias("api_key"), F.col("m")["mode"].alias("mode")))
-
-
-@query("p22_parameters", "orders", "o_orderkey reason", "", """SELECT o_orderkey, CASE WHEN f <= 0 OR s <= 0 THEN 'period' WHEN f >= s THEN 'order' WHEN o_totalprice <= 1000 THEN 'cash' END AS reason FROM (SELECT o_orderkey, o_totalprice, o_orderkey % 7 AS f, o_orderkey % 11 AS s FROM orders)""")
-def parameters(orders: DataFrame) -> DataFrame:
-    """Why a parameter row is rejected: periods, their order, cash; null where it is valid."""
-    p = orders.select("o_orderkey", F.expr("o_orderkey % 7").alias("fast"), F.expr("o_orderkey % 11").alias("slow"), F.col("o_totalprice").alias("cash"))
-    return p.withColumn("reason", F.when((F.col("fast") <= 0) | (F.col("slow") <= 0), "period").when(F.col("fast") >= F.col("slow"), "order").when(F.col("cash") <= 1000, "cash"))
-
-
 query("j13_key_sets", "fin_base fin_right", "symbol end_date side", "", "SELECT symbol, end_date, 'missing' AS side FROM (SELECT symbol, end_date FROM fin_base EXCEPT SELECT symbol, end_date FROM fin_right) UNION ALL SELECT symbol, end_date, 'extra' FROM (SELECT symbol, end_date FROM fin_right EXCEPT SELECT symbol, end_date FROM fin_base)")(
     lambda a, b: a.join(b, recon.KEY, "left_anti").select(*recon.KEY, F.lit("missing").alias("side")).union(b.join(a, recon.KEY, "left_anti").select(*recon.KEY, F.lit("extra").alias("side"))))
 query("j16_checklist", "supplier fin_base", "s_suppkey end_date", "", "SELECT s_suppkey, end_date FROM supplier CROSS JOIN (SELECT DISTINCT end_date FROM fin_base WHERE y = 1997)")(lambda s, f: s.select("s_suppkey").crossJoin(F.broadcast(f.filter("y = 1997").select("end_date").distinct())))
@@ -43,13 +32,6 @@ def mismatches(a: DataFrame, b: DataFrame) -> DataFrame:
     return bad.orderBy("symbol", "end_date", "field").limit(100).crossJoin(bad.agg(F.count("*").alias("total")))
 
 
-POLARITY = {"signup": "positive", "purchase": "positive", "error": "negative"}
-query("e03_polarity", "events", "event_id polarity", "strength", "SELECT event_id, CASE WHEN event_type IN ('signup', 'purchase') THEN 'positive' WHEN event_type = 'error' THEN 'negative' ELSE 'neutral' END AS polarity, coalesce(least(value / 500, 1), 0.5) AS strength FROM events")(
-    lambda e: e.select("event_id", F.coalesce(F.create_map(*[F.lit(x) for kv in POLARITY.items() for x in kv])[F.col("event_type")], F.lit("neutral")).alias("polarity"), F.coalesce(F.least(F.col("value") / 500, F.lit(1.0)), F.lit(0.5)).alias("strength")))
-query("e12_context_tags", "run_log", "conv_id turn tags", "", "SELECT conv_id, turn, concat_ws(',', CASE WHEN mode = 'user' THEN 'question' END, CASE WHEN tokens > 500 THEN 'long' END, 'chat') AS tags FROM run_log")(
-    lambda r: r.select("conv_id", "turn", F.array_join(F.array_distinct(F.array_compact(F.array(F.when(F.col("mode") == "user", "question"), F.when(F.col("tokens") > 500, "long"), F.lit("chat"), F.lit("chat")))), ",").alias("tags")))
-query("e14_package_size", "supplier", "s_suppkey size", "", """SELECT s_suppkey, strlen('{"s_suppkey":' || s_suppkey || ',"s_nationkey":' || s_nationkey || '}') AS size FROM supplier""")(lambda s: s.select("s_suppkey", F.octet_length(F.to_json(F.struct("s_suppkey", "s_nationkey"))).alias("size")))
-
 # Levels, confidence and comparison: last indicators, levels, trend.
 LAST_SQL = " JOIN ".join(f"(SELECT symbol, {', '.join(f'arg_max({c}, trade_date) AS {c}' for c in cols.split())} FROM ({PARTS[k]}) GROUP BY symbol)" + (" USING (symbol)" if k != "w05" else "") for k, cols in (("w05", "macd macd_signal"), ("w04", "rsi_14"), ("w10", "volume_ratio")))
 CONFIDENCE = f"""(WITH j AS (SELECT t.*, i.* EXCLUDE (symbol), s.distance AS below, r.distance AS above FROM ({TREND}) t JOIN (SELECT * FROM {LAST_SQL}) i USING (symbol)
