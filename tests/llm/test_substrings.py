@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from tidemark.llm import substring_dedup
+from tidemark.llm import common, substring_dedup
 
 from .test_llm import brute_substrings
 
@@ -49,3 +49,16 @@ def test_equal_first_halves_are_told_apart(tmp_path):
     got = levels.lowest(np.array([4, 4, 4, 4, 8, 6], "<u8"), np.array([5, 1, 2, 9, 1, 1], "<u8"))
     none = np.iinfo(np.int64).max
     assert got.tolist() == [30, 10, 20, none, 40, none]
+
+
+def test_words_of_texts_side_by_side():
+    raws = [b"a  b\tc", None, b"", b" \x0b ", "é 日本 a\u00a0b".encode(), b"b a", b"x" * 5000, *(prose(R.randint(0, 40)).encode() for _ in range(200))]
+    known: dict[int, bytes] = {}
+    for piece in (1 << 20, 64, 1):
+        h, counts = common.WordHasher(piece)(raws)
+        words = [w for r in raws for w in (r or b"").split()]
+        assert counts.tolist() == [len((r or b"").split()) for r in raws] and len(h) == len(words)
+        for k, w in zip(h.tolist(), words, strict=True):
+            assert known.setdefault(k, w) == w
+    assert len(known) == len(set(words))
+    assert [len(x) for x in common.WordHasher()([])] == [0, 0]

@@ -121,6 +121,56 @@ def hashes(words: list[bytes], cache: HashCache) -> np.ndarray:
     return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
 
 
+class WordHasher:
+    """Hashes of all words of a text at once, without a look-up of each.
+
+    A word's bytes are drawn from a table of random numbers and summed with the powers of an odd number by place; the sum of
+    all bytes so far gives that of each word by a difference, moved to place 0. Words are runs of other than ASCII white space.
+    Texts are taken in pieces, cut between words, so that the table of powers stays short.
+    """
+
+    _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+    def __init__(self, piece: int = 1 << 20, seed: int = 99):
+        self.piece, self.drawn = piece, np.random.default_rng(seed).integers(0, 1 << 64, 256, dtype=np.uint64)
+        self.base = 0x9E3779B97F4A7C15
+        self.power = self.inverse = np.ones(1, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        if len(self.power) < n:
+            n = max(n, 2 * len(self.power))
+            powers = lambda b: np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, b, np.uint64)]))
+            self.power, self.inverse = powers(self.base), powers(pow(self.base, -1, 1 << 64))
+
+    def __call__(self, raws: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of texts one after the other, and how many each text has."""
+        raw = b"\n".join([r or b"" for r in raws])
+        begin = np.cumsum([0, *(len(r or b"") + 1 for r in raws)])
+        out, starts, at = [], [], 0
+        while at < len(raw):
+            end = min(at + self.piece, len(raw))
+            while end < len(raw) and not self._SPACE[raw[end]]:
+                end += 1
+            h, start = self._piece(np.frombuffer(raw, np.uint8, end - at, at))
+            out.append(h)
+            starts.append(start + at)
+            at = end
+        if not out:
+            return np.empty(0, np.uint64), np.zeros(len(raws), np.int64)
+        return np.concatenate(out), np.diff(np.searchsorted(np.concatenate(starts), begin))
+
+    def _piece(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self._grow(len(b) + 1)
+        edge = np.diff(np.concatenate([[True], self._SPACE[b], [True]]).view(np.int8))
+        start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        total = np.empty(len(b) + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(self.drawn[b] * self.power[: len(b)], out=total[1:])
+        x = (total[end] - total[start]) * self.inverse[start] + (end - start).astype(np.uint64)
+        x = (x ^ (x >> _S32)) * _K1
+        return x ^ (x >> _S29), start
+
+
 def mix(a: np.ndarray, b: np.ndarray, seed: int = 0) -> np.ndarray:
     """An ordered 64-bit hash of two hashes."""
     x = a * _K1 + ((b << _S31) | (b >> _S33)) * _K2 + np.uint64(seed)

@@ -26,30 +26,26 @@ from .packed import ROW, by_small, dealt, mapped, places, rows_of, unpack, write
 
 #: Windows that a task holds before it hands on packed ones.
 PACK = 1_000_000
+#: Bytes of text that are hashed side by side.
+GROUP = 200_000
 #: Bytes of text for a shard of windows.
 SHARD = 12_000_000
 
 
-def chosen(h: np.ndarray, span: int) -> np.ndarray:
-    """Places of the smallest hash (the rightmost of equal ones) in each ``span`` consecutive items."""
-    n = len(h)
-    if n == 0:
-        return np.empty(0, np.int64)
-    if n <= span:
-        return np.array([n - 1 - int(np.argmin(h[::-1]))], np.int64)
+def spans(h: np.ndarray, span: int) -> np.ndarray:
+    """Of each ``span`` consecutive items, the place of the smallest (the rightmost of equal ones)."""
 
     def smaller(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         right = b[0] <= a[0]
         return np.where(right, b[0], a[0]), np.where(right, b[1], a[1])
 
-    low, width = (h, np.arange(n)), 1
+    n, low, width = len(h), (h, np.arange(len(h))), 1
     while width * 2 <= span:
         low = smaller((low[0][:-width], low[1][:-width]), (low[0][width:], low[1][width:]))
         width *= 2
     if width < span:
         low = smaller((low[0][: n - span + 1], low[1][: n - span + 1]), (low[0][span - width :], low[1][span - width :]))
-    at = low[1]  # in order, as both ends of the spans move on
-    return at[np.concatenate([[True], at[1:] != at[:-1]])]
+    return low[1]
 
 
 def distinct(a: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -120,20 +116,48 @@ class Levels:
 
 
 class Texts:
-    """The windows of a batch of texts, level by level; each level looks at what the one before left."""
-
-    def __init__(self, levels: Levels, ids: list[int | None], raws: list[bytes | None], cache: common.HashCache):
-        self.levels, self.ids = levels, ids
-        self.words = [(r or b"").split() for r in raws]
-        self.which = [i for i, (doc, w) in enumerate(zip(ids, self.words, strict=True)) if doc is not None and len(w) >= levels.length]
-        self.hashes = {i: common.hashes(self.words[i], cache) for i in self.which}
-        first, _, length = levels.sizes
+    """The windows of a batch of texts, level by level; each level looks at what the one before left.
+
+    The first level is made of many texts side by side, in groups of ``GROUP`` bytes; later ones of those texts that are left.
+    """
+
+    def __init__(self, levels: Levels, ids: list[int | None], raws: list[bytes | None], hasher: common.WordHasher):
+        self.levels, self.ids, self.raws = levels, ids, raws
+        self.hashes: list[np.ndarray] = []
         self.starts: dict[int, np.ndarray] = {}
         self.keys: dict[int, np.ndarray] = {}
-        for i in self.which:
-            h = common.windows(self.hashes[i], first, 1)
-            self.starts[i] = chosen(h, length - first + 1)
-            self.keys[i] = h[self.starts[i]]
+        parts, at = [], 0
+        while at < len(raws):
+            end, size = at, 0
+            while end < len(raws) and (end == at or size < GROUP):
+                size += len(raws[end] or b"")
+                end += 1
+            parts.append(self._chosen(at, *hasher(raws[at:end])))
+            at = end
+        #: Of chosen windows: which text of the batch, the place in it, and the hash.
+        self.text, self.place, self.first = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))
+        self.which: list[int] = []
+
+    def _chosen(self, base: int, h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        first, _, length = self.levels.sizes
+        ends = np.cumsum(counts)
+        self.hashes += np.split(h, ends[:-1])
+        if len(h) < length:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+        has = np.array([self.ids[base + i] is not None for i in range(len(counts))])
+        inside = np.arange(len(h)) + length <= np.repeat(np.where(has, ends, 0), counts)  # where a window of the full length fits
+        w = common.windows(h, first, 1)
+        at = spans(w, length - first + 1)[inside[: len(h) - length + 1]]
+        at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
+        text = np.searchsorted(ends, at, "right")
+        return text + base, at - (ends - counts)[text], w[at]
+
+    def first_docs(self) -> np.ndarray:
+        """The document of each chosen window."""
+        return np.array([-1 if i is None else i for i in self.ids], np.int64)[self.text]
+
+    def words(self, i: int) -> list[bytes]:
+        return (self.raws[i] or b"").split()
 
     def joined(self, of: dict[int, np.ndarray]) -> np.ndarray:
         return np.concatenate([of[i] for i in self.which]) if self.which else np.empty(0, np.uint64)
@@ -142,9 +166,9 @@ class Texts:
         """The document of each window."""
         return np.repeat(np.array([self.ids[i] for i in self.which], np.int64), [len(self.starts[i]) for i in self.which])
 
-    def kept(self, level: int) -> None:
-        """Leave out the windows of a level that aren't repeated, and the texts that have none left."""
-        ok, at = self.levels.repeated(level, self.joined(self.keys)), 0
+    def kept(self) -> None:
+        """Leave out the windows of level 2 that aren't repeated, and the texts that have none left."""
+        ok, at = self.levels.repeated(2, self.joined(self.keys)), 0
         for i in list(self.which):
             n = len(self.starts[i])
             self.starts[i] = self.starts[i][ok[at : at + n]]
@@ -153,10 +177,13 @@ class Texts:
 
     def second(self) -> None:
         """From chosen places that are repeated: all windows of half the length in any window of the full length around them."""
-        self.kept(1)
         first, half, length = self.levels.sizes
-        for i in self.which:
-            at, n = self.starts[i], len(self.words[i]) - half + 1
+        ok = self.levels.repeated(1, self.first)
+        text, place = self.text[ok], self.place[ok]
+        cuts = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])) if len(text) else np.empty(0, np.int64)
+        self.which = text[cuts].tolist()
+        for i, at in zip(self.which, np.split(place, cuts[1:]), strict=True) if self.which else ():
+            n = len(self.hashes[i]) - half + 1
             edge = np.zeros(n + 1, np.int64)
             lo, hi = np.maximum(at - (length - first), 0), np.minimum(at + length - half, n - 1)
             good = lo <= hi
@@ -168,12 +195,13 @@ class Texts:
 
     def third(self) -> tuple[np.ndarray, np.ndarray]:
         """Windows of the full length that begin and end with a repeated one: both halves of their digests."""
-        self.kept(2)
+        self.kept()
         _, half, length = self.levels.sizes
         parts = []
         for i in self.which:
-            at, words = self.starts[i], self.words[i]
+            at = self.starts[i]
             self.starts[i] = at = at[np.isin(at + length - half, at, assume_unique=True)]
+            words = self.words(i) if len(at) else []
             parts += [hashlib.blake2b(b" ".join(words[s : s + length]), digest_size=16).digest() for s in at.tolist()]
         self.which = [i for i in self.which if len(self.starts[i])]
         got = np.frombuffer(b"".join(parts), "<u8").reshape(-1, 2)
@@ -186,7 +214,7 @@ def counted(docs: DataFrame, levels: Levels, level: int) -> None:
     shared = spark.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, parts, held = common.HashCache(), [], 0
+        hasher, parts, held = common.WordHasher(), [], 0
 
         def out() -> pa.RecordBatch:
             a, b, low, high = distinct(*(np.concatenate(x) for x in zip(*parts, strict=True)))
@@ -195,12 +223,12 @@ def counted(docs: DataFrame, levels: Levels, level: int) -> None:
             return rows_of(dealt("window", (a & np.uint64((1 << bits) - 1)).astype(np.int64), a, *([b] if level == 3 else []), low, (high - low)))
 
         for batch in batches:
-            texts = Texts(shared.value, batch.column(0).to_pylist(), common.as_bytes(batch.column(1)), cache)
+            texts = Texts(shared.value, batch.column(0).to_pylist(), common.as_bytes(batch.column(1)), hasher)
             if level > 1:
                 texts.second()
-            a, b = texts.third() if level == 3 else (texts.joined(texts.keys), None)
+            a, b = texts.third() if level == 3 else (texts.first if level == 1 else texts.joined(texts.keys), None)
             if len(a):
-                doc = texts.docs()
+                doc = texts.first_docs() if level == 1 else texts.docs()
                 parts.append((a, np.zeros(len(a), np.uint64) if b is None else b, doc, doc))
                 held += len(a)
             if held > PACK:
@@ -245,10 +273,10 @@ def repeated_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
     shared = spark.sparkContext.broadcast(levels)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = common.HashCache()
+        hasher = common.WordHasher()
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            texts = Texts(shared.value, ids, common.as_bytes(batch.column(1)), cache)
+            texts = Texts(shared.value, ids, common.as_bytes(batch.column(1)), hasher)
             texts.second()
             lower = shared.value.lowest(*texts.third()) < texts.docs()
             removed, kept, at = [0] * len(ids), [None] * len(ids), 0
@@ -256,15 +284,15 @@ def repeated_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
                 start = texts.starts[i][lower[at : at + len(texts.starts[i])]]
                 at += len(texts.starts[i])
                 if len(start):
-                    words = texts.words[i]
+                    words = texts.words(i)
                     edge = np.zeros(len(words) + 1, np.int64)
                     np.add.at(edge, start, 1)
                     np.add.at(edge, start + length, -1)
                     keep = np.cumsum(edge)[:-1] == 0
                     removed[i] = len(words) - int(keep.sum())
                     kept[i] = b" ".join([w for w, k in zip(words, keep.tolist(), strict=True) if k])
-            sha = [hashlib.sha256(b" ".join(w) if k is None else k).hexdigest() for w, k in zip(texts.words, kept, strict=True)]
-            columns = [pa.array([len(w) for w in texts.words], pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array([k if k is None else k.decode() for k in kept], pa.string())]
+            sha = [hashlib.sha256(b" ".join(texts.words(i)) if k is None else k).hexdigest() for i, k in enumerate(kept)]
+            columns = [pa.array([len(h) for h in texts.hashes], pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array([k if k is None else k.decode() for k in kept], pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     return docs.mapInArrow(clean, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
