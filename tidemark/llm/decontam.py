@@ -35,15 +35,18 @@ def phrases(benchmark: DataFrame, length: int) -> DataFrame:
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    """doc_id, words, n_words; stored, as several steps read it."""
-    made = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), words_of(F.col("text")).alias("words"))
+    """row, doc_id, words, n_words; stored, as several steps read it.
+
+    The index knows texts by their row, as a doc_id may be null or stand for several rows.
+    """
+    made = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), words_of(F.col("text")).alias("words"))
     return common.stored(made.withColumn("n_words", F.size("words").cast("bigint")), "tokens")
 
 
 def postings(tokenised: DataFrame, terms: DataFrame) -> DataFrame:
-    """Postings of the given terms: term, doc_id, pos (from 0)."""
-    every = tokenised.select("doc_id", F.posexplode("words").alias("pos", "term"))
-    return every.join(common.small(terms), "term").select("term", "doc_id", "pos")
+    """Postings of the given terms: term, row, pos (from 0)."""
+    every = tokenised.select("row", F.posexplode("words").alias("pos", "term"))
+    return every.join(common.small(terms), "term").select("term", "row", "pos")
 
 
 def anchored(windows: DataFrame, frequency: DataFrame) -> DataFrame:
@@ -64,20 +67,20 @@ def exact_matches(tokenised: DataFrame, windows: DataFrame) -> DataFrame:
     rare = anchors.select(F.explode(F.array("t1", "t2")).alias("term")).distinct()
     index = common.stored(postings(tokenised, rare), "postings")
     first = index.withColumnRenamed("term", "t1").join(common.small(anchors), "t1").withColumn("start", F.col("pos") - F.col("o1")).filter("start >= 0")
-    second = index.select(F.col("term").alias("t2"), "doc_id", F.col("pos").alias("at"))
-    both = first.withColumn("at", F.col("start") + F.col("o2")).join(second, ["doc_id", "t2", "at"], "left_semi")
-    places = common.stored(both.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n", "phrase", "items")).alias("places")), "places")
+    second = index.select(F.col("term").alias("t2"), "row", F.col("pos").alias("at"))
+    both = first.withColumn("at", F.col("start") + F.col("o2")).join(second, ["row", "t2", "at"], "left_semi")
+    places = common.stored(both.groupBy("row").agg(F.collect_set(F.struct("start", "n", "phrase", "items")).alias("places")), "places")
     # Words of documents with candidates only are moved; the others' rows have no words by then.
-    rows = common.of_ids(tokenised, places).join(places, "doc_id")
+    rows = tokenised.join(common.small(places.select("row"), 1_000_000), "row", "left_semi").join(places, "row")
     same = lambda p: F.array_join(F.slice("words", p["start"] + 1, p["n"]), " ") == p["phrase"]
     hits = F.transform(F.filter("places", same), lambda p: F.struct(p["start"].alias("start"), p["n"].alias("n"), p["items"].alias("items")))
-    found = common.stored(rows.withColumn("hits", hits).groupBy("doc_id").agg(F.max("hits").alias("hits")), "hits")
-    out = tokenised.select("doc_id", "n_words").join(found, "doc_id", "left")
+    found = common.stored(rows.select("row", hits.alias("hits")), "hits")
+    out = tokenised.select("row", "doc_id", "n_words").join(found, "row", "left")
     return out.withColumn("hits", F.coalesce("hits", F.array().cast(found.schema["hits"].dataType)))
 
 
 def proximity_matches(tokenised: DataFrame, benchmark: DataFrame, within: int = 20) -> DataFrame:
-    """Documents in which the two rarest terms of an item stand at most ``within`` words apart: item_id, doc_id, nearest.
+    """Documents in which the two rarest terms of an item stand at most ``within`` words apart: item_id, row, nearest.
 
     Terms that are in no document are left aside; an item of which fewer than two others are left has no matches.
     """
@@ -91,13 +94,13 @@ def proximity_matches(tokenised: DataFrame, benchmark: DataFrame, within: int =
     rare = pair.select(F.explode(F.array("t1", "t2")).alias("term")).distinct()
     index = common.stored(postings(tokenised, rare), "postings")
     # Positions are dealt to blocks of ``within`` words: near ones are in the same or a neighbouring block.
-    one = index.select(F.col("term").alias("t1"), "doc_id", "pos").join(common.small(pair.select("t1", "t2").distinct()), "t1")
+    one = index.select(F.col("term").alias("t1"), "row", "pos").join(common.small(pair.select("t1", "t2").distinct()), "t1")
     one = one.withColumn("block", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.floor(F.col("pos") / within) + d)))
-    two = index.select(F.col("term").alias("t2"), "doc_id", F.col("pos").alias("other")).withColumn("block", F.floor(F.col("other") / within))
+    two = index.select(F.col("term").alias("t2"), "row", F.col("pos").alias("other")).withColumn("block", F.floor(F.col("other") / within))
     gap = F.abs(F.col("pos") - F.col("other"))
-    near = one.join(two, ["doc_id", "t2", "block"]).filter(gap <= within).groupBy("t1", "t2", "doc_id").agg(F.min(gap).cast("int").alias("nearest"))
+    near = one.join(two, ["row", "t2", "block"]).filter(gap <= within).groupBy("t1", "t2", "row").agg(F.min(gap).cast("int").alias("nearest"))
     of = items.select("item_id", "phrase").join(pair, "phrase").select("item_id", "t1", "t2").distinct()
-    return near.join(common.small(of), ["t1", "t2"]).groupBy("item_id", "doc_id").agg(F.min("nearest").alias("nearest"))
+    return near.join(common.small(of), ["t1", "t2"]).groupBy("item_id", "row").agg(F.min("nearest").alias("nearest"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> DataFrame:
@@ -105,12 +108,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> Da
 
     In: documents (doc_id, text), benchmark (item_id, text). Out, a row for each document: doc_id, n_words, n_hit (words
     inside an occurrence of a window), n_items, items_sha256 (of the sorted ids as text, joined by commas),
-    contaminated (n_hit > 0). A window is ``length`` words of an item, or all of a shorter one; null has no words. A document
-    without a doc_id can't be looked up in the index and has no hits; of rows with the same doc_id each gets the same hits.
-    Items without an id count with an empty id.
+    contaminated (n_hit > 0). A window is ``length`` words of an item, or all of a shorter one; null has no words. Each row
+    has the hits of its own text, also without a doc_id or where several rows share one. Items without an id count with an
+    empty id. Other columns are ignored; an empty table gives no rows, and without items nothing is hit.
     """
     tokenised = tokens(docs)
-    return _counted(exact_matches(tokenised, common.stored(phrases(benchmark, length), "phrases")))
+    return _counted(exact_matches(tokenised, common.stored(phrases(benchmark, length), "phrases"))).drop("row")
 
 
 def _counted(found: DataFrame) -> DataFrame:
@@ -118,7 +121,7 @@ def _counted(found: DataFrame) -> DataFrame:
     covered = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["n"] - 1)))))
     ids = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))))
     return found.select(
-        "doc_id", "n_words", covered.cast("bigint").alias("n_hit"), F.size(ids).cast("bigint").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated")
+        "row", "doc_id", "n_words", covered.cast("bigint").alias("n_hit"), F.size(ids).cast("bigint").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated")
     )
 
 
@@ -131,5 +134,5 @@ def matches(docs: DataFrame, benchmark: DataFrame, length: int = 10, within: int
     """
     tokenised = tokens(docs)
     exact = _counted(exact_matches(tokenised, common.stored(phrases(benchmark, length), "phrases")))
-    near = proximity_matches(tokenised, benchmark, within).groupBy("doc_id").agg(F.count("*").alias("n_near"), F.min("nearest").alias("nearest"))
-    return exact.join(common.stored(near, "near"), "doc_id", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
+    near = proximity_matches(tokenised, benchmark, within).groupBy("row").agg(F.count("*").alias("n_near"), F.min("nearest").alias("nearest"))
+    return exact.join(common.stored(near, "near"), "row", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0))).drop("row")
