@@ -75,33 +75,50 @@ def from_columns(records: DataFrame) -> DataFrame:
     return records.withColumn("turns", MAPPINGS[found][1](F.col).cast(TURN))
 
 
-def _json_schema(paths: list[str]) -> tuple[dict[str, str], str]:
-    """Of a layout, its fields' SQL types, and its shape as schema_of_variant writes it without the kinds of values."""
-    inner: dict[str, list[str]] = {}
+def _fields(paths: list[str]) -> dict[str, list[str]]:
+    """The top fields of a layout, each with the fields of its items, if it is a list of objects."""
+    out: dict[str, list[str]] = {}
     for p in sorted(paths):
-        top, _, field = p.partition("[].")
-        inner.setdefault(top, [])
-        inner[top] += [field] * bool(field)
-    kinds = {top: "array<struct<" + ",".join(f"`{f}`:{'bigint' if f == 'turn' else 'string'}" for f in fields) + ">>" if fields else "string" for top, fields in inner.items()}
-    shape = ",".join(f"{top}:" + (f"ARRAY<OBJECT<{','.join(f'{f}:' for f in fields)}>>" if fields else "") for top, fields in inner.items())
-    return kinds, f"OBJECT<{shape}>"
+        top, _, inner = p.partition("[].")
+        out.setdefault(top, [])
+        out[top] += [inner] * bool(inner)
+    return out
+
+
+def record_paths(record: Column) -> Column:
+    """The sorted field paths of a JSON record that belong to some layout; null where it isn't an object."""
+    lists = {top: sorted({i for paths, _ in MAPPINGS.values() for i in _fields(paths).get(top, [])}) for top in sorted(_FIELDS)}
+    keys = F.json_object_keys(record)
+    found = []
+    for top, inner in lists.items():
+        if inner:
+            first = F.json_object_keys(F.get_json_object(record, f"$.{top}[0]"))
+            items = F.array_intersect(F.array(*map(F.lit, inner)), first)
+            paths = F.split(F.concat(F.lit(f"{top}[]."), F.array_join(items, f",{top}[].")), ",")
+            found.append(F.when(F.array_contains(keys, top), F.when(F.size(items) > 0, paths).otherwise(F.array(F.lit(f"{top}[]")))))
+        else:
+            found.append(F.when(F.array_contains(keys, top), F.array(F.lit(top))))
+    none = F.array().cast("array<string>")
+    return F.when(keys.isNotNull(), F.array_sort(F.flatten(F.array(*[F.coalesce(f, none) for f in found]))))
 
 
 def from_json_text(records: DataFrame, column: str = "record") -> DataFrame:
     """``layout`` and canonical ``turns`` of JSON records of mixed layouts, chosen for each row by its fingerprint.
 
-    A record that is null, isn't JSON or has an unknown layout gets layout null and turns null.
+    Fields that belong to no layout, at the top or in the items of a list, don't count. A list without items has no turns. A
+    record that is null, isn't a JSON object or has fields of no or of several layouts gets layout null and turns null.
     """
-    shape = F.schema_of_variant(F.try_parse_json(F.col(column)))
-    bare = F.regexp_replace(shape, r"\b(STRING|VOID|BIGINT|DOUBLE|BOOLEAN|DECIMAL\(\d+,\d+\))| ", "")
-    print_of = F.sha2(bare, 256)
+    print_of = F.sha2(F.array_join(record_paths(F.col(column)), "\n"), 256)
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURN)
-    for key, (paths, made) in MAPPINGS.items():
-        kinds, written = _json_schema(paths)
-        same = print_of == hashlib.sha256(written.encode()).hexdigest()
+    for name, (paths, made) in MAPPINGS.items():
+        fields = _fields(paths)
+        kinds = {top: "array<struct<" + ",".join(f"`{f}`:{'bigint' if f == 'turn' else 'string'}" for f in inner) + ">>" if inner else "string" for top, inner in fields.items()}
+        same = print_of == fingerprint(paths)
+        if all(fields.values()):
+            same = same | (print_of == fingerprint([f"{top}[]" for top in fields]))
         got = F.from_json(F.col(column), ", ".join(f"`{k}` {v}" for k, v in kinds.items()))
-        layout = F.when(same, key).otherwise(layout)
-        turns = F.when(same, made(lambda name, got=got: got[name]).cast(TURN)).otherwise(turns)
+        layout = F.when(same, name).otherwise(layout)
+        turns = F.when(same, made(lambda field, got=got: got[field]).cast(TURN)).otherwise(turns)
     return records.withColumn("layout", layout).withColumn("turns", turns)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,10 +47,12 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's rows by turn, and one conversation more that is a JSON record with messages; its fingerprint selects the mapping."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
-    more = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', '{0}'), (-7L, 1L, 'assistant', '{0}') AS t(conv_id, turn, role, text)".format(said))
-    return chat.digests(chat.formatted(chat.from_rows(rows.union(more))))
+    record = json.dumps({"id": -7, "messages": [{"role": role, "content": said} for role in ("user", "assistant")]})
+    more = chat.from_json_text(spark.range(1).select(F.lit(-7).cast("bigint").alias("conv_id"), F.lit(record).alias("record")))
+    return chat.digests(chat.formatted(chat.from_rows(rows).unionByName(more.select("conv_id", "turns"))))
 
 
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
