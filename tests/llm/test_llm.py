@@ -64,9 +64,9 @@ def test_chunks_rejoin_and_move_with_content():
 
 
 def test_collided_digests_are_told_apart(spark):
-    parts = spark.createDataFrame([(1, 0, b"d", b"one"), (2, 0, b"d", b"two"), (3, 0, b"d", b"one")], "doc_id bigint, place int, digest binary, bytes binary")
-    got = {r["doc_id"]: bytes(r["checked"]) for r in exact_dedup.verified(parts, exact_dedup.collided(parts)).collect()}
-    assert got[1] == got[3] != got[2]
+    parts = spark.createDataFrame([(1, "x", 0, b"d", b"one"), (2, "y", 0, b"d", b"two"), (3, "x", 0, b"d", b"one"), (3, "y", 0, b"d", b"two")], "doc_id bigint, text_sha256 string, place int, digest binary, bytes binary")
+    found = {(r["_id"], r["text_sha256"]): bytes(r["checked"]) for r in exact_dedup.verified(parts, exact_dedup.collided(parts)).collect()}
+    assert found["1", "x"] == found["3", "x"] != found["2", "y"] == found["3", "y"]
 
 
 def brute_substrings(rows, n=50):
@@ -93,9 +93,9 @@ def test_every_span_has_a_chosen_place():
     rng = np.random.default_rng(1)
     for span in (1, 2, 5, 38):
         for h in (rng.integers(0, 1 << 60, 200).astype(np.uint64), rng.integers(0, 3, 200).astype(np.uint64)):
-            at = substring_dedup.chosen(h, span)
+            at = substring_dedup.spans(h, span)
             want = {i + span - 1 - int(np.argmin(h[i : i + span][::-1])) for i in range(200 - span + 1)}
-            assert set(at.tolist()) == want
+            assert set(at.tolist()) == want and (np.diff(at) >= 0).all()
 
 
 def brute_similar(rows):
@@ -175,8 +175,10 @@ def test_decontamination(spark, docs, empty):
     assert {tuple(r) for r in decontam.decontaminate(d, bench).collect()} == brute_windows(rows, items)
     assert decontam.decontaminate(empty, bench).count() == 0
     assert not any(r["contaminated"] for r in decontam.decontaminate(d, bench.limit(0)).collect())
-    near = decontam.proximity_matches(decontam.tokens(d), spark.createDataFrame([(7, "a c"), (8, "w1 nowhere")], "item_id bigint, text string"), 3)
-    assert {(r["item_id"], r["doc_id"]) for r in near.collect()} == {(7, i) for i, x in rows if x and re.search(r"\ba b c\b", x)}
+    tokens = decontam.tokens(d)
+    near = decontam.proximity_matches(tokens, spark.createDataFrame([(7, "a c"), (8, "w1 nowhere")], "item_id bigint, text string"), 3)
+    ids = {r["row"]: r["doc_id"] for r in tokens.collect()}
+    assert {(r["item_id"], ids[r["row"]]) for r in near.collect()} == {(7, i) for i, x in rows if x and re.search(r"\ba b c\b", x)}
 
 
 def brute_near(rows, items, within):
@@ -220,11 +222,14 @@ def test_json_layouts_by_fingerprint(spark):
         {"prompt": "q", "completion": "a"},
         {"instruction": "q", "input": "", "output": "a"},
         {"other": 1},
+        {"id": 3, "source": {"a": [1]}, "messages": [{"role": "user", "content": "q", "name": "n"}, {"content": "a", "role": "assistant"}]},
+        {"messages": [], "tags": []},
+        {"prompt": "q", "completion": "a", "messages": []},
     ]
-    rows = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)] + [(8, "{"), (9, None)], "id int, record string")
-    got = {r["id"]: (r["layout"], r["turns"] and [tuple(t) for t in r["turns"]]) for r in chat.from_json_text(rows).collect()}
+    rows = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)] + [(8, "{"), (9, None), (10, "[1]"), (11, "")], "id int, record string")
+    got = {r["id"]: (r["layout"], None if r["turns"] is None else [tuple(t) for t in r["turns"]]) for r in chat.from_json_text(rows).collect()}
     turns = [("user", "q"), ("assistant", "a")]
-    assert got == {0: ("messages", turns), 1: ("conversations", turns), 2: ("prompt_completion", turns), 3: ("instruction_input", turns), 4: (None, None), 8: (None, None), 9: (None, None)}
+    assert got == {0: ("messages", turns), 1: ("conversations", turns), 2: ("prompt_completion", turns), 3: ("instruction_input", turns), 4: (None, None), 5: ("messages", turns), 6: ("messages", []), 7: (None, None), **{i: (None, None) for i in (8, 9, 10, 11)}}
 
 
 def test_classifiers_learn_and_take_odd_input(spark, empty):

@@ -72,20 +72,22 @@ def recipes(docs: DataFrame) -> DataFrame:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """The chunks of each text: doc_id, place, digest, bytes."""
+    """The chunks of each text: doc_id, text_sha256 (of the whole text), place, digest, bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, place, dig, data = [], [], [], []
+            ids, sha, place, dig, data = [], [], [], [], []
             for i, raw in zip(batch.column(0).to_pylist(), common.as_bytes(batch.column(1)), strict=True):
-                parts = cut(normalise(raw or b""))
+                text = normalise(raw or b"")
+                parts = cut(text)
                 ids += [i] * len(parts)
+                sha += [hashlib.sha256(text).hexdigest()] * len(parts)
                 place += range(len(parts))
                 dig += map(digest, parts)
                 data += parts
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(place, pa.int32()), pa.array(dig, pa.binary()), pa.array(data, pa.binary())], ["doc_id", "place", "digest", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sha, pa.string()), pa.array(place, pa.int32()), pa.array(dig, pa.binary()), pa.array(data, pa.binary())], ["doc_id", "text_sha256", "place", "digest", "bytes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, place int, digest binary, bytes binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, text_sha256 string, place int, digest binary, bytes binary")
 
 
 def collided(parts: DataFrame) -> DataFrame:
@@ -95,14 +97,18 @@ def collided(parts: DataFrame) -> DataFrame:
 
 
 def verified(parts: DataFrame, same_digest: DataFrame) -> DataFrame:
-    """Recipes of texts that hold a collided digest, with the chunk's rank among the bytes of that digest put after it."""
-    hit = parts.join(F.broadcast(same_digest), "digest", "left_semi")
+    """Recipes of texts that hold a collided digest, with the chunk's rank among the bytes of that digest put after it.
+
+    A text is known by its doc_id and the digest of the whole of it, as several rows may have one doc_id or none.
+    """
+    hit = parts.join(common.small(same_digest), "digest", "left_semi")
     rank = hit.select("digest", "bytes").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("digest").orderBy("bytes")))
-    of = hit.select("doc_id").distinct()
-    named = parts.join(of, "doc_id", "left_semi").join(rank, ["digest", "bytes"], "left")
+    parts = parts.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), "text_sha256", "place", "digest", "bytes").distinct()
+    of = parts.join(common.small(same_digest), "digest", "left_semi").select("_id", "text_sha256").distinct()
+    named = parts.join(of, ["_id", "text_sha256"], "left_semi").join(rank, ["digest", "bytes"], "left")
     named = named.withColumn("id", F.concat("digest", F.encode(F.coalesce(F.col("nth"), F.lit(0)).cast("string"), "utf-8")))
-    return named.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", "id"))).alias("ids")).select(
-        "doc_id", F.encode(F.array_join(F.transform("ids", lambda x: F.hex(x["id"])), ","), "utf-8").alias("checked")
+    return named.groupBy("_id", "text_sha256").agg(F.array_sort(F.collect_list(F.struct("place", "id"))).alias("ids")).select(
+        "_id", "text_sha256", F.encode(F.array_join(F.transform("ids", lambda x: F.hex(x["id"])), ","), "utf-8").alias("checked")
     )
 
 
@@ -125,10 +131,14 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     made = common.stored(recipes(docs), "recipes")
     groups = common.stored(grouped(made), "groups")
     suspects = common.stored(made.join(groups.select("recipe"), "recipe", "left_semi").select("doc_id"), "suspects")
-    parts = chunks(common.of_ids(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), suspects))
+    texts = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
+    parts = common.of_ids(texts, suspects)
+    if not suspects.filter("doc_id is null").isEmpty():  # these can't be told apart by id
+        parts = parts.union(texts.filter("doc_id is null"))
+    parts = chunks(parts)
     same_digest = common.stored(collided(parts), "collided")
     if not same_digest.isEmpty():
-        made = made.join(verified(parts, same_digest), "doc_id", "left").withColumn("recipe", F.coalesce("checked", "recipe")).drop("checked")
+        made = made.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).join(verified(parts, same_digest), ["_id", "text_sha256"], "left").withColumn("recipe", F.coalesce("checked", "recipe")).drop("checked", "_id")
         groups = common.stored(grouped(made), "groups")
     out = made.join(groups, "recipe", "left")
     alone = F.col("group_size").isNull()
