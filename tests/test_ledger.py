@@ -40,9 +40,10 @@ def test_dispositions(spark):
 def test_source_gate_needs_all(spark):
     done = spark.createDataFrame([("balance", 4, 0), ("income", 4, 3)], "dataset string, matched int, mismatches int")
     none = spark.createDataFrame([("a", "none")], "disposition string, actionability string")
-    assert ledger.source_gate(done, none, 4).first()["status"] == "pass_with_reservations"
-    assert ledger.source_gate(done, none, 5).first()["status"] == "fail"
-    assert ledger.source_gate(done.filter("false"), none, 4).first()["status"] == "fail"
+    sound, derived = none.filter("false"), spark.createDataFrame([("resolved_x",), ("manual",)], "resolution string")
+    gate = lambda *a: ledger.source_gate(*a).first()
+    assert gate(sound, done, none, derived, 4)["status"] == "pass_with_reservations" and gate(sound, done, none, derived, 4)["derived_resolved"] == 1
+    assert gate(sound, done, none, derived, 5)["status"] == gate(sound, done.filter("false"), none, derived, 4)["status"] == gate(none, done, none, derived, 4)["status"] == "fail"
 
 
 def test_announcement_ids_and_days(spark):
@@ -53,8 +54,8 @@ def test_announcement_ids_and_days(spark):
 
 
 def test_wrapped_words_are_joined(spark):
-    f = spark.createDataFrame([("营业\n收入\n合\n计 a\nb",)], "t string")
-    assert f.select(ledger.normalize_text(F.col("t"), {"合计": "总计"})).first()[0] == "营业收入总计 a\nb"
+    f = spark.createDataFrame([("营业\n收入\n合\n\n 计 a\nb⼈⽉合",)], "t string")
+    assert f.select(ledger.normalize_text(F.col("t"), {"合": "和", "合计": "总计"})).first()[0] == "营业收入总计 a\nb人月和"
 
 
 def test_rules_equal_pandas(spark):

@@ -115,7 +115,7 @@ def adjudicate(evidence: DataFrame) -> DataFrame:
     f = f.withColumn("conflict", F.try_divide(F.least("pos", "neg"), F.col("total")))
     state = F.when(F.col("total") == 0, "insufficient").when((F.col("conflict") >= 0.3) & (F.abs("net") < 0.25), "conflicted").when(F.col("net") >= 0.25, "conditional_positive").when(F.col("net") <= -0.25, "conditional_negative").otherwise("neutral")
     sure = F.bround(F.least(F.lit(80.0), F.abs("net") * 100 * F.least(F.lit(1.0), F.col("total") / 1.5)) * F.col("quality_mean"))
-    return f.withColumns({"state": state, "confidence": F.coalesce(sure, F.lit(0.0))})
+    return f.withColumns({"state": state, "confidence": F.when(F.col("total") > 0, sure).otherwise(0.0)})
 
 
 def sentiment(bars: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,8 +147,11 @@ def match_reports(reports: DataFrame, announcements: DataFrame) -> DataFrame:
     the pattern, 2 if it begins that part, 1 if it is in the title, else 0. Reports without a match stay, as ``missing``.
     """
     year, kind = F.year("end_date").cast("string"), F.col("report_type")
-    # Blanks never count: patterns and names have none.
-    f = reports.join(announcements.withColumn("_t", F.regexp_replace("title", r"\s+", "")), "symbol")
+    # Blanks never count: patterns and names have none. A title is for the years that it names, or for that of its publication.
+    titled = announcements.withColumn("_t", F.regexp_replace("title", r"\s+", ""))
+    years = F.transform(F.regexp_extract_all("_t", F.lit(r"(?=(\d{4}))"), F.lit(1)), lambda y: y.cast("int"))
+    titled = titled.withColumn("_y", F.explode(F.array_distinct(F.concat(F.coalesce(years, F.array().cast("array<int>")), F.array(F.year("published"))))))
+    f = reports.withColumn("_y", F.year("end_date")).join(titled, ["symbol", "_y"]).drop("_y")
     f = f.withColumn("_at", _starts(F.col("_t"), year, kind))
     half = (kind == "semiannual") & F.contains("_t", F.lit("半年报")) & (F.year("published") == F.year("end_date"))
     f = f.filter((F.col("_at") > 0) | F.coalesce(half, F.lit(False)))
@@ -164,11 +169,22 @@ def match_reports(reports: DataFrame, announcements: DataFrame) -> DataFrame:
     return out.withColumns({"match": F.coalesce("match", F.lit("missing")), "candidates": F.coalesce("candidates", F.lit(0).cast("bigint"))})
 
 
-def validate_snapshot(snapshot: DataFrame, checklist: DataFrame) -> DataFrame:
-    """Broken rules of a snapshot against its checklist: rule and count of keys; no rows mean that it passes."""
+def validate_snapshot(
+    snapshot: DataFrame, checklist: DataFrame, required: tuple[str, ...] = (), index: DataFrame | None = None, normalized: DataFrame | None = None, fields: list[str] | None = None
+) -> DataFrame:
+    """Broken rules of a snapshot: rule and how often; no rows mean that it passes.
+
+    Required columns, keys against the checklist, keys that are there twice, claims of status that don't hold; with an index of
+    files the lineage of each row (local_path, sha256), and with a normalized table its cells against the wide ones.
+    """
     keys, want = snapshot.groupBy(*KEY).agg(F.count("*").alias("n")), checklist.select(*KEY).distinct()
     claims = snapshot.filter((F.col("status") == "parsed") & (F.col("missing") != "") | (F.col("status") != "parsed") & (F.col("missing") == ""))
     rules = [("missing_key", want.join(keys, KEY, "left_anti")), ("extra_key", keys.join(want, KEY, "left_anti")), ("duplicate_key", keys.filter("n > 1")), ("status", claims)]
+    rules += [(f"column_{c}", snapshot.limit(1)) for c in required if c not in snapshot.columns]
+    if index is not None:
+        rules.append(("lineage", lineage(snapshot, index).filter("lineage != 'ok'")))
+    if normalized is not None:
+        rules.append(("normalized", wide_matches(snapshot, normalized, fields or []).filter("not equal")))
     out = None
     for rule, rows in rules:
         counted = rows.agg(F.count("*").alias("n")).select(F.lit(rule).alias("rule"), "n")
@@ -177,10 +193,11 @@ def validate_snapshot(snapshot: DataFrame, checklist: DataFrame) -> DataFrame:
 
 
 def event_profile(events: DataFrame, known: list[str]) -> DataFrame:
-    """One row on a sample of events: invalid dates, repeated ids, coverage, and the share of recognized types."""
+    """One row on a sample of events: invalid dates, repeated ids, missing titles and addresses, coverage, and the share of recognized types."""
+    events = events if "url" in events.columns else events.withColumn("url", F.lit(None).cast("string"))
     f = events.agg(
         F.count("*").alias("rows"), F.countDistinct("symbol").alias("symbols"), F.count_if(F.col("published").isNull()).alias("invalid_dates"), F.min("published").alias("first_day"), F.max("published").alias("last_day"),
-        (F.count("*") - F.countDistinct("source", "item_id")).alias("duplicates"), F.count_if(F.coalesce(F.trim("title"), F.lit("")) == "").alias("missing_titles"), F.count_if(F.col("event_type").isin(known)).alias("recognized"),
+        (F.count("*") - F.countDistinct("source", "item_id")).alias("duplicates"), F.count_if(F.coalesce(F.trim("title"), F.lit("")) == "").alias("missing_titles"), F.count_if(F.coalesce(F.trim("url"), F.lit("")) == "").alias("missing_urls"), F.count_if(F.col("event_type").isin(known)).alias("recognized"),
     )
     good = (F.col("invalid_dates") == 0) & (F.col("missing_titles") == 0)
     return f.withColumns({"rate": F.coalesce(F.try_divide("recognized", "rows"), F.lit(0.0)), "status": F.when(good, "pass").otherwise("fail")})
@@ -206,9 +223,15 @@ def statements(wide: DataFrame) -> dict[str, DataFrame]:
     return {t: wide.select(*KEY, *[of(src).alias(dst) for dst, src in cols.items()]) for t, cols in STATEMENTS.items()}
 
 
+#: Radicals of the Kangxi and supplement blocks stand for the characters that compatibility normalisation gives, by rule.
+_RADICALS = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0x2E80, 0x2FE0)}
+RADICALS = {a: b for a, b in _RADICALS.items() if a != b and len(b) == 1}
+
+
 def normalize_text(text: Column, vocabulary: dict[str, str]) -> Column:
-    """Chinese words that a line break splits are joined, then each of the vocabulary is replaced, in its order."""
-    out = F.regexp_replace(text, r"([\x{4e00}-\x{9fa5}])[ \t]*\n[ \t]*(?=[\x{4e00}-\x{9fa5}])", "$1")
-    for a, b in vocabulary.items():
-        out = F.replace(out, F.lit(a), F.lit(b))
+    """Radicals become characters, Chinese words that line breaks split are joined, then the vocabulary is replaced, longer words first."""
+    out = F.translate(text, "".join(RADICALS), "".join(RADICALS.values()))
+    out = F.regexp_replace(out, r"([\x{4e00}-\x{9fa5}])[ \t]*(?:\r?\n[ \t]*)+(?=[\x{4e00}-\x{9fa5}])", "$1")
+    for a in sorted(vocabulary, key=lambda w: (-len(w), w)):
+        out = F.replace(out, F.lit(a), F.lit(vocabulary[a]))
     return out

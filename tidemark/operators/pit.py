@@ -71,8 +71,18 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def append_revisions(old: DataFrame, new: DataFrame) -> DataFrame:
-    """All versions, exact duplicates once."""
-    return old.unionByName(new).distinct()
+    """All versions, exact duplicates once.
+
+    The store has none, so only the batch is reduced to distinct rows, and only its rows that the store has are looked for.
+    """
+    keys, alike = ["symbol", "end_date"], [c for c in new.columns if c not in ("symbol", "end_date")]
+    batch = new.distinct()
+    have = old.join(batch.select(*keys).distinct(), keys, "left_semi").select(*new.columns).alias("o")
+    same = [F.col(f"b.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*keys, *alike]]
+    condition = same[0]
+    for s in same[1:]:
+        condition = condition & s
+    return old.unionByName(batch.alias("b").join(have, condition, "left_anti"))
 
 
 def markers(df: DataFrame, dataset: str) -> DataFrame:
@@ -96,6 +106,26 @@ def prefer_source(sources: list[tuple[str, DataFrame]]) -> DataFrame:
     return out.withColumn("quality", quality).drop("_p", "_r")
 
 
+def source_quality(symbols: DataFrame, datasets: dict[str, list[tuple[str, DataFrame]]], critical: tuple[str, ...] = ("security", "bars", "factors")) -> DataFrame:
+    """For each symbol and dataset the source that is chosen and its quality.
+
+    Critical datasets fall back: the first source is ok, a later one partial, the last of several stale, none invalid. Other
+    datasets come from the first source only: without it they are unavailable and partial.
+    """
+    known, out = symbols.select("symbol").distinct(), None
+    for name, sources in datasets.items():
+        used = sources if name in critical else sources[:1]
+        f = known
+        for i, (_, df) in enumerate(used):
+            f = f.join(df.select("symbol").distinct().withColumn(f"_{i}", F.lit(True)), "symbol", "left")
+        last = len(used) - 1
+        pick = [F.when(F.col(f"_{i}"), F.struct(F.lit(source).alias("chosen"), F.lit("ok" if i == 0 else "stale" if i == last else "partial").alias("quality"))) for i, (source, _) in enumerate(used)]
+        none = F.struct(F.lit("unavailable").alias("chosen"), F.lit("invalid" if name in critical else "partial").alias("quality"))
+        part = f.select("symbol", F.lit(name).alias("dataset"), F.coalesce(*pick, none).alias("x")).select("symbol", "dataset", "x.*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def provider_label(df: DataFrame) -> DataFrame:
     names = F.collect_set(F.when(F.col("provider") != "cache", F.col("provider")))
     return df.groupBy("symbol").agg(F.when(F.size(names) == 0, "cache").when(F.size(names) == 1, F.array_join(names, "")).otherwise("mixed").alias("provider"))

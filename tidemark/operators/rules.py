@@ -110,7 +110,8 @@ def levels_frame(bars: DataFrame) -> DataFrame:
 
 def confidence(bars: DataFrame) -> DataFrame:
     """Buy and sell confidence, 0 to 100, of five signals each: trend, MACD, RSI, nearest level, and volume or weakness."""
-    return levels_frame(bars).select("symbol", "buy_confidence", "buy_label", "sell_confidence", "sell_label")
+    near = {"below": F.get("supports", F.lit(0))["distance"], "above": F.get("resistances", F.lit(0))["distance"]}
+    return levels_frame(bars).withColumns(near).select("symbol", "alignment", "trend_score", "macd", "macd_signal", "below", "above", "buy_confidence", "buy_label", "sell_confidence", "sell_label")
 
 
 def level_bundle(bars: DataFrame) -> DataFrame:
@@ -143,7 +144,7 @@ def invalidations(levels: DataFrame, exclude: str = "") -> DataFrame:
     item = lambda cond, name, severity, price=None: F.when(cond, F.struct(F.lit(name).alias("id"), F.lit(severity).alias("severity"), (price if price is not None else F.lit(None)).cast("double").alias("price")))
     every = [
         item(c("support").isNotNull(), "price.break_support", "high", c("support")), item(c("resistance").isNotNull(), "price.break_resistance_context", "medium", c("resistance")), item(c("support").isNull() & c("resistance").isNull(), "price.levels_missing", "medium"),
-        item(c("risk_level").isin("high", "very_high"), "risk.reassessment", "high"), item(F.coalesce(c("gate"), F.lit("pass")) != "pass", "data.quality_change", "high"),
+        item(c("risk_level").isin("high", "medium_high"), "risk.reassessment", "high"), item(F.coalesce(c("gate"), F.lit("pass")) != "pass", "data.quality_change", "high"),
     ]
     dropped = {"support": "price.break_support", "resistance": "price.break_resistance_context"}.get(exclude, "")
     return levels.select("symbol", F.posexplode(F.filter(F.array_compact(F.array(*every)), lambda x: x["id"] != dropped)).alias("n", "x")).select("symbol", "n", "x.*")

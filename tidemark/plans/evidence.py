@@ -117,7 +117,7 @@ query("e08_adjudicate", "bars fin_base moneyflow_raw official_events", "symbol s
       string_agg(DISTINCT independence_group, ',' ORDER BY independence_group) AS listed FROM x GROUP BY symbol),
     n AS (SELECT *, pos + neg AS total, (pos - neg) / nullif(pos + neg, 0) AS net, least(pos, neg) / nullif(pos + neg, 0) AS conflict FROM s)
     SELECT *, CASE WHEN total = 0 THEN 'insufficient' WHEN conflict >= 0.3 AND abs(net) < 0.25 THEN 'conflicted' WHEN net >= 0.25 THEN 'conditional_positive' WHEN net <= -0.25 THEN 'conditional_negative' ELSE 'neutral' END AS state,
-      coalesce(round_even(least(80, abs(net) * 100 * least(1, total / 1.5)) * quality_mean, 0), 0) AS confidence FROM n
+      CASE WHEN total > 0 THEN round_even(least(80, abs(net) * 100 * least(1, total / 1.5)) * quality_mean, 0) ELSE 0 END AS confidence FROM n
     """, digits=3)(lambda b, f, m, e: decision(b, f, m, e).withColumn("listed", F.array_join("groups", ",")))
 VALUED = lambda b: risk.valuation_summary(b.withColumns({"pe_ttm": F.col("close") / 50 - 5, "pb": F.col("volume") / 20}))
 GATES = f"(SELECT symbol, CASE WHEN bool_or(status = 'fail') THEN 'block' WHEN bool_or(status = 'warn') THEN 'degraded' ELSE 'pass' END AS gate FROM {TESTED} GROUP BY symbol)"

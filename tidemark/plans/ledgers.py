@@ -97,10 +97,26 @@ def _announcements(v: DataFrame) -> DataFrame:
 REPORTS = "(SELECT symbol, end_date, CASE WHEN mod(sk + qn, 9) = 0 THEN 'missing' WHEN count(*) = 1 THEN 'exact' ELSE 'earliest_original_candidate' END AS match, CASE WHEN mod(sk + qn, 9) = 0 THEN 0 ELSE count(*) END AS candidates, CASE WHEN mod(sk + qn, 9) <> 0 THEN min(ann_date) END AS announce_date FROM fin_rev GROUP BY symbol, sk, qn, end_date)"
 query("r14_report_dates", "fin_base fin_rev", "symbol end_date match candidates announce_date", "", f"SELECT * FROM {REPORTS}")(lambda f, v: ledger.match_reports(_reports(f), _announcements(v)))
 query("j18_title_matches", "fin_base fin_rev", "match n", "", f"SELECT match, count(*) AS n FROM {REPORTS} GROUP BY match")(lambda f, v: ledger.match_reports(_reports(f), _announcements(v)).groupBy("match").agg(F.count("*").alias("n")))
-query("d07_snapshot", "fin_base fin_right", "rule n", "", "SELECT * FROM (SELECT 'missing_key' AS rule, count(*) AS n FROM fin_base WHERE mod(sk, 11) = 0 UNION ALL SELECT 'status', count(*) FROM fin_right WHERE revenue IS NULL) WHERE n > 0")(
-    lambda a, b: ledger.validate_snapshot(b.select("symbol", "end_date", F.lit("parsed").alias("status"), F.expr("if(revenue is null, 'revenue', '')").alias("missing")), a))
-query("d08_event_profile", "official_events", "rows symbols invalid_dates duplicates missing_titles recognized status first_day last_day", "rate", "SELECT count(*) AS rows, count(DISTINCT symbol) AS symbols, 0 AS invalid_dates, 0 AS duplicates, 0 AS missing_titles, count(*) FILTER (event_type IN ('signup', 'error')) AS recognized, 'pass' AS status, min(published) AS first_day, max(published) AS last_day, avg(CASE WHEN event_type IN ('signup', 'error') THEN 1.0 ELSE 0 END) AS rate FROM official_events")(
-    lambda e: ledger.event_profile(e.withColumn("title", F.col("event_type")), ["signup", "error"]))
+#: A parsed snapshot with faults of every kind: keys that are missing, one that is there twice, claims that don't hold, files that the index doesn't know, and cells that differ from the normalized table.
+SNAPSHOT = """(SELECT symbol, end_date, sk, qn, revenue, CASE WHEN mod(sk, 5) = 0 THEN NULL ELSE net_profit END AS net_profit, 'parsed' AS status, CASE WHEN revenue IS NULL THEN 'revenue' ELSE '' END AS missing, CASE WHEN mod(sk, 7) = 0 THEN 'gone' ELSE symbol END AS member FROM fin_right)"""
+
+
+def _snapshot(a: DataFrame, b: DataFrame) -> DataFrame:
+    rows = b.selectExpr("symbol", "end_date", "revenue", "if(mod(sk, 5) = 0, null, net_profit) as net_profit", "'parsed' as status", "if(revenue is null, 'revenue', '') as missing", "concat('a.zip!', if(mod(sk, 7) = 0, 'gone', symbol)) as local_path", "symbol as sha256")
+    rows = rows.union(rows.filter("symbol = '1'").limit(1))
+    index = b.selectExpr("symbol as member", "if(mod(sk, 6) = 1, 'other', symbol) as sha256").distinct()
+    normalized = recon.long(b, FIELDS, "amount").withColumnsRenamed({"symbol": "ts_code", "end_date": "period_end"})
+    return ledger.validate_snapshot(rows, a, required=("symbol", "end_date", "unit"), index=index, normalized=normalized, fields=FIELDS)
+
+
+query("d07_snapshot", "fin_base fin_right", "rule n", "", f"""
+    WITH s AS {SNAPSHOT}, d AS (SELECT * FROM s UNION ALL (SELECT * FROM s WHERE symbol = '1' LIMIT 1))
+    SELECT * FROM (SELECT 'missing_key' AS rule, count(*) AS n FROM fin_base WHERE mod(sk, 11) = 0 UNION ALL SELECT 'duplicate_key', count(DISTINCT symbol) FROM s WHERE symbol = '1' UNION ALL SELECT 'status', count(*) FROM d WHERE revenue IS NULL UNION ALL SELECT 'column_unit', 1
+      UNION ALL SELECT 'lineage', count(*) FROM d WHERE member = 'gone' OR mod(sk, 6) = 1 UNION ALL SELECT 'normalized', count(*) FROM d JOIN fin_right r USING (symbol, end_date) WHERE (d.net_profit IS NULL) <> (r.net_profit IS NULL)) WHERE n > 0""")(_snapshot)
+query("d08_event_profile", "official_events", "rows symbols invalid_dates duplicates missing_titles missing_urls recognized status first_day last_day", "rate", """
+    SELECT count(*) AS rows, count(DISTINCT symbol) AS symbols, count(*) FILTER (mod(item_id, 31) = 0) AS invalid_dates, count(*) - count(DISTINCT mod(item_id, 500)) AS duplicates, count(*) FILTER (mod(item_id, 17) = 0) AS missing_titles, count(*) FILTER (mod(item_id, 19) = 0) AS missing_urls,
+      count(*) FILTER (event_type IN ('signup', 'error')) AS recognized, 'fail' AS status, min(published) FILTER (mod(item_id, 31) > 0) AS first_day, max(published) FILTER (mod(item_id, 31) > 0) AS last_day, avg((event_type IN ('signup', 'error'))::INT) AS rate FROM official_events""")(
+    lambda e: ledger.event_profile(e.selectExpr("source", "symbol", "event_type", "mod(item_id, 500) as item_id", "if(mod(item_id, 31) = 0, null, published) as published", "if(mod(item_id, 17) = 0, ' ', event_type) as title", "if(mod(item_id, 19) = 0, '', 'u') as url"), ["signup", "error"]))
 query("e02_announcements", "official_events", "symbol item_id published title", "", "SELECT symbol, CASE WHEN mod(item_id, 5) = 0 THEN sha1(symbol || '|' || event_type || '|' || CAST(published AS VARCHAR))[1:16] ELSE CAST(item_id AS VARCHAR) END AS item_id, published, event_type AS title FROM official_events WHERE mod(item_id, 3) <> 0")(
     lambda e: ledger.normalize_announcements(e.select("symbol", F.expr("if(mod(item_id, 3) = 0, concat(event_type, 'H股'), concat(' ', event_type))").alias("title"), F.expr("unix_millis(to_timestamp(published)) + 3600000").alias("epoch_ms"), F.expr("if(mod(item_id, 5) = 0, ' ', cast(item_id as string))").alias("item_id"))))
 query("e17_normalize_text", "documents", "doc_id x", "", r"SELECT doc_id, sha256(replace(replace(regexp_replace(text, '([\x{4e00}-\x{9fa5}])[ \t]*\n[ \t]*([\x{4e00}-\x{9fa5}])', '\1\2', 'g'), ' the ', ' a '), '—', '-')) AS x FROM documents")(lambda d: d.select("doc_id", F.sha2(ledger.normalize_text(F.col("text"), {" the ": " a ", "—": "-"}), 256).alias("x")))
@@ -126,7 +142,7 @@ def _ends(b: DataFrame) -> DataFrame:
 
 query("e10_invalidations", "bars", "symbol id severity", "price", f"""WITH l AS (SELECT k.symbol, k.risk_level, s.price AS a, r.price AS b FROM ({RISK}) k LEFT JOIN (SELECT * FROM ({SUPS}) WHERE rank = 1) s USING (symbol) LEFT JOIN (SELECT * FROM ({RESS}) WHERE rank = 1) r USING (symbol))
     SELECT symbol, 'price.break_support' AS id, 'high' AS severity, a AS price FROM l WHERE a IS NOT NULL UNION ALL SELECT symbol, 'price.break_resistance_context', 'medium', b FROM l WHERE b IS NOT NULL UNION ALL SELECT symbol, 'price.levels_missing', 'medium', NULL FROM l WHERE a IS NULL AND b IS NULL
-    UNION ALL SELECT symbol, 'risk.reassessment', 'high', NULL FROM l WHERE risk_level = 'high' UNION ALL SELECT symbol, 'data.quality_change', 'high', NULL FROM l""")(lambda b: rules.invalidations(_ends(b)))
+    UNION ALL SELECT symbol, 'risk.reassessment', 'high', NULL FROM l WHERE risk_level IN ('high', 'medium_high') UNION ALL SELECT symbol, 'data.quality_change', 'high', NULL FROM l""")(lambda b: rules.invalidations(_ends(b)))
 query("a20_descriptor_hash", "bars", "symbol x", "", """SELECT symbol, sha256('{"dataset":"daily","rows":' || count(*) || ',"as_of":"' || max(trade_date) || '"}') AS x FROM bars GROUP BY symbol""")(
     lambda b: b.groupBy("symbol").agg(F.count("*").alias("rows"), F.max("trade_date").cast("string").alias("as_of")).select("symbol", F.sha2(F.to_json(F.struct(F.lit("daily").alias("dataset"), "rows", "as_of")), 256).alias("x")))
 MEANS = lambda a, b: f"CASE WHEN k >= {b} THEN avg(close) OVER ({W} ROWS BETWEEN {a - 1} PRECEDING AND CURRENT ROW) > avg(close) OVER ({W} ROWS BETWEEN {b - 1} PRECEDING AND CURRENT ROW) ELSE false END"
@@ -146,11 +162,3 @@ def _python_cross(frame: pd.DataFrame, p: rules.Params) -> pd.Series:
 query("y02_python_rule", "bars", "symbol trade_date signal", "", CROSS)(lambda b: rules.apply_python(b, _python_cross, rules.effective(rules.RULES["ma_cross"])))
 query("y03_parameters", "bars", "symbol on_bars", "", f"SELECT symbol, CAST(sum(signal) AS BIGINT) AS on_bars FROM ({CROSS.replace('BETWEEN 19 ', 'BETWEEN 4 ')}) GROUP BY symbol")(
     lambda b: rules.apply_rule(b, "ma_cross", {"ma_fast": 5}).groupBy("symbol").agg(F.sum("signal").alias("on_bars")))
-
-
-def _tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.read_tolerant(spark, f"{sf_dir}/customer.parquet", "c_custkey bigint, c_acctbal double").agg(F.count("*").alias("n"))
-
-
-QUERIES["s06_tolerant_read"], ORACLE_SQL["s06_tolerant_read"] = _tolerant, "SELECT count(*) AS n FROM customer"
-QUERIES["s15_file_index"] = lambda spark, sf_dir: files.index_files(spark, sf_dir, "*.parquet")

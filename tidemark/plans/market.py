@@ -10,17 +10,10 @@ from .base import query
 W = "PARTITION BY symbol ORDER BY trade_date"
 D = "DATE '1997-06-30'"
 query("s01_read_dataset", "lineitem", "n", "total", "SELECT count(*) AS n, sum(l_quantity) AS total FROM lineitem")(lambda d: d.agg(F.count("*").alias("n"), F.sum("l_quantity").alias("total")))
-query("s02_bars_range", "bars", "symbol trade_date", "close volume", "SELECT * FROM bars WHERE trade_date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'")(lambda b: pit.bars_range(b, "1996-01-01", "1996-12-31"))
-query("s03_upsert_bars", "bars", "symbol trade_date", "close", "SELECT symbol, trade_date, CASE WHEN year(trade_date) = 1997 THEN close * 2 ELSE close END AS close FROM bars")(lambda b: pit.upsert(b, b.filter("year(trade_date) = 1997").withColumn("close", F.col("close") * 2), ["symbol", "trade_date"]))
 query("s04_append_revisions", "fin_rev", "symbol end_date load_seq", "revenue", "SELECT * FROM fin_rev", digits=2)(lambda f: pit.append_revisions(f, f))
-query("s05_upsert_moneyflow", "moneyflow_raw", "symbol trade_date version", "net_mf_amount", "SELECT * FROM moneyflow_raw QUALIFY row_number() OVER (PARTITION BY symbol, trade_date ORDER BY version DESC) = 1", digits=2)(lambda m: pit.upsert(m.filter("version = 'F'"), m.filter("version = 'O'"), ["symbol", "trade_date"]))
 MARK = "SELECT symbol, 'daily' AS dataset, min(trade_date) AS earliest_date, max(trade_date) AS latest_date FROM bars GROUP BY symbol"
 query("s07_markers", "bars", "symbol dataset earliest_date latest_date", "", MARK)(lambda b: pit.markers(b, "daily"))
 query("s08_is_fresh", "bars", "symbol is_fresh covers", "", f"SELECT symbol, latest_date >= DATE '1998-12-01' AS is_fresh, earliest_date <= DATE '1995-02-01' AND latest_date >= DATE '1998-12-01' AS covers FROM ({MARK})")(lambda b: pit.fresh(pit.markers(b, "daily"), "1995-02-01", "1998-12-01"))
-query("s09_prefer_source", "moneyflow_raw", "symbol trade_date chosen quality", "net_mf_amount", """
-    SELECT symbol, trade_date, net_mf_amount, CASE WHEN p THEN 'primary' ELSE 'stale' END AS chosen, CASE WHEN p THEN 'ok' ELSE 'stale' END AS quality FROM (
-      SELECT *, symbol < 'Brand#2' AS a, bool_or(symbol < 'Brand#2' AND version = 'F') OVER (PARTITION BY symbol) AS p FROM moneyflow_raw) WHERE (p AND a AND version = 'F') OR (NOT p AND version = 'O')""", digits=2)(
-    lambda m: pit.prefer_source([("primary", m.filter("version = 'F' and symbol < 'Brand#2'")), ("fallback", m.filter("false")), ("stale", m.filter("version = 'O'"))]))
 query("s10_provider_label", "run_log", "symbol provider", "", """SELECT ticker AS symbol, CASE count(DISTINCT nullif(mode, 'user')) WHEN 0 THEN 'cache' WHEN 1 THEN max(nullif(mode, 'user')) ELSE 'mixed' END AS provider FROM run_log GROUP BY ticker""")(
     lambda r: pit.provider_label(r.select(F.col("ticker").alias("symbol"), F.when(F.col("mode") == "user", "cache").otherwise(F.col("mode")).alias("provider"))))
 query("s11_data_gaps", "run_log", "symbol gaps", "", """SELECT ticker AS symbol, coalesce(string_agg(CAST(turn AS VARCHAR), ',' ORDER BY CAST(turn AS VARCHAR)) FILTER (tokens < 200), '') AS gaps FROM run_log GROUP BY ticker""")(
