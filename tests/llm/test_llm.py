@@ -120,14 +120,6 @@ def test_similarity_join(docs, empty):
     assert ngram_join.similarity_join(empty).count() == 0
 
 
-def test_large_components_are_compared_in_blocks(spark, monkeypatch):
-    base = prose(150).split()
-    rows = [(i, " ".join([*base[:i], f"n{i}", *base[i + 1 :]])) for i in range(30)]
-    monkeypatch.setattr(ngram_join, "BLOCK", 8)
-    got = ngram_join.similarity_join(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "class_id", "n_links", "group_id").collect()
-    assert {tuple(r) for r in got} == brute_similar(rows)
-
-
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)]
     got = {r["node"]: r["component"] for r in components.connected(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
