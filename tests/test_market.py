@@ -1,6 +1,7 @@
 """Operators on small literals, plans, and DuckDB comparisons of some queries."""
 
 import datetime as dt
+import re
 from pathlib import Path
 
 import duckdb
@@ -85,6 +86,8 @@ def test_alignment_sides(spark):
 def test_indicator_plan_has_no_python_and_few_exchanges(spark):
     plan = indicators.bollinger(indicators.moving_average(bars(spark, [1, 2, 3])))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and plan.count("Exchange") <= 1
+    plan = indicators.all_indicators(bars(spark, [1, 2, 3]))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and plan.count("Exchange") <= 1 and len(re.findall(r"- \*?\(?\d*\)?\s*Sort \[", plan)) <= 2
 
 
 def test_shuffled_input_gives_equal_rows(spark):
@@ -93,7 +96,10 @@ def test_shuffled_input_gives_equal_rows(spark):
     assert one.equals(indicators.macd(b.repartition(7)).orderBy("trade_date").toPandas())
 
 
-@pytest.mark.parametrize("name", ["w12_summary", "j01_adjust", "f09_score", "r06_states", "b07_metrics", "t03_targets"])
+@pytest.mark.parametrize("name", [
+    "w11_all_indicators", "w12_summary", "j01_adjust", "f09_score", "f10_score_impact", "r03_reconcile", "r08_overrides", "w20_cluster_rank", "b07_metrics", "b12_optimize", "t03_targets", "t05_confidence",
+    "d05_gate_checks", "e04_accepted", "e08_adjudicate", "e09_scenarios", "e16_labelled_amounts", "s03_upsert_bars", "a16_run_stats",
+])
 def test_query_equals_duckdb(spark, name):
     con = duckdb.connect()
     for p in Path(SF).glob("*.parquet"):
