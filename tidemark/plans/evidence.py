@@ -186,13 +186,13 @@ query("e14_package_size", "bars fin_base", "symbol size", "", f"SELECT symbol, s
 
 AMOUNT = lambda x: f"if({x} < 0, concat(if(sk % 2 = 0, '(', '（'), format_number(-({x}), 2), if(sk % 2 = 0, ')', '）')), format_number({x}, 2))"
 LINES = [
-    "'合并利润表\n单位：万元 币种：人民币\n'", "'营业收入增长率 5.2%\n'", f"concat(if(qn = 3, '', '营业总收入'), if(qn = 2, '（12） ', ' '), if(qn = 3, '', {AMOUNT('revenue / 10000')}), '\n')", f"concat('营业收入 ', {AMOUNT('revenue / 20000')}, '\n')",
-    f"concat('归属于母公司股东的净利润 ', {AMOUNT('net_profit_attributable / 10000')}, '\n')", f"if(qn = 1 and sk % 3 = 0, '', concat('净利润\n', {AMOUNT('net_profit / 10000')}, ' 900\n'))", f"concat('经营活动现金流量净额（百万元） ', {AMOUNT('operating_cf / 1000000')}, '\n')", "'基本每股收益（元/股） 0.35'",
+    "'合并利润表\n单位：万元 币种：人民币\n'", "'营业收入增长率 5.2%\n'", f"concat(if(qn = 3, '', '营业总收入'), if(qn = 2, '（12） ', ' '), if(qn = 3, '', {AMOUNT('(floor(revenue / 10000) + 0.25D)')}), '\n')", f"concat('营业收入 ', {AMOUNT('(floor(revenue / 20000) + 0.25D)')}, '\n')",
+    f"concat('归属于母公司股东的净利润 ', {AMOUNT('(floor(net_profit_attributable / 10000) + 0.25D)')}, '\n')", f"if(qn = 1 and sk % 3 = 0, '', concat('净利润\n', {AMOUNT('(floor(net_profit / 10000) + 0.25D)')}, ' 900\n'))", f"concat('经营活动现金流量净额（百万元） ', {AMOUNT('(floor(operating_cf / 1000000) + 0.25D)')}, '\n')", "'基本每股收益（元/股） 0.35'",
 ]
 PAGE_FIELDS = {"revenue": textfields.Labels(("营业总收入", "营业收入")), "profit": textfields.Labels(("净利润",), reject=("归属于",)), "cash": textfields.Labels(("经营活动现金流量净额",)), "eps": textfields.Labels(("基本每股收益",), scaled=False)}
 query("e16_labelled_amounts", "fin_base", "symbol end_date status", "revenue profit cash eps", """
-    SELECT symbol, end_date, CASE WHEN qn = 1 AND sk % 3 = 0 THEN 'partial' ELSE 'parsed' END AS status, round_even(CASE WHEN qn = 3 THEN revenue / 20000 ELSE revenue / 10000 END, 2) * 10000 AS revenue,
-      CASE WHEN qn = 1 AND sk % 3 = 0 THEN NULL ELSE round_even(net_profit / 10000, 2) * 10000 END AS profit, round_even(operating_cf / 1000000, 2) * 1000000 AS cash, 0.35 AS eps FROM fin_base
+    SELECT symbol, end_date, CASE WHEN qn = 1 AND sk % 3 = 0 THEN 'partial' ELSE 'parsed' END AS status, (floor(CASE WHEN qn = 3 THEN revenue / 20000 ELSE revenue / 10000 END) + 0.25) * 10000 AS revenue,
+      CASE WHEN qn = 1 AND sk % 3 = 0 THEN NULL ELSE (floor(net_profit / 10000) + 0.25) * 10000 END AS profit, (floor(operating_cf / 1000000) + 0.25) * 1000000 AS cash, 0.35 AS eps FROM fin_base
     """, digits=2)(lambda f: textfields.labelled_amounts(f.selectExpr("symbol", "end_date", f"concat({', '.join(LINES)}) as text"), PAGE_FIELDS))
 
 # --- operations -----------------------------------------------------------------------------------
