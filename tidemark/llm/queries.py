@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over the test tables, with SQL where it can express them."""
+"""The queries op1 to op13 over the test tables, with SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, exact_dedup, langid, lm, ngram_join, quality, substring_dedup, toxicity
+from . import bpe, chat, decontam, exact_dedup, langid, line_dedup, lm, ngram_join, quality, substring_dedup, toxicity
 from .common import remainder, table
 
 
@@ -67,7 +67,11 @@ def op10_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_toxicity, op3_bpe, op4_exact_dedup, op5_substring_dedup, op6_quality, op7_ngram_join, op8_chat, op9_lm, op10_decontam, op10_matches)}
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeated_lines(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+QUERIES = {f.__name__: f for f in (op1_langid, op2_toxicity, op3_bpe, op4_exact_dedup, op5_substring_dedup, op6_quality, op7_ngram_join, op8_chat, op9_lm, op10_decontam, op10_matches, op12_line_dedup)}
 
 _WORDS5 = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -128,4 +132,12 @@ ORACLE_SQL = {
         SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
         FROM words LEFT JOIN n_hit USING (doc_id) LEFT JOIN ids USING (doc_id)
     """,
+    "op12_line_dedup": r"""
+        WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents),
+        k AS (SELECT *, translate(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        lows AS (SELECT key, min(doc_id) AS low FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+        m AS (SELECT k.*, low IS NOT NULL AND doc_id != low AS gone FROM k LEFT JOIN lows USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+        FROM m GROUP BY doc_id
+    """,
 }
