@@ -21,12 +21,12 @@ def bars(spark, closes, symbol="X", opens=None, volumes=None):
     return spark.createDataFrame(rows, "symbol string, trade_date date, open double, high double, low double, close double, volume double, amount double")
 
 
-def account(opens, closes, targets, cash, slip=0.0005, commission=0.0003, least=5.0, transfer=0.00001, stamp=0.0005):
+def account(opens, closes, targets, cash, slip=0.0005, commission=0.0003, least=5.0, transfer=0.00001, stamp=0.0005, buys=None, sells=None):
     """The account bar by bar in plain Python: yesterday's signal is traded at today's open in whole lots."""
     start, shares, bought, curve, trades, turned = cash, 0, 0.0, [], [], 0.0
     for i, (o, c) in enumerate(zip(opens, closes, strict=True)):
         want = targets[i - 1] if i else 0
-        if i and want and not shares:
+        if i and want and not shares and (buys is None or buys[i]):
             price = o * (1 + slip)
             n = int(cash / price) // 100 * 100
             while n > 0 and n * price + max(least, n * price * commission) + n * price * transfer > cash:
@@ -35,7 +35,7 @@ def account(opens, closes, targets, cash, slip=0.0005, commission=0.0003, least=
                 v = n * price
                 bought = v + max(least, v * commission) + v * transfer
                 cash, shares, turned = cash - bought, n, turned + v
-        elif i and not want and shares:
+        elif i and not want and shares and (sells is None or sells[i]):
             v = shares * o * (1 - slip)
             got = v - max(least, v * commission) - v * (transfer + stamp)
             cash, shares, turned = cash + got, 0, turned + v
@@ -74,6 +74,44 @@ def test_metrics_equal_a_plain_account(spark):
     assert sum(w["trades"] for w in want.values()) > 20 and any(w["open_shares"] for w in want.values())
 
 
+def test_limits_stop_one_side_and_suspensions_both(spark):
+    """Accounts in small batches: an open at the upper limit stops buys only, one at the lower limit sales only."""
+    rows, want = [], {}
+    for k in range(4):
+        closes = [round(30 * (1 + R.uniform(-0.3, 0.3)), 2) for _ in range(120)]
+        signal = [R.randrange(2) for _ in range(120)]
+        flag = [R.choice([None, "0", "1", " YES", "停牌", "no"]) for _ in range(120)]
+        up, down = ([R.choice([None, x]) for x in (limit,) * 120] for limit in (33.0, 27.0))
+        off = [f in ("1", " YES", "停牌") for f in flag]
+        buys, sells = ([not o and (x is None or (c < x if side else c > x)) for o, x, c in zip(off, xs, closes, strict=True)] for side, xs in ((1, up), (0, down)))
+        want[f"S{k}"] = account(closes, closes, signal, 50_000.0, buys=buys, sells=sells)
+        rows += [(f"S{k}", D(2024, 1, 1) + dt.timedelta(i), c, c, g, f, u, d) for i, (c, g, f, u, d) in enumerate(zip(closes, signal, flag, up, down, strict=True))]
+    frame = spark.createDataFrame(rows, "symbol string, trade_date date, open double, close double, signal int, is_suspended string, up_limit double, down_limit double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r["symbol"]: r for r in strategy.metrics(strategy.positions(frame), 50_000.0).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for symbol, plain in want.items():
+        for key, value in plain.items():
+            assert math.isclose(got[symbol][key], value, rel_tol=1e-9, abs_tol=1e-12), (symbol, key)
+    assert all(w["trades"] > 3 for w in want.values())
+    held = [r["position"] for r in strategy.positions(spark.createDataFrame([("A", D(2024, 1, i + 1), 10.0, g, u, d) for i, (g, u, d) in enumerate([(1, 9.0, 1.0), (1, 10.0, 1.0), (0, 11.0, 1.0), (0, 9.0, 10.0), (0, 9.0, 9.0)])], "symbol string, trade_date date, open double, signal int, up_limit double, down_limit double")).orderBy("trade_date").collect()]
+    assert held == [0, 0, 1, 1, 0]  # at the limit; bought; down at the limit; sold although the open is over the upper limit
+
+
+def test_large_accounts_and_odd_bars(spark):
+    rows = [("A", D(2024, 1, i + 1), o, c, g) for i, (o, c, g) in enumerate([(1.0, 1.0, 1), (2.0, 2.0, 1), (4.0, 3.0, 0), (5.0, 5.0, None), (None, 5.0, 1), (0.0, 6.0, 1), (3.0, 6.0, 0), (9.0, 9.0, 0)])]
+    frame = spark.createDataFrame(rows, "symbol string, trade_date date, open double, close double, signal int")
+    got = strategy.ledger(frame, 1e24).collect()
+    assert [(r["entry"].day, r["exit"].day) for r in got] == [(2, 4), (7, 8)] and got[0]["shares"] > 4.9e23 and math.isclose(got[1]["ret"], 3 * 0.9995 * (1 - 0.00081) / (1.0005 * 1.00031) - 1, rel_tol=1e-9)
+    assert strategy.metrics(frame.limit(0)).count() == 0 and strategy.metrics(frame, 1e24).first()["trades"] == 2
+    from tidemark.functions import scalars
+    lots = spark.range(1).select(scalars.lot_size(F.lit(1e24), F.lit(2.0)).alias("big"), scalars.lot_size(F.lit(1e3), F.lit(2.0)).alias("small"), scalars.lot_size(F.lit(1.0), F.lit(2.0)).alias("none")).first()
+    assert math.isclose(lots["big"], 5e23, rel_tol=1e-3) and lots["small"] == 400 and lots["none"] == 0
+
+
 def test_objectives_by_hand(spark):
     row = spark.createDataFrame([(0.5, 0.2, 0.4, -0.1, 1.5, 12.0, 4)], "total_return double, hold_return double, annual_return double, max_drawdown double, sharpe double, turnover double, trades int")
     got = row.select(*[strategy.objective(k).alias(k) for k in ("sharpe", "total_return", "calmar", "robust")]).first()

@@ -19,6 +19,10 @@ VIEWS = {
         SELECT symbol, trade_date, max(CASE WHEN rn_first = 1 THEN price END) AS open, max(price) AS high, min(price) AS low,
           max(CASE WHEN rn_last = 1 THEN price END) AS close, sum(qty) AS volume, sum(amt) AS amount
         FROM r GROUP BY symbol, trade_date""",
+    "limit_bars": """
+        SELECT symbol, trade_date, open, high, low, close, volume, amount, CASE WHEN mod(n, 17) = 5 THEN ' Yes' WHEN mod(n, 17) = 9 THEN '0' END AS is_suspended,
+          CASE WHEN mod(n, 11) <> 3 THEN before * 1.3E0 END AS up_limit, CASE WHEN mod(n, 13) <> 4 THEN before * 0.7E0 END AS down_limit
+        FROM (SELECT b.*, row_number() OVER (PARTITION BY symbol ORDER BY trade_date) AS n, lag(close) OVER (PARTITION BY symbol ORDER BY trade_date) AS before FROM bars b) x""",
     "adj_factor": """
         SELECT DISTINCT p.p_brand AS symbol, CAST(l.l_shipdate AS DATE) AS trade_date, 1.0E0 + 0.1E0 * (year(l.l_shipdate) - 1995) AS adj_factor
         FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey""",

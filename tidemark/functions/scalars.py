@@ -101,7 +101,8 @@ def slipped(price: Column, side: str, slippage: float = 0.0005) -> Column:
 def lot_size(cash: Column, price: Column, lot: int = 100, commission: float = 0.0003, minimum: float = 5.0, transfer: float = 0.00001) -> Column:
     """The most shares, in lots, whose notional and fees the cash pays."""
     most = F.least(cash / (1 + transfer + commission), (cash - minimum) / (1 + transfer))
-    return F.greatest(F.floor(F.try_divide(most, price * lot)), F.lit(0)) * lot
+    lots = F.try_divide(most, price * lot)  # a double throughout: floor() of a large account leaves the range of integers
+    return F.greatest(F.when(F.abs(lots) < 2.0**53, F.floor(lots).cast("double")).otherwise(lots), F.lit(0.0)) * lot
 
 
 def run_cost(tokens_in: Column, tokens_out: Column) -> Column:
@@ -109,11 +110,6 @@ def run_cost(tokens_in: Column, tokens_out: Column) -> Column:
     return F.coalesce(tokens_in, F.lit(0)) * 2e-6 + F.coalesce(tokens_out, F.lit(0)) * 8e-6
 
 
-def redact_map(values: Column) -> Column:
-    """A map with the values of secret-like keys starred."""
-    return F.transform_values(values, lambda k, v: F.when(F.lower(k).rlike(SECRET_KEY), F.lit("***")).otherwise(v))
-
-
 def redact_text(text: Column) -> Column:
     """Text with the values of secret-like pairs starred, cut to 500 characters."""
     return F.substring(F.regexp_replace(text, SECRET_PAIR, "$1=***"), 1, 500)

@@ -7,10 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def _keys(frame: DataFrame) -> list[str]:
-    """The columns that tell accounts apart, of those that there are."""
-    return [c for c in ("symbol", "run_id", "win", "slice") if c in frame.columns]
+from ..sources.store import stored
+from .accounts import accounts, keys_of, tradable
 
 
 def grid_from(requests: DataFrame, most: int = 1000) -> DataFrame:
@@ -67,9 +65,12 @@ def with_means(bars: DataFrame, params: DataFrame) -> DataFrame:
     return bars.withColumn("_means", F.create_map(*[x for p in periods for x in (F.lit(p), F.avg("close").over(w.rowsBetween(-(p - 1), 0)))]))
 
 
-def cross_signal(sliced: DataFrame, params: DataFrame) -> DataFrame:
-    """1 where the fast mean is above the slow one. Slices begin anew: a mean counts from the bar on at which the slice has all its rows."""
-    f = sliced.crossJoin(F.broadcast(params))
+def cross_signal(sliced: DataFrame, params: DataFrame | None = None) -> DataFrame:
+    """1 where the fast mean is above the slow one, for each row of ``params`` or for the parameters that the bars have.
+
+    Slices begin anew: a mean counts from the bar on at which the slice has all its rows.
+    """
+    f = sliced if params is None else sliced.crossJoin(F.broadcast(params))
     mean = lambda n: F.when(F.col("place") >= F.col(n), F.col("_means")[F.col(n)])
     return f.withColumn("signal", F.coalesce(mean("fast") > mean("slow"), F.lit(False)).cast("int")).drop("_means", "place")
 
@@ -83,84 +84,44 @@ def held(bars: DataFrame, params: DataFrame, cut: Cut = slices) -> DataFrame:
 
 
 def positions(signals: DataFrame) -> DataFrame:
-    """Yesterday's signal, taken at today's open where the bar can be traded, else the position before."""
-    by = _keys(signals)
+    """Yesterday's signal, taken at today's open where its side can be traded, else the position before.
+
+    A bar that asks for a share and can be bought leads to a held position whatever it was before, one that asks for none and
+    can be sold to a flat one, any other leaves it; so of the bars up to now, the last that leads somewhere decides.
+    """
+    by = keys_of(signals)
     w = Window.partitionBy(*by).orderBy("trade_date")
     f = signals.withColumn("target", F.lag("signal").over(w))
-    free = ~F.col("blocked") if "blocked" in signals.columns else F.lit(True)
-    f = f.withColumn("position", F.coalesce(F.last(F.when(free, F.col("target")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    leads = F.when((F.col("target") == 1) & tradable(f, "buy"), 1).when((F.col("target") == 0) & tradable(f, "sell"), 0)
+    f = f.withColumn("position", F.coalesce(F.last(leads, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
     return f.withColumn("_p", F.coalesce(F.lag("position").over(w), F.lit(0))).withColumn("action", F.when(F.col("position") > F.col("_p"), "buy").when(F.col("position") < F.col("_p"), "sell")).drop("_p")
 
 
-COSTS = {"lot": 100, "commission": 0.0003, "minimum": 5.0, "transfer": 0.00001, "stamp": 0.0005, "slippage": 0.0005}
-STATE = "struct<cash:double,shares:double,flows:array<struct<trade_date:date,money:double,moved:double,turned:double>>>"
-
-
-def _flows(taken: DataFrame, cash: float, **costs: float) -> DataFrame:
-    """What each key's account pays and gets: trade_date, money, moved (shares), turned (price times shares without fees).
-
-    Bars that ask for a buy or a sale are folded in order, as cash is carried. A buy takes the most lots that cash pays with
-    fees; one that can't be paid is retried at each bar that still asks for it.
-    """
-    by, k = _keys(taken), COSTS | costs
-    free = ~F.col("blocked") if "blocked" in taken.columns else F.lit(True)
-    asked = free & (F.col("target") == 1) if "target" in taken.columns else F.col("action") == "buy"
-    side = F.when(F.col("action") == "sell", "sell").when(asked, "buy")
-    bars = taken.select(*by, "trade_date", "open", side.alias("side")).filter("side is not null")
-    bars = bars.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("trade_date", F.col("open").cast("double").alias("open"), "side"))).alias("bars"))
-    buy, sell = f"(b.open * {1 + k['slippage']}D)", f"(b.open * {1 - k['slippage']}D)"
-    lots = f"greatest(floor(least(s.cash / {1 + k['transfer'] + k['commission']}D, (s.cash - {k['minimum']}D) / {1 + k['transfer']}D) / ({buy} * {k['lot']})), 0) * {k['lot']}"
-    fees = lambda v, tax: f"(greatest({k['minimum']}D, {v} * {k['commission']}D) + {v} * {k['transfer'] + tax}D)"
-    step = f"""
-        case when b.side = 'buy' and s.shares = 0 then transform(array({lots} * {buy}), v ->
-               if(v > 0, named_struct('cash', s.cash - v - {fees('v', 0)}, 'shares', round(v / {buy}), 'flows', concat(s.flows, array(named_struct('trade_date', b.trade_date, 'money', -v - {fees('v', 0)}, 'moved', round(v / {buy}), 'turned', v)))), s))[0]
-             when b.side = 'sell' and s.shares > 0 then transform(array(s.shares * {sell}), v ->
-               named_struct('cash', s.cash + v - {fees('v', k['stamp'])}, 'shares', 0D, 'flows', concat(s.flows, array(named_struct('trade_date', b.trade_date, 'money', v - {fees('v', k['stamp'])}, 'moved', -s.shares, 'turned', v)))))[0]
-             else s end"""
-    fold = f"aggregate(bars, cast(named_struct('cash', {cash}D, 'shares', 0D, 'flows', array()) as {STATE}), (s, b) -> cast({step} as {STATE}))"
-    return bars.select(*by, F.explode(F.expr(fold)["flows"]).alias("f")).select(*by, "f.*")
-
-
-def ledger(taken: DataFrame, cash: float = 100_000.0, **costs: float) -> DataFrame:
-    """Round trips of each key with shares, cost, proceeds and net return; ``costs`` as in ``COSTS``."""
-    by = _keys(taken)
+def ledger(signals: DataFrame, cash: float = 100_000.0, **costs: float) -> DataFrame:
+    """Round trips of each key with shares, cost, proceeds and net return; ``costs`` as in ``accounts.COSTS``."""
+    by = keys_of(signals)
     w = Window.partitionBy(*by).orderBy("trade_date")
-    before = {"entry": F.lag("trade_date").over(w), "cost": -F.lag("money").over(w)}
-    out = _flows(taken, cash, **costs).withColumns(before).filter("moved < 0").withColumn("n", F.row_number().over(w))
-    return out.select(*by, "n", "entry", F.col("trade_date").alias("exit"), (-F.col("moved")).alias("shares"), "cost", F.col("money").alias("proceeds")).withColumn("ret", F.try_divide(F.col("proceeds"), F.col("cost")) - 1)
-
+    trades = accounts(signals, cash, **costs).filter("money != 0").withColumn("bought", F.lag("shares").over(w)).filter("cost is not null")
+    out = trades.withColumn("n", F.row_number().over(w))
+    return out.select(*by, "n", "entry", F.col("trade_date").alias("exit"), F.col("bought").alias("shares"), "cost", F.col("money").alias("proceeds")).withColumn("ret", F.try_divide(F.col("proceeds"), F.col("cost")) - 1)
 
-def equity(taken: DataFrame, cash: float = 100_000.0, **costs: float) -> DataFrame:
-    """Per bar of each key: cash, shares, equity at the close, and to date what was turned over, completed trades and wins.
 
-    The account's flows and the bars go through one window by key, so bars without a trade carry the last state.
-    """
-    by, zero = _keys(taken), F.lit(0.0)
-    w = Window.partitionBy(*by).orderBy("trade_date")
-    flows = _flows(taken, cash, **costs)
-    sold = F.col("moved") < 0
-    flows = flows.withColumns({"ended": sold.cast("int"), "won": F.coalesce(sold & (F.col("money") + F.lag("money").over(w) > 0), F.lit(False)).cast("int")}).withColumns({"close": F.lit(None).cast("double"), "bar": F.lit(False)})
-    rows = taken.select(*by, "trade_date", *[zero.alias(c) for c in ("money", "moved", "turned")], F.lit(0).alias("ended"), F.lit(0).alias("won"), F.col("close").cast("double"), F.lit(True).alias("bar"))
-    rows, to_date = rows.unionByName(flows), w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = {"cash": cash + F.sum("money").over(to_date), "shares": F.sum("moved").over(to_date), "turnover": F.sum("turned").over(to_date), "trades": F.sum("ended").over(to_date), "wins": F.sum("won").over(to_date)}
-    rows = rows.withColumns(sums).filter("bar")
-    return rows.select(*by, "trade_date", "close", *sums, (F.col("cash") + F.col("shares") * F.col("close")).alias("equity"))
+def equity(signals: DataFrame, cash: float = 100_000.0, **costs: float) -> DataFrame:
+    """Per bar of each key: cash, shares, and equity at the close."""
+    return accounts(signals, cash, **costs).select(*keys_of(signals), "trade_date", "close", "cash", "shares", "equity")
 
 
-def metrics(taken: DataFrame, cash: float = 100_000.0, **costs: float) -> DataFrame:
+def metrics(signals: DataFrame, cash: float = 100_000.0, **costs: float) -> DataFrame:
     """Per key, of the account's equity: total, annual (365 days) and buy-and-hold return, largest drawdown, Sharpe and Sortino
     (252 bars, 0 where undefined), completed trades, share of wins, turnover by initial cash, exposure, and shares still held.
     """
-    by = _keys(taken)
-    w = Window.partitionBy(*by).orderBy("trade_date")
-    f = equity(taken, cash, **costs).withColumn("_r", F.try_divide(F.col("equity"), F.lag("equity").over(w)) - 1)
-    f = f.withColumn("_dd", F.try_divide(F.col("equity"), F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0))) - 1)
-    end, down = lambda c: F.max_by(c, "trade_date"), F.when(F.col("_r") < 0, F.col("_r"))
-    year = lambda sd: F.coalesce(F.try_divide(F.avg("_r"), F.when(sd > 0, sd)) * F.sqrt(F.lit(252.0)), F.lit(0.0))
-    m = f.groupBy(*by).agg(
-        (end("equity") / cash - 1).alias("total_return"), F.greatest(F.datediff(F.max("trade_date"), F.min("trade_date")), F.lit(1)).alias("_days"), F.min("_dd").alias("max_drawdown"), year(F.stddev_pop("_r")).alias("sharpe"),
-        year(F.stddev_pop(down)).alias("sortino"), (end("close") / F.min_by("close", "trade_date") - 1).alias("hold_return"), end("trades").alias("trades"), F.coalesce(F.try_divide(end("wins"), end("trades")), F.lit(0.0)).alias("win_rate"),
-        (end("turnover") / cash).alias("turnover"), F.avg((F.col("shares") > 0).cast("double")).alias("exposure"), end("shares").alias("open_shares"),
+    end, down, sold = lambda c: F.max_by(c, "trade_date"), F.when(F.col("ret") < 0, F.col("ret")), F.col("cost").isNotNull()
+    year = lambda sd: F.coalesce(F.try_divide(F.avg("ret"), F.when(sd > 0, sd)) * F.sqrt(F.lit(252.0)), F.lit(0.0))
+    wins = F.count_if(sold & (F.col("money") > F.col("cost")))
+    m = accounts(signals, cash, **costs).groupBy(*keys_of(signals)).agg(
+        (end("equity") / cash - 1).alias("total_return"), F.greatest(F.datediff(F.max("trade_date"), F.min("trade_date")), F.lit(1)).alias("_days"), F.min("drawdown").alias("max_drawdown"), year(F.stddev_pop("ret")).alias("sharpe"),
+        year(F.stddev_pop(down)).alias("sortino"), (end("close") / F.min_by("close", "trade_date") - 1).alias("hold_return"), F.count_if(sold).alias("trades"), F.coalesce(F.try_divide(wins, F.count_if(sold)), F.lit(0.0)).alias("win_rate"),
+        (F.sum("turned") / cash).alias("turnover"), F.avg((F.col("shares") > 0).cast("double")).alias("exposure"), end("shares").alias("open_shares"),
     )
     annual = F.when(F.col("total_return") <= -1, -1.0).otherwise(F.pow(1 + F.col("total_return"), F.lit(365.0) / F.col("_days")) - 1)
     return m.withColumn("annual_return", annual).drop("_days")
@@ -191,14 +152,20 @@ def ranked(measured: DataFrame, kind: str = "sharpe", min_trades: int = 0) -> Da
     return f.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("objective"), "run_id")))
 
 
+def measured(bars: DataFrame, params: DataFrame, cash: float = 100_000.0, cut: Cut = slices) -> DataFrame:
+    """Metrics of every parameter row on every slice."""
+    return metrics(cross_signal(cut(with_means(bars, params)), params), cash)
+
+
 def optimized(bars: DataFrame, params: DataFrame, kind: str = "sharpe", min_trades: int = 0, cash: float = 100_000.0, cut: Cut = slices) -> DataFrame:
-    """The winner on train with its results and objective on every slice."""
-    measured = metrics(held(bars, params, cut), cash).withColumn("objective", objective(kind))
-    by = [c for c in ("symbol", "win") if c in measured.columns]
-    w = Window.partitionBy(*by)
-    order = F.struct((-F.col("objective")).alias("o"), F.col("run_id"))
-    best = F.min(F.when((F.col("slice") == "train") & (F.col("trades") >= min_trades), order)).over(w)["run_id"]
-    return measured.withColumn("_best", best).filter("run_id = _best").drop("_best").join(F.broadcast(params), "run_id")
+    """The winner on train with its results and objective on every slice. All candidates run on train, winners alone on the rest."""
+    parts = cut(with_means(bars, params))
+    train = metrics(cross_signal(parts.filter("slice = 'train'"), params), cash)
+    won = stored(ranked(train, kind, min_trades).filter("rank = 1").drop("rank").join(F.broadcast(params), "run_id"), "winners")
+    by = [c for c in ("symbol", "win") if c in won.columns]
+    later = parts.filter("slice != 'train'").join(won.select(*by, "run_id", "fast", "slow"), by)
+    rest = metrics(cross_signal(later), cash).withColumn("objective", objective(kind))
+    return won.unionByName(rest.join(F.broadcast(params), "run_id"))
 
 
 def rolling(bars: DataFrame, params: DataFrame, cut: Cut, kind: str = "sharpe", min_trades: int = 1, cash: float = 100_000.0) -> DataFrame:

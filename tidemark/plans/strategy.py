@@ -26,7 +26,7 @@ def HELD(bars: DataFrame) -> DataFrame:  # noqa: N802
 
 
 def MEASURED(bars: DataFrame) -> DataFrame:  # noqa: N802
-    return st.metrics(HELD(bars), CASH)
+    return st.measured(bars, GRID(bars), CASH)
 
 
 def WINDOWS(bars: DataFrame) -> DataFrame:  # noqa: N802
@@ -42,9 +42,13 @@ def ROLLED(bars: DataFrame) -> DataFrame:  # noqa: N802
 GRID_SQL = "(VALUES " + ", ".join(f"({i}, {f}, {s})" for i, (f, s) in enumerate(PAIRS)) + ") g(run_id, fast, slow)"
 LENGTHS = sorted({x for p in PAIRS for x in p})
 MEANS_SQL = f"""
-    SELECT symbol, trade_date, CAST(open AS DOUBLE) AS open, CAST(close AS DOUBLE) AS close, row_number() OVER ({W}) - 1 AS r, count(*) OVER (PARTITION BY symbol) AS n,
+    SELECT symbol, trade_date, CAST(open AS DOUBLE) AS open, CAST(close AS DOUBLE) AS close, {{free}}, row_number() OVER ({W}) - 1 AS r, count(*) OVER (PARTITION BY symbol) AS n,
       {', '.join(f'avg(close) OVER ({W} ROWS BETWEEN {p - 1} PRECEDING AND CURRENT ROW) AS m{p}' for p in LENGTHS)}
-    FROM bars"""
+    FROM {{source}}"""
+#: What stops a buy and a sale, where the bars say so.
+PLAIN = {"source": "bars", "free": "true AS buy, true AS sell"}
+LIMITS = {"source": "limit_bars", "free": """coalesce(lower(trim(is_suspended)) NOT IN ('1', 'true', 'yes', 'y', '停牌'), true) AND coalesce(open < up_limit, true) AS buy,
+      coalesce(lower(trim(is_suspended)) NOT IN ('1', 'true', 'yes', 'y', '停牌'), true) AND coalesce(open > down_limit, true) AS sell"""}
 SPLIT_SQL = """
     SELECT *, r + 1 - CASE slice WHEN 'train' THEN 0 WHEN 'validation' THEN t1 ELSE t2 END AS place, 0 AS win
     FROM (SELECT *, CASE WHEN r < t1 THEN 'train' WHEN r < t2 THEN 'validation' ELSE 'test' END AS slice
@@ -59,32 +63,33 @@ def mean_sql(which: str) -> str:
     return f"CASE WHEN place >= {which} THEN CASE {which} " + " ".join(f"WHEN {p} THEN m{p}" for p in LENGTHS) + " END END"
 
 
-def held_sql(cut: str) -> str:
+def held_sql(cut: str, bars: dict[str, str] = PLAIN) -> str:
     """CTEs up to ``held``: symbol, win, slice, run_id, trade_date, i, open, close, signal, target, position, action."""
     key = "PARTITION BY symbol, win, run_id, slice ORDER BY trade_date"
     return f"""
-    means AS MATERIALIZED ({MEANS_SQL}), parts AS ({cut}),
-    signals AS (SELECT symbol, win, slice, run_id, fast, slow, trade_date, place AS i, open, close, coalesce({mean_sql('fast')} > {mean_sql('slow')}, false)::INT AS signal FROM parts CROSS JOIN {GRID_SQL}),
+    means AS MATERIALIZED ({MEANS_SQL.format(**bars)}), parts AS ({cut}),
+    signals AS (SELECT symbol, win, slice, run_id, fast, slow, trade_date, place AS i, open, close, buy, sell, coalesce({mean_sql('fast')} > {mean_sql('slow')}, false)::INT AS signal FROM parts CROSS JOIN {GRID_SQL}),
     targets AS (SELECT *, lag(signal) OVER ({key}) AS target FROM signals),
-    taken AS (SELECT *, coalesce(target, 0) AS position, coalesce(lag(target) OVER ({key}), 0) AS p FROM targets),
+    led AS (SELECT *, coalesce(last_value(CASE WHEN target = 1 AND buy THEN 1 WHEN target = 0 AND sell THEN 0 END IGNORE NULLS) OVER ({key} ROWS UNBOUNDED PRECEDING), 0) AS position FROM targets),
+    taken AS (SELECT *, coalesce(lag(position) OVER ({key}), 0) AS p FROM led),
     held AS MATERIALIZED (SELECT *, CASE WHEN position > p THEN 'buy' WHEN position < p THEN 'sell' END AS action, dense_rank() OVER (ORDER BY symbol, win, run_id, slice) AS kid FROM taken)"""
 
 
-def account_sql(cut: str) -> str:
+def account_sql(cut: str, bars: dict[str, str] = PLAIN) -> str:
     """CTEs up to ``fold``, the account at each bar by recursion over bars, and ``met``, its metrics by key."""
     price = {"buy": "(open * 1.0005::DOUBLE)", "sell": "(open * 0.9995::DOUBLE)"}
     fees = lambda v, rate: f"(greatest(5, {v} * 0.0003::DOUBLE) + {v} * {rate}::DOUBLE)"
     lots = f"greatest(floor(least(cash / 1.00031::DOUBLE, (cash - 5) / 1.00001::DOUBLE) / ({price['buy']} * 100)), 0) * 100"
     w = "PARTITION BY kid ORDER BY i"
     return f"""
-    {held_sql(cut)},
+    {held_sql(cut, bars)},
     account AS (
       SELECT kid, i, {CASH}::DOUBLE AS cash, 0::DOUBLE AS shares, 0::DOUBLE AS paid, 0::DOUBLE AS got, 0::DOUBLE AS turned FROM held WHERE i = 1
       UNION ALL
       SELECT kid, i, cash - paid + got, CASE WHEN q > 0 THEN q WHEN got > 0 THEN 0 ELSE shares END, paid, got, turned FROM (
         SELECT *, CASE WHEN bought > 0 THEN bought + {fees('bought', '0.00001')} ELSE 0 END AS paid, CASE WHEN sold > 0 THEN sold - {fees('sold', '0.00051')} ELSE 0 END AS got, bought + sold AS turned FROM (
-          SELECT *, q * {price['buy']} AS bought, CASE WHEN action = 'sell' THEN shares * {price['sell']} ELSE 0 END AS sold FROM (
-            SELECT h.kid, h.i, h.open, h.action, a.cash, a.shares, CASE WHEN h.target = 1 AND a.shares = 0 THEN {lots} ELSE 0 END AS q FROM account a JOIN held h ON h.kid = a.kid AND h.i = a.i + 1)))),
+          SELECT *, q * {price['buy']} AS bought, CASE WHEN asked = 0 THEN shares * {price['sell']} ELSE 0 END AS sold FROM (
+            SELECT h.kid, h.i, h.open, CASE WHEN h.target = 0 AND h.sell THEN 0 END AS asked, a.cash, a.shares, CASE WHEN h.target = 1 AND h.buy AND a.shares = 0 THEN {lots} ELSE 0 END AS q FROM account a JOIN held h ON h.kid = a.kid AND h.i = a.i + 1)))),
     fold AS MATERIALIZED (SELECT h.*, a.cash, a.shares, a.paid, a.got, a.turned, a.cash + a.shares * h.close AS equity, last_value(CASE WHEN paid > 0 THEN paid END IGNORE NULLS) OVER (PARTITION BY kid ORDER BY i ROWS UNBOUNDED PRECEDING) AS cost FROM account a JOIN held h USING (kid, i)),
     curve AS (SELECT *, equity / lag(equity) OVER ({w}) - 1 AS ret, equity / max(equity) OVER ({w} ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM fold),
     sums AS (SELECT symbol, win, slice, run_id, fast, slow, arg_max(equity, i) / {CASH}::DOUBLE - 1 AS total_return, greatest(max(trade_date) - min(trade_date), 1) AS days, min(dd) AS max_drawdown,
@@ -103,6 +108,7 @@ OBJECTIVE = {
     "calmar": "CASE WHEN max_drawdown < 0 THEN annual_return / abs(max_drawdown) ELSE 0 END",
 }
 HELD_CTE, SPLIT, ROLL = f"WITH {held_sql(SPLIT_SQL)}", f"WITH RECURSIVE {account_sql(SPLIT_SQL)}", f"WITH RECURSIVE {account_sql(WINDOW_SQL)}"
+HELD_LIMITS, SPLIT_LIMITS = f"WITH {held_sql(SPLIT_SQL, LIMITS)}", f"WITH RECURSIVE {account_sql(SPLIT_SQL, LIMITS)}"
 BEST = f"SELECT symbol, win, run_id FROM scored WHERE slice = 'train' AND trades >= {MIN_TRADES} QUALIFY row_number() OVER (PARTITION BY symbol, win ORDER BY robust DESC, run_id) = 1"
 SIDE = lambda c, part, name: f"max({c}) FILTER (slice = '{part}') AS {part}_{name}"
 ROLLED_SQL = f"""{ROLL}, best AS ({BEST}),
@@ -135,19 +141,19 @@ def logs(f: DataFrame) -> DataFrame:
 
 LOG_SQL = ", ".join(f"ln(1 + {c}) AS {k}" for k, c in LOGS.items())
 
-query("b11_slices", "bars", "symbol trade_date slice place", "", f"WITH means AS ({MEANS_SQL}) {SPLIT_SQL}")(st.slices)
+query("b11_slices", "bars", "symbol trade_date slice place", "", f"WITH means AS ({MEANS_SQL.format(**PLAIN)}) {SPLIT_SQL}")(st.slices)
 query("b01_signal", "bars", "symbol run_id slice trade_date signal", "", f"{HELD_CTE} SELECT * FROM signals")(lambda b: st.cross_signal(st.slices(st.with_means(b, GRID(b))), GRID(b)))
-query("b03_position", "bars", "symbol run_id slice trade_date position action", "", f"{HELD_CTE} SELECT * FROM held")(HELD)
+query("b03_position", "limit_bars", "symbol run_id slice trade_date position action", "", f"{HELD_LIMITS} SELECT * FROM held")(HELD)
 query("b04_lot_size", "bars", "symbol trade_date shares", "", """
     SELECT symbol, trade_date, CAST(greatest(floor(least(1e6 / CAST(1.00031 AS DOUBLE), (1e6 - 5) / CAST(1.00001 AS DOUBLE)) / (open * 100)), 0) * 100 AS BIGINT) AS shares FROM bars
     """)(lambda b: b.select("symbol", "trade_date", fn.lot_size(F.lit(1e6), F.col("open")).cast("bigint").alias("shares")))
-query("b05_ledger", "bars", "symbol run_id slice n entry exit", "log_shares log_cost log_proceeds ret", f"""
-    {SPLIT}, ends AS (SELECT *, lag(trade_date) OVER k AS entry, lag(shares) OVER k AS held_shares FROM fold WHERE paid > 0 OR got > 0 WINDOW k AS (PARTITION BY kid ORDER BY i))
+query("b05_ledger", "limit_bars", "symbol run_id slice n entry exit", "log_shares log_cost log_proceeds ret", f"""
+    {SPLIT_LIMITS}, ends AS (SELECT *, lag(trade_date) OVER k AS entry, lag(shares) OVER k AS held_shares FROM fold WHERE paid > 0 OR got > 0 WINDOW k AS (PARTITION BY kid ORDER BY i))
     SELECT *, trade_date AS exit, CAST(row_number() OVER (PARTITION BY kid ORDER BY i) AS INT) AS n, ln(held_shares) AS log_shares, ln(cost) AS log_cost, ln(got) AS log_proceeds, got / cost - 1 AS ret FROM ends WHERE got > 0
     """, digits=3)(lambda b: st.ledger(HELD(b), CASH).withColumns({f"log_{c}": F.log(c) for c in ("shares", "cost", "proceeds")}))
-query("b06_equity", "bars", "symbol run_id slice trade_date invested", "log_equity", f"{SPLIT} SELECT *, shares > 0 AS invested, ln(equity) AS log_equity FROM fold", digits=3)(
+query("b06_equity", "limit_bars", "symbol run_id slice trade_date invested", "log_equity", f"{SPLIT_LIMITS} SELECT *, shares > 0 AS invested, ln(equity) AS log_equity FROM fold", digits=3)(
     lambda b: st.equity(HELD(b), CASH).select("*", (F.col("shares") > 0).alias("invested"), F.log("equity").alias("log_equity")))
-query("b07_metrics", "bars", "symbol run_id slice trades still_open", "log_return log_annual max_drawdown sharpe sortino hold_return win_rate log_turnover exposure", f"{SPLIT} SELECT *, {LOG_SQL}, open_shares > 0 AS still_open FROM met", digits=3)(
+query("b07_metrics", "limit_bars", "symbol run_id slice trades still_open", "log_return log_annual max_drawdown sharpe sortino hold_return win_rate log_turnover exposure", f"{SPLIT_LIMITS} SELECT *, {LOG_SQL}, open_shares > 0 AS still_open FROM met", digits=3)(
     lambda b: logs(MEASURED(b)).withColumn("still_open", F.col("open_shares") > 0))
 query("b08_warnings", "bars", "symbol run_id slice warned", "", f"""
     {SPLIT} SELECT *, concat_ws(',', 'no_is_suspended', 'no_up_limit', 'no_down_limit', CASE WHEN trades = 0 THEN 'no_completed_trade' END) AS warned FROM met
@@ -193,7 +199,7 @@ def optimizer_summary(bars: DataFrame) -> DataFrame:
     )
 
 
-query("b13_windows", "bars", "symbol win slice n", "", f"WITH means AS ({MEANS_SQL}), parts AS ({WINDOW_SQL}) SELECT symbol, win, slice, count(*) AS n FROM parts GROUP BY ALL")(lambda b: WINDOWS(b).groupBy("symbol", "win", "slice").agg(F.count("*").alias("n")))
+query("b13_windows", "bars", "symbol win slice n", "", f"WITH means AS ({MEANS_SQL.format(**PLAIN)}), parts AS ({WINDOW_SQL}) SELECT symbol, win, slice, count(*) AS n FROM parts GROUP BY ALL")(lambda b: WINDOWS(b).groupBy("symbol", "win", "slice").agg(F.count("*").alias("n")))
 query("b14_rolling", "bars", "symbol win first_day last_day status fast slow train_trades validation_trades test_trades", "train_objective validation_objective test_objective", f"{ROLLED_SQL} SELECT * FROM rolled", digits=3)(ROLLED)
 query("b14_summary", "bars", "symbol windows successful failed", "validation_objective_median test_objective_median validation_trades_median test_trades_median", f"{ROLLED_SQL} SELECT * FROM summary", digits=3)(lambda b: st.rolling_summary(ROLLED(b)))
 query("b15_stability", "bars", "symbol fast slow times windows stable selected_fast selected_slow", "frequency", f"{STABLE_SQL} SELECT * FROM decided")(lambda b: st.stability(ROLLED(b)))
