@@ -127,5 +127,5 @@ def repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> D
     lines = common.stored(hashed_lines(docs, min_chars), "lines")
     again = common.stored(repeated(lines, min_docs), "again")
     gone = common.stored(dropped_places(lines, again), "gone")
-    both = docs.join(common.small(gone, 100_000), ["k1", "k2"], "left").select("doc", "text", "places")
+    both = docs.join(gone.hint("merge"), ["k1", "k2"], "left").select("doc", "text", "places")  # one way at all sizes
     return both.mapInArrow(_clean, "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string, kept_text string")
