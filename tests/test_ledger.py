@@ -46,11 +46,28 @@ def test_source_gate_needs_all(spark):
     assert gate(sound, done, none, derived, 5)["status"] == gate(sound, done.filter("false"), none, derived, 4)["status"] == gate(none, done, none, derived, 4)["status"] == "fail"
 
 
-def test_announcement_ids_and_days(spark):
-    raw = spark.createDataFrame([("A", " T ", 1704038400000, None), ("A", "", 0, "1"), ("A", "H股 x", 0, "2")], "symbol string, title string, epoch_ms bigint, item_id string")
-    (row,) = ledger.normalize_announcements(raw).collect()
-    assert row["published"] == D(2024, 1, 1) and row["item_id"] == hashlib.sha1(b"A|T|2024-01-01").hexdigest()[:16]
-    assert ledger.normalize_announcements(raw, with_h_shares=True).count() == 2
+def test_announcements_by_code_title_time_and_address(spark):
+    rows = [
+        ("000001", "1", " T ", "1704038400000", None, "/docs/a.pdf"), ("000001", None, "", "0", "1", None), ("000001", "000001", "H股公告 x", "0", "2", None), ("000001", "", "x H股公告-y", "0", "3", None),
+        ("000001", "2", "other code", "0", "4", None), ("000001", " 1 ", "on H股 shares", "2024-05-06 23:59:59", "5", "https://h/z"), ("000001", None, "undated", "some day", "6", None), ("000001", None, "no time", None, "7", None), ("000001", "0000012", "long code", "0", "8", None), ("600000", None, "page", "1.7040384E12", "9", " "),
+    ]
+    raw = spark.createDataFrame(rows, "symbol string, sec_code string, title string, announced string, item_id string, adjunct_url string").withColumns({"plate": F.lit("p"), "org_id": F.lit("o")})
+    got = {r["title"]: (r["announcement_id"], r["item_id"], r["published"], r["source_url"]) for r in ledger.normalize_announcements(raw, static_base="s:/", page_base="b:").collect()}
+    first = hashlib.sha1(b"000001|2023-12-31|T|s://docs/a.pdf").hexdigest()[:16]
+    assert got == {
+        "T": (first, f"official:000001:{first}", D(2023, 12, 31), "s://docs/a.pdf"), "on H股 shares": ("5", "official:000001:5", D(2024, 5, 6), "https://h/z"),
+        "page": ("9", "official:600000:9", D(2023, 12, 31), "b:?plate=p&orgId=o&stockCode=600000&announcementId=9"),
+    }
+    assert ledger.normalize_announcements(raw, with_h_shares=True).count() == 5
+
+
+def test_ledger_join_refuses_repeated_keys(spark):
+    left = spark.createDataFrame([("income", "A", D(2024, 3, 31), 1)], "dataset string, symbol string, end_date date, x int")
+    right = spark.createDataFrame([("income", "A", D(2024, 3, 31), 2), ("income", "B", D(2024, 3, 31), 3)], "dataset string, symbol string, end_date date, y int")
+    keys = ["dataset", "symbol", "end_date"]
+    assert [(r["x"], r["y"]) for r in ledger.ledger_join(left, right, keys).collect()] == [(1, 2)]
+    with pytest.raises(Exception, match="several rows for income, B"):
+        ledger.ledger_join(left, right.union(right.filter("y = 3")), keys).collect()
 
 
 def test_wrapped_words_are_joined(spark):

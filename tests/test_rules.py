@@ -9,7 +9,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import evidence, fundamentals, gate, ops, pit, recon, risk, strategy
-from tidemark.sources.store import YearStore
 
 D = dt.date
 R = random.Random(17)
@@ -230,23 +229,6 @@ def test_reconcile_at_a_date(spark):
     assert recon.reconcile(left, right.limit(0), ["v"], "income", "2024-06-30").first()["status"] == "insufficient"
 
 
-def test_store_reads_and_rewrites_years(spark, tmp_path):
-    rows = [("A", D(y, m, 5), float(y)) for y in (2021, 2022, 2023) for m in (1, 6)]
-    store = YearStore(spark, f"{tmp_path}/s", ["symbol", "trade_date"]).write(spark.createDataFrame(rows, "symbol string, trade_date date, v double"))
-    files = lambda y: {f.name for f in (tmp_path / "s" / f"year={y}").glob("*.parquet")}
-    kept = {y: files(y) for y in (2021, 2022, 2023)}
-    f = store.between("2022-01-05", "2022-05-31")
-    assert [tuple(r) for r in f.collect()] == [("A", D(2022, 1, 5), 2022.0)]
-    plan = f._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(year" in plan and "PushedFilters: [IsNotNull(trade_date)" in plan
-    new = spark.createDataFrame([("A", D(2022, 6, 5), 1.0), ("A", D(2024, 1, 1), 2.0), ("A", None, 3.0)], "symbol string, trade_date date, v double")
-    assert store.upsert(new) == [2022, 2024] and files(2021) == kept[2021] and files(2023) == kept[2023] and files(2022) != kept[2022]
-    assert {(r["trade_date"], r["v"]) for r in store.read().collect()} == {(d, v) for _, d, v in rows if d != D(2022, 6, 5)} | {(D(2022, 6, 5), 1.0), (D(2024, 1, 1), 2.0)}
-    old = spark.createDataFrame([("A", D(2022, 12, 31), 1.0)], "symbol string, end_date date, v double")
-    batch = spark.createDataFrame([("A", D(2022, 12, 31), 1.0), ("A", D(2022, 12, 31), None), ("A", D(2022, 12, 31), None)], "symbol string, end_date date, v double")
-    assert pit.append_revisions(old, batch).count() == 2
-
-
 def test_nested_packages_redaction_parameters_and_tags(spark):
     f = lambda run, v: spark.sql(f"SELECT 'A' AS symbol, '{run}' AS run_id, named_struct('x', {v}, 'run_id', '{run}', 'l', array(1, {v})) AS s")
     got = [(r["path"], r["old"], r["new"], r["rank"]) for r in evidence.snapshot_diff(f("a", 1), f("b", 2), ["symbol"]).orderBy("rank").collect()]

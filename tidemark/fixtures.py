@@ -24,8 +24,10 @@ VIEWS = {
           CASE WHEN mod(n, 11) <> 3 THEN before * 1.3E0 END AS up_limit, CASE WHEN mod(n, 13) <> 4 THEN before * 0.7E0 END AS down_limit
         FROM (SELECT b.*, row_number() OVER (PARTITION BY symbol ORDER BY trade_date) AS n, lag(close) OVER (PARTITION BY symbol ORDER BY trade_date) AS before FROM bars b) x""",
     "adj_factor": """
-        SELECT DISTINCT p.p_brand AS symbol, CAST(l.l_shipdate AS DATE) AS trade_date, 1.0E0 + 0.1E0 * (year(l.l_shipdate) - 1995) AS adj_factor
-        FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey""",
+        WITH f AS (SELECT DISTINCT p.p_brand AS symbol, CAST(l.l_shipdate AS DATE) AS trade_date, 1.0E0 + 0.1E0 * (year(l.l_shipdate) - 1995) AS adj_factor
+          FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey)
+        SELECT symbol, trade_date, CASE WHEN day(trade_date) = 7 THEN NULL ELSE adj_factor END AS adj_factor, 1 AS load_seq FROM f
+        UNION ALL SELECT symbol, trade_date, adj_factor * CASE WHEN mod(day(trade_date), 2) = 0 THEN 0.98E0 ELSE 1.02E0 END, 2 FROM f WHERE mod(day(trade_date), 5) = 0""",
     "moneyflow_raw": """
         SELECT p.p_brand AS symbol, CAST(l.l_shipdate AS DATE) AS trade_date, l.l_linestatus AS version,
           sum(CASE WHEN l.l_returnflag = 'R' THEN -l.l_extendedprice ELSE l.l_extendedprice END) AS net_mf_amount

@@ -159,7 +159,12 @@ def report(symbols: DataFrame, *rules: DataFrame) -> DataFrame:
 
 
 def bar_contract(bars: DataFrame) -> DataFrame:
-    """Violations of what strategies need: valid unique dates and finite positive prices."""
+    """Violations of what strategies need, by symbol: valid unique dates and finite positive prices. A column that isn't there or a table without rows is an error."""
+    gone = [c for c in ("trade_date", "open", "close") if c not in bars.columns]
+    if gone:
+        raise ValueError(f"bars lack {', '.join(gone)}")
+    if bars.isEmpty():
+        raise ValueError("no bars")
     f = bars.withColumn("k", F.count("*").over(Window.partitionBy("symbol", "trade_date")))
     ok = lambda c: F.coalesce((F.col(c) > 0) & ~F.isnan(c) & (F.col(c) != float("inf")), F.lit(False))
     return f.groupBy("symbol").agg(F.count_if(F.col("trade_date").isNull() | (F.col("k") > 1)).alias("bad_dates"), F.count_if(~ok("open") | ~ok("close")).alias("bad_prices"))

@@ -203,14 +203,46 @@ def event_profile(events: DataFrame, known: list[str]) -> DataFrame:
     return f.withColumns({"rate": F.coalesce(F.try_divide("recognized", "rows"), F.lit(0.0)), "status": F.when(good, "pass").otherwise("fail")})
 
 
-def normalize_announcements(raw: DataFrame, with_h_shares: bool = False) -> DataFrame:
-    """Rows (symbol, title, epoch_ms, item_id) with a title, dated in Shanghai; a missing id is a prefix of the SHA-1 of the rest."""
-    f = raw.withColumn("title", F.trim("title")).filter("title <> ''")
+#: What titles of announcements on H shares begin with or contain.
+H_SHARES_BEGIN, H_SHARES_HOLD = ["H股公告", "港股公告", "[H股公告]"], ["H股公告-", "H股公告——"]
+
+
+def announced_on(raw: Column) -> Column:
+    """The day of a time given as milliseconds since 1970 or, where it is no number, as a text date."""
+    ms = raw.try_cast("double")
+    text = F.coalesce(*[F.to_date(F.try_to_timestamp(F.trim(raw), F.lit(f))) for f in ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "yyyy-MM-dd HH:mm")])
+    return F.when(ms.isNotNull(), F.date_add(F.lit("1970-01-01").cast("date"), F.floor(ms / 86_400_000).cast("int"))).otherwise(text)
+
+
+def source_url(adjunct: Column, code: Column, announcement_id: Column, static_base: str, page_base: str) -> Column:
+    """A whole address as it is, a path below the files' address, and without either the page of the announcement."""
+    page = F.concat(F.lit(f"{page_base}?plate="), F.coalesce("plate", F.lit("")), F.lit("&orgId="), F.coalesce("org_id", F.lit("")), F.lit("&stockCode="), code, F.lit("&announcementId="), announcement_id)
+    return F.when(adjunct.rlike("^https?://"), adjunct).when(adjunct != "", F.concat(F.lit(f"{static_base}/"), F.regexp_replace(adjunct, "^/+", ""))).otherwise(page)
+
+
+def normalize_announcements(raw: DataFrame, with_h_shares: bool = False, source: str = "official", static_base: str = "https://files.example", page_base: str = "https://pages.example/detail") -> DataFrame:
+    """Announcements of securities: symbol, announcement_id, item_id, title, published, source_url.
+
+    In: symbol (the security's code), announced (milliseconds or a text date), title, and where known sec_code, item_id,
+    adjunct_url, plate, org_id. Rows of another code (sec_code, filled to six digits), without a title or a date, and unless
+    ``with_h_shares`` those whose title has the form of an H-share announcement, go. A missing id is a prefix of the SHA-1 of
+    code, day, title and address.
+    """
+    text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) if c in raw.columns else F.lit("")
+    f = raw.withColumns({"title": text("title"), "_code": text("sec_code"), "_id": text("item_id"), "_url": text("adjunct_url"), "published": announced_on(F.col("announced").cast("string")), **{c: text(c) for c in ("plate", "org_id")}})
+    full = F.when(F.length("_code") < 6, F.lpad("_code", 6, "0")).otherwise(F.col("_code"))
+    f = f.filter((F.col("title") != "") & F.col("published").isNotNull() & ((F.col("_code") == "") | (full == F.col("symbol"))))
     if not with_h_shares:
-        f = f.filter(~F.contains("title", F.lit("H股")))
-    f = f.withColumn("published", F.to_date(F.from_utc_timestamp(F.timestamp_millis("epoch_ms"), "Asia/Shanghai")))
-    spare = F.substring(F.sha1(F.concat_ws("|", "symbol", "title", F.col("published").cast("string")).cast("binary")), 1, 16)
-    return f.withColumn("item_id", F.coalesce(F.when(F.trim("item_id") != "", F.trim("item_id")), spare))
+        of_h = F.lit(False)
+        for word in H_SHARES_BEGIN:
+            of_h = of_h | F.startswith("title", F.lit(word))
+        for word in H_SHARES_HOLD:
+            of_h = of_h | F.contains("title", F.lit(word))
+        f = f.filter(~of_h)
+    f = f.withColumn("source_url", source_url(F.col("_url"), F.col("symbol"), F.col("_id"), static_base, page_base))
+    spare = F.substring(F.sha1(F.concat_ws("|", "symbol", F.col("published").cast("string"), "title", "source_url").cast("binary")), 1, 16)
+    f = f.withColumn("announcement_id", F.when(F.col("_id") != "", F.col("_id")).otherwise(spare))
+    return f.select("symbol", "announcement_id", F.concat_ws(":", F.lit(source), "symbol", "announcement_id").alias("item_id"), "title", "published", "source_url")
 
 
 #: Column names of the provider for each normalized table.

@@ -40,9 +40,11 @@ def pit_view(df: DataFrame, date: str) -> DataFrame:
 
 
 def normalize_factors(factors: DataFrame) -> DataFrame:
-    """Positive factors, the last row of each day."""
-    f = factors.withColumn("adj_factor", F.col("adj_factor").try_cast("double")).filter("adj_factor is not null and trade_date is not null and adj_factor > 0")
-    return keep_first(f, ["symbol", "trade_date"], [F.desc("adj_factor")])
+    """Numeric factors of known days, of a day the row loaded last (by ``load_seq``). A factor that isn't positive is an error."""
+    f = factors.withColumn("adj_factor", F.col("adj_factor").try_cast("double")).filter("adj_factor is not null and trade_date is not null")
+    wrong = F.concat(F.lit("adjustment factors must be positive: "), F.col("symbol"), F.lit(" "), F.col("trade_date").cast("string"))
+    f = f.withColumn("adj_factor", F.when(F.col("adj_factor") > 0, F.col("adj_factor")).otherwise(F.raise_error(wrong).cast("double")))
+    return keep_first(f, ["symbol", "trade_date"], [F.desc("load_seq")]).drop("load_seq")
 
 
 def adjust(bars: DataFrame, factors: DataFrame, mode: str = "qfq") -> DataFrame:
@@ -70,29 +72,45 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return keep_first(both, keys, [F.desc("_new")]).drop("_new")
 
 
-def append_revisions(old: DataFrame, new: DataFrame) -> DataFrame:
-    """All versions, exact duplicates once.
+def unlike(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``new`` that ``old`` doesn't have in the same columns, nulls being alike. The keys deal the join; rows of the same keys are compared whole."""
+    n, o = new.alias("n"), old.select(*new.columns).alias("o")
+    condition = F.lit(True)
+    for c in [*keys, *[c for c in new.columns if c not in keys]]:
+        condition = condition & F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}"))
+    return n.join(o, condition, "left_anti")
 
-    The store has none, so only the batch is reduced to distinct rows, and only its rows that the store has are looked for.
-    """
-    keys, alike = ["symbol", "end_date"], [c for c in new.columns if c not in ("symbol", "end_date")]
-    batch = new.distinct()
-    have = old.join(batch.select(*keys).distinct(), keys, "left_semi").select(*new.columns).alias("o")
-    same = [F.col(f"b.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*keys, *alike]]
-    condition = same[0]
-    for s in same[1:]:
-        condition = condition & s
-    return old.unionByName(batch.alias("b").join(have, condition, "left_anti"))
+
+def markers(df: DataFrame, dataset: str, day: str = "trade_date") -> DataFrame:
+    """How far each symbol is covered: first and last day."""
+    return df.groupBy("symbol").agg(F.lit(dataset).alias("dataset"), F.min(day).alias("earliest_date"), F.max(day).alias("latest_date"))
 
 
-def markers(df: DataFrame, dataset: str) -> DataFrame:
-    """Freshness of each symbol: first and last date."""
-    return df.groupBy("symbol").agg(F.lit(dataset).alias("dataset"), F.min("trade_date").alias("earliest_date"), F.max("trade_date").alias("latest_date"))
+def merged_markers(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Old and new marks together: a range only grows, and a symbol was updated when the newest of them was."""
+    each = {"earliest_date": F.min, "latest_date": F.max, "updated_at": F.max}
+    return old.unionByName(new).groupBy("symbol", "dataset").agg(*[f(c).alias(c) for c, f in each.items()])
 
 
-def fresh(marks: DataFrame, start: str, end: str) -> DataFrame:
+def fresh(marks: DataFrame, start: str, end: str, now: Column | None = None, ttl_seconds: int | None = None) -> DataFrame:
+    """``is_fresh``: the last day isn't before ``end``; ``covers``: all of ``start`` to ``end``; ``expired``: written longer than
+    ``ttl_seconds`` before ``now``, or at no known time; ``usable``: covered and not expired."""
     s, e = F.lit(start).cast("date"), F.lit(end).cast("date")
-    return marks.withColumns({"is_fresh": F.coalesce(F.col("latest_date") >= e, F.lit(False)), "covers": F.coalesce((F.col("earliest_date") <= s) & (F.col("latest_date") >= e), F.lit(False))})
+    known = lambda c: F.coalesce(c, F.lit(False))
+    out = marks.withColumns({"is_fresh": known(F.col("latest_date") >= e), "covers": known((F.col("earliest_date") <= s) & (F.col("latest_date") >= e))})
+    if ttl_seconds is not None:
+        age = F.unix_timestamp(now) - F.unix_timestamp("updated_at")
+        out = out.withColumn("expired", ~known(age <= ttl_seconds)).withColumn("usable", F.col("covers") & ~F.col("expired"))
+    return out
+
+
+def latest_package(packages: DataFrame) -> DataFrame:
+    """Of each ticker the newest readable package (ticker, modified, body): JSON with a schema version and a run id whose stock has that code."""
+    body = F.try_parse_json("body")
+    at, kind = lambda path: F.try_variant_get(body, path, "string"), lambda path: F.schema_of_variant(F.try_variant_get(body, path, "variant"))
+    empty = lambda path: (at(path) == "") | ((kind(path) != "STRING") & at(path).isin("0", "0.0", "false", "[]", "{}"))
+    good = F.coalesce(~empty("$.schema_version") & ~empty("$.run_id") & (kind("$.stock.code") == "STRING") & (at("$.stock.code") == F.col("ticker")), F.lit(False))
+    return keep_first(packages.filter(good), ["ticker"], [F.desc("modified"), F.desc("body")])
 
 
 def prefer_source(sources: list[tuple[str, DataFrame]]) -> DataFrame:

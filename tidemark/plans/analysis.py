@@ -58,7 +58,11 @@ query("f10_score_impact", "fin_base", "symbol label provider_label label_changed
     SELECT symbol, a.label, b.label AS provider_label, a.label <> b.label AS label_changed, a.fundamental_score, b.fundamental_score AS provider_score, a.fundamental_score - b.fundamental_score AS change
     FROM {SCORE} a JOIN {score_sql(PROVIDER_ONLY, THIN_BASE)} b USING (symbol)""")(lambda f: fu.score_impact(thin(f), given(f)))
 query("d03_factor_coverage", "bars adj_factor", "symbol covered", "", "SELECT symbol, f0 <= b0 AND f1 >= b1 AS covered FROM (SELECT symbol, min(trade_date) AS b0, max(trade_date) AS b1 FROM bars GROUP BY symbol) JOIN (SELECT symbol, min(trade_date) AS f0, max(trade_date) AS f1 FROM adj_factor GROUP BY symbol) USING (symbol)")(fu.factor_coverage)
-query("d06_bar_contract", "bars", "symbol bad_dates bad_prices", "", "SELECT symbol, 0 AS bad_dates, count(*) FILTER (open <= 0 OR close <= 0) AS bad_prices FROM bars GROUP BY symbol")(fu.bar_contract)
+#: Bars of which some come twice, with another open, and some have no date.
+REPEATED = "SELECT symbol, trade_date, open, close FROM {0} UNION ALL SELECT symbol, CASE WHEN day(trade_date) > 1 THEN trade_date END, CASE WHEN mod(day(trade_date), 2) = 0 THEN -open END, close FROM {0} WHERE day(trade_date) <= 3"
+query("d06_bar_contract", "bars", "symbol bad_dates bad_prices", "", f"""
+    SELECT symbol, count(*) FILTER (trade_date IS NULL OR k > 1) AS bad_dates, count(*) FILTER (open IS NULL OR open <= 0 OR close <= 0) AS bad_prices
+    FROM (SELECT *, count(*) OVER (PARTITION BY symbol, trade_date) AS k FROM ({REPEATED.format('bars')})) GROUP BY symbol""")(lambda b: fu.bar_contract(b.sparkSession.sql(REPEATED.format("{b}"), b=b)))
 query("a07_null_ratio", "fin_right", "symbol field", "ratio", "SELECT symbol, 'revenue' AS field, avg(CASE WHEN revenue IS NULL THEN 1.0 ELSE 0 END) AS ratio FROM fin_right GROUP BY symbol")(lambda f: fu.null_ratios(f, ["revenue"]))
 query("a08_revisions", "fin_rev", "n keys revisions", "", "SELECT count(*) AS n, count(DISTINCT symbol || '/' || end_date) AS keys, count(*) - count(DISTINCT symbol || '/' || end_date) AS revisions FROM fin_rev")(lambda f: f.agg(F.count("*").alias("n"), F.countDistinct("symbol", "end_date").alias("keys")).withColumn("revisions", F.col("n") - F.col("keys")))
 query("a09_value_counts", "official_events", "event_type polarity n", "", "SELECT event_type, polarity, count(*) AS n FROM official_events GROUP BY ALL")(lambda e: e.groupBy("event_type", "polarity").agg(F.count("*").alias("n")))

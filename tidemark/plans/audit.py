@@ -153,6 +153,8 @@ query("u04_shared_numeric", "fin_base fin_right", "field left_numbers right_numb
 query("j10_ledger_join", "fin_base fin_rev", "symbol end_date versions unique_key", "", """
     SELECT b.symbol, b.end_date, coalesce(n, 0) AS versions, coalesce(n, 0) <= 1 AS unique_key FROM fin_base b LEFT JOIN (SELECT symbol, end_date, count(*) AS n FROM fin_rev GROUP BY ALL) r USING (symbol, end_date)
     """)(lambda a, b: ledger.key_counts(a, b))
+query("j10_joined", "fin_base fin_rev", "symbol end_date load_seq", "net_profit corrected", "SELECT b.symbol, b.end_date, load_seq, b.net_profit, r.revenue AS corrected FROM fin_base b LEFT JOIN (SELECT * FROM fin_rev WHERE load_seq = 2) r USING (symbol, end_date)", digits=2)(
+    lambda a, b: ledger.ledger_join(a.select("symbol", "end_date", "net_profit"), b.filter("load_seq = 2").select("symbol", "end_date", "load_seq", F.col("revenue").alias("corrected")), ["symbol", "end_date"]))
 
 # --- data checks and the gate --------------------------------------------------------------------
 

@@ -117,8 +117,21 @@ query("d08_event_profile", "official_events", "rows symbols invalid_dates duplic
     SELECT count(*) AS rows, count(DISTINCT symbol) AS symbols, count(*) FILTER (mod(item_id, 31) = 0) AS invalid_dates, count(*) - count(DISTINCT mod(item_id, 500)) AS duplicates, count(*) FILTER (mod(item_id, 17) = 0) AS missing_titles, count(*) FILTER (mod(item_id, 19) = 0) AS missing_urls,
       count(*) FILTER (event_type IN ('signup', 'error')) AS recognized, 'fail' AS status, min(published) FILTER (mod(item_id, 31) > 0) AS first_day, max(published) FILTER (mod(item_id, 31) > 0) AS last_day, avg((event_type IN ('signup', 'error'))::INT) AS rate FROM official_events""")(
     lambda e: ledger.event_profile(e.selectExpr("source", "symbol", "event_type", "mod(item_id, 500) as item_id", "if(mod(item_id, 31) = 0, null, published) as published", "if(mod(item_id, 17) = 0, ' ', event_type) as title", "if(mod(item_id, 19) = 0, '', 'u') as url"), ["signup", "error"]))
-query("e02_announcements", "official_events", "symbol item_id published title", "", "SELECT symbol, CASE WHEN mod(item_id, 5) = 0 THEN sha1(symbol || '|' || event_type || '|' || CAST(published AS VARCHAR))[1:16] ELSE CAST(item_id AS VARCHAR) END AS item_id, published, event_type AS title FROM official_events WHERE mod(item_id, 3) <> 0")(
-    lambda e: ledger.normalize_announcements(e.select("symbol", F.expr("if(mod(item_id, 3) = 0, concat(event_type, 'H股'), concat(' ', event_type))").alias("title"), F.expr("unix_millis(to_timestamp(published)) + 3600000").alias("epoch_ms"), F.expr("if(mod(item_id, 5) = 0, ' ', cast(item_id as string))").alias("item_id"))))
+#: Announcements with other codes, titles and addresses of all kinds, times in milliseconds and as text.
+RAW = """
+    SELECT right(concat('00000', CAST(mod(item_id, 40) AS {s})), 6) AS symbol, CASE mod(item_id, 8) WHEN 0 THEN '999' WHEN 1 THEN NULL ELSE CAST(mod(item_id, 40) AS {s}) END AS sec_code,
+      CASE mod(item_id, 9) WHEN 0 THEN concat('H股公告', event_type) WHEN 1 THEN concat(event_type, ' H股公告-') WHEN 2 THEN concat(event_type, ' H股') WHEN 3 THEN '  ' ELSE concat(' ', event_type) END AS title,
+      CASE mod(item_id, 4) WHEN 0 THEN concat(CAST(published AS {s}), ' 10:30:00') WHEN 1 THEN CAST(published AS {s}) WHEN 2 THEN CAST(CAST(datediff({diff}) AS BIGINT) * 86400000 + 3600000 AS {s}) ELSE CASE WHEN mod(item_id, 3) > 0 THEN concat(CAST(CAST(datediff({diff}) AS BIGINT) * 86400000 AS {s}), '.0') ELSE 'soon' END END AS announced,
+      CASE WHEN mod(item_id, 5) > 0 THEN CAST(item_id AS {s}) ELSE ' ' END AS item_id, CASE mod(item_id, 6) WHEN 0 THEN 'http://x.example/a.pdf' WHEN 1 THEN '//docs/b.pdf' ELSE '' END AS adjunct_url, 'p' AS plate, 'o' AS org_id, published AS day
+    FROM {events}"""
+raw_announcements = lambda e: e.sparkSession.sql(RAW.format(s="STRING", diff="published, DATE '1970-01-01'", events="{e}"), e=e)
+query("e02_announcements", "official_events", "symbol announcement_id item_id title published source_url", "", f"""
+    WITH r AS ({RAW.format(s='VARCHAR', diff="'day', DATE '1970-01-01', published", events='official_events')}),
+    k AS (SELECT symbol, trim(title) AS title, day AS published, trim(item_id) AS id,
+        CASE adjunct_url WHEN '' THEN 'https://pages.example/detail?plate=p&orgId=o&stockCode=' || symbol || '&announcementId=' || trim(item_id) WHEN '//docs/b.pdf' THEN 'https://files.example/docs/b.pdf' ELSE adjunct_url END AS source_url
+      FROM r WHERE coalesce(sec_code <> '999', true) AND trim(title) <> '' AND announced <> 'soon' AND NOT starts_with(trim(title), 'H股公告') AND NOT contains(title, 'H股公告-')),
+    n AS (SELECT *, CASE WHEN id <> '' THEN id ELSE sha1(symbol || '|' || CAST(published AS VARCHAR) || '|' || title || '|' || source_url)[1:16] END AS announcement_id FROM k)
+    SELECT *, 'official:' || symbol || ':' || announcement_id AS item_id FROM n""")(lambda e: ledger.normalize_announcements(raw_announcements(e)))
 query("e17_normalize_text", "documents", "doc_id x", "", r"SELECT doc_id, sha256(replace(replace(regexp_replace(text, '([\x{4e00}-\x{9fa5}])[ \t]*\n[ \t]*([\x{4e00}-\x{9fa5}])', '\1\2', 'g'), ' the ', ' a '), '—', '-')) AS x FROM documents")(lambda d: d.select("doc_id", F.sha2(ledger.normalize_text(F.col("text"), {" the ": " a ", "—": "-"}), 256).alias("x")))
 
 

@@ -9,11 +9,6 @@ from .base import query
 
 W = "PARTITION BY symbol ORDER BY trade_date"
 D = "DATE '1997-06-30'"
-query("s01_read_dataset", "lineitem", "n", "total", "SELECT count(*) AS n, sum(l_quantity) AS total FROM lineitem")(lambda d: d.agg(F.count("*").alias("n"), F.sum("l_quantity").alias("total")))
-query("s04_append_revisions", "fin_rev", "symbol end_date load_seq", "revenue", "SELECT * FROM fin_rev", digits=2)(lambda f: pit.append_revisions(f, f))
-MARK = "SELECT symbol, 'daily' AS dataset, min(trade_date) AS earliest_date, max(trade_date) AS latest_date FROM bars GROUP BY symbol"
-query("s07_markers", "bars", "symbol dataset earliest_date latest_date", "", MARK)(lambda b: pit.markers(b, "daily"))
-query("s08_is_fresh", "bars", "symbol is_fresh covers", "", f"SELECT symbol, latest_date >= DATE '1998-12-01' AS is_fresh, earliest_date <= DATE '1995-02-01' AND latest_date >= DATE '1998-12-01' AS covers FROM ({MARK})")(lambda b: pit.fresh(pit.markers(b, "daily"), "1995-02-01", "1998-12-01"))
 query("s10_provider_label", "run_log", "symbol provider", "", """SELECT ticker AS symbol, CASE count(DISTINCT nullif(mode, 'user')) WHEN 0 THEN 'cache' WHEN 1 THEN max(nullif(mode, 'user')) ELSE 'mixed' END AS provider FROM run_log GROUP BY ticker""")(
     lambda r: pit.provider_label(r.select(F.col("ticker").alias("symbol"), F.when(F.col("mode") == "user", "cache").otherwise(F.col("mode")).alias("provider"))))
 query("s11_data_gaps", "run_log", "symbol gaps", "", """SELECT ticker AS symbol, coalesce(string_agg(CAST(turn AS VARCHAR), ',' ORDER BY CAST(turn AS VARCHAR)) FILTER (tokens < 200), '') AS gaps FROM run_log GROUP BY ticker""")(
@@ -21,8 +16,7 @@ query("s11_data_gaps", "run_log", "symbol gaps", "", """SELECT ticker AS symbol,
 query("s12_conform", "bars", "symbol trade_date", "vol missing", "SELECT symbol, trade_date, volume AS vol, NULL::DOUBLE AS missing FROM bars")(lambda b: pit.conform(b, {"symbol": "symbol", "trade_date": "trade_date", "vol": "volume", "missing": None}))
 query("s13_compact_date", "orders", "o_orderkey d", "", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 > 0 THEN CAST(o_orderdate AS DATE) END AS d FROM orders")(
     lambda o: o.select("o_orderkey", F.expr("to_date(try_to_timestamp(if(o_orderkey % 7 > 0, date_format(o_orderdate, 'yyyyMMdd'), 'x'), 'yyyyMMdd'))").alias("d")))
-query("s17_latest_package", "run_log", "ticker turn", "", "SELECT ticker, max(turn) AS turn FROM run_log WHERE tokens > 100 GROUP BY ticker")(lambda r: pit.keep_first(r.filter("tokens > 100"), ["ticker"], [F.desc("turn")]))
-ADJ = "SELECT symbol, trade_date, max(adj_factor) AS f FROM adj_factor WHERE adj_factor > 0 GROUP BY symbol, trade_date"
+ADJ = "SELECT symbol, trade_date, arg_max(adj_factor, load_seq) AS f FROM adj_factor WHERE adj_factor IS NOT NULL GROUP BY symbol, trade_date"
 query("j01_adjust", "bars adj_factor", "symbol trade_date missing_factor", "open close volume", f"""
     WITH f AS ({ADJ}), b AS (SELECT symbol, arg_max(f, trade_date) AS base FROM f GROUP BY symbol)
     SELECT symbol, trade_date, f IS NULL AS missing_factor, open * f / base AS open, close * f / base AS close, volume FROM bars LEFT JOIN f USING (symbol, trade_date) LEFT JOIN b USING (symbol)""")(pit.adjust)

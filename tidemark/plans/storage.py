@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from ..fixtures import view
 from ..operators import pit
 from ..sources import files
-from ..sources.store import YearStore, work_path
+from ..sources.store import work_path
+from ..sources.versions import Markers, Store
 from .base import ORACLE_SQL, QUERIES, query
 
 KEYS = ["symbol", "trade_date"]
 
 
-def _store(rows: DataFrame, name: str) -> YearStore:
-    return YearStore(rows.sparkSession, work_path(rows.sparkSession, name), KEYS).write(rows)
+def _store(rows: DataFrame, name: str, keys: list[str] = KEYS, day: str = "trade_date") -> Store:
+    return Store(rows.sparkSession, work_path(rows.sparkSession, name), keys, day).write(rows)
 
 
 query("s02_bars_range", "bars", "symbol trade_date", "close volume", "SELECT * FROM bars WHERE trade_date BETWEEN DATE '1996-03-01' AND DATE '1997-02-14'")(lambda b: _store(b, "bars").between("1996-03-01", "1997-02-14").orderBy(*KEYS))
@@ -39,6 +40,58 @@ def upsert_flows(money: DataFrame) -> DataFrame:
     return store.read()
 
 
+def _datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three datasets of a folder: one is there as Parquet (and as CSV, which isn't read), one as CSV only, one not at all."""
+    folder, schema = work_path(spark, "datasets"), "id int, name string"
+    region, nation = (spark.read.parquet(f"{sf_dir}/{t}.parquet").selectExpr(f"cast({t[0]}_{t}key as int) as id", f"{t[0]}_name as name") for t in ("region", "nation"))
+    region.write.parquet(f"{folder}/regions.parquet")
+    region.limit(1).write.option("header", "true").csv(f"{folder}/regions.csv")
+    nation.write.option("header", "true").csv(f"{folder}/nations.csv")
+    out = None
+    for name in ("regions", "nations", "towns"):
+        rows, found = files.read_dataset(spark, folder, name, schema)
+        part = rows.agg(F.count("*").alias("n"), F.sum("id").alias("ids"), F.max("name").alias("last")).select(F.lit(name).alias("dataset"), F.lit(found).alias("found"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+QUERIES["s01_read_dataset"] = _datasets
+ORACLE_SQL["s01_read_dataset"] = """
+    SELECT 'regions' AS dataset, 'parquet' AS found, count(*) AS n, CAST(sum(r_regionkey) AS BIGINT) AS ids, max(r_name) AS last FROM region
+    UNION ALL SELECT 'nations', 'csv', count(*), CAST(sum(n_nationkey) AS BIGINT), max(n_name) FROM nation UNION ALL SELECT 'towns', 'none', 0, NULL, NULL"""
+
+
+@query("s04_append_revisions", "fin_rev", "symbol end_date load_seq", "revenue", "SELECT * FROM fin_rev", digits=2)
+def append_revisions(revisions: DataFrame) -> DataFrame:
+    """A store of first reports; a batch of corrections, each twice, and of reports that the store has."""
+    store = _store(revisions.filter("load_seq = 1"), "statements", ["symbol", "end_date"], "end_date")
+    corrections = revisions.filter("load_seq = 2")
+    store.append_new(corrections.unionByName(corrections).unionByName(revisions.filter("load_seq = 1 and sk % 5 = 0")))
+    return store.read()
+
+
+def _marked(bars: DataFrame) -> Markers:
+    """Two writes: all bars up to 1997, then those of 1996 alone, and later, for every second brand and the newer bars of the first."""
+    marks = Markers(bars.sparkSession, work_path(bars.sparkSession, "marks"))
+    second = bars.filter("(cast(substring(symbol, 7) as int) % 2 = 0 and year(trade_date) = 1996) or (symbol = 'Brand#11' and year(trade_date) > 1996)")
+    for rows, day in ((bars.filter("year(trade_date) <= 1997"), "2024-01-01"), (second, "2024-01-20")):
+        marks.merge(pit.markers(rows, "daily").withColumn("updated_at", F.lit(day).cast("timestamp")))
+    return marks
+
+
+MARKED = """
+    WITH two AS (SELECT symbol, trade_date, CAST('2024-01-01' AS TIMESTAMP) AS t FROM bars WHERE year(trade_date) <= 1997
+      UNION ALL SELECT symbol, trade_date, CAST('2024-01-20' AS TIMESTAMP) FROM bars WHERE (mod(CAST(symbol[7:] AS INT), 2) = 0 AND year(trade_date) = 1996) OR (symbol = 'Brand#11' AND year(trade_date) > 1996)),
+    marks AS (SELECT symbol, 'daily' AS dataset, min(trade_date) AS earliest_date, max(trade_date) AS latest_date, max(t) AS updated_at FROM two GROUP BY symbol)"""
+query("s07_markers", "bars", "symbol dataset earliest_date latest_date updated_at", "", f"{MARKED} SELECT * FROM marks")(lambda b: _marked(b).read())
+query("s08_is_fresh", "bars", "symbol is_fresh covers expired usable", "", f"""
+    {MARKED}, f AS (SELECT symbol, latest_date >= DATE '1997-12-20' AS is_fresh, earliest_date <= DATE '1995-02-01' AND latest_date >= DATE '1997-12-20' AS covers, updated_at < TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 7 DAYS AS expired FROM marks)
+    SELECT *, covers AND NOT expired AS usable FROM f""")(lambda b: pit.fresh(_marked(b).read(), "1995-02-01", "1997-12-20", F.lit("2024-01-20 00:00:00").cast("timestamp"), 7 * 86_400))
+query("s17_latest_package", "run_log", "ticker modified", "", """
+    SELECT ticker, max(turn) AS modified FROM run_log WHERE mod(turn, 5) <> 1 AND mod(turn, 5) <> 2 AND mod(tokens, 3) > 0 AND mod(conv_id + turn, 7) > 0 GROUP BY ticker""")(lambda r: pit.latest_package(r.selectExpr("ticker", "turn as modified", """
+    if(mod(turn, 5) = 1, '{"schema_version": "1', to_json(named_struct('schema_version', if(mod(turn, 5) = 2, '', '1.0'), 'run_id', if(mod(tokens, 3) > 0, ticker, cast(null as string)), 'stock', named_struct('code', if(mod(conv_id + turn, 7) > 0, ticker, 'other'))))) as body""")))
+
+
 def _tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers in several files beside one that is no Parquet file: its rows are missing, nothing fails."""
     path = work_path(spark, "customers")

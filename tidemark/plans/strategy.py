@@ -18,7 +18,8 @@ W = "PARTITION BY symbol ORDER BY trade_date"
 
 
 def GRID(bars: DataFrame) -> DataFrame:  # noqa: N802
-    return st.grid(bars.sparkSession, FAST, SLOW)
+    """The grid of the requested values, as rows that any table of requests could hold."""
+    return st.grid_from(bars.sparkSession.createDataFrame([*(("fast", v) for v in FAST), *(("slow", v) for v in SLOW)], "name string, value int"))
 
 
 def HELD(bars: DataFrame) -> DataFrame:  # noqa: N802

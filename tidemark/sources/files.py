@@ -5,12 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .versions import exists
+
 
 def read_tolerant(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Parquet files of a folder; a corrupt one counts as absent, not as an error."""
     return spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(path)
 
 
+def read_dataset(spark: SparkSession, folder: str, name: str, schema: str) -> tuple[DataFrame, str]:
+    """A dataset of a folder and how it was found: ``name.parquet``, else ``name.csv`` (with a header), else an empty frame of the schema (none)."""
+    for kind in ("parquet", "csv"):
+        path = f"{folder.rstrip('/')}/{name}.{kind}"
+        if exists(spark, path):
+            reader = spark.read.schema(schema)
+            return (reader.parquet(path) if kind == "parquet" else reader.option("header", "true").option("enforceSchema", "false").csv(path)), kind
+    return spark.createDataFrame([], schema), "none"
+
+
 def read_log(spark: SparkSession, path: str, schema: str, newest: str, most: int = 20) -> DataFrame:
     """The newest valid lines of JSON-lines logs; broken lines are skipped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).orderBy(F.desc(newest)).limit(most)

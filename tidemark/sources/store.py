@@ -1,14 +1,11 @@
-"""A store of dated rows in Parquet folders by year: ranges read the years they touch, merges rewrite the years they touch."""
+"""Paths in the folder that all machines share, and tables that are written there and read back."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ..operators import pit
+from pyspark.sql import DataFrame, SparkSession
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -27,41 +24,3 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-class YearStore:
-    """Rows of one kind below ``path``, one folder for each year of ``day``; ``keys`` tell rows apart."""
-
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], day: str = "trade_date"):
-        self.spark, self.path, self.keys, self.day = spark, path, keys, day
-
-    def _dealt(self, rows: DataFrame) -> DataFrame:
-        """By year, so that each year's folder is written by few tasks."""
-        return rows.withColumn("year", F.year(self.day)).repartition("year", F.pmod(F.xxhash64(*self.keys), F.lit(8)))
-
-    def write(self, rows: DataFrame) -> YearStore:
-        """Lay down a new store."""
-        self._dealt(rows).write.partitionBy("year").parquet(self.path)
-        return self
-
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path).drop("year")
-
-    def between(self, start: str, end: str) -> DataFrame:
-        """Rows from ``start`` to ``end``, both included: other years' folders aren't listed for reading, and the day is pushed down."""
-        first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
-        return self.spark.read.parquet(self.path).filter(F.col("year").between(F.year(first), F.year(last)) & F.col(self.day).between(first, last)).drop("year")
-
-    def upsert(self, rows: DataFrame, order: list[Column] | None = None) -> list[int]:
-        """Add rows; of a key the new row wins, of several new ones the first by ``order``. Returns the years that were rewritten.
-
-        Only folders of years that the new rows touch are read and replaced, all at once when the job ends.
-        """
-        new = pit.keep_first(rows.withColumn("year", F.year(self.day)), self.keys, order or [F.desc(self.day)])
-        years = sorted(r["year"] for r in new.select("year").distinct().collect() if r["year"] is not None)  # a few
-        if not years:
-            return []
-        old = self.spark.read.parquet(self.path).filter(F.col("year").isin(years)).drop("year")
-        merged = pit.upsert(old, new.filter(F.col("year").isNotNull()).select(*old.columns), self.keys)
-        self._dealt(merged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(self.path)
-        return years
