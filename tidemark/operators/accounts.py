@@ -96,6 +96,45 @@ class Account:
         return out
 
 
+class Summary:
+    """What a key's account comes to, gathered from stretches of its bars; means and spreads are merged exactly as sums of squares about them."""
+
+    def __init__(self) -> None:
+        self.n, self.held, self.trades, self.wins, self.turned, self.fall = 0, 0, 0, 0, 0.0, np.nan
+        self.returns, self.losses = (0, 0.0, 0.0), (0, 0.0, 0.0)
+
+    @staticmethod
+    def _with(before: tuple[int, float, float], x: np.ndarray) -> tuple[int, float, float]:
+        """Count, mean and sum of squares about it, with further values."""
+        n, mean, squares = before
+        if not len(x):
+            return before
+        m, own = len(x), float(x.mean())
+        total, step = n + m, own - mean
+        return total, mean + step * m / total, squares + float(((x - own) ** 2).sum()) + step * step * n * m / total
+
+    def add(self, day: np.ndarray, close: np.ndarray, got: dict[str, np.ndarray]) -> None:
+        if not self.n:
+            self.first_day, self.first_close = day[0], close[0]
+        self.last_day, self.last_close, self.equity, self.shares = day[-1], close[-1], got["equity"][-1], got["shares"][-1]
+        self.n, self.held, self.turned = self.n + len(day), self.held + int((got["shares"] > 0).sum()), self.turned + float(got["turned"].sum())
+        sold = ~np.isnan(got["cost"])
+        self.trades, self.wins = self.trades + int(sold.sum()), self.wins + int((got["money"][sold] > got["cost"][sold]).sum())
+        self.fall = float(np.fmin(self.fall, np.fmin.reduce(got["drawdown"])))
+        ret = got["ret"][~np.isnan(got["ret"])]
+        self.returns, self.losses = self._with(self.returns, ret), self._with(self.losses, ret[ret < 0])
+
+    def row(self) -> dict:
+        spread = lambda s: (s[2] / s[0]) ** 0.5 if s[0] else None
+        return {
+            "days": int((self.last_day - self.first_day).astype(int)), "first_close": self.first_close, "last_close": self.last_close, "equity": self.equity, "open_shares": self.shares, "turned": self.turned, "exposure": self.held / self.n,
+            "trades": self.trades, "wins": self.wins, "max_drawdown": self.fall, "mean": self.returns[1] if self.returns[0] else None, "spread": spread(self.returns), "losses": spread(self.losses),
+        }
+
+
+SUMMARY = "days bigint, first_close double, last_close double, equity double, open_shares double, turned double, exposure double, trades bigint, wins bigint, max_drawdown double, mean double, spread double, losses double"
+
+
 def _parts(batch: pa.RecordBatch, n_keys: int) -> np.ndarray:
     """Where keys begin in a batch."""
     new = np.zeros(len(batch), bool)
@@ -112,13 +151,64 @@ def accounts(signals: DataFrame, cash: float = 100_000.0, **costs: float) -> Dat
     In: symbol, trade_date, open, close, signal (1: hold; or action, a buy or sell at the bar's own open), and run_id, win, slice where accounts differ by them; is_suspended,
     up_limit and down_limit where known. A null signal is 0; at a null open nothing is traded. ``costs`` as in ``COSTS``.
     """
-    by, k = keys_of(signals), COSTS | costs
-    kinds = {f.name: f.dataType.simpleString() for f in signals.schema if f.name in by}
-    follows = "signal" in signals.columns
-    wish = F.coalesce(F.col("signal").cast("int"), F.lit(0)) if follows else F.when(F.col("action") == "buy", 1).when(F.col("action") == "sell", 0).otherwise(-1)
-    bars = signals.select(*by, "trade_date", *[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in ("open", "close")], wish.alias("signal"), tradable(signals, "buy").alias("_buy"), tradable(signals, "sell").alias("_sell"))
+    by, scan, kinds = keys_of(signals), *_scanned(signals, cash, costs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, parts in scan(batches):
+            column = {c: np.concatenate([p[-1][c] for p in parts]) for c in [*STATE, "entry"]}
+            numbers = [pa.array(column[c], pa.float64(), from_pandas=True) for c in STATE]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(by) + 1], batch.column(len(by) + 2), *numbers, pa.array(column["entry"], pa.date32())], [*by, "trade_date", "close", *STATE, "entry"])
+
+    schema = ", ".join([*kinds, "trade_date date, close double", *[f"{c} double" for c in STATE], "entry date"])
+    return _in_order(signals).mapInArrow(run, schema)
+
+
+def summaries(signals: DataFrame, cash: float = 100_000.0, **costs: float) -> DataFrame:
+    """One row for each key's account, from the same scan: the keys and ``SUMMARY``. Only these rows leave the tasks."""
+    by, scan, kinds = keys_of(signals), *_scanned(signals, cash, costs)
+    names = [c.split()[0] for c in SUMMARY.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[dict] = []
+        key, own = None, None
+        for batch, parts in scan(batches):
+            for k, day, close, got in parts:
+                if k != key:
+                    if own:
+                        done.append(dict(zip(by, key, strict=True)) | own.row())
+                    key, own = k, Summary()
+                own.add(day, close, got)
+            if len(done) > 10_000:
+                yield _table(done)
+                done = []
+        if own:
+            done.append(dict(zip(by, key, strict=True)) | own.row())
+        yield _table(done)
+
+    def _table(rows: list[dict]) -> pa.RecordBatch:
+        long = {"days", "trades", "wins"}
+        text = {c.split()[0]: {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}[c.split()[1]] for c in kinds}
+        columns = [pa.array([r[c] for r in rows], text.get(c) or (pa.int64() if c in long else pa.float64()), from_pandas=True) for c in [*by, *names]]
+        return pa.RecordBatch.from_arrays(columns, [*by, *names])
+
+    return _in_order(signals).mapInArrow(run, ", ".join([*kinds, SUMMARY]))
+
+
+def _in_order(signals: DataFrame) -> DataFrame:
+    """The keys, day, open, close, wish and whether each side can be traded, by key in order of days."""
+    by = keys_of(signals)
+    wish = F.coalesce(F.col("signal").cast("int"), F.lit(0)) if "signal" in signals.columns else F.when(F.col("action") == "buy", 1).when(F.col("action") == "sell", 0).otherwise(-1)
+    prices = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in ("open", "close")]
+    bars = signals.select(*by, "trade_date", *prices, wish.alias("signal"), tradable(signals, "buy").alias("_buy"), tradable(signals, "sell").alias("_sell"))
+    return bars.repartition(*by).sortWithinPartitions(*by, "trade_date")
+
+
+def _scanned(signals: DataFrame, cash: float, costs: dict):
+    """The scan over batches of ``_in_order``: each with its stretches (key, days, closes, what the account did); and the keys with their types."""
+    by, k, follows = keys_of(signals), COSTS | costs, "signal" in signals.columns
+    kinds = {f.name: f.dataType.simpleString() for f in signals.schema if f.name in by}
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
         account, last = Account(cash, k, follows), None
         for batch in batches:
             if not len(batch):
@@ -130,10 +220,7 @@ def accounts(signals: DataFrame, cash: float = 100_000.0, **costs: float) -> Dat
                 if key != last:
                     account.reset()
                     last = key
-                parts.append(account.bars(day[a:b], open_[a:b], close[a:b], signal[a:b], buy[a:b], sell[a:b]))
-            column = {c: np.concatenate([p[c] for p in parts]) for c in [*STATE, "entry"]}
-            numbers = [pa.array(column[c], pa.float64(), from_pandas=True) for c in STATE]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(by) + 1], batch.column(len(by) + 2), *numbers, pa.array(column["entry"], pa.date32())], [*by, "trade_date", "close", *STATE, "entry"])
+                parts.append((key, day[a:b], close[a:b], account.bars(day[a:b], open_[a:b], close[a:b], signal[a:b], buy[a:b], sell[a:b])))
+            yield batch, parts
 
-    schema = ", ".join([*[f"{c} {kinds[c]}" for c in by], "trade_date date, close double", *[f"{c} double" for c in STATE], "entry date"])
-    return bars.repartition(*by).sortWithinPartitions(*by, "trade_date").mapInArrow(run, schema)
+    return scan, [f"{c} {kinds[c]}" for c in by]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import stored
-from .accounts import accounts, keys_of, tradable
+from .accounts import accounts, keys_of, summaries, tradable
 
 
 def grid_from(requests: DataFrame, most: int = 1000) -> DataFrame:
@@ -115,16 +115,13 @@ def metrics(signals: DataFrame, cash: float = 100_000.0, **costs: float) -> Data
     """Per key, of the account's equity: total, annual (365 days) and buy-and-hold return, largest drawdown, Sharpe and Sortino
     (252 bars, 0 where undefined), completed trades, share of wins, turnover by initial cash, exposure, and shares still held.
     """
-    end, down, sold = lambda c: F.max_by(c, "trade_date"), F.when(F.col("ret") < 0, F.col("ret")), F.col("cost").isNotNull()
-    year = lambda sd: F.coalesce(F.try_divide(F.avg("ret"), F.when(sd > 0, sd)) * F.sqrt(F.lit(252.0)), F.lit(0.0))
-    wins = F.count_if(sold & (F.col("money") > F.col("cost")))
-    m = accounts(signals, cash, **costs).groupBy(*keys_of(signals)).agg(
-        (end("equity") / cash - 1).alias("total_return"), F.greatest(F.datediff(F.max("trade_date"), F.min("trade_date")), F.lit(1)).alias("_days"), F.min("drawdown").alias("max_drawdown"), year(F.stddev_pop("ret")).alias("sharpe"),
-        year(F.stddev_pop(down)).alias("sortino"), (end("close") / F.min_by("close", "trade_date") - 1).alias("hold_return"), F.count_if(sold).alias("trades"), F.coalesce(F.try_divide(wins, F.count_if(sold)), F.lit(0.0)).alias("win_rate"),
-        (F.sum("turned") / cash).alias("turnover"), F.avg((F.col("shares") > 0).cast("double")).alias("exposure"), end("shares").alias("open_shares"),
+    year = lambda sd: F.coalesce(F.try_divide(F.col("mean"), F.when(F.col(sd) > 0, F.col(sd))) * F.sqrt(F.lit(252.0)), F.lit(0.0))
+    m = summaries(signals, cash, **costs).withColumn("total_return", F.col("equity") / cash - 1)
+    annual = F.when(F.col("total_return") <= -1, -1.0).otherwise(F.pow(1 + F.col("total_return"), F.lit(365.0) / F.greatest("days", F.lit(1))) - 1)
+    return m.select(
+        *keys_of(signals), "total_return", "max_drawdown", year("spread").alias("sharpe"), year("losses").alias("sortino"), (F.try_divide("last_close", "first_close") - 1).alias("hold_return"), "trades",
+        F.coalesce(F.try_divide("wins", "trades"), F.lit(0.0)).alias("win_rate"), (F.col("turned") / cash).alias("turnover"), "exposure", "open_shares", annual.alias("annual_return"),
     )
-    annual = F.when(F.col("total_return") <= -1, -1.0).otherwise(F.pow(1 + F.col("total_return"), F.lit(365.0) / F.col("_days")) - 1)
-    return m.withColumn("annual_return", annual).drop("_days")
 
 
 def warnings(measured: DataFrame, columns: list[str]) -> DataFrame:
@@ -159,7 +156,7 @@ def measured(bars: DataFrame, params: DataFrame, cash: float = 100_000.0, cut: C
 
 def optimized(bars: DataFrame, params: DataFrame, kind: str = "sharpe", min_trades: int = 0, cash: float = 100_000.0, cut: Cut = slices) -> DataFrame:
     """The winner on train with its results and objective on every slice. All candidates run on train, winners alone on the rest."""
-    parts = cut(with_means(bars, params))
+    parts = cut(stored(with_means(bars, params), "means"))
     train = metrics(cross_signal(parts.filter("slice = 'train'"), params), cash)
     won = stored(ranked(train, kind, min_trades).filter("rank = 1").drop("rank").join(F.broadcast(params), "run_id"), "winners")
     by = [c for c in ("symbol", "win") if c in won.columns]
@@ -179,7 +176,7 @@ def rolling(bars: DataFrame, params: DataFrame, cut: Cut, kind: str = "sharpe",
     won = won.groupBy("symbol", "win").agg(F.first("fast").alias("fast"), F.first("slow").alias("slow"), *each)
     every = cut(bars).groupBy("symbol", "win").agg(F.min("trade_date").alias("first_day"), F.max("trade_date").alias("last_day"))
     few = (F.col("validation_trades") < min_trades) | (F.col("test_trades") < min_trades)
-    return every.join(won, ["symbol", "win"], "left").withColumn("status", F.when(F.col("fast").isNull(), "failed").when(few, "degraded").otherwise("ok"))
+    return stored(every.join(won, ["symbol", "win"], "left").withColumn("status", F.when(F.col("fast").isNull(), "failed").when(few, "degraded").otherwise("ok")), "windows")  # summaries, votes and choices all read it
 
 
 def rolling_summary(windows_: DataFrame) -> DataFrame:
