@@ -62,3 +62,24 @@ def test_words_of_texts_side_by_side():
             assert known.setdefault(k, w) == w
     assert len(known) == len(set(words))
     assert [len(x) for x in common.WordHasher()([])] == [0, 0]
+
+
+def test_many_shards_with_few_open_files(tmp_path):
+    """1,024 shards are looked up twice under a limit of 512 open files."""
+    import resource
+
+    from tidemark.llm import packed
+
+    keys = np.random.default_rng(5).integers(0, 1 << 64, 20_000, dtype=np.uint64)
+    shard = (keys & np.uint64(1023)).astype(np.int64)
+    for k in range(1024):
+        packed.write_table(f"{tmp_path}/1/{k}", np.unique(keys[shard == k]))
+    levels = substring_dedup.Levels(str(tmp_path), 10, 50)
+    before = resource.getrlimit(resource.RLIMIT_NOFILE)
+    resource.setrlimit(resource.RLIMIT_NOFILE, (512, before[1]))
+    try:
+        for _ in range(2):
+            assert levels.repeated(1, keys).all() and not levels.repeated(1, keys ^ np.uint64(1 << 40)).any()
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, before)
+    assert len(levels.maps.held) <= levels.maps.most < 512

@@ -1,8 +1,9 @@
 """Benchmark decontamination with a distributed positional inverted index, in DataFrame operations only.
 
-The postings of the benchmark windows' rarest terms are stored: term, document, position. For each window the
-lists of its two rarest terms are intersected after their offsets are taken off, and what remains is compared
-word by word.
+One pass over the tokens counts the benchmark's terms, a second one stores the postings of the rarest of them: term,
+document, position. For each window the lists of its two rarest terms are intersected after their offsets are taken off,
+and what remains is compared word by word. The same postings give the places where an item's two rarest terms stand near
+each other.
 """
 
 from __future__ import annotations
@@ -59,13 +60,21 @@ def anchored(windows: DataFrame, frequency: DataFrame) -> DataFrame:
     )
 
 
-def exact_matches(tokenised: DataFrame, windows: DataFrame) -> DataFrame:
+def bags(benchmark: DataFrame) -> DataFrame:
+    """Items of two or more distinct words: item_id, words, phrase (the words joined)."""
+    items = benchmark.select("item_id", F.array_distinct(words_of(F.col("text"))).alias("words")).filter("size(words) > 1")
+    return items.withColumn("phrase", F.array_join("words", " "))
+
+
+def rarest_pairs(items: DataFrame, frequency: DataFrame) -> DataFrame:
+    """The two rarest terms of each bag that are in some document: phrase, t1, t2. Terms in none are left aside; bags with fewer than two others have no pair."""
+    each = items.select("phrase", "words").distinct().select("phrase", F.posexplode("words").alias("o", "term")).join(common.small(frequency), "term")
+    ranked = each.groupBy("phrase").agg(F.array_sort(F.collect_list(F.struct("df", "o", "term"))).alias("r")).filter("size(r) > 1")
+    return ranked.select("phrase", F.col("r")[0]["term"].alias("t1"), F.col("r")[1]["term"].alias("t2"))
+
+
+def exact_matches(tokenised: DataFrame, anchors: DataFrame, index: DataFrame) -> DataFrame:
     """Occurrences of windows: the rows of ``tokenised`` with hits, an array of (start, n, items), without words."""
-    vocabulary = windows.select(F.explode("words").alias("term")).distinct()
-    frequency = common.stored(postings(tokenised, vocabulary).groupBy("term").agg(F.count("*").alias("df")), "frequency")
-    anchors = common.stored(anchored(windows, frequency).join(windows, "phrase"), "anchors")
-    rare = anchors.select(F.explode(F.array("t1", "t2")).alias("term")).distinct()
-    index = common.stored(postings(tokenised, rare), "postings")
     first = index.withColumnRenamed("term", "t1").join(common.small(anchors), "t1").withColumn("start", F.col("pos") - F.col("o1")).filter("start >= 0")
     second = index.select(F.col("term").alias("t2"), "row", F.col("pos").alias("at"))
     both = first.withColumn("at", F.col("start") + F.col("o2")).join(second, ["row", "t2", "at"], "left_semi")
@@ -79,60 +88,47 @@ def exact_matches(tokenised: DataFrame, windows: DataFrame) -> DataFrame:
     return out.withColumn("hits", F.coalesce("hits", F.array().cast(found.schema["hits"].dataType)))
 
 
-def proximity_matches(tokenised: DataFrame, benchmark: DataFrame, within: int = 20) -> DataFrame:
-    """Documents in which the two rarest terms of an item stand at most ``within`` words apart: item_id, row, nearest.
-
-    Terms that are in no document are left aside; an item of which fewer than two others are left has no matches.
-    """
-    items = benchmark.select("item_id", F.array_distinct(words_of(F.col("text"))).alias("words")).filter("size(words) > 1").withColumn("phrase", F.array_join("words", " "))
-    windows = items.select("phrase", "words").distinct()
-    terms = windows.select(F.explode("words").alias("term")).distinct()
-    frequency = common.stored(postings(tokenised, terms).groupBy("term").agg(F.count("*").alias("df")), "frequency")
-    each = windows.select("phrase", F.posexplode("words").alias("o", "term")).join(common.small(frequency), "term")
-    ranked = each.groupBy("phrase").agg(F.array_sort(F.collect_list(F.struct("df", "o", "term"))).alias("r")).filter("size(r) > 1")
-    pair = common.stored(ranked.select("phrase", F.col("r")[0]["term"].alias("t1"), F.col("r")[1]["term"].alias("t2")), "pairs")
-    rare = pair.select(F.explode(F.array("t1", "t2")).alias("term")).distinct()
-    index = common.stored(postings(tokenised, rare), "postings")
+def near_matches(items: DataFrame, pairs: DataFrame, index: DataFrame, within: int) -> DataFrame:
+    """Documents in which the two rarest terms of a bag stand at most ``within`` words apart: item_id, row, nearest."""
     # Positions are dealt to blocks of ``within`` words: near ones are in the same or a neighbouring block.
-    one = index.select(F.col("term").alias("t1"), "row", "pos").join(common.small(pair.select("t1", "t2").distinct()), "t1")
+    one = index.select(F.col("term").alias("t1"), "row", "pos").join(common.small(pairs.select("t1", "t2").distinct()), "t1")
     one = one.withColumn("block", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.floor(F.col("pos") / within) + d)))
     two = index.select(F.col("term").alias("t2"), "row", F.col("pos").alias("other")).withColumn("block", F.floor(F.col("other") / within))
     gap = F.abs(F.col("pos") - F.col("other"))
     near = one.join(two, ["row", "t2", "block"]).filter(gap <= within).groupBy("t1", "t2", "row").agg(F.min(gap).cast("int").alias("nearest"))
-    of = items.select("item_id", "phrase").join(pair, "phrase").select("item_id", "t1", "t2").distinct()
+    of = items.select("item_id", "phrase").join(pairs, "phrase").select("item_id", "t1", "t2").distinct()
     return near.join(common.small(of), ["t1", "t2"]).groupBy("item_id", "row").agg(F.min("nearest").alias("nearest"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> DataFrame:
-    """Which words of each document lie in benchmark windows.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10, within: int = 20) -> DataFrame:
+    """Which words of each document lie in benchmark windows, and which items it comes near to.
 
     In: documents (doc_id, text), benchmark (item_id, text). Out, a row for each document: doc_id, n_words, n_hit (words
     inside an occurrence of a window), n_items, items_sha256 (of the sorted ids as text, joined by commas),
-    contaminated (n_hit > 0). A window is ``length`` words of an item, or all of a shorter one; null has no words. Each row
-    has the hits of its own text, also without a doc_id or where several rows share one. Items without an id count with an
-    empty id. Other columns are ignored; an empty table gives no rows, and without items nothing is hit.
+    contaminated (n_hit > 0), n_near (items of which the two rarest terms that occur at all stand at most ``within`` words
+    apart) and nearest, the smallest such distance (null without one). Nearness doesn't make a document contaminated.
+
+    A window is ``length`` words of an item, or all of a shorter one; null has no words. Each row has the matches of its own
+    text, also without a doc_id or where several rows share one. Items without an id count with an empty id, and as one item
+    that is near. Other columns are ignored; an empty table gives no rows, and without items nothing is hit.
     """
     tokenised = tokens(docs)
-    return _counted(exact_matches(tokenised, common.stored(phrases(benchmark, length), "phrases"))).drop("row")
+    windows, items = common.stored(phrases(benchmark, length), "phrases"), common.stored(bags(benchmark), "bags")
+    terms = windows.select(F.explode("words").alias("term")).distinct()
+    frequency = common.stored(postings(tokenised, terms).groupBy("term").agg(F.count("*").alias("df")), "frequency")
+    anchors = common.stored(anchored(windows, frequency).join(windows, "phrase"), "anchors")
+    pairs = common.stored(rarest_pairs(items, frequency), "pairs")
+    rare = anchors.select(F.explode(F.array("t1", "t2")).alias("term")).union(pairs.select(F.explode(F.array("t1", "t2")).alias("term"))).distinct()
+    index = common.stored(postings(tokenised, rare), "postings")
+    near = near_matches(items, pairs, index, within).groupBy("row").agg(F.count("*").alias("n_near"), F.min("nearest").alias("nearest"))
+    exact = _counted(exact_matches(tokenised, anchors, index))
+    return exact.join(common.stored(near, "near"), "row", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0).cast("bigint"))).drop("row")
 
 
 def _counted(found: DataFrame) -> DataFrame:
-    """What ``decontaminate`` tells of the hits of each document."""
+    """What the hits of each document come to."""
     covered = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["n"] - 1)))))
     ids = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))))
     return found.select(
         "row", "doc_id", "n_words", covered.cast("bigint").alias("n_hit"), F.size(ids).cast("bigint").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated")
     )
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, length: int = 10, within: int = 20) -> DataFrame:
-    """Exact and proximity matches: the columns of ``decontaminate``, then n_near and nearest.
-
-    n_near is the number of items of which the two rarest terms stand at most ``within`` words apart in the document,
-    nearest the smallest such distance (null without one). Items without an id count as one. Nearness doesn't make a
-    document contaminated.
-    """
-    tokenised = tokens(docs)
-    exact = _counted(exact_matches(tokenised, common.stored(phrases(benchmark, length), "phrases")))
-    near = proximity_matches(tokenised, benchmark, within).groupBy("row").agg(F.count("*").alias("n_near"), F.min("nearest").alias("nearest"))
-    return exact.join(common.stored(near, "near"), "row", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0))).drop("row")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .packed import ROW, by_small, dealt, grouped, mapped, pack, places, rows_of, unpack, write_array, write_table
+from .packed import ROW, Maps, by_small, dealt, grouped, pack, places, rows_of, unpack, write_array, write_table
 
 #: No word has a space in it.
 END = b" end"
@@ -84,15 +84,10 @@ class Model:
     left_over: float = 1.0
 
     def __post_init__(self) -> None:
-        self._maps: dict[str, np.ndarray] = {}
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_maps": {}}
+        self._maps = Maps()
 
     def part(self, name: str, kind: str) -> np.ndarray:
-        if (got := self._maps.get(name)) is None:
-            got = self._maps[name] = mapped(f"{self.folder}/{name}", kind)
-        return got
+        return self._maps(f"{self.folder}/{name}", kind)
 
     def counts(self, name: str, n: int) -> np.ndarray:
         """An array of ``n`` counts, of four bytes each where they fit."""

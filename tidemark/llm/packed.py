@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,29 @@ def mapped(path: str, kind: str) -> np.ndarray:
     return np.memmap(path, kind, "r") if os.path.exists(path) else np.empty(0, kind)
 
 
+class Maps:
+    """The arrays that a worker has mapped, at most ``most`` at a time, as each holds a file open: the one not read for longest is let go.
+
+    Look-ups go shard by shard, so a worker never needs more than the few arrays of one shard at once.
+    """
+
+    def __init__(self, most: int = 256):
+        self.most, self.held = most, OrderedDict()
+
+    def __reduce__(self) -> tuple:
+        return Maps, (self.most,)
+
+    def __call__(self, path: str, kind: str) -> np.ndarray:
+        got = self.held.get((path, kind))
+        if got is None:
+            while len(self.held) >= self.most:
+                self.held.popitem(last=False)
+            got = self.held[path, kind] = mapped(path, kind)
+        else:
+            self.held.move_to_end((path, kind))
+        return got
+
+
 # --- sorted hash arrays -----------------------------------------------------------------------
 
 

@@ -64,7 +64,8 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+    """The same rows by the operator's first name for both kinds of matches."""
+    return op10_decontam(spark, sf_dir)
 
 
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,9 +137,16 @@ ORACLE_SQL = {
                  JOIN wins ON wins.n = k.n AND wins.x = array_to_string(w[i:i + k.n - 1], ' ') WHERE i + k.n - 1 <= len(w)),
         n_hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
         ids AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(x, ',' ORDER BY x)) AS items_sha256
-                FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hits) GROUP BY doc_id)
-        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-        FROM words LEFT JOIN n_hit USING (doc_id) LEFT JOIN ids USING (doc_id)
+                FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hits) GROUP BY doc_id),
+        bag AS (SELECT DISTINCT item_id, word, min(o) OVER (PARTITION BY item_id, word) AS o FROM (SELECT item_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS o FROM items)),
+        tok AS (SELECT doc_id, i, w[i] AS word FROM pl),
+        df AS (SELECT word, count(*) AS df FROM tok GROUP BY word),
+        rare AS (SELECT item_id, word, row_number() OVER (PARTITION BY item_id ORDER BY df, o) AS r FROM bag JOIN df USING (word)),
+        duo AS (SELECT a.item_id, a.word AS t1, b.word AS t2 FROM rare a JOIN rare b ON a.item_id IS NOT DISTINCT FROM b.item_id AND a.r = 1 AND b.r = 2),
+        beside AS (SELECT duo.item_id, a.doc_id, min(abs(a.i - b.i)) AS gap FROM duo JOIN tok a ON a.word = t1 JOIN tok b ON b.word = t2 AND b.doc_id = a.doc_id AND abs(a.i - b.i) <= 20 GROUP BY duo.item_id, a.doc_id),
+        near AS (SELECT doc_id, count(*) AS n_near, CAST(min(gap) AS INTEGER) AS nearest FROM beside GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(n_near, 0) AS n_near, nearest
+        FROM words LEFT JOIN n_hit USING (doc_id) LEFT JOIN ids USING (doc_id) LEFT JOIN near USING (doc_id)
     """,
     "op11_hard_negatives": r"""
         WITH v AS (
@@ -192,3 +200,4 @@ ORACLE_SQL = {
         SELECT f.word, form, root, n, n_near, form_n FROM forms f JOIN (SELECT word, arg_max(place, k) AS root FROM steps GROUP BY word) USING (word)
     """,
 }
+ORACLE_SQL["op10_matches"] = ORACLE_SQL["op10_decontam"]

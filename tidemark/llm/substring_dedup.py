@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .packed import ROW, by_small, dealt, mapped, places, rows_of, unpack, write_array, write_table
+from .packed import ROW, Maps, by_small, dealt, places, rows_of, unpack, write_array, write_table
 
 #: Windows that a task holds before it hands on packed ones.
 PACK = 1_000_000
@@ -65,10 +65,7 @@ class Levels:
     folder: str
     bits: int
     length: int
-    maps: dict[str, np.ndarray] = field(default_factory=dict)
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"maps": {}}
+    maps: Maps = field(default_factory=Maps)
 
     @property
     def sizes(self) -> tuple[int, int, int]:
@@ -76,9 +73,7 @@ class Levels:
         return (half + 1) // 2, half, self.length
 
     def part(self, name: str, kind: str) -> np.ndarray:
-        if name not in self.maps:
-            self.maps[name] = mapped(f"{self.folder}/{name}", kind)
-        return self.maps[name]
+        return self.maps(f"{self.folder}/{name}", kind)
 
     def by_shard(self, a: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """Shards, and which of the hashes are theirs."""
