@@ -8,7 +8,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import evidence, fundamentals, gate, ops, pit, recon, risk, strategy
+from tidemark.operators import evidence, fundamentals, gate, medians, ops, pit, recon, risk, strategy
 
 D = dt.date
 R = random.Random(17)
@@ -133,6 +133,19 @@ def test_windows_are_ok_degraded_or_failed_and_symbols_vote_alike(spark):
     assert decided == {"A": "candidate_only_pending_multi_symbol_validation", "B": "candidate_only_pending_multi_symbol_validation", "C": "do_not_promote_parameters"}
 
 
+def test_medians_of_large_groups(spark):
+    """Exact however values are spread or repeated, with a bound far below the groups' sizes."""
+    groups = {
+        "even": [R.gauss(0, 1) for _ in range(1000)], "odd": [R.lognormvariate(0, 30) for _ in range(1001)], "two": [1.0] * 500 + [2.0] * 500, "ties": [5.0] * 900 + [float(i) for i in range(200)], "one": [-3.5], "wide": [10.0**k for k in range(-300, 300)] + [-(10.0**k) for k in range(-300, 299)],
+        "edge": [0.0] * 480 + [R.random() for _ in range(40)] + [1.0] * 480, "few": [3.0, float("nan"), 1.0],
+    }
+    rows = [(g, x) for g, xs in groups.items() for x in xs] + [("even", None), ("none", None)]
+    f = spark.createDataFrame(rows, "g string, x double").repartition(6)
+    for bound in (3, 50, 10_000):
+        got = {r["g"]: r["median"] for r in medians.group_medians(f, ["g"], "x", bound).collect()}
+        assert got == {g: statistics.median([x for x in xs if x == x]) for g, xs in groups.items()}, bound
+
+
 def test_grid_is_capped(spark):
     asked = spark.createDataFrame([(n, v) for n in ("fast", "slow") for v in (0, -3, 5, 5, 20, 60)], "name string, value int")
     assert {tuple(r) for r in strategy.grid_from(asked).collect()} == {(0, 5, 20), (1, 5, 60), (2, 20, 60)}
@@ -233,6 +246,10 @@ def test_nested_packages_redaction_parameters_and_tags(spark):
     f = lambda run, v: spark.sql(f"SELECT 'A' AS symbol, '{run}' AS run_id, named_struct('x', {v}, 'run_id', '{run}', 'l', array(1, {v})) AS s")
     got = [(r["path"], r["old"], r["new"], r["rank"]) for r in evidence.snapshot_diff(f("a", 1), f("b", 2), ["symbol"]).orderBy("rank").collect()]
     assert got == [("s.l", "[1,1]", "[1,2]", 1), ("s.x", "1", "2", 2)]
+    g = lambda m: spark.sql(f"SELECT 'A' AS symbol, {m} AS m")
+    open_maps = g("map('a', named_struct('x', map('k', 1, 'run_id', 7), 'y', 2), 'b', named_struct('x', map(), 'y', 3))"), g("map('a', named_struct('x', map('k', 5, 'run_id', 8, 'n', 6), 'y', 2), 'c', named_struct('x', map(), 'y', null))")
+    got = [(r["path"], r["old"], r["new"]) for r in evidence.snapshot_diff(*open_maps, ["symbol"]).orderBy("rank").collect()]
+    assert got == [("m.a.x.k", "1", "5"), ("m.a.x.n", None, "6"), ("m.b.y", "3", None)]
     nested = spark.sql("SELECT named_struct('a', array(named_struct('apiKey', '1', 'b', '2')), 'm', map('Token', 'x', 'c', 'y')) AS q, 'z' AS password")
     r = ops.redact(nested).first()
     assert r["q"]["a"][0].asDict() == {"apiKey": "<redacted>", "b": "2"} and r["q"]["m"] == {"Token": "<redacted>", "c": "y"} and r["password"] == "<redacted>"

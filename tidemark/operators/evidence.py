@@ -222,18 +222,26 @@ def scenarios(levels: DataFrame, gates: DataFrame, risks: DataFrame, valuation:
     return f.select("symbol", "gate", "cap", F.inline(every))
 
 
-def _leaves(kind: T.DataType, at: Column, path: str) -> list[tuple[str, Column]]:
-    """Paths and values of a nested column; arrays are compared as a whole, maps and arrays as JSON."""
+def _leaves(kind: T.DataType, at: Column, path: Column, ignored: tuple[str, ...]) -> Column:
+    """An array of (path, value) of a nested column: structs and maps by field and key at any depth, arrays whole, as JSON."""
+    joined = lambda name: F.concat(path, F.when(path != "", ".").otherwise(""), name)
     if isinstance(kind, T.StructType):
-        return [leaf for f in kind.fields for leaf in _leaves(f.dataType, at[f.name], f"{path}.{f.name}")]
-    return [(path, F.to_json(at) if isinstance(kind, (T.ArrayType, T.MapType)) else at.cast("string"))]
+        parts = [_leaves(f.dataType, at[f.name], joined(F.lit(f.name)), ignored) for f in kind.fields if f.name not in ignored]
+        return F.flatten(F.array(*parts)) if parts else F.array().cast("array<struct<path:string,value:string>>")
+    if isinstance(kind, T.MapType):
+        kept = F.filter(F.map_entries(at), lambda e: ~e["key"].cast("string").isin(*ignored)) if ignored else F.map_entries(at)
+        found = F.flatten(F.transform(kept, lambda e: _leaves(kind.valueType, e["value"], joined(e["key"].cast("string")), ignored)))
+        return F.coalesce(found, F.array().cast("array<struct<path:string,value:string>>"))
+    return F.array(F.struct(path.alias("path"), (F.to_json(at) if isinstance(kind, T.ArrayType) else at.cast("string")).alias("value")))
 
 
 def flattened(packages: DataFrame, keys: list[str], ignored: tuple[str, ...] = ("run_id", "generated_at", "package_hash")) -> DataFrame:
-    """Rows (keys, path, value) of nested packages, without what tells runs apart: fields named in ``ignored``, at any depth."""
-    leaves = [leaf for f in packages.schema.fields if f.name not in keys for leaf in _leaves(f.dataType, F.col(f.name), f.name)]
-    leaves = [(p, v) for p, v in leaves if not set(p.split(".")) & set(ignored)]
-    return packages.select(*keys, F.inline(F.array(*[F.struct(F.lit(p).alias("path"), v.alias("value")) for p, v in leaves])))
+    """Rows (keys, path, value) of nested packages, without what tells runs apart: fields and keys named in ``ignored``, at any depth.
+
+    Lists are values as a whole; a map's keys are part of the path, so packages may have different ones.
+    """
+    own = T.StructType([f for f in packages.schema.fields if f.name not in keys])
+    return packages.select(*keys, F.inline(_leaves(own, F.struct(*own.names), F.lit(""), ignored)))
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, keys: list[str], most: int = 100, **how: tuple[str, ...]) -> DataFrame:

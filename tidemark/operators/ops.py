@@ -41,10 +41,17 @@ def descriptor(symbols: DataFrame, dataset: str, frame: DataFrame, day: Column,
 
 
 def data_hash(bars: DataFrame, digits: int = 4) -> DataFrame:
-    """SHA-256 of each symbol's bars in order: day, open, high, low, close and volume, prices as whole numbers of the last digit."""
+    """SHA-256 of each symbol's bars as a tree: of its years in order, those of their days' digests in order.
+
+    A day's digest is of day, open, high, low, close and volume, prices as whole numbers of the last digit. So no task holds
+    more than the digests of a year's days or of a symbol's years.
+    """
     whole = lambda c: F.floor(F.col(c) * 10**digits + 0.5003).cast("bigint").cast("string")
     row = F.concat_ws(" ", F.col("trade_date").cast("string"), *[F.coalesce(whole(c), F.lit("-")) for c in ("open", "high", "low", "close")], F.coalesce(F.col("volume").cast("bigint").cast("string"), F.lit("-")))
-    return bars.groupBy("symbol").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(row)), ","), 256).alias("data_hash"))
+    node = lambda key, digest: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), digest.alias("d")))), lambda x: x["d"]), ","), 256)
+    days = bars.select("symbol", F.year("trade_date").alias("y"), F.col("trade_date").alias("day"), F.sha2(row, 256).alias("digest"))
+    years = days.groupBy("symbol", "y").agg(node(F.col("day"), F.col("digest")).alias("digest"))
+    return years.groupBy("symbol").agg(node(F.col("y"), F.col("digest")).alias("data_hash"))
 
 
 def audit_record(requests: DataFrame, bars: DataFrame, results: DataFrame, strategy: str, adjustment: str, keys: list[str]) -> DataFrame:

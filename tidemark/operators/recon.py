@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import close_to, difference_bucket, report_type
 from . import pit
+from .medians import group_medians
 
 KEY = ["symbol", "end_date"]
 
@@ -69,10 +70,15 @@ def field_profile(cells: DataFrame) -> DataFrame:
     """Per field: compared cells, mismatches, sign flips, median and largest difference."""
     gap, both = F.abs(F.col("left_value") - F.col("right_value")), F.col("left_value").isNotNull() & F.col("right_value").isNotNull()
     rel = gap / F.greatest(F.abs("left_value"), F.abs("right_value"), F.lit(1e-12))
-    return cells.groupBy("field").agg(
+    stats = cells.groupBy("field").agg(
         F.count("*").alias("cells"), F.count_if(both).alias("comparable"), F.count_if(~F.col("matches")).alias("mismatches"), F.count_if(F.col("left_value") * F.col("right_value") < 0).alias("sign_flips"),
-        F.median(gap).alias("median_abs"), F.max(gap).alias("max_abs"), F.median(rel).alias("median_rel"), F.max(rel).alias("max_rel"),
+        F.max(gap).alias("max_abs"), F.max(rel).alias("max_rel"),
     )
+    # a field's cells are a group that grows with the table, so medians are closed in on
+    measures = F.explode(F.array(F.struct(F.lit("abs").alias("measure"), gap.alias("x")), F.struct(F.lit("rel").alias("measure"), rel.alias("x")))).alias("m")
+    middle = group_medians(cells.select("field", measures).select("field", "m.*"), ["field", "measure"], "x")
+    of = lambda name: F.max(F.when(F.col("measure") == name, F.col("median"))).alias(f"median_{name}")
+    return stats.join(middle.groupBy("field").agg(of("abs"), of("rel")), "field", "left")
 
 
 BUCKETS = ["exact", "under_1pct", "1_to_10pct", "10_to_50pct", "over_50pct", "missing_left", "missing_right", "missing_both"]

@@ -207,7 +207,9 @@ query("a17_call_stats", "run_log", "name calls errors", "seconds", """
     SELECT '' AS name, count(*) AS calls, count(*) FILTER (bad) AS errors, round(sum(elapsed), 2) AS seconds FROM r UNION ALL SELECT method, count(*), count(*) FILTER (bad), round(sum(elapsed), 2) FROM r GROUP BY method
     """, digits=2)(lambda r: ops.call_stats(r.selectExpr("mode as method", "tokens * 0.01D as elapsed", "if(tokens > 1000, 'too long', '') as error")))
 WHOLE = lambda c: f"CAST(CAST(floor({c} * 10000 + 0.5003) AS BIGINT) AS VARCHAR)"
-HASH = f"(SELECT symbol, sha256(string_agg(row, ',' ORDER BY row)) AS data_hash FROM (SELECT symbol, concat_ws(' ', CAST(trade_date AS VARCHAR), {', '.join(map(WHOLE, ('open', 'high', 'low', 'close')))}, CAST(CAST(volume AS BIGINT) AS VARCHAR)) AS row FROM bars) GROUP BY symbol)"
+DAYS = f"SELECT symbol, trade_date, sha256(concat_ws(' ', CAST(trade_date AS VARCHAR), {', '.join(map(WHOLE, ('open', 'high', 'low', 'close')))}, CAST(CAST(volume AS BIGINT) AS VARCHAR))) AS d FROM bars"
+YEARS = f"SELECT symbol, year(trade_date) AS y, sha256(string_agg(d, ',' ORDER BY trade_date, d)) AS d FROM ({DAYS}) GROUP BY ALL"
+HASH = f"(SELECT symbol, sha256(string_agg(d, ',' ORDER BY y)) AS data_hash FROM ({YEARS}) GROUP BY symbol)"
 query("a19_data_hash", "bars", "symbol data_hash", "", f"SELECT * FROM {HASH}")(ops.data_hash)
 query("b19_audit_record", "bars", "symbol run_id request_fingerprint data_hash result_digest strategy_version adjustment audit_schema_version determinism", "", f"""
     {sp.SPLIT}, r AS (SELECT symbol, run_id, fast, slow, sha256('[' || string_agg('{{"slice":"' || slice || '","trades":' || trades || '}}', ',' ORDER BY slice) || ']') AS result_digest FROM met GROUP BY ALL)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import pit, risk
+from ..operators.medians import group_medians
+from ..sources.store import stored
 from .base import query
 
 W = "PARTITION BY symbol ORDER BY trade_date"
@@ -44,12 +46,12 @@ query("e15_event_returns", "official_events bars", "symbol item_id horizon", "re
     WITH r AS (SELECT * FROM ({ER}) WHERE ret IS NOT NULL), k AS (SELECT 'all' AS grouped, 'all' AS name, horizon, ret FROM r UNION ALL SELECT 'polarity', polarity, horizon, ret FROM r UNION ALL SELECT 'type', event_type, horizon, ret FROM r)
     SELECT grouped, name, horizon, count(*) AS n, avg(ret) AS mean, median(ret) AS median, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0 END) AS positive FROM k GROUP BY ALL""", digits=3)
 def reaction_stats(events, bars):  # noqa: ANN001, ANN201
-    """Event returns by horizon, for all, each polarity and each type, in one grouping."""
+    """Event returns by horizon, for all, each polarity and each type."""
     r = pit.event_returns(events, bars).filter("ret is not null").join(events.select("item_id", "polarity", "event_type"), "item_id")
-    stats = [F.count("*").alias("n"), F.avg("ret").alias("mean"), F.median("ret").alias("median"), F.avg((F.col("ret") > 0).cast("double")).alias("positive")]
-    sets = r.groupingSets([["horizon"], ["horizon", "polarity"], ["horizon", "event_type"]], "horizon", "polarity", "event_type").agg(*stats)
-    by = F.when(F.col("polarity").isNotNull(), "polarity").when(F.col("event_type").isNotNull(), "type").otherwise("all")
-    return sets.withColumn("grouped", by).withColumn("name", F.coalesce("polarity", "event_type", F.lit("all")))
+    kinds = F.inline(F.array(*[F.struct(F.lit(g).alias("grouped"), name.alias("name")) for g, name in (("all", F.lit("all")), ("polarity", F.col("polarity")), ("type", F.col("event_type")))]))
+    each, by = stored(r.select("horizon", "ret", kinds), "returns"), ["grouped", "name", "horizon"]
+    stats = each.groupBy(*by).agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), F.avg((F.col("ret") > 0).cast("double")).alias("positive"))
+    return stats.join(group_medians(each, by, "ret"), by)
 
 
 RET = f"(SELECT *, close / lag(close) OVER ({W}) - 1 AS ret, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS back FROM bars)"
