@@ -221,6 +221,18 @@ def test_json_layouts_by_fingerprint(spark):
     assert got == {0: ("messages", turns), 1: ("conversations", turns), 2: ("prompt_completion", turns), 3: ("instruction_input", turns), 4: (None, None), 5: ("messages", turns), 6: ("messages", []), 7: (None, None), **{i: (None, None) for i in (8, 9, 10, 11)}}
 
 
+def test_lists_of_mixed_or_nested_items_have_no_layout(spark):
+    ok = {"role": "user", "content": "q"}
+    records = [
+        [ok, {"from": "gpt", "value": "lost"}], [ok, {"role": "assistant"}], [ok, "text"], ["text"], [{"role": "user", "content": [{"type": "text", "text": "q"}]}], [ok, {"role": "assistant", "content": {"a": 1}}],
+        [{"foo": 1}], "q", None, [ok, None], [{"role": "user", "content": "[1]"}], [ok, {"role": "assistant", "content": 5}],
+    ]
+    rows = spark.createDataFrame([(i, json.dumps({"messages": r})) for i, r in enumerate(records)] + [(20, json.dumps({"prompt": ["a"], "completion": "b"}))], "id int, record string")
+    got = {r["id"]: (r["layout"], None if r["turns"] is None else [tuple(t) for t in r["turns"]]) for r in chat.from_json_text(rows).collect()}
+    q = ("user", "q")
+    assert {i: v for i, v in got.items() if v[0]} == {1: ("messages", [q, ("assistant", None)]), 8: ("messages", None), 10: ("messages", [("user", "[1]")]), 11: ("messages", [q, ("assistant", "5")])}
+
+
 def test_classifiers_learn_and_take_odd_input(spark, empty):
     rows, labels = [], []
     for i in range(300):

@@ -7,6 +7,8 @@ inside texts the characters that begin a control string are escaped, so that the
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,19 +87,37 @@ def _fields(paths: list[str]) -> dict[str, list[str]]:
     return out
 
 
+def _nested(item: Column, field: str) -> Column:
+    """Whether a field of a JSON object holds a list or an object, as messages of several parts do."""
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(item), f"$.{field}", "variant"))
+    return F.coalesce(kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.lit(False))
+
+
+def _odd(fields: list[str]) -> Callable[[Column], Column]:
+    """Whether a list's item is no object with one of the fields, or one of them is nested."""
+    return lambda item: reduce(lambda a, b: a | b, [_nested(item, f) for f in fields], ~F.coalesce(F.arrays_overlap(F.json_object_keys(item), F.array(*map(F.lit, fields))), F.lit(False)))
+
+
 def record_paths(record: Column) -> Column:
-    """The sorted field paths of a JSON record that belong to some layout; null where it isn't an object."""
+    """The sorted field paths of a JSON record that belong to some layout; null where it isn't an object.
+
+    The paths of a list are those of all its items. One that isn't a list of objects with known fields of plain values has a
+    path of its own, marked by ``!``, which is in no layout.
+    """
     lists = {top: sorted({i for paths, _ in MAPPINGS.values() for i in _fields(paths).get(top, [])}) for top in sorted(_FIELDS)}
     keys = F.json_object_keys(record)
     found = []
     for top, inner in lists.items():
         if inner:
-            first = F.json_object_keys(F.get_json_object(record, f"$.{top}[0]"))
-            items = F.array_intersect(F.array(*map(F.lit, inner)), first)
-            paths = F.split(F.concat(F.lit(f"{top}[]."), F.array_join(items, f",{top}[].")), ",")
-            found.append(F.when(F.array_contains(keys, top), F.when(F.size(items) > 0, paths).otherwise(F.array(F.lit(f"{top}[]")))))
+            raw = F.get_json_object(record, f"$.{top}")
+            items = F.from_json(raw, "array<string>")
+            known = F.array_intersect(F.array(*map(F.lit, inner)), F.array_distinct(F.flatten(F.transform(items, F.json_object_keys))))
+            odd = F.exists(items, _odd(inner))
+            paths = F.split(F.concat(F.lit(f"{top}[]."), F.array_join(known, f",{top}[].")), ",")
+            one = F.when(raw.isNull() | (F.size(items) == 0), F.array(F.lit(f"{top}[]"))).when(items.isNull() | F.coalesce(odd, F.lit(True)) | (F.size(known) == 0), F.array(F.lit(f"{top}[]!"))).otherwise(paths)
+            found.append(F.when(F.array_contains(keys, top), one))
         else:
-            found.append(F.when(F.array_contains(keys, top), F.array(F.lit(top))))
+            found.append(F.when(F.array_contains(keys, top), F.array(F.when(_nested(record, top), F.lit(f"{top}!")).otherwise(F.lit(top)))))
     none = F.array().cast("array<string>")
     return F.when(keys.isNotNull(), F.array_sort(F.flatten(F.array(*[F.coalesce(f, none) for f in found]))))
 
@@ -106,7 +126,8 @@ def from_json_text(records: DataFrame, column: str = "record") -> DataFrame:
     """``layout`` and canonical ``turns`` of JSON records of mixed layouts, chosen for each row by its fingerprint.
 
     Fields that belong to no layout, at the top or in the items of a list, don't count. A list without items has no turns. A
-    record that is null, isn't a JSON object or has fields of no or of several layouts gets layout null and turns null.
+    record that is null, isn't a JSON object or has fields of no or of several layouts gets layout null and turns null; so does
+    one whose list mixes items of several layouts or holds an item that is no object, or whose text is made of several parts.
     """
     print_of = F.sha2(F.array_join(record_paths(F.col(column)), "\n"), 256)
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURN)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
@@ -58,15 +60,43 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    if (made := getattr(spark.sparkContext, "_tidemark_made", None)) is not None:
+        made.append(path)
     return out
 
 
+def swept(stage: Callable) -> Callable:
+    """A stage (spark, docs, ...) that, as it begins, deletes what the stage before it stored for itself.
+
+    That stage's result has been written and read again by then; where ``docs`` still reads its tables, they stay.
+    """
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, *more: object) -> DataFrame:
+        sc = spark.sparkContext
+        before, sc._tidemark_made = getattr(sc, "_tidemark_before", []), []
+        read = docs.inputFiles() if before else []
+        for path in before:
+            name = path.rpartition("/")[2]
+            if not any(f"/{name}/" in f for f in read):
+                _delete(spark, path)
+        try:
+            return stage(spark, docs, *more)
+        finally:
+            sc._tidemark_before, sc._tidemark_made = sc._tidemark_made, None
+
+    return run
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(*stored_before: DataFrame) -> None:
     """Delete what ``stored`` wrote, once nothing reads it any more."""
     for df in stored_before:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(df._stored_at)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, df._stored_at)
 
 
 def remainder(col: str | Column, n: int) -> Column:
