@@ -3,6 +3,8 @@
 import datetime as dt
 import hashlib
 import json
+import random
+import re
 
 import pandas as pd
 import pytest
@@ -154,3 +156,53 @@ def test_labelled_amounts(spark):
     got = {r["doc_id"]: (r["revenue"], r["profit"], r["status"]) for r in textfields.labelled_amounts(rows, fields).collect()}
     assert got == {0: (12_345_000.0, -12_000_000.0, "parsed"), 1: (None, None, "partial"), 2: (8.0, -2.0, "parsed"), **{i: (None, None, "partial") for i in (3, 4, 5)}}
     assert textfields.labelled_amounts(rows.limit(0), fields).count() == 0
+
+
+def plain_amount(text, spec, lines=3):
+    """Label by label and place by place, each time from the text around it alone."""
+    text = (text or "").translate(str.maketrans(textfields.WIDE, textfields.NARROW))
+    amount, unit = re.compile(textfields.AMOUNT, re.ASCII), re.compile(textfields.UNIT, re.ASCII)
+    strip = lambda t: re.sub("每股[^\n]*", "", t)
+    for label in spec.names:
+        found, pieces = [], text.split(label)
+        for i in range(1, len(pieces)):
+            before, after = label.join(pieces[:i]), label.join(pieces[i:])
+            near, head = "\n".join(after.split("\n")[:lines]), before.split("\n")[-1]
+            tokens = [m.group() for m in amount.finditer(near)]
+            real = [t for t in tokens if len(tokens) == 1 or not re.fullmatch(textfields.NOTE, t.replace(" ", ""))]
+            if not real:
+                continue
+            first = amount.search(near).start()
+            until = near[:first] if "\n" not in near[:first] else ""
+            if any(w in head for w in spec.reject) or (not re.search("率|占比", label) and (re.search("率|占比", head) or re.search("率|占比", until))):
+                continue
+            value = float(re.sub(r"[^\d.]", "", real[0]))
+            value = -value if re.match(r"\s*[(\[]?-|\s*[(\[].*[)\]]", real[0], re.DOTALL) else value
+            own, above = unit.search(strip(after.split("\n")[0])), unit.findall(strip(before))
+            scale = textfields.UNITS[own.group(1)] if own else textfields.UNITS[above[-1]] if above else 1.0
+            found.append((-abs(value * (scale if spec.scaled else 1)), len(before), value * (scale if spec.scaled else 1)))
+        if found:
+            return min(found)[2]
+    return None
+
+
+def test_amounts_of_random_pages_equal_a_plain_search(spark):
+    r = random.Random(16)
+    pieces = ["净利润", "营业收入", "归属于", "EPS", "每股收益", "单位：万元", "（千元）", "人民币 元", "\n", "\n", "\n", " ", " ", "(1)", "(23)", "1,234.50", "-7", "(8.5)", "12%", "５６", "增长率", "占比", "x", "3.2.1", "元/股", "0.35"]
+    specs = {"a": textfields.Labels(("净利润",), reject=("归属于",)), "b": textfields.Labels(("营业总收入", "营业收入")), "c": textfields.Labels(("EPS", "每股收益"), scaled=False), "d": textfields.Labels(("增长率",))}
+    pages = ["".join(r.choices(pieces, k=r.randint(0, 40))) for _ in range(800)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(pages)], "i int, text string")
+    got = {x["i"]: [x[c] for c in specs] for x in textfields.labelled_amounts(rows, specs).collect()}
+    want = {i: [plain_amount(t, s) for s in specs.values()] for i, t in enumerate(pages)}
+    assert got == want and sum(x is not None for v in want.values() for x in v) > 800
+
+
+def test_a_page_of_a_megabyte_takes_one_pass():
+    import time
+
+    spec = textfields.Labels(("净利润",), reject=("归属于",))
+    for line in ("净利润 (1) 1,234.50 ", "净利润 (1) 1,234.50\n", "净利润 (1) 率"):
+        text = "单位:万元 " + line * (1_000_000 // len(line))
+        began = time.process_time()
+        assert textfields.Page(text).amount(spec, 3) == (12_345_000.0 if "234" in line else None)
+        assert time.process_time() - began < 10
