@@ -122,3 +122,16 @@ def test_a_model_of_the_corpus_knows_repeated_texts(spark):
     new = [(1000 + i, " ".join(f"w{R.randrange(200)}" for _ in range(60))) for i in range(50)]
     got = {r["doc_id"]: r["perplexity"] for r in lm.score(spark.createDataFrame([*train[:50], *new], "doc_id bigint, text string"), model).collect()}
     assert max(got[i] for i in range(50)) < 0.2 * min(got[1000 + i] for i in range(50))
+
+
+def test_word_numbers_beyond_32_bits():
+    """Pairs of large numbers have different hashes, and numbers come whole through packed rows."""
+    from tidemark.llm import packed
+
+    r = np.random.default_rng(3)
+    x = r.integers(0, 1 << 45, 200_000, dtype=np.uint64)
+    x = np.concatenate([x, x + (np.uint64(1) << np.uint64(32)), x & np.uint64(255)])
+    y = np.concatenate([x[1:], x[:1]]) ^ (x >> np.uint64(32))
+    both = np.unique(np.stack([x, y]), axis=1)
+    assert len(np.unique(lm.pair(both[0], both[1]))) == both.shape[1] and lm.pair(x[:1], y[:1]) != lm.pair(y[:1], x[:1])
+    assert (packed.unpack([packed.pack(x, y)], "<u8", "<u8")[1] == y).all()
