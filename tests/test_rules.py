@@ -253,6 +253,8 @@ def test_nested_packages_redaction_parameters_and_tags(spark):
     nested = spark.sql("SELECT named_struct('a', array(named_struct('apiKey', '1', 'b', '2')), 'm', map('Token', 'x', 'c', 'y')) AS q, 'z' AS password")
     r = ops.redact(nested).first()
     assert r["q"]["a"][0].asDict() == {"apiKey": "<redacted>", "b": "2"} and r["q"]["m"] == {"Token": "<redacted>", "c": "y"} and r["password"] == "<redacted>"
+    r = ops.redact(spark.sql("SELECT map('token', 5, 'n', 6) AS m, map('apiKey', array(1), 'o', array(2)) AS l")).first()
+    assert r["m"] == {"token": None, "n": 6} and r["l"] == {"apiKey": None, "o": [2]}
     p = spark.sql("SELECT * FROM VALUES (array(5, 10), 14, 5, 20), (array(), 14, 5, 20), (array(5, 5), 14, 5, 20), (array(5), 0, 5, 20), (array(5), 14, 20, 20) AS t(ma_periods, rsi_period, ma_fast, ma_slow)")
     assert [x["reason"] for x in ops.check_parameters(p).collect()] == [None, "ma_periods", "ma_repeated", "rsi_period", "order"]
     s = spark.sql("SELECT 'value' AS mode, 'up' AS trend, 'golden' AS macd_cross, 'overbought' AS rsi_state, 'neutral' AS kdj_state, 'inside' AS boll_state, 1.0D AS volume_ratio, 1 AS supports, 0 AS resistances, 50.0D AS buy_confidence, 10.0D AS sell_confidence, 'high' AS risk_level, 'low' AS valuation_level, 'ok' AS quality, 1 AS gaps")

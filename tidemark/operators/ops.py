@@ -77,7 +77,8 @@ def redacted(kind: T.DataType, value: Column) -> Column:
         inner = lambda k, v: redacted(kind.valueType, v)
         if isinstance(kind.valueType, T.StringType):
             return F.transform_values(value, lambda k, v: F.when(F.lower(k).rlike(SECRET), REDACTED).otherwise(v))
-        return F.transform_values(F.map_filter(value, lambda k, v: ~F.lower(k).rlike(SECRET)), inner)
+        # a value that isn't text can't be replaced by a mark: the key stays, its value is null
+        return F.transform_values(value, lambda k, v: F.when(~F.coalesce(F.lower(k).rlike(SECRET), F.lit(False)), inner(k, v)))
     return value
 
 

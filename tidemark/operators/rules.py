@@ -150,13 +150,6 @@ def invalidations(levels: DataFrame, exclude: str = "") -> DataFrame:
     return levels.select("symbol", F.posexplode(F.filter(F.array_compact(F.array(*every)), lambda x: x["id"] != dropped)).alias("n", "x")).select("symbol", "n", "x.*")
 
 
-def sentiment_bundle(coverage: DataFrame, price: DataFrame, flow: DataFrame) -> DataFrame:
-    """Event coverage, price and volume sentiment, and money flow side by side; fewer than two of them are partial, none insufficient."""
-    f = coverage.select("symbol", "accepted").join(price.select("symbol", "status", "sentiment_score"), "symbol", "full").join(flow.select("symbol", F.col("polarity").alias("flow")), "symbol", "full")
-    parts = F.coalesce((F.col("accepted") > 0).cast("int"), F.lit(0)) + F.coalesce((F.col("status") == "ok").cast("int"), F.lit(0)) + F.col("flow").isNotNull().cast("int")
-    return f.withColumns({"parts": parts, "bundle": F.when(parts == 0, "insufficient").when(parts == 1, "partial").otherwise("ok")})
-
-
 def package(sections: dict[str, DataFrame], as_of: str) -> DataFrame:
     """One row a symbol: the sections (one row a symbol each) as JSON, with gaps, size in bytes and SHA-256."""
     out, names = None, list(sections)
