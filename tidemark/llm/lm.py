@@ -86,6 +86,11 @@ class Model:
     def __post_init__(self) -> None:
         self._maps = Maps()
 
+    @property
+    def kind(self) -> str:
+        """Of word numbers between tasks: four bytes while all of them fit, else eight."""
+        return "<u4" if self.limit + 2 < 1 << 32 else "<u8"
+
     def part(self, name: str, kind: str) -> np.ndarray:
         return self._maps(f"{self.folder}/{name}", kind)
 
@@ -303,7 +308,7 @@ def _count(texts: DataFrame, model: Model) -> None:
             a, b, c, xy, xyz = a[pick], b[pick], c[pick], xy[pick], xyz[pick]
             level = m.level(b)
             shard = np.where(level == 0, m.own(b), np.where(level == 1, m.dealt(xy), m.dealt(xyz)))
-            order = np.argsort((b << _32) ^ a)  # words side by side pack better
+            order = np.argsort((b.astype(np.uint64) << _32) ^ a)  # words side by side pack better
             return rows_of(dealt("trigram", shard[order], b[order], a[order], c[order], n[order]))
 
         for batch in batches:
@@ -316,7 +321,7 @@ def _count(texts: DataFrame, model: Model) -> None:
             b[begin] = start
             a[1:] = b[:-1]
             a[begin] = start
-            parts.append([a, b, c])
+            parts.append([x.astype(m.kind) for x in (a, b, c)])
             held += len(c)
             if held > FLUSH:
                 yield out()
@@ -337,12 +342,12 @@ def _count(texts: DataFrame, model: Model) -> None:
     def ends_out(m: Model, b: np.ndarray, c: np.ndarray, n: np.ndarray) -> list[tuple[str, int, bytes]]:
         """Rows of complete ends: how many there are of each count, and the words that they have as second ones."""
         second, follows = np.unique(c, return_counts=True)
-        return [("times", 2, pack(times(n))), *dealt("before", m.by_part(second)[0], second, follows.astype("<u4"))]
+        return [("times", 2, pack(times(n))), *dealt("before", m.by_part(second)[0], second.astype(m.kind), follows.astype("<u4"))]
 
     def merge(group: pa.Table) -> pa.Table:
         m, k = shared.value, group.column("shard")[0].as_py()
-        b, a, c, n = unpack(group.column("blob").to_pylist(), "<u8", "<u8", "<u8", "<u4")
-        n = n.astype(np.int64)
+        b, a, c, n = unpack(group.column("blob").to_pylist(), *[m.kind] * 3, "<u4")
+        b, a, c, n = b.astype(np.uint64), a.astype(np.uint64), c.astype(np.uint64), n.astype(np.int64)
         xy = pair(a, b)
         xyz = triple(xy, c)
         order, first = grouped(xyz)
@@ -370,7 +375,7 @@ def _count(texts: DataFrame, model: Model) -> None:
             single = np.zeros((m.limit >> bits, 4), "<u4")
             single[(b[here][o[f]] >> np.uint64(bits)).astype(np.int64)] = spread(n_end[here][o], f)
             write_array(f"{folder}/single/{k}", single)
-            rows += dealt("end", m.dealt(yz[~here]), yz[~here], b[~here], c[~here], n_end[~here].astype("<i8"))
+            rows += dealt("end", m.dealt(yz[~here]), yz[~here], b[~here].astype(m.kind), c[~here].astype(m.kind), n_end[~here].astype("<i8"))
         return pa.Table.from_batches([rows_of(rows)])
 
     def merge_dealt(group: pa.Table) -> pa.Table:
@@ -381,9 +386,9 @@ def _count(texts: DataFrame, model: Model) -> None:
             # Shards have few very frequent words, so these tables lie beside those of complete contexts.
             write_contexts(f"dealt-{k}", keys[order[first]], np.column_stack([np.add.reduceat(s[order], first) for s in stats]))
             return pa.Table.from_batches([rows_of([])])
-        yz, b, c, n = unpack(blobs, "<u8", "<u8", "<u8", "<i8")
+        yz, b, c, n = unpack(blobs, "<u8", m.kind, m.kind, "<i8")
         order, first = grouped(yz)
-        n, yz, b, c = np.add.reduceat(n[order], first), yz[order[first]], b[order[first]], c[order[first]]
+        n, yz, b, c = np.add.reduceat(n[order], first), yz[order[first]], b[order[first]].astype(np.uint64), c[order[first]].astype(np.uint64)
         write("end", f"dealt-{k}", yz, n=n)
         o, f = grouped(b)
         rows = [("single", 0, pack(b[o[f]], *spread(n[o], f).T.astype("<i8"))), *ends_out(m, b, c, n)]
@@ -391,7 +396,7 @@ def _count(texts: DataFrame, model: Model) -> None:
 
     def by_number(group: pa.Table) -> pa.Table:
         m, k = shared.value, group.column("shard")[0].as_py()
-        ids, follows = unpack(group.column("blob").to_pylist(), "<u8", "<u4")
+        ids, follows = unpack(group.column("blob").to_pylist(), m.kind, "<u4")
         before = np.zeros((m.limit >> m.span_bits) + 1, np.int64)
         np.add.at(before, m.by_part(ids)[1], follows.astype(np.int64))
         write_array(f"{folder}/before/{k}", before.astype("<u4"))
