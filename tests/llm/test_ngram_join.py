@@ -70,6 +70,32 @@ def test_similar_links_let_prefixes_stay_long(spark, monkeypatch):
     assert joined(spark, rows, least_links=100) == brute_similar(rows) and asked[0] > 5
 
 
+def test_links_at_the_threshold_are_found_among_many_closer_ones(spark):
+    """46,800 links far above the threshold say nothing about 150 near it: a prefix that suits those would miss some of these."""
+    r, rows = random.Random(5), []
+    text = lambda n: [f"w{r.randrange(500)}" for _ in range(n)]
+    for k in range(60):
+        w = text(400)
+        rows += [(k * 40 + j, " ".join([*w[: 9 * j + 10], "changed", *w[9 * j + 11 :]])) for j in range(40)]
+    for k in range(150):
+        w = text(200)
+        rows += [(10_000 + 2 * k, " ".join(w)), (10_001 + 2 * k, " ".join([*w[:20], "x", *w[21:80], "x", *w[81:140], "x", *w[141:180], "x", *w[181:]]))]
+    got = joined(spark, rows)
+    assert sum(n for i, _, n, _ in got if i < 10_000) == 60 * 40 * 39
+    assert [n for i, _, n, _ in got if i >= 10_000] == [1] * 300
+
+
+def test_all_nodes_are_measured(spark, monkeypatch):
+    """All links of all nodes, also of nodes compared by blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    w = prose(400).split()
+    rows = [(j, " ".join([*w[: 9 * j + 10], "changed", *w[9 * j + 11 :]])) for j in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    at = spark.createDataFrame([(i, node) for i, _ in rows for node in (7, 8)], "doc_id bigint, node bigint")
+    got = ngram_join.measured(docs, at, at.groupBy("node").count().withColumnRenamed("count", "n"), 5, 0.8, 5)
+    assert round(sum(n * s**5 for s, n in got.items())) == 2 * 30 * 29 // 2
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(None, "a b"), (None, "a b"), (2, ""), (3, "a b"), (1, "A  b"), (5, "x " * 20_000), (6, "x" * 1_000_000), (7, "x " * 20_001)]])
 def test_odd_tables(spark, rows):
     got = joined(spark, rows)

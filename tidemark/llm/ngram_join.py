@@ -2,9 +2,9 @@
 
 Texts with the same set of shingles form a class; only the class's first document goes on. Each of ``trees`` trees is a
 trie of signatures of ``full_depth`` levels. Documents with the same prefix in a tree are in one node and are candidates.
-The prefix is shortened, level by level from the full depth, until the recall measured on a sample of links reaches the
-target; it is never shortened beyond the depth at which pairs at the threshold itself reach it. Candidates' components are
-compared exactly; large ones node by node, by blocks, without emitting pairs.
+The prefix is shortened to the depth at which a pair at the threshold itself is a candidate with the target's probability,
+whatever the data. Only where a caller asks for it, it stays longer: as long as all links together reach the target.
+Candidates' components are compared exactly; large ones node by node, by blocks, without emitting pairs.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -157,6 +157,12 @@ def _blocks(n: Column) -> Column:
     return F.when(n <= BLOCK, 1).otherwise(F.ceil(n / (BLOCK // 2))).cast("int")
 
 
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows of groups of ``parts`` parts, dealt to pairs (i, j): each part with itself and with each other part. The second of two is the right one."""
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other"), "right": F.col("part") > F.col("other")}).drop("part", "other", "parts")
+
+
 def verified(docs: DataFrame, members: DataFrame, threshold: float, words: int) -> DataFrame:
     """Links inside groups: doc_id, links, root (several rows of a document that is in several groups or blocks).
 
@@ -181,36 +187,32 @@ def verified(docs: DataFrame, members: DataFrame, threshold: float, words: int)
     rows = docs.join(members, "doc_id").select("doc_id", "text", "nodes", "groups")
     rows = rows.mapInArrow(sets, "doc_id bigint, shingles binary, nodes array<bigint>, groups array<struct<id:bigint,tree:int,parts:int>>")
     rows = rows.select("doc_id", "shingles", "nodes", F.explode("groups").alias("g")).select("doc_id", "shingles", "nodes", "g.*")
-    # A group of several parts: each part with itself and with each other part. The second of two is the right one.
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("doc_id", "shingles", "nodes", "id", "tree", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).alias("right"))
-    return rows.groupBy("id", "tree", "i", "j").applyInArrow(pairs, "doc_id bigint, links bigint, root bigint")
+    return in_blocks(rows).groupBy("id", "tree", "i", "j").applyInArrow(pairs, "doc_id bigint, links bigint, root bigint")
 
 
-def measured(docs: DataFrame, at: DataFrame, nodes: DataFrame, floor: int, threshold: float, words: int, most: int, members: int = 40) -> dict[float, float]:
-    """Similarities of links and their weights, from about ``most`` nodes and at most ``members`` documents of each.
+def measured(docs: DataFrame, at: DataFrame, nodes: DataFrame, floor: int, threshold: float, words: int) -> dict[float, float]:
+    """Similarities of all links in all nodes, and their weights. Large nodes are compared by blocks.
 
-    A link is met in the more nodes the more similar it is, and counts the less. Only the depth is chosen by this sample.
+    A link is met in the more nodes the more similar it is, and counts the less.
     """
-    picked = common.bounded(nodes, "node", most)
-    rows = at.join(common.small(picked.select("node")), "node", "left_semi")
-    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    rows = common.stored(rows.withColumn("rank", rank).filter(F.col("rank") <= members).select("node", "doc_id"), "sample")
 
     def histogram(group: pa.Table) -> pa.Table:
         cache = common.HashCache()
+        right = group.column("right").to_numpy(zero_copy_only=False)
         shared, either = overlaps([shingles(raw, cache, words) for raw in common.as_bytes(group.column("text"))])
-        found = (shared / either)[np.triu_indices(len(shared), 1)]
+        one = group.column("i")[0] == group.column("j")[0]
+        found = (shared / either)[np.triu_indices(len(shared), 1) if one else np.ix_(~right, right)]
         value, n = np.unique(np.floor(found[found >= threshold - 1e-9] * 1000) / 1000, return_counts=True)
         return pa.table({"similarity": value.astype(float), "n": n.astype(np.int64)})
 
-    texts = common.of_ids(docs, rows).join(rows, "doc_id").select("node", "text")
-    found = texts.groupBy("node").applyInArrow(histogram, "similarity double, n bigint").groupBy("similarity").agg(F.sum("n").alias("n")).collect()  # 200 at most
+    rows = common.stored(at.join(nodes.select("node", _blocks(F.col("n")).alias("parts")), "node"), "measured")
+    texts = in_blocks(common.of_ids(docs, rows).join(rows, "doc_id"))
+    found = texts.groupBy("node", "i", "j").applyInArrow(histogram, "similarity double, n bigint").groupBy("similarity").agg(F.sum("n").alias("n")).collect()  # 200 at most
     return {r["similarity"]: r["n"] / r["similarity"] ** floor for r in found}
 
 
 def similarity_join(
-    docs: DataFrame, *, threshold: float = 0.8, words: int = 5, trees: int = 24, full_depth: int = 12, target: float = 0.9999, sampled_nodes: int = 500, least_links: int = 1000
+    docs: DataFrame, *, threshold: float = 0.8, words: int = 5, trees: int = 24, full_depth: int = 12, target: float = 0.9999, least_links: int | None = None
 ) -> DataFrame:
     """Near-duplicate links and groups.
 
@@ -218,10 +220,11 @@ def similarity_join(
     shingles), class_size, n_links (other classes with a Jaccard similarity of ``threshold`` or more), group_id
     (smallest doc_id of the classes joined by links, however far), kept (doc_id is its group's first). Words are runs of
     other than ASCII white space with A-Z lower-cased; a text of fewer than ``words`` words is one shingle. A null or
-    empty text, or one without a doc_id, is a class and group by itself. At most a share of 1 - ``target`` of the links is
-    missed, as measured on the links in about ``sampled_nodes`` nodes, or for any data where these have fewer than
-    ``least_links``. Links that are reported are compared shingle by shingle (64-bit hashes of them). Other columns are
-    ignored. An empty table gives no rows.
+    empty text, or one without a doc_id, is a class and group by itself. Each link, also one at the threshold, is missed
+    with a probability of at most 1 - ``target``. With ``least_links`` that holds for the mean of all links instead, where
+    there are at least so many: links far above the threshold then allow longer prefixes, at the cost of those near it.
+    Links that are reported are compared shingle by shingle (64-bit hashes of them). Other columns are ignored. An empty
+    table gives no rows.
     """
     spark = docs.sparkSession
     common.ship_code(spark)
@@ -239,13 +242,13 @@ def similarity_join(
         at = first.select("doc_id", F.explode(node_keys(trees, depth)).alias("node"))
         return at, common.stored(at.groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).filter("n > 1"), "nodes")
 
-    floor = depth_for(threshold, trees, full_depth, target)
-    at, nodes = trie(floor)
-    links = measured(docs, at, nodes, floor, threshold, words, sampled_nodes)
-    if sum(links.values()) >= least_links and (depth := shortened(links, trees, full_depth, floor, target)) > floor:
-        at, nodes = trie(depth)
-    else:
-        depth = floor
+    depth = depth_for(threshold, trees, full_depth, target)
+    at, nodes = trie(depth)
+    if least_links is not None:
+        links = measured(docs, at, nodes, depth, threshold, words)
+        if sum(links.values()) >= least_links and (longer := shortened(links, trees, full_depth, depth, target)) > depth:
+            depth = longer
+            at, nodes = trie(depth)
     edges = at.join(nodes, "node").filter("doc_id != low").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
     parts = common.stored(connected(edges), "components")
     sizes = common.stored(parts.groupBy("component").agg(F.count("*").alias("n")), "sizes")
