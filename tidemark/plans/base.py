@@ -22,7 +22,8 @@ def query(name: str, tables: str, keys: str, doubles: str = "", sql: str | None
 
     def register(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            out = f(*(view(spark, sf_dir, t) for t in tables.split()))
+            made: dict[str, DataFrame] = {}
+            out = f(*(view(spark, sf_dir, t, made) for t in tables.split()))
             return out.select(*ks, *[(F.floor(F.col(d).cast("double") * scale + 0.5003).cast("double") / scale + 0.0).alias(d) for d in ds])
 
         QUERIES[name] = run

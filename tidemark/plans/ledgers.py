@@ -12,6 +12,7 @@ from ..operators import fundamentals as fu
 from ..operators import ledger, pit, recon, risk, rules, textfields
 from ..operators import strategy as st
 from ..sources import files
+from ..sources.store import stored
 from . import market  # noqa: F401  (its SQL is reused)
 from .analysis import BC, FIELDS, RAT, W
 from .base import ORACLE_SQL, QUERIES, query
@@ -39,25 +40,26 @@ DISP = f"""(SELECT *, CASE WHEN role = 'manual_decision' THEN 'manual_decision_r
 ACT = "CASE WHEN disposition = 'manual_decision_recorded' OR disposition LIKE '%review%' THEN 'policy_required' WHEN disposition = 'source_unreadable' THEN 'evidence_required' WHEN disposition = 'unclassified' THEN 'review_required' ELSE 'none' END"
 
 
-def _disposed(f: DataFrame) -> DataFrame:
-    a = _attributed(f)
+def _disposed(a: DataFrame) -> DataFrame:
     audit = a.select("symbol", "end_date", "field", F.array(*map(F.lit, ROLES))[F.col("symbol").cast("int") % 6].alias("role"), F.lit("").alias("manual_decision"))
     return ledger.disposed(audit, a)
 
 
-query("r12_disposition", "fin_base", "symbol end_date field disposition actionability", "", f"SELECT *, {ACT} AS actionability FROM {DISP}")(_disposed)
+query("r12_disposition", "fin_base", "symbol end_date field disposition actionability", "", f"SELECT *, {ACT} AS actionability FROM {DISP}")(lambda f: _disposed(stored(_attributed(f), "attributed")))
 #: Two sources: one that covers all that is expected and has nothing left to act on, and one that doesn't.
 GATES = {"good": ("0", "(SELECT count(*) FROM fin_right)", "actionability NOT IN ('evidence_required', 'review_required') AND disposition <> 'unclassified'"), "bad": ("(SELECT count(*) FROM fin_base WHERE mod(sk, 11) = 0)", "(SELECT count(*) FROM fin_right)", "true")}
 
 
-def _gate(a: DataFrame, b: DataFrame, good: bool) -> DataFrame:
-    """The gate over summaries; a sound source's snapshot has no broken rules, and only explained differences are left."""
-    snapshot = a.select("symbol", "end_date", F.lit("parsed").alias("status"), F.lit("").alias("missing")) if good else b.select("symbol", "end_date", F.lit("parsed").alias("status"), F.lit("").alias("missing"))
-    left = _disposed(a)
-    left = left.filter("actionability not in ('evidence_required', 'review_required') and disposition != 'unclassified'") if good else left
-    sets = recon.reconcile(a, b, FIELDS, "income").unionByName(recon.reconcile(a, b, ["net_profit"], "balance"))
-    found = ledger.source_gate(ledger.validate_snapshot(snapshot, a), sets, left, _attributed(a), b.count())
-    return found.withColumn("source", F.lit("good" if good else "bad"))
+def _gates(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The gate over summaries; a sound source's snapshot has no broken rules, and only explained differences are left. Both sources share resolutions, dispositions and datasets."""
+    resolved = stored(_attributed(a), "attributed")
+    every = stored(_disposed(resolved), "disposed")
+    sets = stored(recon.reconcile(a, b, FIELDS, "income").unionByName(recon.reconcile(a, b, ["net_profit"], "balance")), "reconciled")
+    expected, found = b.count(), []
+    for name, rows, left in (("good", a, every.filter("actionability not in ('evidence_required', 'review_required') and disposition != 'unclassified'")), ("bad", b, every)):
+        snapshot = rows.select("symbol", "end_date", F.lit("parsed").alias("status"), F.lit("").alias("missing"))
+        found.append(ledger.source_gate(ledger.validate_snapshot(snapshot, a), sets, left, resolved, expected).withColumn("source", F.lit(name)))
+    return found[0].unionByName(found[1])
 
 
 HARD = f"(SELECT count(*) AS hard FROM {BC} WHERE field = 'net_profit' AND NOT matches) h"
@@ -65,7 +67,7 @@ query("r13_source_gate", "fin_base fin_right", "source broken_rules datasets lea
     SELECT *, CASE WHEN broken_rules = 0 AND actionable = 0 AND unclassified = 0 AND hard_mismatches = 0 THEN 'pass_with_reservations' ELSE 'fail' END AS status FROM (
       SELECT '{k}' AS source, CASE WHEN any_value(g.gone) > 0 THEN 1 ELSE 0 END AS broken_rules, 2 AS datasets, any_value(m.matched) AS least_matched, any_value(h.hard) AS hard_mismatches,
         count(*) FILTER (disposition IN ('source_unreadable', 'unclassified')) AS actionable, count(*) FILTER (disposition = 'unclassified') AS unclassified, count(*) FILTER (actionability = 'policy_required') AS reservations, any_value(r.solved) AS derived_resolved
-      FROM (SELECT *, {ACT} AS actionability FROM {DISP}), (SELECT {gone} AS gone) g, (SELECT {matched} AS matched) m, {HARD}, (SELECT count(*) FILTER (resolution LIKE 'resolved%') AS solved FROM {ATTR}) r WHERE {kept})""" for k, (gone, matched, kept) in GATES.items()))(lambda a, b: _gate(a, b, True).unionByName(_gate(a, b, False)))
+      FROM (SELECT *, {ACT} AS actionability FROM {DISP}), (SELECT {gone} AS gone) g, (SELECT {matched} AS matched) m, {HARD}, (SELECT count(*) FILTER (resolution LIKE 'resolved%') AS solved FROM {ATTR}) r WHERE {kept})""" for k, (gone, matched, kept) in GATES.items()))(_gates)
 query("r05_difference_profile", "fin_base fin_right", "field bucket n", "", f"SELECT field, bucket, count(*) AS n FROM {BC} GROUP BY ALL")(lambda a, b: recon.compared(a, b, FIELDS).groupBy("field", "bucket").agg(F.count("*").alias("n")))
 query("j12_wide_normalized", "fin_base fin_right", "symbol end_date field equal", "", """SELECT symbol, end_date, field, CASE WHEN v IS NULL OR w IS NULL THEN v IS NULL AND w IS NULL ELSE abs(v - w) <= 1e-9 * greatest(abs(v), 1) END AS equal FROM (
     SELECT l.symbol, l.end_date, f.field, CASE f.field WHEN 'revenue' THEN l.revenue ELSE l.net_profit END AS v, CASE f.field WHEN 'revenue' THEN r.revenue ELSE r.net_profit END AS w FROM fin_base l LEFT JOIN fin_right r ON l.symbol = r.symbol AND l.end_date = r.end_date CROSS JOIN (SELECT unnest(['revenue', 'net_profit']) AS field) f) x""")(
