@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
 from . import indicators, risk
 from .indicators import latest
 
@@ -133,6 +134,7 @@ def rankings(compared: DataFrame, most: int = 3) -> DataFrame:
     Each ranking is a bounded top list, which Spark takes from each partition first.
     """
     each = [("pe_lowest", "pe_ttm", True), ("rsi_strongest", "rsi", False), ("buy_confidence_highest", "buy_confidence", False)]
+    compared = stored(compared, "compared")  # all rankings read it
     tops = [risk.top_of(compared, column, most, ascending).select(F.lit(name).alias("ranking"), "symbol", F.col(column).cast("double").alias("value"), F.lit(1 if ascending else -1).alias("_s")) for name, column, ascending in each]
     w = Window.partitionBy("ranking").orderBy(F.col("value") * F.col("_s"), "symbol")
     return reduce(DataFrame.union, tops).withColumn("rank", F.row_number().over(w)).drop("_s")
