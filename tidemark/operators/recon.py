@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import close_to, difference_bucket, report_type
+from ..sources.store import stored
 from . import pit
 from .medians import group_medians
 
@@ -155,7 +156,8 @@ def audit_rows(datasets: dict[str, tuple[DataFrame, DataFrame, DataFrame, list[s
     parts = []
     for name, (left, now, before, fields) in datasets.items():
         f = three_way(known(left, as_of), known(now, as_of), known(before, as_of), fields).withColumn("dataset", F.lit(name))
-        parts.append(with_revisions(prioritized(f), left if as_of is None else pit.as_of(left, as_of), fields))
+        f = stored(prioritized(f), "differences")  # read again beside the revisions
+        parts.append(with_revisions(f, left if as_of is None else pit.as_of(left, as_of), fields))
     queue = reduce(DataFrame.unionByName, parts)
     if reports is not None:
         queue = with_unreadable(queue, reports)
