@@ -194,6 +194,7 @@ def selected(queue: DataFrame, per_cluster: int = 3, most: int = 30) -> DataFram
 
 def audit_tables(queue: DataFrame, per_cluster: int = 3, most: int = 30) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Open rows with a flag for the selected ones, the selected batch, and resolved rows."""
+    queue = stored(queue, "queue")  # all three tables read it
     batch = selected(queue, per_cluster, most)
     marks = batch.select("dataset", *KEY, "field", F.lit(True).alias("selected"))  # ``most`` rows at most
     listed = queue.filter("open").join(F.broadcast(marks), ["dataset", *KEY, "field"], "left")
@@ -202,6 +203,7 @@ def audit_tables(queue: DataFrame, per_cluster: int = 3, most: int = 30) -> tupl
 
 def queue_summary(queue: DataFrame, per_cluster: int = 3, most: int = 30) -> DataFrame:
     """One row of counts over open, selected and resolved rows."""
+    queue = stored(queue, "queue")  # read for the counts and for the batch
     of = lambda c: F.count_if(F.col("open") & c)
     state, role = F.col("state"), F.col("role")
     every = queue.agg(
