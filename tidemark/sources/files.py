@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import digests
 from .versions import exists
 
 
@@ -29,9 +30,23 @@ def read_log(spark: SparkSession, path: str, schema: str, newest: str, most: int
 
 
 def index_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Name, size and SHA-256 of the content of each file below a folder; a file is read by one task, so it has at most 2 GB."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return f.select(F.element_at(F.split("path", "/"), -1).alias("member"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    """Name, size and SHA-256 of the content of each file below a folder.
+
+    Files of more than ``digests.PIECE`` bytes are read piece by piece, each piece by another task. Only one that is named
+    like a packed file (``.gz``) is read by one task whatever its size, and has at most 2 GB.
+    """
+    read = lambda: spark.read.format("binaryFile")
+    found = read().option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    large = {r["path"]: r["length"] for r in found.filter(F.col("length") > digests.PIECE).select("path", "length").collect()}
+    pieces = {p: n for p, n in large.items() if digests.splittable(spark, p)}
+    whole = found.filter(F.col("length") <= digests.PIECE)
+    if len(pieces) < len(large):
+        whole = whole.union(read().load([digests.escaped(p) for p in large if p not in pieces]))
+    out = whole.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    if pieces:
+        rows = [(p, pieces[p], digest) for p, digest in digests.sha256(spark, pieces).items()]
+        out = out.union(spark.createDataFrame(rows, "path string, size bigint, sha256 string"))
+    return out.select(F.element_at(F.split("path", "/"), -1).alias("member"), "size", "sha256")
 
 
 def export(table: DataFrame, path: str, name: str) -> DataFrame:
