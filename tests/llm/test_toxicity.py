@@ -3,6 +3,8 @@
 import math
 import random
 
+import numpy as np
+
 from tidemark.llm import common, toxicity
 
 R = random.Random(6)
@@ -79,3 +81,14 @@ def test_held_out_figures_of_the_table(spark):
     got = toxicity.toxicity(docs, labels, common.remainder("doc_id", 4) == 2).join(labels, "doc_id").filter("held_out and toxic is not null").select("predicted", "toxic").collect()
     caught = sum(r["predicted"] and r["toxic"] for r in got)
     assert caught >= 0.9 * sum(r["predicted"] for r in got) and caught >= 0.6 * sum(r["toxic"] for r in got) > 5
+
+
+def test_calibration_is_that_of_the_plain_newton_steps(spark):
+    """Sums of equal rows, made in Spark, against all rows in one array."""
+    rows = [(R.randrange(2), float(a := R.randrange(3)), a * 0.5 + R.randrange(2), R.random() if a else 0.0) for _ in range(400)]
+    x, y, w = np.array([(1.0, *r[1:]) for r in rows]), np.array([r[0] for r in rows], float), np.zeros(4)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-(x @ w)))
+        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(4), x.T @ (y - p) - 1e-2 * w)
+    found = spark.createDataFrame(rows, "label int, a double, b double, c double").groupBy("label", "a", "b", "c").count().withColumnRenamed("count", "n")
+    assert np.abs(toxicity._calibrated(found) - w).max() < 1e-6

@@ -113,15 +113,15 @@ def bounded(df: DataFrame, key: str, most: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(1_000_000)) < int(1e6 * most / n))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, most: int) -> DataFrame:
-    """Texts of at most about ``most`` labelled rows outside the held-out part: (doc_id, text, label).
+def labelled(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, most: int | None = None) -> DataFrame:
+    """Texts of labelled rows outside the held-out part, at most about ``most`` where that is given: (doc_id, text, label).
 
-    The label rows are cut to the bound before the join, so the broadcast side has a fixed size.
+    Label rows are cut to the bound before the join, so that then the broadcast side has a fixed size.
     """
     want = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out)
     want = want.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
-    want = bounded(want, "doc_id", most)
-    return docs.select("doc_id", "text").join(F.broadcast(want), "doc_id")
+    want = small(want, 1_000_000) if most is None else F.broadcast(bounded(want, "doc_id", most))
+    return docs.select("doc_id", "text").join(want, "doc_id")
 
 
 def shards(spark: SparkSession, rows: int, per_shard: int = 4000) -> int:

@@ -163,12 +163,13 @@ def _weights(texts: DataFrame, sizes: tuple[int, ...]) -> dict[str, dict[str, fl
 
     Listed insults get a weight between their prior and what the documents that have them say.
     """
-    texts = texts.select("doc_id", "label", F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}']+").alias("ws"))
-    words = texts.select("doc_id", "label", F.explode(F.array_distinct("ws")).alias("w")).filter("w != ''")
-    starts = words.select("doc_id", "label", F.explode(F.array(*[F.when(F.char_length("w") > k, F.substring("w", 1, k)) for k in sizes])).alias("w")).filter("w is not null").distinct()
+    texts = texts.select("label", F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}']+").alias("ws"))
+    words = texts.select("label", F.explode(F.array_distinct("ws")).alias("w")).filter("w != ''")
+    heads = [F.transform(F.filter(F.array_distinct("ws"), lambda w: F.char_length(w) > k), lambda w: F.substring(w, 1, k)) for k in sizes]  # noqa: B023
+    starts = texts.select("label", F.explode(F.array_distinct(F.flatten(F.array(*heads)))).alias("w"))
     will, reach = F.array(*map(F.lit, CUES["will"].split())), next(p.reach for p in GRAMMAR if p.cue == "will")
     after = F.flatten(F.transform(F.filter(F.sequence(F.lit(1), F.size("ws")), lambda i: F.array_contains(will, F.get("ws", i - 1))), lambda i: F.slice("ws", i + 1, reach)))
-    threats = texts.select("doc_id", "label", F.explode(F.array_distinct(after)).alias("w")).filter("w != ''")
+    threats = texts.select("label", F.explode(F.array_distinct(after)).alias("w")).filter("w != ''")
     seen = words.select("label", "w", F.lit("words").alias("kind")).union(starts.select("label", "w", F.lit("starts"))).union(threats.select("label", "w", F.lit("threats")))
     counts = common.stored(seen.groupBy("kind", "w").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")), "counts")
     total = texts.agg(F.sum("label").alias("pos"), F.count("*").alias("n")).first()
@@ -205,6 +206,27 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 5
     return w
 
 
+def _calibrated(rows: DataFrame, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
+    """Weights of (1, a, b, c) for the label, by Newton steps. ``rows`` stand for n texts each; each step's sums are made in Spark."""
+    x = [F.lit(1.0), F.col("a"), F.col("b"), F.col("c")]
+    upper = np.triu_indices(len(x))
+    w = np.zeros(len(x))
+    for _ in range(rounds):
+        z = sum((float(v) * f for v, f in zip(w, x, strict=True)), F.lit(0.0))
+        r = rows.withColumn("p", 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0)))))
+        slope = [F.sum(F.col("n") * f * (F.col("label") - F.col("p"))) for f in x]
+        bend = [F.sum(F.col("n") * x[i] * x[j] * F.col("p") * (1 - F.col("p"))) for i, j in zip(*upper, strict=True)]
+        sums = np.array(r.agg(*slope, *bend).first(), float)
+        h = np.zeros((len(x), len(x)))
+        h[upper] = sums[len(x) :]
+        h = h + np.triu(h, 1).T + ridge * np.eye(len(x))
+        step = np.linalg.solve(h, sums[: len(x)] - ridge * w)
+        w += step
+        if np.abs(step).max() < 1e-6:
+            break
+    return np.round(w, 9)  # sums differ in the last digits with the order of tasks
+
+
 def _measure(texts: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """Columns ``keep`` and the features a, b, c of each text."""
     spark = texts.sparkSession
@@ -221,7 +243,7 @@ def _measure(texts: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
 
 def fit(texts: DataFrame) -> Model:
-    """Learn from (doc_id, text, label), at most as many rows as ``common.labelled`` is told.
+    """Learn from all rows of (doc_id, text, label).
 
     Without both labels the score is the share of label 1, or 0.1.
     """
@@ -230,11 +252,12 @@ def fit(texts: DataFrame) -> Model:
     model = Model()
     found = _weights(texts, model.sizes)
     model.words, model.starts, model.threats = found["words"], found["starts"], found["threats"]
-    rows = _measure(texts, model, ["label"]).toPandas()
-    if rows["label"].nunique() < 2:
+    rows = _measure(texts, model, ["label"]).groupBy("label", "a", "b", "c").agg(F.count("*").alias("n"))
+    rows = common.stored(rows, "features")
+    if rows.select("label").distinct().count() < 2:
         model.scale = (-2.2, 1.0, 0.0, 0.0)
         return model
-    model.scale = tuple(_logistic(rows[["a", "b", "c"]].to_numpy(), rows["label"].to_numpy(float)))
+    model.scale = tuple(_calibrated(rows))
     return model
 
 
@@ -253,11 +276,12 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     return rows.select("doc_id", p.alias("score"), F.when(p >= threshold, 1).otherwise(0).alias("predicted"))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, *, most_labelled: int = 20_000, threshold: float = 0.3) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, *, most_labelled: int | None = None, threshold: float = 0.3) -> DataFrame:
     """Learn from labelled rows that are not held out, then score all: doc_id, held_out, score, predicted.
 
-    In: docs (doc_id, text), labels (doc_id, toxic); other columns are ignored. What is learned from is bounded by
-    ``most_labelled`` rows; labels without a doc_id or value are left out, of several for one doc_id the highest counts.
+    In: docs (doc_id, text), labels (doc_id, toxic); other columns are ignored. All of them are
+    learned from, or about ``most_labelled`` where that is given; labels without a doc_id or value are left out, of several
+    for one doc_id the highest counts.
     Null and empty texts have the score of a text in which nothing matches. Each row of docs is a row of the result, also
     of several with one doc_id; equal texts have equal scores. An empty table gives no rows.
     """
