@@ -1,7 +1,9 @@
 """Account queries a scale up, where accounts of the test data's jumping prices leave the range of integers."""
 
 import re
+from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,3 +32,21 @@ def test_bars_are_one_aggregate_equal_to_the_windows(spark):
     want = spark.sql(sql, lineitem=lines, part=part).select(*got.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert "Window" not in got._jdf.queryExecution().toString()
+
+
+def test_sums_of_bars_are_taken_in_the_order_of_the_sql(spark, tmp_path):
+    """Amounts of a day that make a whole number in one order and a little less in another; the rule of days without volume reads the whole part."""
+    days = [[70279.56, 20210.99, 7614.83, 32428.09, 41103.8, 81165.73], [17852.77, 45783.45, 14945.87, 24241.49, 14658.7, 76639.72], [16511.77, 68331.61, 47170.82, 51970.39, 35945.82, 8632.59]]
+    rows = [(k, 1, s, 1, float(k + 2), amounts[::step][k], f"1997-01-0{d + 1}") for d, amounts in enumerate(days) for s, step in ((1, 1), (2, -1)) for k in range(6)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_shipdate string").withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp"))
+    spark.createDataFrame([(1, "a"), (2, "b")], "p_partkey long, p_brand string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    for i, f in enumerate((lines.orderBy("l_orderkey").coalesce(1), lines.orderBy(F.desc("l_orderkey")).coalesce(1), lines.repartition(5, "l_orderkey"))):
+        (tmp_path / f"{i}").mkdir()
+        (tmp_path / f"{i}/part.parquet").symlink_to(tmp_path / "part.parquet")
+        f.write.parquet(f"{tmp_path}/{i}/lineitem.parquet")
+        for t in ("lineitem", "part"):
+            con.execute(f"create or replace view {t} as select * from '{tmp_path}/{i}/{t}.parquet/*.parquet'")
+        got, sql = plans.QUERIES["d01_check_bars"](spark, f"{tmp_path}/{i}"), con.execute(plans.ORACLE_SQL["d01_check_bars"]).fetchall()
+        assert Counter(map(tuple, got.select("symbol", "rule", "n").collect())) == Counter(sql)
+        assert ("b", "zero_volume", 3) in sql and not [r for r in sql if r[:2] == ("a", "zero_volume")]

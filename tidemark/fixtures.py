@@ -97,11 +97,15 @@ def with_views(sql: str) -> str:
 
 
 def _bars(lineitem: DataFrame, part: DataFrame) -> DataFrame:
-    """``bars`` by one aggregate: the first and last trade of a day merge before the shuffle, where windows sort all trades twice."""
-    first = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-    t = lineitem.join(part, lineitem["l_partkey"] == part["p_partkey"]).select(
-        F.col("p_brand").alias("symbol"), F.col("l_shipdate").cast("date").alias("trade_date"), F.expr("l_extendedprice / l_quantity").alias("price"), F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("amt"), first.alias("place"))
-    return t.groupBy("symbol", "trade_date").agg(
+    """``bars`` by one sort of the trades and one aggregate, where windows sort all trades twice.
+
+    A day's sums are taken over its trades from the last to the first, as by the SQL's last window: another order changes the last bits of
+    sums of doubles, and with them the whole part of an amount that is a whole number.
+    """
+    place = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
+    t = lineitem.join(part, lineitem["l_partkey"] == part["p_partkey"]).select(F.col("p_brand").alias("symbol"), F.col("l_shipdate").cast("date").alias("trade_date"), *place)
+    t = t.repartition("symbol", "trade_date").sortWithinPartitions("symbol", "trade_date", *map(F.desc, place))
+    return t.select("symbol", "trade_date", F.expr("l_extendedprice / l_quantity").alias("price"), F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("amt"), F.struct(*place).alias("place")).groupBy("symbol", "trade_date").agg(
         F.min_by("price", "place").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "place").alias("close"), F.sum("qty").alias("volume"), F.sum("amt").alias("amount"))
 
 
